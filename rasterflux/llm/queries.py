@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rasterflux.llm import merkle, mixing, quality_rules, sharding
+from rasterflux.llm import html_extract, merkle, mixing, packing, quality_rules, sharding
 from rasterflux.llm.common import table
 
 
@@ -29,7 +29,16 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op6(table(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.op9(table(spark, sf_dir, "documents"))
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op3_mixing, op4_merkle_fingerprints, op6_sharding)
+    f.__name__: f
+    for f in (op1_quality_rules, op3_mixing, op4_merkle_fingerprints, op6_sharding, op9_packing, op10_html_extraction)
 }
 ORACLE_SQL: dict[str, str] = {}
