@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rasterflux.llm import html_extract, merkle, mixing, packing, quality_rules, sharding
+from rasterflux.llm import html_extract, merkle, mixing, oddsketch, packing, quality_rules, sharding
 from rasterflux.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op4_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.op4(table(spark, sf_dir, "documents"))
 
 
+def op5_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return oddsketch.op5(table(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op6(table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,6 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op3_mixing, op4_merkle_fingerprints, op6_sharding, op9_packing, op10_html_extraction)
+    for f in (op1_quality_rules, op3_mixing, op4_merkle_fingerprints, op5_odd_sketches, op6_sharding, op9_packing, op10_html_extraction)
 }
 ORACLE_SQL: dict[str, str] = {}
