@@ -6,7 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rasterflux.llm import html_extract, merkle, mixing, oddsketch, packing, quality_rules, sharding
+from rasterflux.llm import (
+    html_extract,
+    merkle,
+    mixing,
+    oddsketch,
+    packing,
+    quality_classifier,
+    quality_rules,
+    sharding,
+    toxicity,
+)
 from rasterflux.llm.common import table
 
 
@@ -17,6 +27,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op2(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op3(table(spark, sf_dir, "documents"))
 
@@ -33,6 +47,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op6(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.op8(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.op9(table(spark, sf_dir, "documents"))
 
@@ -43,6 +61,16 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op3_mixing, op4_merkle_fingerprints, op5_odd_sketches, op6_sharding, op9_packing, op10_html_extraction)
+    for f in (
+        op1_quality_rules,
+        op2_toxicity,
+        op3_mixing,
+        op4_merkle_fingerprints,
+        op5_odd_sketches,
+        op6_sharding,
+        op8_quality_classifier,
+        op9_packing,
+        op10_html_extraction,
+    )
 }
 ORACLE_SQL: dict[str, str] = {}
