@@ -126,10 +126,13 @@ def unpattern(codes: np.ndarray) -> np.ndarray:
 
 @dataclass
 class LabelModel:
-    """P(good) and, per class and labeller, the probabilities of the three votes."""
+    """P(good) and, per class and labeller, the accuracy: the probability of each vote where it votes.
+
+    An abstention says nothing, else the model would learn to tell short texts from long ones instead.
+    """
 
     good: float
-    tables: np.ndarray  # (class, labeller, vote); class 0 is junk
+    tables: np.ndarray  # (class, labeller, vote), 1 for an abstention; class 0 is junk
 
     def posterior(self, v: np.ndarray) -> np.ndarray:
         """P(good) for rows of votes."""
@@ -142,13 +145,14 @@ class LabelModel:
 def expectation_maximisation(v: np.ndarray, n: np.ndarray, steps: int = 200) -> LabelModel:
     """From distinct vote rows and their counts. It starts from: any junk vote means junk, probably."""
     post = np.where((v == JUNK).any(axis=1), 0.05, 0.95)
-    model = LabelModel(0.5, np.full((2, v.shape[1], 3), 1 / 3))
+    model = LabelModel(0.5, np.ones((2, v.shape[1], 3)))
     for _ in range(steps):
         before = post
         for c, weight in enumerate((n * (1 - post), n * post)):
             for k in range(v.shape[1]):
                 seen = np.bincount(v[:, k], weights=weight, minlength=3) + 0.1
-                model.tables[c, k] = seen / seen.sum()
+                model.tables[c, k] = seen / (seen[JUNK] + seen[GOOD])
+                model.tables[c, k, NONE] = 1.0
         model.good = float(np.clip((n * post).sum() / max(1, n.sum()), 0.01, 0.99))
         post = model.posterior(v)
         if np.abs(post - before).max() < 1e-6:

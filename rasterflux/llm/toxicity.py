@@ -3,7 +3,7 @@
 Two Zstandard dictionaries are trained on labelled text: one on windows of ordinary documents, one on the passages of toxic documents whose byte
 grams are far more frequent there than in ordinary ones. A window of a text is compressed once with the ordinary dictionary and once with
 the ordinary dictionary followed by the toxic one; the bytes that the second saves are the window's distance. A text's largest and mean savings and
-the shares of windows beyond two thresholds are calibrated to a probability by a logistic fit on labelled documents that trained no dictionary.
+the shares of windows beyond two thresholds are calibrated to a probability by a logistic fit on labelled documents that trained none of the dictionaries they are measured with.
 
 The fit uses a bounded, documented sample of labelled rows (``MAX_TOXIC``, ``MAX_ORDINARY`` documents, of each at most ``SAMPLE_CHARS``
 characters); scoring reads every whole text. Rows of the held-out fold, crc32 of the id as text modulo 3 equal to 1, are never learnt from.
@@ -115,10 +115,10 @@ class Model:
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
 
-    def measure(self, text: str) -> np.ndarray:
+    def measure(self, data: bytes) -> np.ndarray:
         """Largest, mean of the three and eight largest, mean saving; shares beyond the thresholds; log of the number of windows."""
         plain, toxic = self._with_ordinary, self._with_toxic
-        ws = windows(text.lower().encode("utf-8", "surrogatepass"))
+        ws = windows(data)
         saved = np.fromiter((len(plain(w)) - len(toxic(w)) for w in ws), np.float64, len(ws))
         top = np.sort(saved)[::-1]
         share = [(saved >= t).mean() for t in THRESHOLDS]
@@ -130,15 +130,13 @@ class Model:
     def score(self, text: str) -> float:
         if not len(self.weights):
             return 0.0
-        x = (self.measure(text) - self.mean) / self.scale
+        x = (self.measure(text.lower().encode("utf-8", "surrogatepass")) - self.mean) / self.scale
         return float(1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30))))
 
 
-def fit(rows: list[tuple[str, int, int]], seed: int = 5) -> Model:
-    """From (text, toxic, calibration 0/1): dictionaries from the rows with 0, calibration from those with 1."""
-    rng = random.Random(seed)
-    docs = sorted({(t.lower().encode("utf-8", "surrogatepass"), x, c) for t, x, c in rows if t})
-    toxic, ordinary = ([t for t, x, c in docs if x == y and not c] for y in (1, 0))
+def _dictionaries(docs: list[tuple[bytes, int]], rng: random.Random) -> Model:
+    """A model without calibration; without dictionaries where a class is missing."""
+    toxic, ordinary = ([t for t, x in docs if x == y] for y in (1, 0))
     model = Model()
     if not toxic or not ordinary:
         return model
@@ -151,11 +149,25 @@ def fit(rows: list[tuple[str, int, int]], seed: int = 5) -> Model:
     rng.shuffle(prose)
     model.ordinary = _dictionary(prose[:100_000], ORDINARY_BYTES)
     model.prepare()
-    held = [(t, x) for t, x, c in rows if t and c]
-    if len({x for _, x in held}) < 2:
-        held = [(t, x) for t, x, _ in rows if t]
-    x = np.array([model.measure(t) for t, _ in held])
-    y = np.array([v for _, v in held], float)
+    return model
+
+
+def fit(rows: list[tuple[str, int, int]], seed: int = 5) -> Model:
+    """From (text, toxic, half 0/1). Each half is measured with the dictionaries of the other, which is what the calibration is
+    fitted to; the dictionaries that stay are those of both halves."""
+    rng = random.Random(seed)
+    docs = sorted({(t.lower().encode("utf-8", "surrogatepass"), x, c) for t, x, c in rows if t})
+    model = _dictionaries([(t, x) for t, x, _ in docs], rng)
+    if not model.ordinary:
+        return model
+    x, y = [], []
+    for half in (0, 1):
+        other = _dictionaries([(t, v) for t, v, c in docs if c != half], rng)
+        other = other if other.ordinary else model
+        held = [(t, v) for t, v, c in docs if c == half]
+        x += [other.measure(t) for t, _ in held]
+        y += [v for _, v in held]
+    x, y = np.array(x), np.array(y, float)
     model.mean, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     z = np.c_[(x - model.mean) / model.scale, np.ones(len(x))]
     w = np.zeros(z.shape[1])
@@ -175,14 +187,14 @@ def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int, int]]:
         .groupBy("doc_id")
         .agg(F.max("toxic").alias("toxic"))
         .where(fold(F.col("doc_id")) != 1)
-        .withColumn("calibration", (fold(F.col("doc_id")) == 2).cast("int"))
+        .withColumn("half", (fold(F.col("doc_id")) == 2).cast("int"))
     )
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = known.where("toxic = 1").orderBy(*order).limit(MAX_TOXIC)
     chosen = chosen.union(known.where("toxic = 0").orderBy(*order).limit(MAX_ORDINARY))
     texts = docs.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).where("text is not null")
     # A repeated id may bring several rows; the sample stays within its bound.
-    found = texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic", "calibration").limit(MAX_TOXIC + MAX_ORDINARY)
+    found = texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic", "half").limit(MAX_TOXIC + MAX_ORDINARY)
     return [(r[0], int(r[1]), int(r[2])) for r in found.collect()]
 
 
