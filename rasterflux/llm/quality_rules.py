@@ -144,6 +144,10 @@ def ablations(led: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
-    """The documents that the policy keeps, with their own columns, carried through the ledger in the same row."""
+    """The documents that the policy keeps, with their own columns, carried through the ledger in the same row.
+
+    Rows are dropped by a generator, not a filter: a filter would be pushed below the ledger and repeat every measurement.
+    """
     carried = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
-    return apply_policy(ledger(carried, "_row"), policy).where("kept").select("_row.*")
+    judged = apply_policy(ledger(carried, "_row"), policy)
+    return judged.select(F.explode(F.when(F.col("kept"), F.array("_row"))).alias("_row")).select("_row.*")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 MAX_TOXIC, MAX_ORDINARY, SAMPLE_CHARS = 3000, 6000, 20_000
 #: Bytes of a window and between the starts of two.
 WINDOW, STEP = 48, 36
-GRAM, GRAM_BITS = 5, 22
+GRAMS, GRAM_BITS = (5, 9), 22
 #: Least z score and ratio of document shares for a gram of the toxic passages.
 LEAST_Z, LEAST_RATIO = 4.5, 30.0
 ORDINARY_BYTES, TOXIC_BYTES = 32 * 1024, 2048
@@ -45,13 +45,13 @@ def windows(data: bytes) -> list[bytes]:
     return [data[i : i + WINDOW] for i in range(0, max(1, len(data) - (WINDOW - STEP)), STEP)]
 
 
-def _grams(data: bytes) -> np.ndarray:
+def _grams(data: bytes, size: int) -> np.ndarray:
     a = np.frombuffer(data, np.uint8).astype(np.uint64)
-    if len(a) < GRAM:
+    if len(a) < size:
         return np.empty(0, np.int64)
-    h = np.zeros(len(a) - GRAM + 1, np.uint64)
-    for k in range(GRAM):
-        h = h * np.uint64(0x100000001B3) + a[k : len(a) - GRAM + 1 + k]
+    h = np.full(len(a) - size + 1, size, np.uint64)
+    for k in range(size):
+        h = h * np.uint64(0x100000001B3) + a[k : len(a) - size + 1 + k]
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return (h >> np.uint64(64 - GRAM_BITS)).astype(np.int64)
 
@@ -62,7 +62,8 @@ def marked_grams(toxic: list[bytes], ordinary: list[bytes]) -> np.ndarray:
     for group in (toxic, ordinary):
         seen = np.zeros(1 << GRAM_BITS, np.int32)
         for data in group:
-            seen[np.unique(_grams(data))] += 1
+            for size in GRAMS:
+                seen[np.unique(_grams(data, size))] += 1
         share.append(seen / max(1, len(group)))
     t, o = share
     nt, no = max(1, len(toxic)), max(1, len(ordinary))
@@ -74,8 +75,9 @@ def marked_grams(toxic: list[bytes], ordinary: list[bytes]) -> np.ndarray:
 def passages(data: bytes, marked: np.ndarray) -> list[bytes]:
     """Maximal stretches covered by marked grams."""
     cover = np.zeros(len(data) + 2, np.int8)
-    for k in np.flatnonzero(marked[_grams(data)]):
-        cover[k + 1 : k + 1 + GRAM] = 1
+    for size in GRAMS:
+        for k in np.flatnonzero(marked[_grams(data, size)]):
+            cover[k + 1 : k + 1 + size] = 1
     edge = np.diff(cover)
     return [data[s:e] for s, e in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)]
 
