@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rasterflux.llm import (
     html_extract,
+    lm_scoring,
     merkle,
     mixing,
     oddsketch,
@@ -47,6 +48,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op6(table(spark, sf_dir, "documents"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.op7(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.op8(table(spark, sf_dir, "documents"))
 
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_merkle_fingerprints,
         op5_odd_sketches,
         op6_sharding,
+        op7_lm_scoring,
         op8_quality_classifier,
         op9_packing,
         op10_html_extraction,
