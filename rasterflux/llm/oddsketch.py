@@ -13,8 +13,8 @@ components is lost to the pivots.
 Defined cases: a null text or one without words has an empty set, no links, and is its own component; repeated rows have equal sets and so
 share a component; an empty table gives no rows; extra columns are ignored; very long texts are hashed whole, in blocks.
 
-With 24 bands of 4 samples two sets of similarity 0.8 share no band with probability 3e-6; the sketch limit is five standard
-deviations from the expectation at 0.8.
+With 24 bands of 4 samples two sets of similarity 0.8 share no band with probability 3e-6; the sketch limit is 4.5 standard
+deviations from the expectation at 0.8 (3e-6).
 """
 
 from __future__ import annotations
@@ -31,10 +31,11 @@ from rasterflux.llm.common import materialize
 
 SHINGLE = 4
 BANDS, ROWS = 24, 4
-SAMPLES = BANDS * ROWS
-SKETCH_LONGS = 8
+#: MinHash samples; the bands use the first of them, the sketch all.
+SAMPLES = 512
+SKETCH_LONGS = 16
 #: Most ones in the XOR of two sketches for a pair that goes on to the exact check.
-MOST_DIFFERING = 72
+MOST_DIFFERING = 228
 #: A link: LINK_NUM * union <= LINK_DEN * intersection.
 LINK_NUM, LINK_DEN = 80, 100
 ROUNDS = 3
@@ -91,13 +92,13 @@ class _Hasher:
     def samples(self, h: np.ndarray) -> np.ndarray:
         low = np.full(SAMPLES, 0xFFFFFFFF, np.uint32)
         top = (h >> _U(32)).astype(np.uint32)
-        for at in range(0, len(top), 2048):
-            block = top[at : at + 2048]
+        for at in range(0, len(top), 1024):
+            block = top[at : at + 1024]
             np.minimum(low, (self.a[:, None] * block[None, :] + self.b[:, None]).min(axis=1), out=low)
         return low
 
     def bands(self, low: np.ndarray) -> np.ndarray:
-        return _mix((low.astype(np.uint64).reshape(BANDS, ROWS) * self.row).sum(axis=1) + self.band)
+        return _mix((low[: BANDS * ROWS].astype(np.uint64).reshape(BANDS, ROWS) * self.row).sum(axis=1) + self.band)
 
     def sketch(self, low: np.ndarray) -> np.ndarray:
         bit = _mix(low.astype(np.uint64) * _MULT + self.sample) % _U(64 * SKETCH_LONGS)
@@ -190,6 +191,12 @@ def _differing():
     return sum(bits[1:], bits[0])
 
 
+def _first_shared():
+    """The first band key that two classes share."""
+    same = [F.when(F.col("bands_a")[k] == F.col("bands_b")[k], F.col("bands_a")[k]) for k in range(BANDS)]
+    return F.coalesce(*same)
+
+
 def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs that are links on their full sets. Only the texts of classes in a pair are read."""
     text = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
@@ -254,9 +261,15 @@ def components(docs: DataFrame) -> DataFrame:
             )
             pairs = _estimated(pairs.distinct(), sketches)
         else:
-            side = members.select("band", "node", "comp").join(sketches, "node")
-            x, y = (side.select("band", *[F.col(c).alias(f"{s}_{v}") for c, s in (("node", "n"), ("comp", "c"), ("sketch", "s"))]) for v in "ab")
-            met = x.join(y, "band").where((F.col("c_a") < F.col("c_b")) & (_differing() <= MOST_DIFFERING))
+            # A pair is made in the first band that it shares only, and only if its sketches are near.
+            side = members.select("band", "node", "comp").join(nodes.select("node", "sketch", "bands"), "node")
+            x, y = (
+                side.select("band", *[F.col(c).alias(f"{c[0]}_{v}") for c in ("node", "comp", "sketch")], F.col("bands").alias(f"bands_{v}"))
+                for v in "ab"
+            )
+            met = x.join(y, "band").where(
+                (F.col("c_a") < F.col("c_b")) & (_first_shared() == F.col("band")) & (_differing() <= MOST_DIFFERING)
+            )
             pairs = met.select(F.col("n_a").alias("a"), F.col("n_b").alias("b")).distinct()
         pairs = materialize(pairs, "near-pairs")
         links = materialize(_links(pairs, nodes, docs), "near-links")
