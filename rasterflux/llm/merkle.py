@@ -3,7 +3,7 @@
 Leaves are the sentences of a paragraph (a paragraph is a line), paragraph nodes hash their leaves, section nodes hash runs
 of paragraphs, the root hashes the sections. A section ends after a paragraph whose own hash begins with 0 or 1, so an insertion
 moves no boundary but its own. Leaves keep every character, so equal roots mean equal texts (up to MD5 collisions), and the nodes that
-differ locate an edit. The fingerprint text is ``root/sections/leaves``; hashes are MD5 prefixes (root 32, section 8, leaf 8 digits).
+differ locate an edit. The fingerprint text is ``root/sections/leaves`` (leaves distinct and sorted); hashes are MD5 prefixes (root 32, section 8, leaf 8 digits).
 
 Likeness of two fingerprints: 1 for equal roots, else the Dice coefficient of their distinct leaves.
 
@@ -40,7 +40,7 @@ def _tree(text: Column) -> Column:
         F.transform(
             F.array(sections), lambda s: F.struct(F.md5(F.array_join(s, " ")).alias("root"), s.alias("sections"))
         )[0].alias("top"),
-        F.array_distinct(F.flatten(leaves)).alias("leaves"),
+        F.array_sort(F.array_distinct(F.flatten(leaves))).alias("leaves"),
     )
 
 

@@ -79,4 +79,48 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_html_extraction,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+
+_WORDS = r"regexp_extract_all(coalesce(text,''),'[^\x20\x09-\x0D]+')"
+_OP1 = rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text,'') AS t, {_WORDS} AS w FROM documents),
+g AS (SELECT rid, i, array_to_string(w[i:i+7],' ') AS gram FROM (SELECT rid, w, unnest(range(1, len(w)-6)) AS i FROM d)),
+p AS (SELECT rid, i FROM g QUALIFY count(*) OVER (PARTITION BY rid, gram) >= 2),
+cov AS (SELECT rid, sum(least(8, coalesce(nxt-i, 8))) AS n FROM (SELECT rid, i, lead(i) OVER (PARTITION BY rid ORDER BY i) AS nxt FROM p) GROUP BY 1),
+m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w,'')) AS BIGINT) AS word_chars,
+ CAST(length(regexp_replace(t,'[^#*$%&|<>]+','','g')) AS BIGINT) AS n_symbols, list_filter(string_split(t,chr(10)), lambda x: regexp_matches(x,'[^\x20\x09-\x0D]')) AS l,
+ CAST(coalesce(cov.n,0) AS BIGINT) AS n_repeat_words, length(regexp_replace(t,'\P{{Lu}}+','','g')) AS n_upper FROM d LEFT JOIN cov USING (rid)),
+r AS (SELECT *, CAST(len(l)-len(list_distinct(l)) AS BIGINT) AS n_dup_lines FROM m),
+b AS (SELECT *, CAST((n_words<20)::INT + 2*(100*n_repeat_words>30*n_words)::INT + 4*(20*n_symbols>word_chars)::INT + 8*(100*n_dup_lines>30*len(l))::INT
+ + 16*(2*n_upper>word_chars)::INT + 32*(word_chars>20*n_words)::INT AS BIGINT) AS fail_bits FROM r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3)<>0 AS base_failed, fail_bits=0 AS kept, fail_bits FROM b"""
+_OP3 = rf"""WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size, CAST(('0x'||substr(md5('mix-1:'||doc_id),1,13)) AS BIGINT)/4503599627370496.0::DOUBLE AS u FROM documents),
+k AS (SELECT *, u/(u+(1-u)*(CAST(size+1 AS DOUBLE)/(size+100))) AS key FROM d),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [1,2,3][(row_number() OVER (ORDER BY source NULLS LAST)-1)%3+1] AS weight FROM k GROUP BY source),
+l AS (SELECT *, 3*source_size AS cap, row_number() OVER (ORDER BY 3*source_size/weight::DOUBLE, source NULLS LAST) AS pos FROM s),
+z AS (SELECT *, CAST((SELECT sum(source_size) FROM s) - coalesce(sum(cap) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS DOUBLE) / CAST(sum(weight) OVER (ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS kappa FROM l),
+v AS (SELECT min_by(kappa, pos) AS kappa FROM z WHERE kappa*weight<=cap),
+t AS (SELECT z.source, source_size, CASE WHEN v.kappa IS NULL OR v.kappa*weight>cap THEN CAST(cap AS DOUBLE) ELSE v.kappa*weight END AS target FROM z, v),
+o AS (SELECT k.*, source_size, target, coalesce(sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS before FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT *, floor(target/greatest(source_size,1)) AS sure FROM o)
+SELECT doc_id, size, source_size, target, CAST(size*copies AS BIGINT) AS taken, copies FROM (SELECT *, CAST(sure AS INT) + (2*before+size<=2*(target-sure*source_size) AND size>0)::INT AS copies FROM c)"""
+
+
+def _merkle(t: str, a: str) -> str:
+    return rf"""list_transform(string_split(regexp_replace(array_to_string(list_transform(string_split({t},chr(10)), lambda x: substr(md5(x),1,16)),' '),'\b([01][0-9a-f]{{15}}) ','\1|','g'),'|'), lambda x: md5(x)) AS s{a},
+ list_sort(list_distinct(flatten(list_transform(string_split({t},chr(10)), lambda p: list_transform(regexp_extract_all(p,'[^.!?]+[.!?]*|[.!?]+'), lambda x: substr(md5(x),1,8)))))) AS l{a}"""
+
+
+def _print(a: str) -> str:
+    return f"md5(array_to_string(s{a},' '))||'/'||array_to_string(list_transform(s{a}, lambda x: substr(x,1,8)),'')||'/'||array_to_string(l{a},'')"
+
+
+def _near(a: str, b: str) -> str:
+    return f"CASE WHEN s{a}=s{b} THEN 1.0::DOUBLE WHEN len(l{a})+len(l{b})=0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE*len(list_intersect(l{a},l{b}))/(len(l{a})+len(l{b})) END"
+
+
+_OP4 = f"""WITH d AS (SELECT doc_id, coalesce(text,'') AS t FROM documents), n AS (SELECT *, coalesce(lead(t) OVER w, first_value(t) OVER w) AS nx, CAST(length(t) AS BIGINT) AS n_chars FROM d WINDOW w AS (ORDER BY doc_id DESC, t)),
+e AS (SELECT *, substr(t,1,n_chars-n_chars//2)||substr(nx,1,n_chars//2) AS ed FROM n),
+f AS (SELECT doc_id, n_chars, sha256(ed) AS edited_sha256, {_merkle("t", "1")}, {_merkle("ed", "2")}, {_merkle("nx", "3")} FROM e)
+SELECT doc_id, n_chars, edited_sha256, {_print("1")} AS fingerprint, {_print("2")} AS edited_fingerprint, {_near("1", "2")} AS near_edited, {_near("1", "3")} AS near_next,
+ CAST(len(list_filter(s1, lambda x: NOT list_contains(s2, x))) AS INT) AS n_changed_sections FROM f"""
+
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": _OP1, "op3_mixing": _OP3, "op4_merkle_fingerprints": _OP4}
