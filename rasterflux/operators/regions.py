@@ -185,9 +185,9 @@ def _rings(pdf: pd.DataFrame) -> Iterator[list[tuple[int, int]]]:
         ring, at, came = [start], start, None
         while True:
             options = follow[at]
-            # Where two pixels meet at a corner, the sharper right turn keeps 4-connected pieces apart.
+            # Where two pixels of a piece meet at a corner, the turn away from the inside keeps holes apart.
             if came and len(options) > 1:
-                options.sort(key=lambda p: came[0] * (p[1] - at[1]) - came[1] * (p[0] - at[0]))
+                options.sort(key=lambda p: came[1] * (p[0] - at[0]) - came[0] * (p[1] - at[1]))
             to = options.pop(0)
             if not options:
                 del follow[at]

@@ -65,7 +65,7 @@ kt AS (SELECT *, CASE WHEN o AND ndwi>=0.15 AND s AND sar_db<=-3 THEN 'flooding|
  WHEN o AND ndvi<=-0.15 THEN CASE WHEN NOT s THEN 'vegetation_loss|0.5' WHEN sar_db>=1.5 AND ndbi>=0.05 THEN 'construction|0.85' WHEN sar_db>=1.5 THEN 'construction|0.65' WHEN sar_db<=-1.5 THEN 'clearance|0.85' ELSE 'vegetation_loss|0.55' END
  WHEN o AND ndvi>=0.15 THEN 'vegetation_growth|0.75' WHEN elongation>=4 AND (ndbi>=0 OR sar_db>=1.5) THEN 'road_development|0.6'
  WHEN o AND ndbi>=0.1 THEN 'surface_change|0.55' WHEN s AND abs(sar_db)>=3 THEN 'structural_change|0.6' ELSE 'other|0.3' END AS kind FROM sg),
-cl AS (SELECT tier, direction, label, pixels, split_part(kind,'|',1) AS change_type, CAST(split_part(kind,'|',2) AS DOUBLE) AS confidence, round(pixels*0.01,2) AS area_ha FROM kt)"""
+cl AS (SELECT tier, direction, label, pixels, split_part(kind,'|',1) AS change_type, CAST(split_part(kind,'|',2) AS DOUBLE) AS confidence, round(pixels*CAST(0.01 AS DOUBLE),2) AS area_ha FROM kt)"""
 _SERIES = f"""{_BASE}, sd AS (SELECT b.r,b.c,b.step-1 AS t,b.ndvi-a.ndvi AS d,(a.ok AND b.ok) AS valid FROM s2 a JOIN s2 b ON a.r=b.r AND a.c=b.c WHERE a.step=0 AND b.step>0),
 x0 AS (SELECT *, valid AND abs(d)>=0.2 AS x FROM sd),
 x1 AS (SELECT *, coalesce(sum(valid::INT) OVER w,0) AS nv, CASE WHEN d>0 THEN coalesce(sum((x AND d>0)::INT) OVER w,0) ELSE coalesce(sum((x AND d<0)::INT) OVER w,0) END AS na FROM x0 WINDOW w AS (PARTITION BY r,c ORDER BY t ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
@@ -206,7 +206,7 @@ def coverage_stats(spark, d):
     return C.coverage(_fused(spark, d), F.col("d2").isNull())
 
 
-@query(f"{_BASE} SELECT t.tier, count(f.r) AS pixels, round(count(f.r)*0.01,2) AS hectares FROM (VALUES ('confirmed'),('optical'),('sar_only'),('sar_gap')) t(tier) LEFT JOIN fused f ON f.tier=t.tier GROUP BY 1")
+@query(f"{_BASE} SELECT t.tier, count(f.r) AS pixels, round(count(f.r)*CAST(0.01 AS DOUBLE),2) AS hectares FROM (VALUES ('confirmed'),('optical'),('sar_only'),('sar_gap')) t(tier) LEFT JOIN fused f ON f.tier=t.tier GROUP BY 1")
 def tier_hectares(spark, d):
     return C.tier_hectares(_fused(spark, d))
 
@@ -288,7 +288,7 @@ def summarize_types(spark, d):
     return S.summarize(_classified(spark, d))
 
 
-@query(f"{_CLASSED} SELECT coalesce(change_type,'total') AS change_type, round(sum(area_ha),2) AS area_ha, count(*) AS n FROM cl GROUP BY ROLLUP (change_type)")
+@query(f"{_CLASSED} SELECT coalesce(change_type,'total') AS change_type, round(sum(area_ha),2) AS area_ha, count(*) AS n FROM cl GROUP BY ROLLUP (change_type) HAVING count(*)>0")
 def summary_total_rollup(spark, d):
     return _classified(spark, d).rollup("change_type").agg(F.round(F.sum("area_ha"), 2).alias("area_ha"), F.count(F.lit(1)).alias("n")).withColumn("change_type", F.coalesce("change_type", F.lit("total")))
 
@@ -306,7 +306,7 @@ def timeline_pivot(spark, d):
     return S.timeline_pivot(_best(spark, d), T.STEPS)
 
 
-@query(f"""{_DATED} SELECT s.step, count(*) AS n, round(sum(px.pixels*0.01),2) AS area_ha FROM range(1,4) s(step) JOIN dated ON change_index<0 OR change_index+1<=s.step JOIN (SELECT label,count(*) AS pixels FROM lab GROUP BY 1) px ON px.label=dated.label GROUP BY 1""")
+@query(f"""{_DATED} SELECT s.step, count(*) AS n, round(sum(px.pixels*CAST(0.01 AS DOUBLE)),2) AS area_ha FROM range(1,4) s(step) JOIN dated ON change_index<0 OR change_index+1<=s.step JOIN (SELECT label,count(*) AS pixels FROM lab GROUP BY 1) px ON px.label=dated.label GROUP BY 1""")
 def timeline_cumulative(spark, d):
     lab = R.components(_loss(spark, d), N, N)
     dated = R.region_dating(lab, _series(spark, d).select("r", "c", "change_index", "confirmations"), [])
