@@ -155,7 +155,7 @@ def expectation_maximisation(v: np.ndarray, n: np.ndarray, steps: int = 200) ->
                 model.tables[c, k, NONE] = 1.0
         model.good = float(np.clip((n * post).sum() / max(1, n.sum()), 0.01, 0.99))
         post = model.posterior(v)
-        if np.abs(post - before).max() < 1e-6:
+        if np.abs(post - before).max(initial=0) < 1e-6:
             break
     return model
 
