@@ -13,8 +13,8 @@ components is lost to the pivots.
 Defined cases: a null text or one without words has an empty set, no links, and is its own component; repeated rows have equal sets and so
 share a component; an empty table gives no rows; extra columns are ignored; very long texts are hashed whole, in blocks.
 
-With 24 bands of 4 samples two sets of similarity 0.8 share no band with probability 3e-6; the sketch limit is 4.5 standard
-deviations from the expectation at 0.8 (3e-6).
+With 24 bands of 4 samples two sets of similarity 0.8 share no band with probability 3e-6; both sketch limits are 4.5
+standard deviations from the expectation at 0.8 (3e-6).
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterflux.llm.common import materialize
@@ -36,6 +36,8 @@ SAMPLES = 512
 SKETCH_LONGS = 16
 #: Most ones in the XOR of two sketches for a pair that goes on to the exact check.
 MOST_DIFFERING = 228
+#: A finer sketch, for the classes whose bucket the pivots have not settled, and its limit.
+FINE_SAMPLES, FINE_LONGS, FINE_MOST = 2048, 64, 801
 #: A link: LINK_NUM * union <= LINK_DEN * intersection.
 LINK_NUM, LINK_DEN = 80, 100
 ROUNDS = 3
@@ -53,17 +55,17 @@ def _mix(h: np.ndarray) -> np.ndarray:
 class _Hasher:
     """Shingle hashes from prefix sums of a polynomial in an odd base modulo 2^64 over a random number per byte value."""
 
-    def __init__(self) -> None:
+    def __init__(self, samples: int = SAMPLES) -> None:
         rng = np.random.default_rng(20240501)
         self.byte = rng.integers(0, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
         self.base = _U(0x5851F42D4C957F2D)
         self.inverse = _U(pow(int(self.base), -1, 1 << 64))
         self.power, self.back = np.ones(1, np.uint64), np.ones(1, np.uint64)
-        self.a = rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
-        self.b = rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint64).astype(np.uint32)
+        self.a = rng.integers(0, 1 << 32, samples, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+        self.b = rng.integers(0, 1 << 32, samples, dtype=np.uint64).astype(np.uint32)
         self.row = rng.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) | _U(1)
         self.band = rng.integers(0, 1 << 63, BANDS, dtype=np.uint64)
-        self.sample = rng.integers(0, 1 << 63, SAMPLES, dtype=np.uint64)
+        self.sample = rng.integers(0, 1 << 63, samples, dtype=np.uint64)
 
     def _powers(self, n: int) -> None:
         if len(self.power) < n:
@@ -90,30 +92,30 @@ class _Hasher:
         return np.unique(_mix((sums[last] - sums[first]) * self.back[first] + _U(len(words) < SHINGLE)))
 
     def samples(self, h: np.ndarray) -> np.ndarray:
-        low = np.full(SAMPLES, 0xFFFFFFFF, np.uint32)
+        low = np.full(len(self.a), 0xFFFFFFFF, np.uint32)
         top = (h >> _U(32)).astype(np.uint32)
-        for at in range(0, len(top), 1024):
-            block = top[at : at + 1024]
+        step = max(1, (1 << 19) // len(low))
+        for at in range(0, len(top), step):
+            block = top[at : at + step]
             np.minimum(low, (self.a[:, None] * block[None, :] + self.b[:, None]).min(axis=1), out=low)
         return low
 
     def bands(self, low: np.ndarray) -> np.ndarray:
         return _mix((low[: BANDS * ROWS].astype(np.uint64).reshape(BANDS, ROWS) * self.row).sum(axis=1) + self.band)
 
-    def sketch(self, low: np.ndarray) -> np.ndarray:
-        bit = _mix(low.astype(np.uint64) * _MULT + self.sample) % _U(64 * SKETCH_LONGS)
-        odd = (np.bincount(bit.astype(np.int64), minlength=64 * SKETCH_LONGS) & 1).astype(np.uint8)
+    def sketch(self, low: np.ndarray, longs: int = SKETCH_LONGS) -> np.ndarray:
+        bit = _mix(low.astype(np.uint64) * _MULT + self.sample) % _U(64 * longs)
+        odd = (np.bincount(bit.astype(np.int64), minlength=64 * longs) & 1).astype(np.uint8)
         return np.packbits(odd).view(">i8").astype(np.int64)
 
 
-_hasher: _Hasher | None = None
+_hashers: dict[int, _Hasher] = {}
 
 
-def hasher() -> _Hasher:
-    global _hasher
-    if _hasher is None:
-        _hasher = _Hasher()
-    return _hasher
+def hasher(samples: int = SAMPLES) -> _Hasher:
+    if samples not in _hashers:
+        _hashers[samples] = _Hasher(samples)
+    return _hashers[samples]
 
 
 def node_of(h: np.ndarray) -> int:
@@ -151,6 +153,23 @@ def features(docs: DataFrame) -> DataFrame:
     )
 
 
+def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hs = hasher(FINE_SAMPLES)
+    for batch in batches:
+        node, fine = [], []
+        for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            h = hs.shingles(text.as_py())
+            if len(h) and node_of(h) == name:
+                node.append(name), fine.append(hs.sketch(hs.samples(h), FINE_LONGS))
+        yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(fine, pa.list_(pa.int64()))], ["node", "fine"])
+
+
+def _texts(used: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, text of the classes in ``used``."""
+    text = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
+    return nodes.select("node", "rep").join(used, "node").join(text, "rep").select("node", "text")
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hs = hasher()
     recent: OrderedDict[int, np.ndarray | None] = OrderedDict()
@@ -183,15 +202,16 @@ def _estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs whose sketches differ in few enough bits."""
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("sketch").alias(f"s_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.where(_differing() <= MOST_DIFFERING).select("a", "b")
+    return both.where(_differing("s", SKETCH_LONGS) <= MOST_DIFFERING).select("a", "b")
 
 
-def _differing():
-    bits = [F.bit_count(F.col("s_a")[k].bitwiseXOR(F.col("s_b")[k])) for k in range(SKETCH_LONGS)]
+def _differing(name: str, longs: int) -> Column:
+    """Ones in the XOR of the sketches ``name``_a and ``name``_b."""
+    bits = [F.bit_count(F.col(f"{name}_a")[k].bitwiseXOR(F.col(f"{name}_b")[k])) for k in range(longs)]
     return sum(bits[1:], bits[0])
 
 
-def _first_shared():
+def _first_shared() -> Column:
     """The first band key that two classes share."""
     same = [F.when(F.col("bands_a")[k] == F.col("bands_b")[k], F.col("bands_a")[k]) for k in range(BANDS)]
     return F.coalesce(*same)
@@ -199,9 +219,7 @@ def _first_shared():
 
 def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs that are links on their full sets. Only the texts of classes in a pair are read."""
-    text = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
-    used = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = nodes.select("node", "rep").join(used, "node").join(text, "rep").select("node", "text")
+    texts = _texts(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), nodes, docs)
     side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"t_{c}"))
     rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "t_a", "t_b")
     return rows.mapInArrow(_confirm, "a long, b long").distinct()
@@ -261,15 +279,16 @@ def components(docs: DataFrame) -> DataFrame:
             )
             pairs = _estimated(pairs.distinct(), sketches)
         else:
-            # A pair is made in the first band that it shares only, and only if its sketches are near.
-            side = members.select("band", "node", "comp").join(nodes.select("node", "sketch", "bands"), "node")
+            # A pair is made in the first band that it shares only, and only if both its sketches are near.
+            fine = _texts(members.select("node").distinct(), nodes, docs).mapInArrow(_fine, "node long, fine array<bigint>")
+            fine = materialize(fine.dropDuplicates(["node"]), "near-fine")
+            side = members.select("band", "node", "comp").join(nodes.select("node", "sketch", "bands"), "node").join(fine, "node")
             x, y = (
-                side.select("band", *[F.col(c).alias(f"{c[0]}_{v}") for c in ("node", "comp", "sketch")], F.col("bands").alias(f"bands_{v}"))
+                side.select("band", *[F.col(c).alias(f"{n}_{v}") for c, n in (("node", "n"), ("comp", "c"), ("sketch", "s"), ("fine", "f"), ("bands", "bands"))])
                 for v in "ab"
             )
-            met = x.join(y, "band").where(
-                (F.col("c_a") < F.col("c_b")) & (_first_shared() == F.col("band")) & (_differing() <= MOST_DIFFERING)
-            )
+            near = (_differing("s", SKETCH_LONGS) <= MOST_DIFFERING) & (_differing("f", FINE_LONGS) <= FINE_MOST)
+            met = x.join(y, "band").where((F.col("c_a") < F.col("c_b")) & (_first_shared() == F.col("band")) & near)
             pairs = met.select(F.col("n_a").alias("a"), F.col("n_b").alias("b")).distinct()
         pairs = materialize(pairs, "near-pairs")
         links = materialize(_links(pairs, nodes, docs), "near-links")
