@@ -56,9 +56,25 @@ def _grams(data: bytes, size: int) -> np.ndarray:
     return (h >> np.uint64(64 - GRAM_BITS)).astype(np.int64)
 
 
+def distinct_documents(docs: list[bytes]) -> list[bytes]:
+    """Documents without near copies of earlier ones (two of four MinHash samples equal), whose passages would count as often as they are copied."""
+    seen: set[tuple[int, int]] = set()
+    out = []
+    for data in docs:
+        h = np.unique(_grams(data, 9)).astype(np.uint64)
+        if len(h):
+            marks = [(k, int((h * np.uint64(m) & np.uint64(0xFFFFFFFF)).min())) for k, m in enumerate((2654435761, 2246822519, 3266489917, 668265263))]
+            if sum(m in seen for m in marks) >= 2:
+                continue
+            seen.update(marks)
+        out.append(data)
+    return out
+
+
 def marked_grams(toxic: list[bytes], ordinary: list[bytes]) -> np.ndarray:
     """Which gram hashes are far more frequent in toxic documents."""
     share = []
+    toxic, ordinary = distinct_documents(toxic), distinct_documents(ordinary)
     for group in (toxic, ordinary):
         seen = np.zeros(1 << GRAM_BITS, np.int32)
         for data in group:
