@@ -12,12 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rasterflux.shipping import ship
+
 #: Side of the projected grid, time steps, and the span that they divide.
 SIDE, STEPS = 64, 4
 EPOCH, SPAN_DAYS = "1995-01-01", 2505.0
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
