@@ -13,12 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rasterflux.llm import mixing, oddsketch, packing, quality_classifier, quality_rules
 from rasterflux.llm.common import materialize, table
+from rasterflux.shipping import ship
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weak-label classifier rejects go."""
+    ship(spark)
     return quality_classifier.filter_documents(docs)
 
 
@@ -29,6 +31,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component stays."""
+    ship(spark)
     return oddsketch.keep_one(docs)
 
 
@@ -39,6 +42,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the tokenised documents, placed in sequences."""
+    ship(spark)
     return packing.op9(docs)
 
 
