@@ -1,13 +1,15 @@
 """Cross-entropy difference of two matched n-gram models.
 
 The target model is counted on the documents labelled good (quality 1, toxic 0), the background model on all documents. Both share one
-vocabulary, the most frequent lower-cased words of the corpus; all other words are one unknown word. Both are bigram models, backed off to
-unigrams by the same interpolation. A document's score is its cross-entropy per token under the background minus that under the target, in nats:
+vocabulary, all lower-cased words of the corpus and one word for unseen ones. Both are bigram models, backed off to unigrams by the same
+interpolation. A document's score is its cross-entropy per token under the background minus that under the target, in nats:
 higher means nearer to the target.
 
-Counts are taken over every whole document: words and then bigrams are pre-aggregated in the tasks and summed by key, so what is
-gathered grows with the corpus. Only the fitted tables are bounded: ``VOCABULARY`` words and the ``BIGRAMS`` most frequent bigrams, which
-bounds the broadcast at about 15 MB; rarer bigrams back off to unigrams in both models.
+Counts are taken over every whole document: words and then bigrams are pre-aggregated in the tasks and summed by key, and every counted word
+and bigram scores, so the models grow with the corpus. The head, at most ``VOCABULARY`` words and ``BIGRAMS`` bigrams of the highest counts
+(about 15 MB), is broadcast, which also keeps common keys out of the shuffle; what a document has beyond it is joined with the whole count tables.
+
+Words beyond the head and their bigrams are named by 62 and 63 bits of a hash, so that two of a billion such bigrams share a name with probability 0.05.
 
 Defined cases: a null or empty text has 0 tokens and score 0; without target documents both models are the background and every
 score is 0; repeated rows count and score one by one; an empty table gives no rows; extra columns are ignored.
@@ -16,11 +18,13 @@ score is 0; repeated rows count and score one by one; an empty table gives no ro
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterflux.llm.common import materialize
@@ -28,16 +32,24 @@ from rasterflux.llm.common import materialize
 VOCABULARY, BIGRAMS = 1 << 16, 1 << 19
 #: Pseudo-counts of the backed-off distribution in a bigram's, and of each word in the unigrams.
 DISCOUNT, SMOOTH = 5.0, 0.5
+#: Hashed words that a task remembers, and rows that it sends at once.
+REMEMBERED, SENT = 400_000, 200_000
 
 
 @dataclass
 class Tables:
-    """words: id by word; keys: sorted bigram keys; the rest per word or key, column 0 background and 1 target."""
+    """words: id by word; keys: sorted bigram keys; the rest per word or key, column 0 background and 1 target.
+
+    These are the head. ``beyond`` is the smoothed count of all other words; ``rest`` has the counts of what is not in the head: key, n,
+    target and, of bigrams, those of the second word, second_n and second_target.
+    """
 
     words: dict[str, int]
     keys: np.ndarray
     bigrams: np.ndarray
     unigrams: np.ndarray
+    beyond: np.ndarray = field(default_factory=lambda: np.zeros(2))
+    rest: DataFrame | None = None
 
     def __post_init__(self) -> None:
         self.context = self.unigrams + DISCOUNT
@@ -45,22 +57,36 @@ class Tables:
         used = np.zeros((len(self.unigrams), 1))
         used[: len(self.words)], used[VOCABULARY] = 1, 1
         smoothed = (self.unigrams + SMOOTH) * used
-        self.p = smoothed / smoothed.sum(axis=0)
+        self.total = smoothed.sum(axis=0) + self.beyond
+        self.p = smoothed / self.total
 
-    def score(self, ids: np.ndarray) -> tuple[float, float]:
-        """Cross-entropy per token under background and target."""
-        first = np.log(self.p[ids[:1]])
-        if len(ids) == 1:
-            return tuple(-first[0])
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"rest": None}
+
+    def measure(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The head's share of the log probability of a text, and its words and bigrams beyond the head: key, occurrences, and
+        occurrences of a word before another (-1 of a bigram)."""
         a, b = ids[:-1], ids[1:]
-        key = a * (VOCABULARY + 1) + b
-        at = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
-        seen = np.zeros((len(key), 2))
+        head = ids <= VOCABULARY
+        log = np.log(self.p[ids[head]]).sum(axis=0) - np.log(self.context[a[head[:-1]]]).sum(axis=0) + len(a) * np.log(DISCOUNT)
+        key = _keys(a, b)
+        hit = np.zeros(len(key), bool)
         if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
             hit = self.keys[at] == key
-            seen[hit] = self.bigrams[at[hit]]
-        log = np.log(seen + self.p[b] * DISCOUNT) - np.log(self.context[a])
-        return tuple(-(log.sum(axis=0) + first[0]) / len(ids))
+            log += np.log1p(self.bigrams[at[hit]] / (DISCOUNT * self.p[b[hit]])).sum(axis=0)
+        pairs, n_pairs = np.unique(key[~hit], return_counts=True)
+        words, n_words = np.unique(ids[~head], return_counts=True)
+        return (
+            log,
+            np.concatenate((words, pairs)),
+            np.concatenate((n_words, n_pairs)),
+            np.concatenate((n_words - (words == ids[-1]), np.full(len(pairs), -1))),
+        )
+
+    def score(self, ids: np.ndarray) -> tuple[float, float]:
+        """Cross-entropy per token under background and target of a text that the head covers."""
+        return tuple(-self.measure(ids)[0] / len(ids))
 
 
 def _tokens(text: str | None) -> list[str]:
@@ -93,30 +119,61 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out(seen, good)
 
 
+class _Ids(dict):
+    """Ids of words: of the head their numbers, of others a hash from 2^62."""
+
+    def __init__(self, head: dict[str, int]) -> None:
+        super().__init__(head)
+        self.head = head
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > len(self.head) + REMEMBERED:
+            self.clear(), self.update(self.head)
+        h = blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest()
+        self[word] = found = int.from_bytes(h, "big") >> 2 | 1 << 62
+        return found
+
+    def of(self, text: str | None) -> np.ndarray:
+        return np.array([self[w] for w in _tokens(text)], np.int64)
+
+
+def _keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Keys of bigrams: exact from 0 where both words are in the head, else a hash below 0."""
+    h = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+    h = (h ^ (h >> np.uint64(33))) | np.uint64(1 << 63)
+    head = (a <= VOCABULARY) & (b <= VOCABULARY)
+    return np.where(head, np.where(head, a, 0) * (VOCABULARY + 1) + np.where(head, b, 0), h.view(np.int64))
+
+
 def _bigram_counts(words: dict[str, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Ids(words)
         keys: list[np.ndarray] = []
+        seconds: list[np.ndarray] = []
         kinds: list[np.ndarray] = []
         held = 0
 
         def out() -> pa.RecordBatch:
             k = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+            s = np.concatenate(seconds) if seconds else np.zeros(0, np.int64)
             t = np.concatenate(kinds) if kinds else np.zeros(0, bool)
-            u, where = np.unique(k, return_inverse=True)
+            u, at, where = np.unique(k, return_index=True, return_inverse=True)
             n, good = np.bincount(where, minlength=len(u)), np.bincount(where, weights=t, minlength=len(u)).astype(np.int64)
-            keys.clear(), kinds.clear()
-            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(n, pa.int64()), pa.array(good, pa.int64())], ["key", "n", "target"])
+            keys.clear(), seconds.clear(), kinds.clear()
+            return pa.RecordBatch.from_arrays(
+                [pa.array(u, pa.int64()), pa.array(s[at], pa.int64()), pa.array(n, pa.int64()), pa.array(good, pa.int64())],
+                ["key", "second", "n", "target"],
+            )
 
         for batch in batches:
             for text, target in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                ids = _ids(words, text.as_py())
+                ids = known.of(text.as_py())
                 if len(ids) < 2:
                     continue
-                key = ids[:-1] * (VOCABULARY + 1) + ids[1:]
-                # Bigrams with the unknown word back off anyway.
-                key = key[(ids[:-1] < VOCABULARY) & (ids[1:] < VOCABULARY)]
-                keys.append(key), kinds.append(np.full(len(key), bool(target)))
-                held += len(key)
+                keys.append(_keys(ids[:-1], ids[1:])), seconds.append(ids[1:]), kinds.append(np.full(len(ids) - 1, bool(target)))
+                held += len(ids) - 1
                 if held > 2_000_000:
                     yield out()
                     held = 0
@@ -125,9 +182,17 @@ def _bigram_counts(words: dict[str, int]):
     return run
 
 
-def _ids(words: dict[str, int], text: str | None) -> np.ndarray:
-    get = words.get
-    return np.array([get(w, VOCABULARY) for w in _tokens(text)], np.int64)
+def _beyond(words: dict[str, int]):
+    """The counted words that are not in the head, by their ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known = _Ids(words)
+            ids = pa.array([known[w] for w in batch.column(0).to_pylist()], pa.int64())
+            out = pa.RecordBatch.from_arrays([ids, batch.column(1), batch.column(2)], ["key", "n", "target"])
+            yield out.filter(pa.compute.greater(ids, VOCABULARY))
+
+    return run
 
 
 def most_frequent(counts: DataFrame, limit: int) -> DataFrame:
@@ -151,40 +216,93 @@ def fit(docs: DataFrame, targets: DataFrame) -> Tables:
     counted = materialize(counted.groupBy("word").agg(F.sum("n").alias("n"), F.sum("target").alias("target")), "lm-words")
     rows = most_frequent(counted, VOCABULARY).orderBy("word").toPandas()
     words = {w: k for k, w in enumerate(rows["word"])}
-    total = counted.agg(F.sum("n"), F.sum("target")).first()
+    total = counted.agg(F.sum("n"), F.sum("target"), F.count("n")).first()
     unigrams = np.zeros((VOCABULARY + 1, 2))
     unigrams[: len(rows)] = rows[["n", "target"]].to_numpy(float).reshape(-1, 2)
-    unigrams[VOCABULARY] = np.array([total[0] or 0, total[1] or 0]) - unigrams[:VOCABULARY].sum(axis=0)
-    pairs = marked.mapInArrow(_bigram_counts(words), "key long, n long, target long")
-    pairs = materialize(pairs.groupBy("key").agg(F.sum("n").alias("n"), F.sum("target").alias("target")), "lm-bigrams")
-    table = most_frequent(pairs, BIGRAMS).toPandas().sort_values("key")
+    beyond = np.array([total[0] or 0, total[1] or 0]) - unigrams.sum(axis=0)
+    pairs = marked.mapInArrow(_bigram_counts(words), "key long, second long, n long, target long")
+    sums = [F.sum("n").alias("n"), F.sum("target").alias("target")]
+    pairs = materialize(pairs.groupBy("key").agg(F.max("second").alias("second"), *sums), "lm-bigrams")
+    table = most_frequent(pairs.where("key >= 0"), BIGRAMS).select("key", "n", "target").toPandas().sort_values("key")
     bigrams = table[["n", "target"]].to_numpy(float).reshape(-1, 2)
-    if not unigrams[:, 1].any():
-        unigrams[:, 1], bigrams[:, 1] = unigrams[:, 0], bigrams[:, 0]
-    return Tables(words, table["key"].to_numpy(np.int64), bigrams, unigrams)
-
-
-def score_documents(docs: DataFrame, tables: Tables) -> DataFrame:
-    """doc_id, n_tokens, the two cross-entropies and score of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(tables)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    others = counted.mapInArrow(_beyond(words), "key long, n long, target long").groupBy("key").agg(*sums)
+    if not total[1]:
+        unigrams[:, 1], bigrams[:, 1], beyond[1] = unigrams[:, 0], bigrams[:, 0], beyond[0]
+        others, pairs = (df.withColumn("target", F.col("n")) for df in (others, pairs))
+    second = lambda df: df.select(F.col("key").alias("second"), F.col("n").alias("second_n"), F.col("target").alias("second_target"))
+    head = pa.table({"key": np.arange(len(rows)), "n": unigrams[: len(rows), 0].astype(np.int64), "target": unigrams[: len(rows), 1].astype(np.int64)})
+    head = second(docs.sparkSession.createDataFrame(head))
+    rest = pairs.where(F.col("second") <= VOCABULARY).join(F.broadcast(head), "second")
+    # Words beyond the head are rare, so no key of this join is common.
+    rest = rest.unionByName(pairs.where(F.col("second") > VOCABULARY).join(second(others).hint("merge"), "second"))
+    rest = rest.drop("second").unionByName(others, allowMissingColumns=True)
+    beyond = beyond + SMOOTH * (total[2] - len(rows))
+    return Tables(words, table["key"].to_numpy(np.int64), bigrams, unigrams, beyond, rest)
+
+
+def _measured(shared, kind: pa.DataType):
+    """Per text a row with its tokens and the head's share, and a row per word and bigram beyond the head."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
-            n, back, target = [], [], []
-            for text in batch.column(1):
-                ids = _ids(model.words, text.as_py())
-                b, t = model.score(ids) if len(ids) else (0.0, 0.0)
-                n.append(len(ids)), back.append(b), target.append(t)
-            b, t = np.array(back), np.array(target)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(b, pa.float64()), pa.array(t, pa.float64()), pa.array(b - t, pa.float64())],
-                ["doc_id", "n_tokens", "background", "target", "score"],
+        known = _Ids(model.words)
+
+        def out() -> pa.RecordBatch:
+            n = np.array([len(k) for k in keys], np.int64)
+            first = np.zeros(n.sum(), bool)
+            first[np.cumsum(n) - n] = True
+            at = pa.array(np.where(first, np.cumsum(first) - 1, 0), mask=~first)
+            doc = pa.StructArray.from_arrays(
+                [pa.array(names, kind).take(at), pa.array(tokens, pa.int64()).take(at), *(pa.array([x[k] for x in logs], pa.float64()).take(at) for k in (0, 1))],
+                ["doc_id", "n_tokens", "background", "target"],
+                mask=pa.array(~first),
             )
+            columns = [pa.array(np.repeat(rows, n)), *(pa.array(np.concatenate(x), t) for x, t in ((keys, pa.int64()), (counts, pa.int32()), (before, pa.int32())))]
+            return pa.RecordBatch.from_arrays([*columns, doc], ["row", "key", "times", "before", "doc"])
+
+        names, rows, tokens, logs, keys, counts, before, held = [], [], [], [], [], [], [], 0
+        for batch in batches:
+            for row, name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                ids = known.of(text.as_py())
+                none = np.zeros(0, np.int64)
+                log, k, c, f = model.measure(ids) if len(ids) else (np.zeros(2), none, none, none)
+                # The text's own row counts 0 times and has a key of its own, so that these rows spread.
+                own = row * 0x9E3779B97F4A7C15 & 0x7FFFFFFFFFFFFFFF
+                names.append(name), rows.append(row), tokens.append(len(ids)), logs.append(log)
+                keys.append(np.append(own, k)), counts.append(np.append(0, c)), before.append(np.append(-1, f))
+                held += len(k) + 1
+                if held > SENT:
+                    yield out()
+                    names, rows, tokens, logs, keys, counts, before, held = [], [], [], [], [], [], [], 0
+        if held:
+            yield out()
+
+    return run
+
+
+def _log_share(tables: Tables, column: int) -> Column:
+    """What a word or bigram beyond the head adds to the log probability of its text."""
+    n, total = F.coalesce(F.col(("n", "target")[column]), F.lit(0)), float(tables.total[column])
+    word = F.col("times") * F.log((n + SMOOTH) / total) - F.col("before") * F.log(n + DISCOUNT)
+    second = F.coalesce(F.col(("second_n", "second_target")[column]), F.lit(0))
+    return F.when(F.col("times") == 0, 0.0).when(F.col("before") >= 0, word).otherwise(F.col("times") * F.log1p(n * total / (DISCOUNT * (second + SMOOTH))))
 
-    return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, n_tokens long, background double, target double, score double"
+
+def score_documents(docs: DataFrame, tables: Tables) -> DataFrame:
+    """doc_id, n_tokens, the two cross-entropies and score of every row."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    shared = docs.sparkSession.sparkContext.broadcast(tables)
+    kind = docs.schema["doc_id"].dataType
+    doc = f"struct<doc_id: {kind.simpleString()}, n_tokens: bigint, background: double, target: double>"
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    rows = rows.mapInArrow(_measured(shared, to_arrow_type(kind)), f"row long, key long, times int, before int, doc {doc}")
+    found = rows.join(tables.rest.hint("merge"), "key", "left")
+    log = [F.sum(_log_share(tables, k) + F.coalesce(F.col(f"doc.{x}"), F.lit(0.0))).alias(x) for k, x in enumerate(("background", "target"))]
+    summed = found.groupBy("row").agg(F.max("doc.doc_id").alias("doc_id"), F.max("doc.n_tokens").alias("n_tokens"), *log)
+    per = lambda x: F.when(F.col("n_tokens") > 0, -F.col(x) / F.col("n_tokens")).otherwise(0.0)
+    return summed.select("doc_id", "n_tokens", per("background").alias("background"), per("target").alias("target")).withColumn(
+        "score", F.col("background") - F.col("target")
     )
 
 

@@ -270,3 +270,28 @@ def test_scores_rank_the_target(spark):
     tables = lm_scoring.fit(df, df.where("doc_id < 10").select("doc_id"))
     got = {r.doc_id: r.score for r in lm_scoring.score_documents(df, tables).collect()}
     assert min(got[k] for k in range(20)) > 0 > max(got[k] for k in range(20, 40))
+
+
+def test_every_counted_word_and_bigram_scores(spark):
+    rng = random.Random(3)
+    # More words of one count than the head holds, and some common ones.
+    texts = [" ".join(w for k in range(1000) for w in (f"w{d * 900 + k}", rng.choice(("x", "y", "z")))) for d in range(80)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in lm_scoring.score_documents(df, lm_scoring.fit(df, df.where("doc_id < 9").select("doc_id"))).collect()}
+    sides = []
+    for part in (texts, texts[:9]):
+        uni, bi = Counter(), Counter()
+        for text in part:
+            w = text.split()
+            uni.update(w), bi.update(zip(w, w[1:]))
+        sides.append((uni, bi))
+    size = len(sides[0][0]) + 1
+    assert size > lm_scoring.VOCABULARY
+    for d in (0, 8, 9, 79):
+        w = texts[d].split()
+        want = []
+        for uni, bi in sides:
+            p = lambda x: (uni[x] + 0.5) / (sum(uni.values()) + 0.5 * size)  # noqa: B023, E731
+            prob = np.log(p(w[0])) + sum(np.log((bi[a, b] + 5 * p(b)) / (uni[a] + 5)) for a, b in zip(w, w[1:]))
+            want.append(-prob / len(w))
+        np.testing.assert_allclose((got[d].background, got[d].target, got[d].score), (*want, want[0] - want[1]), rtol=1e-9)
