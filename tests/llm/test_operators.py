@@ -295,3 +295,11 @@ def test_every_counted_word_and_bigram_scores(spark):
             prob = np.log(p(w[0])) + sum(np.log((bi[a, b] + 5 * p(b)) / (uni[a] + 5)) for a, b in zip(w, w[1:]))
             want.append(-prob / len(w))
         np.testing.assert_allclose((got[d].background, got[d].target, got[d].score), (*want, want[0] - want[1]), rtol=1e-9)
+
+
+def test_only_near_copies_are_dropped_at_every_size():
+    rng = random.Random(4)
+    docs = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=3000)).encode() for _ in range(2000)]
+    copies = [docs[0][:1500] + b"?" + docs[0][1500:], docs[7].replace(b"ab", b"ba"), docs[9]]
+    assert toxicity.distinct_documents([*docs, *copies]) == docs
+    assert toxicity.distinct_documents([b"", b"short", b"", b"some other", b"some other"]) == [b"", b"short", b"", b"some other"]
