@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -182,9 +184,46 @@ def resample(source: DataFrame, target: DataFrame, value: str, scale: float, nea
     )
 
 
-def shift_candidates(before: DataFrame, after: DataFrame, value: str, reach: int = 3) -> DataFrame:
-    """Correlation of two planes at each integer shift up to ``reach``; the best is the estimate."""
-    d = F.sequence(F.lit(-reach), F.lit(reach))
-    moved = before.select("r", "c", F.col(value).alias("a")).withColumn("dy", F.explode(d)).withColumn("dx", F.explode(d))
-    moved = moved.select((F.col("r") + F.col("dy")).alias("r"), (F.col("c") + F.col("dx")).alias("c"), "dy", "dx", "a")
-    return moved.join(after.select("r", "c", F.col(value).alias("b")), ["r", "c"]).groupBy("dy", "dx").agg(F.corr("a", "b").alias("sharpness"))
+def phase_correlation(before: DataFrame, after: DataFrame, value: str, height: int, width: int) -> DataFrame:
+    """dy, dx, sharpness of every circular shift: how far ``after`` lies from ``before``; rolling it by (-dy, -dx) aligns it. Sharpness is 1 for an exact copy.
+
+    The Fourier transforms run over rows, then over columns, and back, so a task holds single rows or columns. NULL, NaN and absent pixels count as the plane's mean.
+    """
+    v = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
+    px = [df.select(F.lit(k).alias("plane"), "r", "c", v.alias("v")) for k, df in enumerate((before, after))]
+    px = px[0].union(px[1])
+    mean = F.broadcast(px.groupBy("plane").agg(F.avg("v").alias("m")))
+    px = px.join(mean, "plane").select("plane", "r", "c", (F.col("v") - F.col("m")).alias("v")).where("v is not null")
+
+    def rows(df):
+        line = np.zeros(width)
+        line[df["c"]] = df["v"]
+        f = np.fft.fft(line)
+        return pd.DataFrame({"plane": df["plane"].iloc[0], "r": df["r"].iloc[0], "k": np.arange(width), "re": f.real, "im": f.imag})
+
+    def columns(df):
+        lines = np.zeros((2, height), complex)
+        lines[df["plane"], df["r"]] = df["re"] + 1j * df["im"]
+        a, b = np.fft.fft(lines)
+        size = np.abs(a) * np.abs(b)
+        cross = np.divide(b * a.conj(), size, out=np.zeros(height, complex), where=size > 1e-18)
+        f = np.fft.ifft(cross)
+        return pd.DataFrame({"k": df["k"].iloc[0], "y": np.arange(height), "re": f.real, "im": f.imag})
+
+    def back(df):
+        line = np.zeros(width, complex)
+        line[df["k"]] = df["re"] + 1j * df["im"]
+        return pd.DataFrame({"y": df["y"].iloc[0], "x": np.arange(width), "sharpness": np.fft.ifft(line).real})
+
+    f = px.groupBy("plane", "r").applyInPandas(rows, "plane int, r int, k int, re double, im double")
+    f = f.groupBy("k").applyInPandas(columns, "k int, y int, re double, im double")
+    f = f.groupBy("y").applyInPandas(back, "y int, x int, sharpness double")
+    signed = lambda x, n: F.when(F.col(x) > n // 2, F.col(x) - n).otherwise(F.col(x))
+    return f.select(signed("y", height).alias("dy"), signed("x", width).alias("dx"), "sharpness")
+
+
+def estimate_shift(before: DataFrame, after: DataFrame, value: str, height: int, width: int, most: int = 32) -> DataFrame:
+    """The sharpest of all shifts, and whether it is within ``most`` pixels on both axes; beyond that it must not be applied."""
+    found = phase_correlation(before, after, value, height, width)
+    best = found.orderBy(F.desc("sharpness"), F.abs("dy") + F.abs("dx"), "dy", "dx").limit(1)
+    return best.withColumn("within_tolerance", F.greatest(F.abs("dy"), F.abs("dx")) <= most)

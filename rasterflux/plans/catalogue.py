@@ -484,5 +484,5 @@ def geojson_export(spark, d):
 @query()
 def shift_estimate(spark, d):
     px = T.pixels(spark, d).where("sensor = 'S2'").select("r", "c", "step", "nir")
-    out = C.shift_candidates(px.where("step = 0"), px.where(f"step = {LAST}"), "nir")
-    return out.select("dy", "dx", F.round("sharpness", 6).alias("sharpness"))
+    out = C.estimate_shift(px.where("step = 0"), px.where(f"step = {LAST}"), "nir", N, N)
+    return out.select("dy", "dx", F.round("sharpness", 6).alias("sharpness"), "within_tolerance")

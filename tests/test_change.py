@@ -140,3 +140,15 @@ def test_empty_inputs(spark):
     empty = spark.createDataFrame([], "r int, c int")
     assert R.components(empty, 10, 10).count() == 0
     assert C.persistence(spark.createDataFrame([], "r int, c int, t int, diff double, valid boolean"), 0.2).count() == 0
+
+
+@pytest.mark.parametrize(("shift", "within"), [((0, 0), True), ((-2, 3), True), ((5, -17), True), ((-32, 32), True), ((33, 4), False), ((1, -40), False)])
+def test_shift_is_found_at_any_distance(spark, shift, within):
+    high, wide = 80, 96
+    rng = np.random.default_rng(6)
+    a = rng.random((high, wide))
+    b = np.roll(a, shift, (0, 1)) + 0.1 * rng.random((high, wide))
+    b[3:9, 5:20] = np.nan
+    plane = lambda m: spark.createDataFrame([(r, c, float(m[r, c])) for r in range(high) for c in range(wide)], "r int, c int, v double")
+    got = C.estimate_shift(plane(a), plane(b).where("r <> 50"), "v", high, wide).first()
+    assert (got.dy, got.dx, got.within_tolerance) == (*shift, within) and 0.3 < got.sharpness <= 1
