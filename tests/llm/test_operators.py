@@ -303,3 +303,16 @@ def test_only_near_copies_are_dropped_at_every_size():
     copies = [docs[0][:1500] + b"?" + docs[0][1500:], docs[7].replace(b"ab", b"ba"), docs[9]]
     assert toxicity.distinct_documents([*docs, *copies]) == docs
     assert toxicity.distinct_documents([b"", b"short", b"", b"some other", b"some other"]) == [b"", b"short", b"", b"some other"]
+
+
+@pytest.mark.parametrize(
+    ("samples", "longs", "limit", "deviations"),
+    [(oddsketch.SAMPLES, oddsketch.SKETCH_LONGS, oddsketch.MOST_DIFFERING, 5), (oddsketch.FINE_SAMPLES, oddsketch.FINE_LONGS, oddsketch.FINE_MOST, 4.5)],
+)
+def test_sketch_limits_are_as_many_deviations_as_stated(samples, longs, limit, deviations):
+    rng = np.random.default_rng(8)
+    # At similarity 0.8 a fifth of the samples differ, and each that does sets a bit in either sketch.
+    ones = []
+    for differing in rng.binomial(samples, 0.2, 20_000):
+        ones.append((np.bincount(rng.integers(0, 64 * longs, 2 * differing)) & 1).sum())
+    assert limit > np.mean(ones) + (deviations - 0.1) * np.std(ones)
