@@ -317,6 +317,12 @@ def op5(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest id, with its own columns."""
-    kept = op5(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One row of each component, that with the smallest id, with its own columns.
+
+    Components are found over rows, not ids: a row without an id or with the id of another text is a document of its own, and without an id comes last.
+    """
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "near-rows")
+    found = components(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
+    kept = rows.select("_row", "doc_id").join(found, "_row").groupBy("component_id").agg(first.alias("first"))
+    return rows.join(kept.select("first._row"), "_row", "left_semi").select(*docs.columns)

@@ -83,3 +83,11 @@ def test_filters_keep_the_columns(spark):
 
 def test_stages_are_in_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "quality rules", "near duplicates", "source mix", "packing"]
+
+
+def test_near_duplicates_keep_rows_without_an_id_of_their_own(spark):
+    other = PROSE[::-1]
+    rows = [(None, PROSE, "a"), (None, other, "b"), (3, "one two three four five six seven", "c"), (3, "eight nine ten eleven twelve", "d"), (2, other, "e"), (1, None, "f"), (None, "", "g"), (2, other, "h")]
+    got = oddsketch.keep_one(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    langs = sorted(r.lang for r in got)
+    assert langs in (list("acdefg"), list("acdfgh"))
