@@ -1,6 +1,6 @@
 """Near-duplicate components by MinHash bands and odd sketches.
 
-A document's set is its distinct 4-word shingles (A-Z lower-cased; a shorter text is one shingle). Documents with equal sets are one class. Each class has
+A document's set is its distinct shingles of 4 words, or of 5 in the pipeline's stage (A-Z lower-cased; a shorter text is one shingle). Documents with equal sets are one class. Each class has
 MinHash samples; four samples make a band key, and classes that share a band key are candidates. The samples are
 also folded into an odd sketch, a bitmap of parities: the number of ones in the XOR of two sketches estimates how many samples differ, with
 little error for high similarities, so most candidates are settled without reading a text. The rest are confirmed on their full sets.
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections import OrderedDict
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 
 from rasterflux.llm.common import materialize
 
-SHINGLE = 4
+#: Words of a shingle: of the query, and of the pipeline's stage.
+SHINGLE, STAGE_SHINGLE = 4, 5
 BANDS, ROWS = 24, 4
 #: MinHash samples; the bands use the first of them, the sketch all.
 SAMPLES = 512
@@ -55,7 +57,8 @@ def _mix(h: np.ndarray) -> np.ndarray:
 class _Hasher:
     """Shingle hashes from prefix sums of a polynomial in an odd base modulo 2^64 over a random number per byte value."""
 
-    def __init__(self, samples: int = SAMPLES) -> None:
+    def __init__(self, samples: int = SAMPLES, shingle: int = SHINGLE) -> None:
+        self.shingle = shingle
         rng = np.random.default_rng(20240501)
         self.byte = rng.integers(0, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
         self.base = _U(0x5851F42D4C957F2D)
@@ -87,9 +90,9 @@ class _Hasher:
         blanks = np.flatnonzero(data == 32)
         start = np.concatenate(([0], blanks + 1))
         end = np.concatenate((blanks, [n]))
-        k = min(SHINGLE, len(words))
+        k = min(self.shingle, len(words))
         first, last = start[: len(start) - k + 1], end[k - 1 :]
-        return np.unique(_mix((sums[last] - sums[first]) * self.back[first] + _U(len(words) < SHINGLE)))
+        return np.unique(_mix((sums[last] - sums[first]) * self.back[first] + _U(len(words) < self.shingle)))
 
     def samples(self, h: np.ndarray) -> np.ndarray:
         low = np.full(len(self.a), 0xFFFFFFFF, np.uint32)
@@ -109,13 +112,13 @@ class _Hasher:
         return np.packbits(odd).view(">i8").astype(np.int64)
 
 
-_hashers: dict[int, _Hasher] = {}
+_hashers: dict[tuple[int, int], _Hasher] = {}
 
 
-def hasher(samples: int = SAMPLES) -> _Hasher:
-    if samples not in _hashers:
-        _hashers[samples] = _Hasher(samples)
-    return _hashers[samples]
+def hasher(samples: int = SAMPLES, shingle: int = SHINGLE) -> _Hasher:
+    if (samples, shingle) not in _hashers:
+        _hashers[samples, shingle] = _Hasher(samples, shingle)
+    return _hashers[samples, shingle]
 
 
 def node_of(h: np.ndarray) -> int:
@@ -125,8 +128,8 @@ def node_of(h: np.ndarray) -> int:
     return int(_mix(np.array([total]))[0].astype(np.int64))
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hs = hasher()
+def _features(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    hs = hasher(shingle=shingle)
     lists = pa.list_(pa.int64())
     for batch in batches:
         n, node, bands, sketch = [], [], [], []
@@ -146,15 +149,15 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def features(docs: DataFrame) -> DataFrame:
+def features(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, node (name of the set), band keys and odd sketch."""
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        _features, "doc_id long, n_shingles long, node long, bands array<bigint>, sketch array<bigint>"
+        partial(_features, shingle=shingle), "doc_id long, n_shingles long, node long, bands array<bigint>, sketch array<bigint>"
     )
 
 
-def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hs = hasher(FINE_SAMPLES)
+def _fine(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    hs = hasher(FINE_SAMPLES, shingle)
     for batch in batches:
         node, fine = [], []
         for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -170,8 +173,8 @@ def _texts(used: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return nodes.select("node", "rep").join(used, "node").join(text, "rep").select("node", "text")
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hs = hasher()
+def _confirm(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    hs = hasher(shingle=shingle)
     recent: OrderedDict[int, np.ndarray | None] = OrderedDict()
 
     def full(node: int, text: str) -> np.ndarray | None:
@@ -217,12 +220,12 @@ def _first_shared() -> Column:
     return F.coalesce(*same)
 
 
-def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     """Pairs that are links on their full sets. Only the texts of classes in a pair are read."""
     texts = _texts(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), nodes, docs)
     side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"t_{c}"))
     rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "t_a", "t_b")
-    return rows.mapInArrow(_confirm, "a long, b long").distinct()
+    return rows.mapInArrow(partial(_confirm, shingle=shingle), "a long, b long").distinct()
 
 
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -248,9 +251,9 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         e = materialize(hung.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
 
 
-def components(docs: DataFrame) -> DataFrame:
+def components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    feats = materialize(features(docs), "near-features")
+    feats = materialize(features(docs, shingle), "near-features")
     named = feats.where("node is not null")
     reps = named.groupBy("node").agg(F.min("doc_id").alias("rep"))
     # Equal rows of a class bring equal features; one is enough.
@@ -280,7 +283,7 @@ def components(docs: DataFrame) -> DataFrame:
             pairs = _estimated(pairs.distinct(), sketches)
         else:
             # A pair is made in the first band that it shares only, and only if both its sketches are near.
-            fine = _texts(members.select("node").distinct(), nodes, docs).mapInArrow(_fine, "node long, fine array<bigint>")
+            fine = _texts(members.select("node").distinct(), nodes, docs).mapInArrow(partial(_fine, shingle=shingle), "node long, fine array<bigint>")
             fine = materialize(fine.dropDuplicates(["node"]), "near-fine")
             side = members.select("band", "node", "comp").join(nodes.select("node", "sketch", "bands"), "node").join(fine, "node")
             x, y = (
@@ -291,7 +294,7 @@ def components(docs: DataFrame) -> DataFrame:
             met = x.join(y, "band").where((F.col("c_a") < F.col("c_b")) & (_first_shared() == F.col("band")) & near)
             pairs = met.select(F.col("n_a").alias("a"), F.col("n_b").alias("b")).distinct()
         pairs = materialize(pairs, "near-pairs")
-        links = materialize(_links(pairs, nodes, docs), "near-links")
+        links = materialize(_links(pairs, nodes, docs, shingle), "near-links")
         comp = lambda c: _labelled(nodes, labels).select(F.col("node").alias(c), F.col("comp").alias(f"c_{c}"))
         merged = connected(links.join(comp("a"), "a").join(comp("b"), "b"), "c_a", "c_b")
         merged = merged.select(F.col("node").alias("comp"), "root")
@@ -316,13 +319,13 @@ def op5(docs: DataFrame) -> DataFrame:
     return components(docs).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = STAGE_SHINGLE) -> DataFrame:
     """One row of each component, that with the smallest id, with its own columns.
 
     Components are found over rows, not ids: a row without an id or with the id of another text is a document of its own, and without an id comes last.
     """
     rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "near-rows")
-    found = components(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    found = components(rows.select(F.col("_row").alias("doc_id"), "text"), shingle).select(F.col("doc_id").alias("_row"), "component_id")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
     kept = rows.select("_row", "doc_id").join(found, "_row").groupBy("component_id").agg(first.alias("first"))
     return rows.join(kept.select("first._row"), "_row", "left_semi").select(*docs.columns)

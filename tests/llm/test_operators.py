@@ -316,3 +316,15 @@ def test_sketch_limits_are_as_many_deviations_as_stated(samples, longs, limit, d
     for differing in rng.binomial(samples, 0.2, 20_000):
         ones.append((np.bincount(rng.integers(0, 64 * longs, 2 * differing)) & 1).sum())
     assert limit > np.mean(ones) + (deviations - 0.1) * np.std(ones)
+
+
+def test_stage_compares_five_words(spark):
+    words = [f"w{k}" for k in range(100)]
+    # Two words changed: similarities 89/105 of four words, 86/106 of five.
+    less = [*words[:20], "x", *words[21:60], "y", *words[61:]]
+    # And one near the start: 87/107 of four words reach the limit, 84/108 of five do not.
+    more = [*less[:1], "z", *less[2:]]
+    for texts, four, five in ((less, True, True), (more, True, False)):
+        df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(texts))], "doc_id long, text string")
+        assert (oddsketch.keep_one(df, 4).count() == 1) == four
+        assert (oddsketch.keep_one(df).count() == 1) == five
