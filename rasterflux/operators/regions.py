@@ -13,27 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rasterflux.sources.tables import materialize
+from rasterflux.operators.graph import connected
+from rasterflux.shipping import ship
+from rasterflux.storage import materialize
 
 TILE = 256
 MAX_REGIONS = 2000
 
 
-def connected(edges: DataFrame) -> DataFrame:
-    """node, root of an undirected graph (a, b) by alternating large and small stars; each step is written to the shared folder."""
-    e = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "stars")
-    seen = None
-    while (mark := e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()) != seen and mark[0]:
-        seen = mark
-        near = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = near.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = near.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialize(hung.union(low.select("u", F.col("m").alias("v"))).distinct(), "stars")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-
-
 def _tile_labels(width: int, eight: bool):
     steps = [(0, 1), (0, -1), (1, 0), (-1, 0)] + ([(1, 1), (1, -1), (-1, 1), (-1, -1)] if eight else [])
 

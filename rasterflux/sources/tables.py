@@ -5,39 +5,17 @@ Pixels are keyed (r, c, sensor, step); a missing key is *not observed*, which is
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rasterflux.shipping import ship
+from rasterflux.storage import table
 
 #: Side of the projected grid, time steps, and the span that they divide.
 SIDE, STEPS = 64, 4
 EPOCH, SPAN_DAYS = "1995-01-01", 2505.0
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes to the folder shared by all executors and reads back, to cut lineage in iterative operators."""
-    spark = df.sparkSession
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="rasterflux-")
-        if not known.isDefined():
-            spark.sparkContext.setCheckpointDir(path)
-    path = f"{path.rstrip('/')}/rasterflux/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def pixels(spark: SparkSession, sf_dir: str, side: int = SIDE) -> DataFrame:
     days = F.date_diff(F.to_date("l_shipdate"), F.lit(EPOCH).cast("date"))
     six = lambda x: F.round(x, 6)

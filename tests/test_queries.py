@@ -4,10 +4,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from rasterflux.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-NAMES = [k for k in entry.queries() if not k.startswith("op") and k != "pipeline"]
+NAMES = list(catalogue.QUERIES)
 
 
 @pytest.fixture(scope="module")
