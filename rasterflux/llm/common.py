@@ -1,49 +1,32 @@
-"""Shared pieces of the corpus operators: table access, words, shared scratch tables, distributed ranking."""
+"""Shared pieces of the corpus operators: words, hashes, Arrow tasks, distributed ranking."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rasterflux.operators.graph import connected
 from rasterflux.shipping import ship
+from rasterflux.storage import discard, materialize, table
+
+__all__ = ["BLANKS", "arrow", "connected", "discard", "materialize", "ordered_prefix", "table", "unit_hash", "words"]
 
 #: The six ASCII blanks that separate words.
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def words(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text; a null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANKS), "")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder shared by driver and executors; sets a local one only where the session names none."""
-    sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        current = sc._jsc.sc().getCheckpointDir()
-        path = current.get() if current.isDefined() else None
-    if not path:
-        path = tempfile.mkdtemp(prefix="rasterflux-checkpoint-")
-        sc.setCheckpointDir(path)
-    return path
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared checkpoint folder and reads it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/rasterflux/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def arrow(df: DataFrame, task: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` whose workers can import this package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(task, schema)
 
 
 def unit_hash(seed: str, *cols: Column) -> Column:
@@ -58,28 +41,29 @@ def ordered_prefix(
     key: str,
     ties: list[str],
     sums: dict[str, str] | None = None,
-    buckets: int = 1024,
+    rows_per_slice: int = 20_000,
 ) -> DataFrame:
     """Ranks rows by (key, ties) inside each group without bringing a group to one task.
 
-    ``key`` is a double in [0, 1]. Rows fall into ``buckets`` equal slices of the key, so a slice, never a group,
-    is the unit of sorting; totals of the slices (pre-aggregated, at most ``buckets`` rows a group) give each slice
-    its offset. Adds ``rank`` (from 1), ``group_rows`` and, for each entry of ``sums`` (new name -> long column), the sum of
-    that column over the rows before. Rows equal in key and all ties must be interchangeable.
+    ``key`` is a double in [0, 1], spread evenly within a group. A group's rows fall into equal slices of the key, as many as its rows ask
+    for, so a slice, never a group, is the unit of sorting; totals of the slices (pre-aggregated) give each slice its offset, by a window
+    over a group's slices. Adds ``rank`` (from 1), ``group_rows`` and, for each entry of ``sums`` (new name -> long column), the sum of that
+    column over the rows before. Rows equal in key and all ties must be interchangeable.
     """
     sums = sums or {}
-    df = df.withColumn("_b", F.least(F.lit(buckets - 1), F.floor(F.col(key) * buckets)).cast("int"))
+    counted = df.groupBy(*group).agg(F.count(F.lit(1)).alias("group_rows"))
+    df = df.join(counted, group) if group else df.crossJoin(F.broadcast(counted))
+    many = 1 + F.floor(F.col("group_rows") / rows_per_slice)
+    df = df.withColumn("_b", F.least(many - 1, F.floor(F.col(key) * many)))
     parts = df.groupBy(*group, "_b").agg(
         F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_s_{k}") for k, c in sums.items()]
     )
-    # With no group the window below runs in one task over at most `buckets` rows.
+    # With no group this window runs in one task, over one row per slice.
     before = W.partitionBy(*group).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    whole = W.partitionBy(*group)
     offsets = parts.select(
         *group,
         "_b",
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_rows_before"),
-        F.sum("_n").over(whole).alias("group_rows"),
         *[F.coalesce(F.sum(f"_s_{k}").over(before), F.lit(0)).alias(f"_b_{k}") for k in sums],
     )
     inside = W.partitionBy(*group, "_b").orderBy(key, *ties)

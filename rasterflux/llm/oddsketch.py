@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterflux.llm.common import materialize
+from rasterflux.llm.common import arrow, connected, discard, materialize
 
 #: Words of a shingle: of the query, and of the pipeline's stage.
 SHINGLE, STAGE_SHINGLE = 4, 5
@@ -228,29 +228,6 @@ def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int) ->
     return rows.mapInArrow(partial(_confirm, shingle=shingle), "a long, b long").distinct()
 
 
-def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """node, root (smallest node reachable) of every node with an edge, by alternating large and small stars.
-
-    Each step is written to the shared folder. Edges shrink to stars in about log(n) steps.
-    """
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct()
-    e = materialize(e, "edges")
-    seen = None
-    while True:
-        mark = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if mark == seen or not mark[0]:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
-                e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-            )
-        seen = mark
-        near = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = near.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = near.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialize(hung.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-
-
 def components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     feats = materialize(features(docs, shingle), "near-features")
