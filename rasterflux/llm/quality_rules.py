@@ -1,7 +1,8 @@
 """Rule bitmask ledger.
 
 Every rule is evaluated once per document. The ledger keeps the measurements and one failure bit per rule; versioned
-policies are bit masks over it, so a policy change or an ablation never reads the texts again.
+policies are bit masks over it. ``stored`` writes it, without texts, so that a policy change or an ablation reads the ledger only; ``filter_documents``
+applies one policy and carries the documents through the same pass instead.
 
 Defined cases: a null or empty text has no words, all measurements 0, and fails rule ``few_words``. Repeated rows each get
 their own ledger row. Extra columns of the input are ignored. An empty table gives an empty ledger.
@@ -14,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterflux.llm.common import words
+from rasterflux.llm.common import materialize, words
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -112,6 +113,11 @@ def ledger(docs: DataFrame, *carry: str) -> DataFrame:
     return measure(docs, *carry).withColumn("fail_bits", total.cast("long"))
 
 
+def stored(docs: DataFrame) -> DataFrame:
+    """The ledger, written to the shared folder: about 80 bytes a document."""
+    return materialize(ledger(docs), "ledger")
+
+
 def apply_policy(led: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
     """Adds ``kept``, ``base_failed`` and ``policy`` from the bits alone."""
     return led.withColumns(
