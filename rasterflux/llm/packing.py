@@ -1,10 +1,14 @@
 """Vector bin packing of tokenised documents into training sequences.
 
 Every piece has three sizes: tokens, one segment, and loss-bearing tokens; a sequence limits all three at once. Bins are filled one at a
-time: among the pieces that fit, the one with the largest weighted dot product of its sizes and the bin's free room goes in
-(weights: the demand of each dimension against its limit). When none fits, the largest piece is cut to fill the bin.
-Each task packs its own rows in windows and carries an unfinished bin into the next window, so nothing is shuffled, memory is one
-window, and padding is at most one sequence a task unless the segment limit binds.
+time: among the pieces that fit, the one with the largest dot product of its sizes, as shares of the limits and scaled to unit length, and the bin's free
+room goes in, so that a piece has the shape of the room left. When none fits, and for the last segment, the largest piece is cut to fill the bin.
+Each task packs its own rows in windows and carries an unfinished bin into the next window, so nothing is shuffled and memory is one
+window. A bin that the segments or the loss have filled before the tokens, and a task's last one, is cut into sequences whose lengths are powers of two,
+which need no padding; one that lacks at most ``Limits.padding`` tokens is left whole.
+
+``op9`` limits a sequence to 4,096 tokens and 16 segments. A document's first id bears no loss, as nothing predicts it; so in plain text the loss limit
+of 4,096 never binds, and it is for instruction data, whose prompts bear none (``loss_start``).
 
 Defined cases: a null or empty text is the end id alone; a text longer than a sequence is cut into full sequences and a rest; repeated rows are
 packed one by one; an empty table gives no rows; extra columns are ignored. ``sequence_id`` holds the task in its upper bits, so
@@ -25,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rasterflux.llm.common import arrow
+
 if TYPE_CHECKING:
     from tokenizers import Tokenizer
 
@@ -38,8 +44,10 @@ SCHEMA = (
 @dataclass(frozen=True)
 class Limits:
     tokens: int = 4096
-    segments: int = 1024
+    segments: int = 16
     loss_tokens: int = 4096
+    #: Most padding of a sequence.
+    padding: int = 64
     #: Pieces packed together; the heuristic looks at all of them.
     window: int = 1500
 
@@ -143,15 +151,15 @@ def pack(pieces: list[Piece], limits: Limits) -> list[list[Piece]]:
     n = len(pieces)
     room = np.array([limits.tokens, limits.segments, limits.loss_tokens], float)
     sizes = np.array([[p.end - p.start, 1, p.loss()] for p in pieces], float).reshape(n, 3)
-    weight = sizes.sum(axis=0) / room
-    scaled = sizes / room * (weight / max(weight.sum(), 1e-12))
+    shape = lambda x: (y := x / room) / np.maximum(np.linalg.norm(y, axis=-1, keepdims=True), 1e-300)
+    scaled = shape(sizes)
     live = np.arange(n)
     bins: list[list[Piece]] = []
     while len(live):
         free, content = room.copy(), []
         while len(live):
             fits = (sizes[live] <= free).all(axis=1)
-            if fits.any():
+            if free[1] > 1 and fits.any():
                 score = scaled[live] @ (free / room)
                 score[~fits] = -1
                 k = int(score.argmax())
@@ -165,12 +173,34 @@ def pack(pieces: list[Piece], limits: Limits) -> list[list[Piece]]:
                 content.append(Piece(p.doc, p.ids, p.start, p.start + m, p.loss_start))
                 p.start += m
                 sizes[live[k]] = p.end - p.start, 1, p.loss()
-                scaled[live[k]] = sizes[live[k]] / room * (weight / max(weight.sum(), 1e-12))
+                scaled[live[k]] = shape(sizes[live[k]])
             break
         bins.append(content)
     return bins
 
 
+def unpadded(content: list[Piece], limits: Limits) -> Iterator[list[Piece]]:
+    """The bin as one sequence, or as several with lengths of powers of two where one would be padded by more than the limit."""
+    total = sum(p.end - p.start for p in content)
+    if limits.tokens - total <= limits.padding or total & (total - 1) == 0:
+        yield content
+        return
+    pieces = iter(content)
+    p = next(pieces)
+    at = p.start
+    for k in reversed(range(total.bit_length())):
+        room = total & 1 << k
+        part: list[Piece] = []
+        while room:
+            n = min(room, p.end - at)
+            part.append(Piece(p.doc, p.ids, at, at + n, p.loss_start))
+            room, at = room - n, at + n
+            if at == p.end and (p := next(pieces, None)):
+                at = p.start
+        if part:
+            yield part
+
+
 def _packer(path: str, end_id: int, limits: Limits, has_loss: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -183,12 +213,13 @@ def _packer(path: str, end_id: int, limits: Limits, has_loss: bool):
 
         def emit(content: list[Piece]) -> None:
             nonlocal made
-            offset = 0
-            for k, p in enumerate(content):
-                crc = zlib.crc32(memoryview(p.ids)[4 * p.start : 4 * p.end])
-                out.append((p.doc, p.start, p.end - p.start, crc, len(p.ids) // 4, base + made, offset, p.loss(), k))
-                offset += p.end - p.start
-            made += 1
+            for sequence in unpadded(content, limits):
+                offset = 0
+                for k, p in enumerate(sequence):
+                    crc = zlib.crc32(memoryview(p.ids)[4 * p.start : 4 * p.end])
+                    out.append((p.doc, p.start, p.end - p.start, crc, len(p.ids) // 4, base + made, offset, p.loss(), k))
+                    offset += p.end - p.start
+                made += 1
 
         def rows() -> pa.RecordBatch:
             cols = list(zip(*out, strict=True)) if out else [()] * len(NAMES)
@@ -202,7 +233,7 @@ def _packer(path: str, end_id: int, limits: Limits, has_loss: bool):
             starts = batch.column(2).to_pylist() if has_loss else None
             for k, doc in enumerate(ids):
                 data = tok.ids(texts[k].as_py() or "") + end
-                whole = Piece(doc, data, 0, len(data) // 4, starts[k] or 0 if starts else 0)
+                whole = Piece(doc, data, 0, len(data) // 4, (starts[k] or 0) if starts else 1)
                 for p in cut_long(whole, limits):
                     if p.end - p.start == limits.tokens:
                         emit([p])
@@ -226,9 +257,9 @@ NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 def pack_documents(
     docs: DataFrame, tokenizer_path: str, end_id: int = 2, limits: Limits = Limits(), loss_start: str | None = None
 ) -> DataFrame:
-    """One row per piece. ``loss_start`` names a column with the index of a document's first loss-bearing id (default 0)."""
+    """One row per piece. ``loss_start`` names a column with the index of a document's first loss-bearing id (default 1: all but the first)."""
     cols = [F.col("doc_id").cast("long"), F.col("text")] + ([F.col(loss_start).cast("long")] if loss_start else [])
-    return docs.select(*cols).mapInArrow(_packer(tokenizer_path, end_id, limits, loss_start is not None), SCHEMA)
+    return arrow(docs.select(*cols), _packer(tokenizer_path, end_id, limits, loss_start is not None), SCHEMA)
 
 
 def default_tokenizer_path(name: str = "word_bpe_49k.json") -> str:
