@@ -22,7 +22,7 @@ from rasterflux.llm.common import table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    led = quality_rules.ledger(table(spark, sf_dir, "documents"))
+    led = quality_rules.stored(table(spark, sf_dir, "documents"))
     return quality_rules.apply_policy(led).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits"
     )
@@ -64,6 +64,11 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the default policy rejects, alone and with others, from the stored ledger."""
+    return quality_rules.ablations(quality_rules.stored(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_classifier,
         op9_packing,
         op10_html_extraction,
+        rule_ablations,
     )
 }
 
@@ -92,21 +98,32 @@ r AS (SELECT *, CAST(len(l)-len(list_distinct(l)) AS BIGINT) AS n_dup_lines FROM
 b AS (SELECT *, CAST((n_words<20)::INT + 2*(100*n_repeat_words>30*n_words)::INT + 4*(20*n_symbols>word_chars)::INT + 8*(100*n_dup_lines>30*len(l))::INT
  + 16*(2*n_upper>word_chars)::INT + 32*(word_chars>20*n_words)::INT AS BIGINT) AS fail_bits FROM r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3)<>0 AS base_failed, fail_bits=0 AS kept, fail_bits FROM b"""
-_OP3 = rf"""WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size, CAST(('0x'||substr(md5('mix-1:'||doc_id),1,13)) AS BIGINT)/4503599627370496.0::DOUBLE AS u FROM documents),
-k AS (SELECT *, u/(u+(1-u)*(CAST(size+1 AS DOUBLE)/(size+100))) AS key FROM d),
-s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [1,2,3][(row_number() OVER (ORDER BY source NULLS LAST)-1)%3+1] AS weight FROM k GROUP BY source),
+_OP3 = rf"""WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size, CAST(('0x'||substr(md5('mix-2:'||coalesce(CAST(doc_id AS VARCHAR),'?')||':'||md5(coalesce(text,''))),1,13)) AS BIGINT)/4503599627370496.0::DOUBLE AS u FROM documents),
+k AS (SELECT *, (size*1000)//(size+100) AS w, length(bin(size))*8+(size*8)//(1::BIGINT<<(length(bin(size))-1)) AS class FROM d),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST(sum(w*size) AS BIGINT) AS source_w, [1,2,3][(row_number() OVER (ORDER BY source NULLS LAST)-1)%3+1] AS weight FROM k GROUP BY source),
 l AS (SELECT *, 3*source_size AS cap, row_number() OVER (ORDER BY 3*source_size/weight::DOUBLE, source NULLS LAST) AS pos FROM s),
 z AS (SELECT *, CAST((SELECT sum(source_size) FROM s) - coalesce(sum(cap) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS DOUBLE) / CAST(sum(weight) OVER (ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS kappa FROM l),
 v AS (SELECT min_by(kappa, pos) AS kappa FROM z WHERE kappa*weight<=cap),
-t AS (SELECT z.source, source_size, CASE WHEN v.kappa IS NULL OR v.kappa*weight>cap THEN CAST(cap AS DOUBLE) ELSE v.kappa*weight END AS target FROM z, v),
-o AS (SELECT k.*, source_size, target, coalesce(sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS before FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source),
-c AS (SELECT *, floor(target/greatest(source_size,1)) AS sure FROM o)
-SELECT doc_id, size, source_size, target, CAST(size*copies AS BIGINT) AS taken, copies FROM (SELECT *, CAST(sure AS INT) + (2*before+size<=2*(target-sure*source_size) AND size>0)::INT AS copies FROM c)"""
+t AS (SELECT z.source, source_size, source_w, CASE WHEN v.kappa IS NULL OR v.kappa*weight>cap THEN CAST(cap AS DOUBLE) ELSE v.kappa*weight END AS target, CAST(greatest(source_size,1) AS DOUBLE) AS whole FROM z, v),
+m AS (SELECT k.*, source_size, target, CAST(round_even((target/whole+least(target/whole,3-target/whole)*((w*whole-source_w)/(1000.0::DOUBLE*whole)))*1000000.0::DOUBLE,0) AS BIGINT) AS mu FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source),
+q AS (SELECT *, mu//1000000 AS certain, mu%1000000 AS p FROM m),
+c AS (SELECT source, class, CAST(sum(p) AS BIGINT) AS sum_p, CAST(sum(p*size) AS BIGINT)/CAST(greatest(sum(p),1) AS DOUBLE) AS mean_size, count(*) AS class_rows, sum(p)/1000000.0::DOUBLE AS e, row_number() OVER (PARTITION BY source ORDER BY class DESC) AS i FROM q GROUP BY source, class),
+f AS (SELECT source, 0::BIGINT AS i, 0::BIGINT AS up, 0.0::DOUBLE AS carry FROM t UNION ALL SELECT f.source, c.i, y.up, f.carry+(e-floor(e))*mean_size-CASE WHEN y.up=1 THEN mean_size ELSE 0.0::DOUBLE END
+ FROM f JOIN c ON c.source IS NOT DISTINCT FROM f.source AND c.i=f.i+1, LATERAL (SELECT (f.carry+(e-floor(e))*mean_size>=mean_size/2 AND e>floor(e))::BIGINT AS up) y),
+n AS (SELECT c.source, class, CAST(floor(e) AS BIGINT)+up AS n, greatest(sum_p,1)/CAST(class_rows*1000000 AS DOUBLE) AS mean FROM c JOIN f ON c.source IS NOT DISTINCT FROM f.source AND c.i=f.i),
+o AS (SELECT q.*, n, u*(1-p/1000000.0::DOUBLE)*mean AS a, (1-u)*(p/1000000.0::DOUBLE)*(1-mean) AS b FROM q JOIN n ON q.source IS NOT DISTINCT FROM n.source AND q.class=n.class),
+r AS (SELECT *, row_number() OVER (PARTITION BY source, class ORDER BY CASE WHEN p=0 THEN 1.0::DOUBLE WHEN a+b=0 THEN 0.0::DOUBLE ELSE a/(a+b) END, u, doc_id, size) AS rank FROM o)
+SELECT doc_id, size, source_size, target, CAST(size*copies AS BIGINT) AS taken, copies, p AS inclusion_millionths FROM (SELECT *, CAST(certain+(rank<=n)::INT AS INT) AS copies FROM r)"""
 
 
 def _merkle(t: str, a: str) -> str:
-    return rf"""list_transform(string_split(regexp_replace(array_to_string(list_transform(string_split({t},chr(10)), lambda x: substr(md5(x),1,16)),' '),'\b([01][0-9a-f]{{15}}) ','\1|','g'),'|'), lambda x: md5(x)) AS s{a},
- list_sort(list_distinct(flatten(list_transform(string_split({t},chr(10)), lambda p: list_transform(regexp_extract_all(p,'[^.!?]+[.!?]*|[.!?]+'), lambda x: substr(md5(x),1,8)))))) AS l{a}"""
+    """Columns v (leaf hashes per line), then s (sections) and l (least leaves)."""
+    return rf"""list_transform(string_split({t},chr(10)), lambda p: list_transform(regexp_extract_all(p,'[^.!?]+[.!?]*|[.!?]+'), lambda x: md5(x))) AS v{a}"""
+
+
+def _nodes(a: str) -> str:
+    return rf"""list_transform(string_split(regexp_replace(array_to_string(list_transform(v{a}, lambda x: substr(md5(array_to_string(x,'')),1,16)),' '),'\b([01][0-9a-f]{{15}}) ','\1|','g'),'|'), lambda x: md5(x)) AS s{a},
+ list_sort(list_distinct(list_transform(flatten(v{a}), lambda x: substr(x,1,12))))[1:{merkle.SKETCH}] AS l{a}"""
 
 
 def _print(a: str) -> str:
@@ -114,13 +131,19 @@ def _print(a: str) -> str:
 
 
 def _near(a: str, b: str) -> str:
-    return f"CASE WHEN s{a}=s{b} THEN 1.0::DOUBLE WHEN len(l{a})+len(l{b})=0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE*len(list_intersect(l{a},l{b}))/(len(l{a})+len(l{b})) END"
+    both = f"list_sort(list_distinct(list_concat(l{a},l{b})))[1:{merkle.SKETCH}]"
+    common = f"len(list_intersect({both},list_intersect(l{a},l{b})))"
+    return f"CASE WHEN s{a}=s{b} THEN 1.0::DOUBLE WHEN len(l{a})+len(l{b})=0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE*{common}/(len({both})+{common}) END"
 
 
-_OP4 = f"""WITH d AS (SELECT doc_id, coalesce(text,'') AS t FROM documents), n AS (SELECT *, coalesce(lead(t) OVER w, first_value(t) OVER w) AS nx, CAST(length(t) AS BIGINT) AS n_chars FROM d WINDOW w AS (ORDER BY doc_id DESC, t)),
+_OP4 = f"""WITH d AS (SELECT doc_id, coalesce(text,'') AS t FROM documents), n AS (SELECT *, coalesce(lead(t) OVER w, first_value(t) OVER w) AS nx, CAST(length(t) AS BIGINT) AS n_chars FROM d WINDOW w AS (ORDER BY doc_id DESC NULLS LAST, md5(t))),
 e AS (SELECT *, substr(t,1,n_chars-n_chars//2)||substr(nx,1,n_chars//2) AS ed FROM n),
-f AS (SELECT doc_id, n_chars, sha256(ed) AS edited_sha256, {_merkle("t", "1")}, {_merkle("ed", "2")}, {_merkle("nx", "3")} FROM e)
+h AS (SELECT doc_id, n_chars, sha256(ed) AS edited_sha256, {_merkle("t", "1")}, {_merkle("ed", "2")}, {_merkle("nx", "3")} FROM e),
+f AS (SELECT *, {_nodes("1")}, {_nodes("2")}, {_nodes("3")} FROM h)
 SELECT doc_id, n_chars, edited_sha256, {_print("1")} AS fingerprint, {_print("2")} AS edited_fingerprint, {_near("1", "2")} AS near_edited, {_near("1", "3")} AS near_next,
- CAST(len(list_filter(s1, lambda x: NOT list_contains(s2, x))) AS INT) AS n_changed_sections FROM f"""
+ CAST(len(list_filter(list_distinct(s1), lambda x: NOT list_contains(s2, x))) AS INT) AS n_changed_sections FROM f"""
+
+_ABLATIONS = f"""WITH b AS ({_OP1}), r AS (SELECT unnest({list(quality_rules.DEFAULT_POLICY.rules)}) AS rule, unnest({[quality_rules.BIT[r] for r in quality_rules.DEFAULT_POLICY.rules]}) AS bit)
+SELECT rule, count(*) FILTER (WHERE fail_bits & bit <> 0) AS n_failed, count(*) FILTER (WHERE fail_bits = bit) AS n_only, count(*) FILTER (WHERE fail_bits <> 0) AS n_rejected, CAST(bit_or(fail_bits) AS BIGINT) AS bits_seen FROM b, r GROUP BY 1"""
 
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": _OP1, "op3_mixing": _OP3, "op4_merkle_fingerprints": _OP4}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": _OP1, "op3_mixing": _OP3, "op4_merkle_fingerprints": _OP4, "rule_ablations": _ABLATIONS}
