@@ -2,14 +2,20 @@
 
 The target model is counted on the documents labelled good (quality 1, toxic 0), the background model on all documents. Both share one
 vocabulary, all lower-cased words of the corpus and one word for unseen ones. Both are bigram models, backed off to unigrams by the same
-interpolation. A document's score is its cross-entropy per token under the background minus that under the target, in nats:
-higher means nearer to the target.
+interpolation: P(b | a) = (n(ab) + D p(b)) / (n(a) + D), p(b) = (n(b) + S) / (N + S V). A document's score is its cross-entropy per token under
+the background minus that under the target, in nats: higher means nearer to the target.
 
-Counts are taken over every whole document: words and then bigrams are pre-aggregated in the tasks and summed by key, and every counted word
-and bigram scores, so the models grow with the corpus. The head, at most ``VOCABULARY`` words and ``BIGRAMS`` bigrams of the highest counts
-(about 15 MB), is broadcast, which also keeps common keys out of the shuffle; what a document has beyond it is joined with the whole count tables.
+Every word and bigram of every whole document counts and scores, so the models grow with the corpus. They are never gathered in one place:
 
-Words beyond the head and their bigrams are named by 62 and 63 bits of a hash, so that two of a billion such bigrams share a name with probability 0.05.
+1. Words are counted, pre-aggregated in the tasks, and so are the bigrams that are frequent in some task's share.
+2. The head, at most ``VOCABULARY`` words and ``BIGRAMS`` bigrams with the highest counts (about 20 MB), is counted exactly and broadcast. That is only a
+   matter of speed: what is in the head is scored where the text is, and no key outside it has many documents.
+3. All other bigrams meet by key. Tasks read texts in blocks and send each bucket of keys one row a block: the sorted keys, the documents' places in the
+   block and their occurrences, as packed bytes. A bucket has every occurrence of its keys (a rare word's bigrams lie in one bucket, so that its own count
+   is known there), counts them, and sends each block one row back: what its documents' log probabilities gain.
+4. A block adds these up. Blocks and buckets grow with the root of the corpus, so that rows stay long and memory bounded.
+
+Bigrams beyond the head are named by 64 bits or more of hashes, so that two of a billion share a name with probability below 0.05.
 
 Defined cases: a null or empty text has 0 tokens and score 0; without target documents both models are the background and every
 score is 0; repeated rows count and score one by one; an empty table gives no rows; extra columns are ignored.
@@ -20,103 +26,52 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from hashlib import blake2b
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterflux.llm.common import materialize
+from rasterflux.llm.common import arrow, discard, materialize
 
 VOCABULARY, BIGRAMS = 1 << 16, 1 << 19
 #: Pseudo-counts of the backed-off distribution in a bigram's, and of each word in the unigrams.
 DISCOUNT, SMOOTH = 5.0, 0.5
-#: Hashed words that a task remembers, and rows that it sends at once.
-REMEMBERED, SENT = 400_000, 200_000
-
-
-@dataclass
-class Tables:
-    """words: id by word; keys: sorted bigram keys; the rest per word or key, column 0 background and 1 target.
-
-    These are the head. ``beyond`` is the smoothed count of all other words; ``rest`` has the counts of what is not in the head: key, n,
-    target and, of bigrams, those of the second word, second_n and second_target.
-    """
+#: Words that a task remembers, tokens counted at once, and from which count among these a bigram may belong to the head.
+REMEMBERED, COUNTED, PAIR_FROM = 400_000, 2_000_000, 4
+#: Target ids up to this number are broadcast, about 100 MB; more are joined by shuffling.
+BROADCAST_IDS = 5_000_000
+#: Least and most tokens of a block of texts, and keys of a bucket.
+BLOCK = (2_000_000, 32_000_000)
+#: Bits of a first word's hash in the key of a bigram whose second word is in the head.
+FIRST_BITS = 47
+#: Stands for the first word where there is none.
+START = 0
 
-    words: dict[str, int]
-    keys: np.ndarray
-    bigrams: np.ndarray
-    unigrams: np.ndarray
-    beyond: np.ndarray = field(default_factory=lambda: np.zeros(2))
-    rest: DataFrame | None = None
-
-    def __post_init__(self) -> None:
-        self.context = self.unigrams + DISCOUNT
-        # Ids are those of the words, and VOCABULARY for the unknown word.
-        used = np.zeros((len(self.unigrams), 1))
-        used[: len(self.words)], used[VOCABULARY] = 1, 1
-        smoothed = (self.unigrams + SMOOTH) * used
-        self.total = smoothed.sum(axis=0) + self.beyond
-        self.p = smoothed / self.total
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"rest": None}
-
-    def measure(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The head's share of the log probability of a text, and its words and bigrams beyond the head: key, occurrences, and
-        occurrences of a word before another (-1 of a bigram)."""
-        a, b = ids[:-1], ids[1:]
-        head = ids <= VOCABULARY
-        log = np.log(self.p[ids[head]]).sum(axis=0) - np.log(self.context[a[head[:-1]]]).sum(axis=0) + len(a) * np.log(DISCOUNT)
-        key = _keys(a, b)
-        hit = np.zeros(len(key), bool)
-        if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            hit = self.keys[at] == key
-            log += np.log1p(self.bigrams[at[hit]] / (DISCOUNT * self.p[b[hit]])).sum(axis=0)
-        pairs, n_pairs = np.unique(key[~hit], return_counts=True)
-        words, n_words = np.unique(ids[~head], return_counts=True)
-        return (
-            log,
-            np.concatenate((words, pairs)),
-            np.concatenate((n_words, n_pairs)),
-            np.concatenate((n_words - (words == ids[-1]), np.full(len(pairs), -1))),
-        )
+_U = np.uint64
 
-    def score(self, ids: np.ndarray) -> tuple[float, float]:
-        """Cross-entropy per token under background and target of a text that the head covers."""
-        return tuple(-self.measure(ids)[0] / len(ids))
 
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = h.astype(_U) * _U(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> _U(31))) * _U(0x7FB5D329728EA185)
+    h = (h ^ (h >> _U(27))) * _U(0x81DADEF4BC2DD44D)
+    return h ^ (h >> _U(33))
 
-def _tokens(text: str | None) -> list[str]:
-    return (text or "").lower().split()
 
+@dataclass
+class Model:
+    """The head: id by word, counts of words, keys and counts of bigrams (column 0 background, 1 target), and both models' totals."""
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from collections import Counter
-
-    names = ["word", "n", "target"]
-
-    def out(seen: Counter, good: Counter) -> pa.RecordBatch:
-        words = list(seen)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(words, pa.string()), pa.array([seen[w] for w in words], pa.int64()), pa.array([good[w] for w in words], pa.int64())],
-            names,
-        )
+    words: dict[str, int]
+    unigrams: np.ndarray
+    totals: np.ndarray
+    all_target: bool = False
+    keys: np.ndarray = field(default_factory=lambda: np.zeros(0, _U))
+    bigrams: np.ndarray = field(default_factory=lambda: np.zeros((0, 2)))
 
-    seen: Counter = Counter()
-    good: Counter = Counter()
-    for batch in batches:
-        for text, target in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            words = _tokens(text.as_py())
-            seen.update(words)
-            if target:
-                good.update(words)
-            if len(seen) > 400_000:
-                yield out(seen, good)
-                seen.clear(), good.clear()
-    yield out(seen, good)
+    def p(self) -> np.ndarray:
+        return (self.unigrams + SMOOTH) / self.totals
 
 
 class _Ids(dict):
@@ -133,68 +88,280 @@ class _Ids(dict):
         self[word] = found = int.from_bytes(h, "big") >> 2 | 1 << 62
         return found
 
-    def of(self, text: str | None) -> np.ndarray:
-        return np.array([self[w] for w in _tokens(text)], np.int64)
+
+class _Numbers(dict):
+    """Numbers of words in order of appearance."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = found = len(self)
+        return found
+
+
+def _tokens(text: str | None) -> list[str]:
+    return (text or "").lower().split()
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], ids: dict[str, int], tokens: int) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of about so many tokens each: document ids, target flags, tokens per text, and all tokens' ids."""
+    names, flags, sizes, parts, held = [], [], [], [], 0
+    for batch in batches:
+        for name, flag, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            part = np.array([ids[w] for w in _tokens(text.as_py())], np.int64)
+            names.append(name), flags.append(flag), sizes.append(len(part)), parts.append(part)
+            held += len(part)
+            if held >= tokens or len(names) >= 1 << 20:
+                yield names, np.array(flags, bool), np.array(sizes, np.int64), np.concatenate(parts)
+                names, flags, sizes, parts, held = [], [], [], [], 0
+    if names:
+        yield names, np.array(flags, bool), np.array(sizes, np.int64), np.concatenate(parts)
+
+
+def _firsts(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which token is a text's first, and which its last."""
+    first, last = np.zeros(sizes.sum(), bool), np.zeros(sizes.sum(), bool)
+    ends = np.cumsum(sizes)[sizes > 0]
+    last[ends - 1], first[ends - sizes[sizes > 0]] = True, True
+    return first, last
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words, and pairs of words that are frequent in this share of the texts: word, next (null for a word alone), n, target."""
+    numbers = _Numbers()
+    for _, flags, sizes, ids in _blocks(batches, numbers, COUNTED):
+        good = np.repeat(flags, sizes)
+        names = list(numbers)
+        n, t = np.bincount(ids, minlength=len(names)), np.bincount(ids, weights=good, minlength=len(names))
+        seen = np.flatnonzero(n)
+        first, _ = _firsts(sizes)
+        pair, m = np.unique((ids[:-1] << 32 | ids[1:])[~first[1:]], return_counts=True)
+        pair, m = pair[m >= PAIR_FROM], m[m >= PAIR_FROM]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([names[k] for k in seen] + [names[k] for k in pair >> 32], pa.string()),
+                pa.array([None] * len(seen) + [names[k] for k in pair & 0xFFFFFFFF], pa.string()),
+                pa.array(np.concatenate((n[seen], m)), pa.int64()),
+                pa.array(np.concatenate((t[seen], 0 * m)).astype(np.int64), pa.int64()),
+            ],
+            ["word", "next", "n", "target"],
+        )
+        if len(numbers) > REMEMBERED:
+            numbers.clear()
 
 
 def _keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Keys of bigrams: exact from 0 where both words are in the head, else a hash below 0."""
-    h = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64)
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-    h = (h ^ (h >> np.uint64(33))) | np.uint64(1 << 63)
-    head = (a <= VOCABULARY) & (b <= VOCABULARY)
-    return np.where(head, np.where(head, a, 0) * (VOCABULARY + 1) + np.where(head, b, 0), h.view(np.int64))
+    """Keys of bigrams whose second word is in the head."""
+    return b.astype(_U) << _U(FIRST_BITS) | _mix(a) >> _U(64 - FIRST_BITS)
+
+
+def _entries(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (key, doc) in order, with how often each occurs and where it occurs first; docs ascend as given."""
+    order = np.argsort(key, kind="stable")
+    k, d = key[order], doc[order]
+    start = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (d[1:] != d[:-1]))) if len(k) else np.zeros(0, np.int64)
+    return order[start], np.diff(np.append(start, len(k))), start
+
+
+def _found(model: Model, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each key in the head's bigrams, and whether it is there."""
+    if not len(model.keys):
+        return np.zeros(len(key), np.int64), np.zeros(len(key), bool)
+    at = np.minimum(np.searchsorted(model.keys, key), len(model.keys) - 1)
+    return at, model.keys[at] == key
 
 
-def _bigram_counts(words: dict[str, int]):
+def _head_counts(shared):
+    """Exact counts of the head's bigrams: at (their place), n, target."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Ids(words)
-        keys: list[np.ndarray] = []
-        seconds: list[np.ndarray] = []
-        kinds: list[np.ndarray] = []
-        held = 0
-
-        def out() -> pa.RecordBatch:
-            k = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            s = np.concatenate(seconds) if seconds else np.zeros(0, np.int64)
-            t = np.concatenate(kinds) if kinds else np.zeros(0, bool)
-            u, at, where = np.unique(k, return_index=True, return_inverse=True)
-            n, good = np.bincount(where, minlength=len(u)), np.bincount(where, weights=t, minlength=len(u)).astype(np.int64)
-            keys.clear(), seconds.clear(), kinds.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array(u, pa.int64()), pa.array(s[at], pa.int64()), pa.array(n, pa.int64()), pa.array(good, pa.int64())],
-                ["key", "second", "n", "target"],
-            )
-
-        for batch in batches:
-            for text, target in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                ids = known.of(text.as_py())
-                if len(ids) < 2:
-                    continue
-                keys.append(_keys(ids[:-1], ids[1:])), seconds.append(ids[1:]), kinds.append(np.full(len(ids) - 1, bool(target)))
-                held += len(ids) - 1
-                if held > 2_000_000:
-                    yield out()
-                    held = 0
-        yield out()
+        model = shared.value
+        n, t = np.zeros(len(model.keys), np.int64), np.zeros(len(model.keys), np.int64)
+        for _, flags, sizes, ids in _blocks(batches, _Ids(model.words), COUNTED):
+            good = np.repeat(flags, sizes)[1:]
+            first, _ = _firsts(sizes)
+            pair = ~first[1:] & (ids[:-1] < VOCABULARY) & (ids[1:] < VOCABULARY)
+            at, hit = _found(model, _keys(ids[:-1][pair], ids[1:][pair]))
+            n += np.bincount(at[hit], minlength=len(n))
+            t += np.bincount(at[hit], weights=good[pair][hit], minlength=len(n)).astype(np.int64)
+        seen = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(n[seen], pa.int64()), pa.array(t[seen], pa.int64())], ["at", "n", "target"])
 
     return run
 
 
-def _beyond(words: dict[str, int]):
-    """The counted words that are not in the head, by their ids."""
+def _packed(*columns: np.ndarray) -> bytes:
+    """Arrays as bytes, the bytes of equal weight together, compressed."""
+    import zstandard
+
+    sizes = np.array([len(c) for c in columns], "<u4").tobytes()
+    return zstandard.compress(sizes + b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in columns), 1)
+
 
+def _unpacked(data: bytes, *kinds: type) -> list[np.ndarray]:
+    import zstandard
+
+    raw, at, out = np.frombuffer(zstandard.decompress(data), np.uint8), 4 * len(kinds), []
+    for n, kind in zip(raw[:at].view("<u4").tolist(), kinds, strict=True):
+        width = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(raw[at : at + n * width].reshape(width, n).T).view(kind).reshape(n))
+        at += n * width
+    return out
+
+
+def _steps(key: np.ndarray) -> np.ndarray:
+    return np.diff(key, prepend=_U(0))
+
+
+#: Columns of a bucket's row: of bigrams with a second word in the head key, doc and times; of others second word, first, doc, times and followed. A doc is twice
+#: its place in the block, and one more if it is a target. Of a row back: doc and what its two log probabilities gain. Of a block's own: ids, whether there is one, tokens, logs.
+TO_BUCKET = (np.uint64, np.uint32, np.uint32, np.uint64, np.uint32, np.uint32, np.uint32, np.uint32)
+BACK = (np.uint32, np.float32, np.float32)
+OWN = (np.int64, np.uint8, np.int64, np.float64, np.float64)
+ROW = "bucket long, block long, own boolean, payload binary"
+NAMES = ["bucket", "block", "own", "payload"]
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], NAMES)
+
+
+def _measured(shared, buckets: int, tokens: int):
+    """Per block its own row with what the head says, and a row for each bucket with the bigrams beyond."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        model = shared.value
+        p, context = np.log(model.p()), np.log(model.unigrams + DISCOUNT)
+        task = TaskContext.get()
+        block = (task.partitionId() if task else 0) << 32
+        for names, flags, sizes, ids in _blocks(batches, _Ids(model.words), tokens):
+            flags = flags | model.all_target
+            docs = len(names)
+            doc = np.repeat(np.arange(docs), sizes)
+            first, last = _firsts(sizes)
+            total = lambda at, values: np.stack([np.bincount(doc[at], weights=values[:, k], minlength=docs) for k in (0, 1)], axis=1)  # noqa: B023, E731
+            head = np.flatnonzero(ids < VOCABULARY)
+            log = total(head, p[ids[head]]) + (np.maximum(sizes - 1, 0) * np.log(DISCOUNT))[:, None]
+            inner = head[~last[head]]
+            log -= total(inner, context[ids[inner]])
+            pair = np.flatnonzero(~first & (ids < VOCABULARY))
+            key = _keys(ids[pair - 1], ids[pair])
+            at, times, _ = _entries(key, doc[pair])
+            key, at = key[at], pair[at]
+            place, hit = _found(model, key)
+            n = np.where(hit[:, None], model.bigrams[place] if len(model.keys) else 0.0, times[:, None] * np.stack((np.ones(len(at)), flags[doc[at]]), axis=1))
+            log += total(at, times[:, None] * np.log1p(n / (DISCOUNT * np.exp(p[ids[at]]))))
+            key, times, at = key[~hit], times[~hit], at[~hit]
+            code = lambda x: (2 * doc[x] + flags[doc[x]]).astype(np.uint32)  # noqa: B023, E731
+            tail = np.flatnonzero(ids >= VOCABULARY)
+            before = np.where(first[tail], START, (_mix(ids[tail - 1]) >> _U(33)).astype(np.int64) + 1)
+            # The rare words' bigrams by second word, then first, then document.
+            order = np.lexsort((doc[tail], before, ids[tail]))
+            s, a, d = ids[tail][order], before[order], doc[tail][order]
+            new = np.flatnonzero(np.append(True, (s[1:] != s[:-1]) | (a[1:] != a[:-1]) | (d[1:] != d[:-1]))) if len(s) else np.zeros(0, np.int64)
+            many = np.diff(np.append(new, len(s)))
+            followed = np.add.reduceat((~last[tail][order]).astype(np.int64), new) if len(new) else many
+            s, a = s[new].astype(_U), a[new]
+            code_tail = code(tail[order][new])
+            code_head = code(at)
+            to, to_tail = (_mix(key) % _U(buckets)).astype(np.int64), (s % _U(buckets)).astype(np.int64)
+            by, by_tail = np.argsort(to, kind="stable"), np.argsort(to_tail, kind="stable")
+            ends, ends_tail = np.searchsorted(to[by], np.arange(buckets + 1)), np.searchsorted(to_tail[by_tail], np.arange(buckets + 1))
+            out = []
+            for k in range(buckets):
+                h, t = by[ends[k] : ends[k + 1]], by_tail[ends_tail[k] : ends_tail[k + 1]]
+                if len(h) or len(t):
+                    u4 = lambda x: x.astype(np.uint32)
+                    out.append((k, block, False, _packed(_steps(key[h]), code_head[h], u4(times[h]), _steps(s[t]), u4(a[t]), code_tail[t], u4(many[t]), u4(followed[t]))))
+            known = np.array([x is not None for x in names], np.uint8)
+            own = _packed(np.array([x or 0 for x in names], np.int64), known, sizes, log[:, 0], log[:, 1])
+            out.append((block % buckets, block, True, own))
+            yield _rows(out)
+            block += 1
+
+    return run
+
+
+def _bucket(rows: list[tuple[int, bytes]], model: Model) -> Iterator[tuple[int, bytes]]:
+    """What every block's documents gain by one bucket's bigrams."""
+    blocks = sorted({b for b, _ in rows})
+    number = {b: k for k, b in enumerate(blocks)}
+    parts = []
+    for b, data in rows:
+        c = _unpacked(data, *TO_BUCKET)
+        up = np.int64(number[b]) << 33
+        parts.append((np.cumsum(c[0], dtype=_U), c[1].astype(np.int64) | up, c[2], np.cumsum(c[3], dtype=_U), c[4], c[5].astype(np.int64) | up, c[6], c[7]))
+    key, doc, times, second, first, doc2, times2, followed = (np.concatenate(x) for x in zip(*parts, strict=True))
+    p = model.p()
+    both = lambda where, m, flag, size: np.stack((np.bincount(where, weights=m, minlength=size), np.bincount(where, weights=m * flag, minlength=size)), axis=1)
+    flag = doc & 1
+    u, where = np.unique(key, return_inverse=True)
+    n = both(where, times, flag, len(u))[where]
+    mine = times[:, None] * np.stack((np.ones(len(flag)), flag), axis=1)
+    more = np.flatnonzero((n != mine).any(axis=1))
+    unit = DISCOUNT * p[(key[more] >> _U(FIRST_BITS)).astype(np.int64)]
+    gain = times[more, None] * (np.log1p(n[more] / unit) - np.log1p(mine[more] / unit))
+    # The rare words: their own counts, then those of their bigrams.
+    flag2 = doc2 & 1
+    u, word = np.unique(second, return_inverse=True)
+    whole = both(word, times2, flag2, len(u))[word]
+    u, where = np.unique(word.astype(np.int64) << 32 | first, return_inverse=True)
+    n2 = both(where, times2, flag2, len(u))[where]
+    share = (whole + SMOOTH) / model.totals
+    gain2 = times2[:, None] * np.log(share) - followed[:, None] * np.log(whole + DISCOUNT)
+    gain2 += np.where(first[:, None] == START, 0.0, times2[:, None] * np.log1p(n2 / (DISCOUNT * share)))
+    docs, where = np.unique(np.concatenate((doc[more], doc2)) >> 1, return_inverse=True)
+    sums = [np.bincount(where, weights=np.concatenate((gain[:, k], gain2[:, k])), minlength=len(docs)).astype(np.float32) for k in (0, 1)]
+    of = docs >> 32
+    for k, b in enumerate(blocks):
+        lo, hi = np.searchsorted(of, (k, k + 1))
+        if lo < hi:
+            yield b, _packed((docs[lo:hi] & 0xFFFFFFFF).astype(np.uint32), sums[0][lo:hi], sums[1][lo:hi])
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[tuple[int, list[tuple[int, bool, bytes]]]]:
+    """Rows of sorted batches, one group in memory at a time."""
+    held: list[tuple[int, bool, bytes]] = []
+    now = None
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[by] != now and held:
+                yield now, held
+                held = []
+            now = row[by]
+            held.append((row[1], row[2], row[3]))
+    if held:
+        yield now, held
+
+
+def _exchanged(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            known = _Ids(words)
-            ids = pa.array([known[w] for w in batch.column(0).to_pylist()], pa.int64())
-            out = pa.RecordBatch.from_arrays([ids, batch.column(1), batch.column(2)], ["key", "n", "target"])
-            yield out.filter(pa.compute.greater(ids, VOCABULARY))
+        model = shared.value
+        for bucket, rows in _grouped(batches, 0):
+            out = [(bucket, b, True, data) for b, own, data in rows if own]
+            sent = [(b, data) for b, own, data in rows if not own]
+            if sent:
+                out += [(bucket, b, False, data) for b, data in _bucket(sent, model)]
+            yield _rows(out)
 
     return run
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, rows in _grouped(batches, 1):
+        (names, known, sizes, *log) = _unpacked(next(data for _, own, data in rows if own), *OWN)
+        log = np.stack(log)
+        for _, own, data in rows:
+            if not own:
+                doc, *gain = _unpacked(data, *BACK)
+                log[:, doc] += gain
+        per = np.where(sizes > 0, -log / np.maximum(sizes, 1), 0.0)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(names, mask=known == 0), pa.array(sizes), pa.array(per[0]), pa.array(per[1])], ["doc_id", "n_tokens", "background", "target"]
+        )
+
+
 def most_frequent(counts: DataFrame, limit: int) -> DataFrame:
     """The rows with n beyond a level (eighths of powers of two) that at most ``limit`` rows reach, without sorting them."""
     level = F.floor(F.log2("n") * 8).cast("int")
@@ -206,105 +373,59 @@ def most_frequent(counts: DataFrame, limit: int) -> DataFrame:
     return counts.where(F.lit(False) if least is None else level >= least)
 
 
-def fit(docs: DataFrame, targets: DataFrame) -> Tables:
-    """``targets`` has the ids of the target documents, column doc_id."""
-    good = targets.select("doc_id").where("doc_id is not null").distinct().withColumn("target", F.lit(True))
-    # Target ids grow with the corpus, so they are never broadcast; texts meet them once, and both counts read the written table.
-    marked = docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    marked = materialize(marked, "lm-marked")
-    counted = marked.mapInArrow(_word_counts, "word string, n long, target long")
-    counted = materialize(counted.groupBy("word").agg(F.sum("n").alias("n"), F.sum("target").alias("target")), "lm-words")
-    rows = most_frequent(counted, VOCABULARY).orderBy("word").toPandas()
+def _marked(docs: DataFrame, targets: DataFrame) -> DataFrame:
+    """doc_id, target, text. Ids up to ``BROADCAST_IDS`` are broadcast; beyond, texts are joined once and written, in a fixed order."""
+    good = targets.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct().withColumn("target", F.lit(True))
+    few = good.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    out = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(good) if few else good.hint("merge"), "doc_id", "left")
+    out = out.select("doc_id", F.coalesce("target", F.lit(False)).alias("target"), "text")
+    return out if few else materialize(out, "lm-marked")
+
+
+def fit(marked: DataFrame) -> tuple[Model, int]:
+    """The head, and the number of tokens, from (doc_id, target, text)."""
+    counted = arrow(marked, _counts, "word string, next string, n long, target long")
+    counted = materialize(counted.groupBy("word", "next").agg(F.sum("n").alias("n"), F.sum("target").alias("target")), "lm-words")
+    alone = counted.where("next is null")
+    total = alone.agg(F.sum("n"), F.sum("target"), F.count("n")).first()
+    rows = most_frequent(alone, VOCABULARY).orderBy("word").toPandas()
     words = {w: k for k, w in enumerate(rows["word"])}
-    total = counted.agg(F.sum("n"), F.sum("target"), F.count("n")).first()
-    unigrams = np.zeros((VOCABULARY + 1, 2))
+    unigrams = np.zeros((VOCABULARY, 2))
     unigrams[: len(rows)] = rows[["n", "target"]].to_numpy(float).reshape(-1, 2)
-    beyond = np.array([total[0] or 0, total[1] or 0]) - unigrams.sum(axis=0)
-    pairs = marked.mapInArrow(_bigram_counts(words), "key long, second long, n long, target long")
-    sums = [F.sum("n").alias("n"), F.sum("target").alias("target")]
-    pairs = materialize(pairs.groupBy("key").agg(F.max("second").alias("second"), *sums), "lm-bigrams")
-    table = most_frequent(pairs.where("key >= 0"), BIGRAMS).select("key", "n", "target").toPandas().sort_values("key")
-    bigrams = table[["n", "target"]].to_numpy(float).reshape(-1, 2)
-    others = counted.mapInArrow(_beyond(words), "key long, n long, target long").groupBy("key").agg(*sums)
+    totals = np.array([total[0] or 0, total[1] or 0], float)
     if not total[1]:
-        unigrams[:, 1], bigrams[:, 1], beyond[1] = unigrams[:, 0], bigrams[:, 0], beyond[0]
-        others, pairs = (df.withColumn("target", F.col("n")) for df in (others, pairs))
-    second = lambda df: df.select(F.col("key").alias("second"), F.col("n").alias("second_n"), F.col("target").alias("second_target"))
-    head = pa.table({"key": np.arange(len(rows)), "n": unigrams[: len(rows), 0].astype(np.int64), "target": unigrams[: len(rows), 1].astype(np.int64)})
-    head = second(docs.sparkSession.createDataFrame(head))
-    rest = pairs.where(F.col("second") <= VOCABULARY).join(F.broadcast(head), "second")
-    # Words beyond the head are rare, so no key of this join is common.
-    rest = rest.unionByName(pairs.where(F.col("second") > VOCABULARY).join(second(others).hint("merge"), "second"))
-    rest = rest.drop("second").unionByName(others, allowMissingColumns=True)
-    beyond = beyond + SMOOTH * (total[2] - len(rows))
-    return Tables(words, table["key"].to_numpy(np.int64), bigrams, unigrams, beyond, rest)
-
-
-def _measured(shared, kind: pa.DataType):
-    """Per text a row with its tokens and the head's share, and a row per word and bigram beyond the head."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        known = _Ids(model.words)
-
-        def out() -> pa.RecordBatch:
-            n = np.array([len(k) for k in keys], np.int64)
-            first = np.zeros(n.sum(), bool)
-            first[np.cumsum(n) - n] = True
-            at = pa.array(np.where(first, np.cumsum(first) - 1, 0), mask=~first)
-            doc = pa.StructArray.from_arrays(
-                [pa.array(names, kind).take(at), pa.array(tokens, pa.int64()).take(at), *(pa.array([x[k] for x in logs], pa.float64()).take(at) for k in (0, 1))],
-                ["doc_id", "n_tokens", "background", "target"],
-                mask=pa.array(~first),
-            )
-            columns = [pa.array(np.repeat(rows, n)), *(pa.array(np.concatenate(x), t) for x, t in ((keys, pa.int64()), (counts, pa.int32()), (before, pa.int32())))]
-            return pa.RecordBatch.from_arrays([*columns, doc], ["row", "key", "times", "before", "doc"])
-
-        names, rows, tokens, logs, keys, counts, before, held = [], [], [], [], [], [], [], 0
-        for batch in batches:
-            for row, name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                ids = known.of(text.as_py())
-                none = np.zeros(0, np.int64)
-                log, k, c, f = model.measure(ids) if len(ids) else (np.zeros(2), none, none, none)
-                # The text's own row counts 0 times and has a key of its own, so that these rows spread.
-                own = row * 0x9E3779B97F4A7C15 & 0x7FFFFFFFFFFFFFFF
-                names.append(name), rows.append(row), tokens.append(len(ids)), logs.append(log)
-                keys.append(np.append(own, k)), counts.append(np.append(0, c)), before.append(np.append(-1, f))
-                held += len(k) + 1
-                if held > SENT:
-                    yield out()
-                    names, rows, tokens, logs, keys, counts, before, held = [], [], [], [], [], [], [], 0
-        if held:
-            yield out()
-
-    return run
-
-
-def _log_share(tables: Tables, column: int) -> Column:
-    """What a word or bigram beyond the head adds to the log probability of its text."""
-    n, total = F.coalesce(F.col(("n", "target")[column]), F.lit(0)), float(tables.total[column])
-    word = F.col("times") * F.log((n + SMOOTH) / total) - F.col("before") * F.log(n + DISCOUNT)
-    second = F.coalesce(F.col(("second_n", "second_target")[column]), F.lit(0))
-    return F.when(F.col("times") == 0, 0.0).when(F.col("before") >= 0, word).otherwise(F.col("times") * F.log1p(n * total / (DISCOUNT * (second + SMOOTH))))
-
-
-def score_documents(docs: DataFrame, tables: Tables) -> DataFrame:
-    """doc_id, n_tokens, the two cross-entropies and score of every row."""
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    shared = docs.sparkSession.sparkContext.broadcast(tables)
-    kind = docs.schema["doc_id"].dataType
-    doc = f"struct<doc_id: {kind.simpleString()}, n_tokens: bigint, background: double, target: double>"
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    rows = rows.mapInArrow(_measured(shared, to_arrow_type(kind)), f"row long, key long, times int, before int, doc {doc}")
-    found = rows.join(tables.rest.hint("merge"), "key", "left")
-    log = [F.sum(_log_share(tables, k) + F.coalesce(F.col(f"doc.{x}"), F.lit(0.0))).alias(x) for k, x in enumerate(("background", "target"))]
-    summed = found.groupBy("row").agg(F.max("doc.doc_id").alias("doc_id"), F.max("doc.n_tokens").alias("n_tokens"), *log)
-    per = lambda x: F.when(F.col("n_tokens") > 0, -F.col(x) / F.col("n_tokens")).otherwise(0.0)
-    return summed.select("doc_id", "n_tokens", per("background").alias("background"), per("target").alias("target")).withColumn(
-        "score", F.col("background") - F.col("target")
-    )
+        unigrams[:, 1], totals[1] = unigrams[:, 0], totals[0]
+    # One word more for the unseen ones.
+    model = Model(words, unigrams, totals + SMOOTH * (total[2] + 1), not total[1])
+    pairs = most_frequent(counted.where("next is not null"), BIGRAMS).select("word", "next").toPandas()
+    a, b = (pairs[c].map(words) for c in ("word", "next"))
+    here = (a.notna() & b.notna()).to_numpy(bool)
+    model.keys = np.unique(_keys(a[here].to_numpy(np.int64), b[here].to_numpy(np.int64)))
+    model.bigrams = np.zeros((len(model.keys), 2))
+    if len(model.keys):
+        shared = marked.sparkSession.sparkContext.broadcast(model)
+        found = arrow(marked, _head_counts(shared), "at long, n long, target long").groupBy("at").agg(F.sum("n").alias("n"), F.sum("target").alias("target")).toPandas()
+        model.bigrams[found["at"]] = found[["n", "target"]].to_numpy(float)
+        if model.all_target:
+            model.bigrams[:, 1] = model.bigrams[:, 0]
+        shared.unpersist()
+    discard(counted)
+    return model, int(total[0] or 0)
+
+
+def score_documents(docs: DataFrame, targets: DataFrame, block: int | None = None) -> DataFrame:
+    """doc_id, n_tokens, the two cross-entropies and score of every row; ``targets`` has the ids of the target documents, column doc_id."""
+    marked = _marked(docs, targets)
+    model, tokens = fit(marked)
+    block = block or min(BLOCK[1], max(BLOCK[0], isqrt(200 * tokens)))
+    buckets = 1 + tokens // block
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    sent = arrow(marked, _measured(shared, buckets, block), ROW)
+    met = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    back = arrow(met, _exchanged(shared), ROW).repartition(buckets, "block").sortWithinPartitions("block")
+    scored = arrow(back, _added, "doc_id long, n_tokens long, background double, target double")
+    return scored.withColumn("score", F.col("background") - F.col("target"))
 
 
 def op7(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return score_documents(docs, fit(docs, labels.where("quality = 1 and coalesce(toxic, 0) = 0")))
+    return score_documents(docs, labels.where("quality = 1 and coalesce(toxic, 0) = 0"))

@@ -256,47 +256,54 @@ def test_quality_against_labels(spark):
     assert kept[1] > 0.98 and kept[0] < 0.1
 
 
-def test_cross_entropy_by_hand():
-    words = {"a": 0, "b": 1}
-    uni = np.zeros((lm_scoring.VOCABULARY + 1, 2))
-    uni[0], uni[1] = (6, 1), (4, 3)
-    t = lm_scoring.Tables(words, np.array([1]), np.array([[2.0, 1.0]]), uni)
-    p = (uni + 0.5) / np.array([6.5 + 4.5 + 0.5, 1.5 + 3.5 + 0.5])
-    want = -(np.log(p[0]) + np.log((np.array([2, 1]) + 5 * p[1]) / (uni[0] + 5))) / 2
-    np.testing.assert_allclose(t.score(np.array([0, 1])), want)
-
-
-def test_scores_rank_the_target(spark):
-    rows = [(k, "red green blue " * 10) for k in range(20)] + [(k, "one two three " * 10) for k in range(20, 40)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    tables = lm_scoring.fit(df, df.where("doc_id < 10").select("doc_id"))
-    got = {r.doc_id: r.score for r in lm_scoring.score_documents(df, tables).collect()}
-    assert min(got[k] for k in range(20)) > 0 > max(got[k] for k in range(20, 40))
-
-
-def test_every_counted_word_and_bigram_scores(spark):
-    rng = random.Random(3)
-    # More words of one count than the head holds, and some common ones.
-    texts = [" ".join(w for k in range(1000) for w in (f"w{d * 900 + k}", rng.choice(("x", "y", "z")))) for d in range(80)]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    got = {r.doc_id: r for r in lm_scoring.score_documents(df, lm_scoring.fit(df, df.where("doc_id < 9").select("doc_id"))).collect()}
+def brute_scores(texts, targets):
+    """Per text its cross-entropies under background and target, and their difference, from the formula of the model."""
     sides = []
-    for part in (texts, texts[:9]):
+    for part in (texts, [texts[k] for k in targets] or texts):
         uni, bi = Counter(), Counter()
         for text in part:
-            w = text.split()
+            w = (text or "").lower().split()
             uni.update(w), bi.update(zip(w, w[1:]))
-        sides.append((uni, bi))
+        sides.append((uni, bi, sum(uni.values())))
     size = len(sides[0][0]) + 1
-    assert size > lm_scoring.VOCABULARY
-    for d in (0, 8, 9, 79):
-        w = texts[d].split()
-        want = []
-        for uni, bi in sides:
-            p = lambda x: (uni[x] + 0.5) / (sum(uni.values()) + 0.5 * size)  # noqa: B023, E731
-            prob = np.log(p(w[0])) + sum(np.log((bi[a, b] + 5 * p(b)) / (uni[a] + 5)) for a, b in zip(w, w[1:]))
-            want.append(-prob / len(w))
-        np.testing.assert_allclose((got[d].background, got[d].target, got[d].score), (*want, want[0] - want[1]), rtol=1e-9)
+    out = []
+    for text in texts:
+        w = (text or "").lower().split()
+        row = []
+        for uni, bi, total in sides:
+            p = lambda x: (uni[x] + 0.5) / (total + 0.5 * size)  # noqa: B023, E731
+            logs = [np.log(p(x)) for x in w[:1]] + [np.log((bi[a, b] + 5 * p(b)) / (uni[a] + 5)) for a, b in zip(w, w[1:])]
+            row.append(-sum(logs) / len(w) if w else 0.0)
+        out.append((*row, row[0] - row[1]))
+    return out
+
+
+def check_scores(spark, texts, targets, block):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    ids = spark.createDataFrame([(k,) for k in targets], "doc_id long")
+    got = {r.doc_id: r for r in lm_scoring.score_documents(df, ids, block).collect()}
+    assert len(got) == len(texts)
+    for k, want in enumerate(brute_scores(texts, targets)):
+        r = got[k]
+        np.testing.assert_allclose((r.background, r.target, r.score), want, rtol=2e-6, atol=2e-6)
+
+
+@pytest.mark.parametrize("block", [None, 300, 5000])
+@pytest.mark.parametrize("targets", [list(range(0, 40, 3)), []])
+def test_scores_against_brute_force(spark, block, targets, monkeypatch):
+    rng = random.Random(7)
+    # A small head, so that most words and bigrams meet by key.
+    monkeypatch.setattr(lm_scoring, "BIGRAMS", 6)
+    words = [f"w{int(rng.paretovariate(0.6))}" for _ in range(6000)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(1, 120))) for _ in range(60)] + [None, "", "  ", "w1", "only once here", words[0]]
+    check_scores(spark, texts + texts[:5], targets, block)
+
+
+def test_scores_with_more_words_than_the_head_holds(spark):
+    rng = random.Random(3)
+    texts = [" ".join(w for k in range(1000) for w in (f"w{d * 900 + k}", rng.choice(("x", "y", "z")))) for d in range(80)]
+    assert len({w for t in texts for w in t.split()}) > lm_scoring.VOCABULARY
+    check_scores(spark, texts, list(range(9)), 20_000)
 
 
 def test_only_near_copies_are_dropped_at_every_size():
