@@ -6,9 +6,10 @@ also folded into an odd sketch, a bitmap of parities: the number of ones in the
 little error for high similarities, so most candidates are settled without reading a text. The rest are confirmed on their full sets.
 
 A band bucket may hold a third of all classes, so its members are never paired with each other at first: in each round every
-member meets one pivot of its bucket, confirmed links are contracted to components, and buckets whose members are one component are done. After
-``ROUNDS`` rounds with other pivots, the members of different components that still share a bucket are paired and checked, so no link between
-components is lost to the pivots.
+member meets one pivot of its bucket, confirmed links are contracted to components, and buckets whose members are one component are done. Buckets
+are salted by their size, so that a hot one is dealt to many tasks. After ``ROUNDS`` rounds with other pivots, the members of different components that
+still share a bucket are paired and checked, so no link between components is lost to the pivots. Members of buckets with more than ``PAIRED`` rows meet by finer
+bands instead (``FINE_BANDS`` of ``FINE_ROWS`` samples), which those that only share a common passage seldom do; a link at 0.8 is missed there with probability 2e-8.
 
 Defined cases: a null text or one without words has an empty set, no links, and is its own component; repeated rows have equal sets and so
 share a component; an empty table gives no rows; extra columns are ignored; very long texts are hashed whole, in blocks.
@@ -40,6 +41,10 @@ SKETCH_LONGS = 16
 MOST_DIFFERING = 239
 #: A finer sketch, for the classes whose bucket the pivots have not settled, and its limit.
 FINE_SAMPLES, FINE_LONGS, FINE_MOST = 2048, 64, 801
+#: Most rows of a bucket whose members are paired directly; bands of larger ones, and samples in each.
+PAIRED, FINE_BANDS, FINE_ROWS = 4096, 96, 8
+#: Hot buckets have more than this share of all band rows, so there are at most as many of them, and are salted into parts of that share.
+HOT_SHARE, LEAST_HOT = 10_000, 1000
 #: A link: LINK_NUM * union <= LINK_DEN * intersection.
 LINK_NUM, LINK_DEN = 80, 100
 ROUNDS = 3
@@ -69,6 +74,8 @@ class _Hasher:
         self.row = rng.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) | _U(1)
         self.band = rng.integers(0, 1 << 63, BANDS, dtype=np.uint64)
         self.sample = rng.integers(0, 1 << 63, samples, dtype=np.uint64)
+        self.fine_row = rng.integers(0, 1 << 63, (FINE_BANDS, FINE_ROWS), dtype=np.uint64) | _U(1)
+        self.fine_band = rng.integers(0, 1 << 63, FINE_BANDS, dtype=np.uint64)
 
     def _powers(self, n: int) -> None:
         if len(self.power) < n:
@@ -106,6 +113,9 @@ class _Hasher:
     def bands(self, low: np.ndarray) -> np.ndarray:
         return _mix((low[: BANDS * ROWS].astype(np.uint64).reshape(BANDS, ROWS) * self.row).sum(axis=1) + self.band)
 
+    def fine_bands(self, low: np.ndarray) -> np.ndarray:
+        return _mix((low[: FINE_BANDS * FINE_ROWS].astype(np.uint64).reshape(FINE_BANDS, FINE_ROWS) * self.fine_row).sum(axis=1) + self.fine_band)
+
     def sketch(self, low: np.ndarray, longs: int = SKETCH_LONGS) -> np.ndarray:
         bit = _mix(low.astype(np.uint64) * _MULT + self.sample) % _U(64 * longs)
         odd = (np.bincount(bit.astype(np.int64), minlength=64 * longs) & 1).astype(np.uint8)
@@ -151,20 +161,22 @@ def _features(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Re
 
 def features(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, node (name of the set), band keys and odd sketch."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        partial(_features, shingle=shingle), "doc_id long, n_shingles long, node long, bands array<bigint>, sketch array<bigint>"
+    return arrow(
+        docs.select(F.col("doc_id").cast("long"), "text"), partial(_features, shingle=shingle), "doc_id long, n_shingles long, node long, bands array<bigint>, sketch array<bigint>"
     )
 
 
 def _fine(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     hs = hasher(FINE_SAMPLES, shingle)
     for batch in batches:
-        node, fine = [], []
+        node, fine, bands = [], [], []
         for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             h = hs.shingles(text.as_py())
             if len(h) and node_of(h) == name:
-                node.append(name), fine.append(hs.sketch(hs.samples(h), FINE_LONGS))
-        yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(fine, pa.list_(pa.int64()))], ["node", "fine"])
+                low = hs.samples(h)
+                node.append(name), fine.append(hs.sketch(low, FINE_LONGS)), bands.append(hs.fine_bands(low).view(np.int64))
+        lists = pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(fine, lists), pa.array(bands, lists)], ["node", "fine", "fine_bands"])
 
 
 def _texts(used: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -225,22 +237,64 @@ def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int) ->
     texts = _texts(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), nodes, docs)
     side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"t_{c}"))
     rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "t_a", "t_b")
-    return rows.mapInArrow(partial(_confirm, shingle=shingle), "a long, b long").distinct()
+    return arrow(rows, partial(_confirm, shingle=shingle), "a long, b long").distinct()
+
+
+def _buckets(nodes: DataFrame) -> DataFrame:
+    """node, band, n (rows of the bucket), salt and comp of the classes that share a band key with another."""
+    members = nodes.select("node", F.explode("bands").alias("band"))
+    limit = max(LEAST_HOT, nodes.count() * BANDS // HOT_SHARE)
+    per = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    per = materialize(per, "near-shared")
+    # At most HOT_SHARE rows.
+    hot = F.broadcast(per.where(F.col("n") > limit).select("band", F.expr(f"n div {limit}").alias("parts")))
+    salted = members.join(hot, "band", "left").withColumn("salt", F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(0)) + 1)).drop("parts")
+    out = salted.join(_salted(per.withColumn("parts", F.expr(f"n div {limit}"))), ["band", "salt"])
+    out = materialize(out.select("node", "band", "n", "parts", "salt", F.col("node").alias("comp")), "near-buckets")
+    discard(per)
+    return out
+
+
+def _salted(per_band: DataFrame) -> DataFrame:
+    """One row per bucket for each of its parts."""
+    return per_band.select(*[c for c in per_band.columns if c != "salt"], F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts"))).alias("salt"))
+
+
+def _left_over(members: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """Pairs of classes that still share a bucket but no component, and whose sketches, coarse and fine, are near."""
+    texts = _texts(members.select("node").distinct(), nodes, docs)
+    fine = arrow(texts, partial(_fine, shingle=shingle), "node long, fine array<bigint>, fine_bands array<bigint>")
+    fine = materialize(fine.dropDuplicates(["node"]), "near-fine")
+    near, near_fine = _differing("s", SKETCH_LONGS) <= MOST_DIFFERING, _differing("f", FINE_LONGS) <= FINE_MOST
+    names = (("node", "n"), ("comp", "c"), ("sketch", "s"), ("fine", "f"), ("bands", "bands"))
+
+    def twice(side: DataFrame, key: str) -> DataFrame:
+        x, y = (side.select(key, *[F.col(c).alias(f"{n}_{v}") for c, n in names if c in side.columns]) for v in "ab")
+        return x.join(y, key).where(F.col("c_a") < F.col("c_b"))
+
+    # A pair is made in the first band that it shares only.
+    few = members.where(F.col("n") <= PAIRED).select("band", "node", "comp")
+    few = few.join(nodes.select("node", "sketch", "bands"), "node").join(fine.select("node", "fine"), "node")
+    few = twice(few, "band").where((_first_shared() == F.col("band")) & near & near_fine).select(F.col("n_a").alias("a"), F.col("n_b").alias("b"))
+    # A pair may lie in a large bucket first and share a small one as well; the large ones' pairs are found by themselves.
+    many = members.where(F.col("n") > PAIRED).select("node", "comp").distinct()
+    many = many.join(nodes.select("node", "sketch"), "node").join(fine.select("node", "fine_bands"), "node")
+    many = twice(many.select("node", "comp", "sketch", F.explode("fine_bands").alias("key")), "key").where(near)
+    many = many.select(F.col("n_a").alias("a"), F.col("n_b").alias("b")).distinct()
+    for c in "ab":
+        many = many.join(fine.select(F.col("node").alias(c), F.col("fine").alias(f"f_{c}")), c)
+    return few.union(many.where(near_fine).select("a", "b")).distinct()
 
 
 def components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     feats = materialize(features(docs, shingle), "near-features")
-    named = feats.where("node is not null")
-    reps = named.groupBy("node").agg(F.min("doc_id").alias("rep"))
-    # Equal rows of a class bring equal features; one is enough.
-    nodes = (
-        named.join(reps, "node").where("doc_id = rep").select("node", "rep", "bands", "sketch").dropDuplicates(["node"])
+    # Equal rows of a class bring equal features; any is the class's. They are merged in the tasks, so a large class costs its tasks one row each.
+    nodes = feats.where("node is not null").groupBy("node").agg(
+        F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
     )
     nodes = materialize(nodes, "near-classes")
-    members = nodes.select("node", F.explode("bands").alias("band"))
-    shared = members.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("band")
-    members = materialize(members.join(shared, "band").withColumn("comp", F.col("node")), "near-buckets")
+    members = _buckets(nodes)
     labels = None
     sketches = nodes.select("node", "sketch")
     for k in range(ROUNDS + 1):
@@ -248,9 +302,11 @@ def components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             F.min("comp").alias("lo"),
             F.max("comp").alias("hi"),
             F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("order"), "node", "comp")).alias("p"),
+            F.first("parts").alias("parts"),
         )
-        open_ = open_.where("lo != hi").select("band", "p")
-        members = materialize(members.join(open_, "band"), "near-buckets")
+        open_ = _salted(open_.where("lo != hi").select("band", "p", "parts"))
+        older, members = members, materialize(members.join(open_.drop("parts"), ["band", "salt"]), "near-buckets")
+        discard(older)
         if members.isEmpty():
             break
         if k < ROUNDS:
@@ -259,27 +315,19 @@ def components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             )
             pairs = _estimated(pairs.distinct(), sketches)
         else:
-            # A pair is made in the first band that it shares only, and only if both its sketches are near.
-            fine = _texts(members.select("node").distinct(), nodes, docs).mapInArrow(partial(_fine, shingle=shingle), "node long, fine array<bigint>")
-            fine = materialize(fine.dropDuplicates(["node"]), "near-fine")
-            side = members.select("band", "node", "comp").join(nodes.select("node", "sketch", "bands"), "node").join(fine, "node")
-            x, y = (
-                side.select("band", *[F.col(c).alias(f"{n}_{v}") for c, n in (("node", "n"), ("comp", "c"), ("sketch", "s"), ("fine", "f"), ("bands", "bands"))])
-                for v in "ab"
-            )
-            near = (_differing("s", SKETCH_LONGS) <= MOST_DIFFERING) & (_differing("f", FINE_LONGS) <= FINE_MOST)
-            met = x.join(y, "band").where((F.col("c_a") < F.col("c_b")) & (_first_shared() == F.col("band")) & near)
-            pairs = met.select(F.col("n_a").alias("a"), F.col("n_b").alias("b")).distinct()
+            pairs = _left_over(members, nodes, docs, shingle)
         pairs = materialize(pairs, "near-pairs")
         links = materialize(_links(pairs, nodes, docs, shingle), "near-links")
         comp = lambda c: _labelled(nodes, labels).select(F.col("node").alias(c), F.col("comp").alias(f"c_{c}"))
         merged = connected(links.join(comp("a"), "a").join(comp("b"), "b"), "c_a", "c_b")
         merged = merged.select(F.col("node").alias("comp"), "root")
-        labels = materialize(
+        older, labels = labels, materialize(
             _labelled(nodes, labels).join(merged, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")),
             "near-labels",
         )
-        members = members.drop("p", "comp").join(labels, "node")
+        discard(older, pairs, links)
+        older, members = members, materialize(members.drop("p", "comp").join(labels, "node"), "near-buckets")
+        discard(older)
     least = _labelled(nodes, labels).join(nodes.select("node", "rep"), "node")
     firsts = least.groupBy("comp").agg(F.min("rep").alias("component_id"))
     of_node = least.select("node", "comp").join(firsts, "comp").select("node", "component_id")
