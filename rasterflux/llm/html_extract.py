@@ -1,24 +1,31 @@
 """Main text of web pages by tree scoring.
 
-A page is read into a tree of elements. Every paragraph passes points to its parent and, halved, to its grandparent: one, one per comma,
-and up to three for its length. A container's points are discounted by its link density. The best container is kept, with those of
-its siblings that score well or read like prose, and its blocks are joined in page order. Elements that are never article text (menus, headers and
-footers of the page, sidebars, notices, adverts, forms, scripts, styles, reader comments) are left out before scoring.
+A page is read into a tree of elements. Every paragraph passes points to its container: one, one per comma, and up to three for its length; a
+container passes on six tenths of its points to its own, and so on to the root, so that the common container of several good ones wins over each.
+A container's points are discounted by its link density. The best container is kept (the whole ``article`` or ``main`` around it, if most of that is
+in it), with those of its siblings that score a fifth of it, read like prose or are headings, and its blocks are joined in page order.
+
+Elements that are never article text (menus, headers and footers of the page, sidebars, notices, adverts, forms, scripts, styles, reader comments) are left
+out before scoring. A class or id that only has such words marks one; where they stand beside others (``related-work``), the element goes
+only if it does not read like prose.
 
 Defined cases: a null, empty or text-free page gives an empty text; a page cut off anywhere is read as if its open elements
 ended there; character references without an end mark are decoded as browsers do; repeated rows give repeated results; extra
-columns are ignored.
+columns are ignored. Time is in proportion to the page's length, however deep it nests.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from rasterflux.llm.common import arrow
+
 #: Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not page text.
@@ -35,12 +42,15 @@ ENDS_P = frozenset(
     "address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul"
     " details dd dt li".split()
 )
-#: Words of a class or id that mark what is not article text.
-UNLIKELY = re.compile(
-    r"(?:^|[-_\s])(?:ad|ads|adv|advert|adverts|advertisement|advertising|banner|breadcrumbs?|comment|comments|commentlist|consent|cookies?|disqus|footer|gdpr"
-    r"|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notices|outbrain|overlay|pagination|pager|popup|promo|promoted|promotion|related|replies|reply|respond"
-    r"|share|sharing|shoutbox|sidebar|site-header|skip|social|sponsor|sponsored|subscribe|subscription|taboola|toolbar|widget|cookie-?\w*|page-header)(?:$|[-_\s])",
-    re.I,
+#: Words of a class or id that mark what is not article text, and words that say nothing beside them.
+UNLIKELY = frozenset(
+    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr"
+    " masthead menu modal nav navbar navigation newsletter notice notices outbrain overlay pagination pager popup promo promoted promotion related replies reply respond"
+    " share sharing shoutbox sidebar skip social sponsor sponsored subscribe subscription taboola toolbar widget".split()
+)
+NEUTRAL = frozenset(
+    "area articles bar bottom box button buttons block container content form global group header inner item items left link links list main media module outer page panel posts primary"
+    " right row secondary section site sticky stories text title top wrap wrapper".split()
 )
 UNLIKELY_ROLE = frozenset(
     "navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form".split()
@@ -50,46 +60,69 @@ ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "score", "chars", "links", "skip")
+    __slots__ = ("tag", "parent", "items", "score", "chars", "links", "marks", "skip", "doubt", "kept")
 
-    def __init__(self, tag: str, parent: Node | None, skip: bool = False) -> None:
-        self.tag, self.parent, self.skip = tag, parent, skip
+    def __init__(self, tag: str, parent: Node | None) -> None:
+        self.tag, self.parent = tag, parent
         self.items: list[Node | str] = []
         self.score = 0.0
-        self.chars = self.links = 0
-
-
-def _unwanted(tag: str, attrs: str, parent: Node) -> bool:
-    if tag in OUTSIDE:
-        return True
-    if tag == "header":
-        # A header inside the article holds its title.
-        node: Node | None = parent
-        while node and node.tag not in ("article", "main"):
-            node = node.parent
-        if not node:
-            return True
+        self.chars = self.links = self.marks = 0
+        #: Left out; left out unless it reads like prose; part of the result.
+        self.skip = self.doubt = self.kept = False
+
+    def density(self) -> float:
+        return self.links / self.chars if self.chars else 0.0
+
+    def points(self) -> float:
+        return self.score * (1 - self.density())
+
+
+def _judge(node: Node, attrs: str, inside: bool) -> None:
+    """Sets skip and doubt; ``inside`` an article or main."""
+    tag = node.tag
+    # A header inside the article holds its title.
+    if tag in OUTSIDE or (tag == "header" and not inside):
+        node.skip = True
+        return
     if not attrs or "=" not in attrs:
-        return bool(re.search(r"\bhidden\b", attrs)) if attrs else False
+        node.skip = bool(attrs and re.search(r"\bhidden\b", attrs))
+        return
     if tag in ("html", "body", "article", "main"):
-        return False
+        return
     for name, *value in ATTR.findall(attrs):
-        text = "".join(value)
+        text = "".join(value).lower()
         name = name.lower()
-        if name in ("class", "id") and UNLIKELY.search(text):
-            return True
-        if name == "role" and text.lower() in UNLIKELY_ROLE:
-            return True
-        if name == "aria-hidden" and text.lower() == "true" or name == "hidden":
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", text, re.I):
-            return True
-    return False
-
-
-def parse(page: str) -> Node:
+        if name in ("class", "id"):
+            for token in text.split():
+                words = [w for w in re.split(r"[-_]+", token) if w]
+                bad = [w in UNLIKELY for w in words]
+                if any(bad):
+                    node.doubt = True
+                    node.skip |= all(b or w in NEUTRAL or w.isdigit() for b, w in zip(bad, words, strict=True))
+        elif (
+            (name == "role" and text in UNLIKELY_ROLE)
+            or (name == "aria-hidden" and text == "true")
+            or name == "hidden"
+            or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", text))
+        ):
+            node.skip = True
+
+
+def parse(page: str) -> list[Node]:
+    """All elements in page order, the root first."""
     root = node = Node("#root", None)
+    nodes, open_ = [root], Counter()
     at, n = 0, len(page)
+
+    def close(last: Node) -> None:
+        """Leaves ``last`` and all that is open in it."""
+        nonlocal node
+        while True:
+            open_[node.tag] -= 1
+            done, node = node is last, node.parent
+            if done:
+                return
+
     while at < n:
         m = TAG.search(page, at)
         if not m:
@@ -103,40 +136,45 @@ def parse(page: str) -> Node:
         if not tag:
             continue
         if m[1]:
-            up: Node | None = node
+            up: Node | None = node if open_[tag] > 0 else None
             while up and up.tag != tag:
                 # An end tag does not close what its own block does not hold.
                 up = None if tag in INLINE and up.tag not in INLINE else up.parent
             if up and up.parent:
-                node = up.parent
+                close(up)
             continue
         if tag in RAW:
             if not m[3].endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
                 at = end.end() if end else n
             continue
-        if tag in ENDS_P:
+        if tag in ENDS_P and open_["p"] > 0:
             up = node
             while up and (up.tag in INLINE or up.tag == "p"):
                 if up.tag == "p":
-                    node = up.parent
+                    close(up)
                     break
                 up = up.parent
         if tag in ("li", "dd", "dt", "tr", "td", "th"):
             same = {"li": ("li",), "tr": ("tr", "td", "th")}.get(tag, ("dd", "dt") if tag in ("dd", "dt") else ("td", "th"))
             stop = ("ul", "ol", "dl", "table", "tbody", "tr") if tag != "tr" else ("table", "tbody")
-            up = node
+            up, last = (node if any(open_[x] > 0 for x in same) else None), None
             while up and up.tag not in stop and up.parent:
                 if up.tag in same:
-                    node = up.parent
+                    last = up
                     if tag != "tr" or up.tag == "tr":
                         break
                 up = up.parent
-        child = Node("br" if tag == "br" else tag, node, _unwanted(tag, m[3], node))
+            if last:
+                close(last)
+        child = Node(tag, node)
+        _judge(child, m[3], open_["article"] + open_["main"] > 0)
         node.items.append(child)
+        nodes.append(child)
         if tag not in VOID and not m[3].endswith("/"):
             node = child
-    return root
+            open_[tag] += 1
+    return nodes
 
 
 def _blocks(node: Node, out: list[tuple[Node, str, int]]) -> None:
@@ -180,57 +218,66 @@ def _blocks(node: Node, out: list[tuple[Node, str, int]]) -> None:
                 stack.append([item, 0, False])
 
 
-def _density(node: Node) -> float:
-    return node.links / node.chars if node.chars else 0.0
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What containers pass on of their points, and the link density from which an element does not read like prose.
+PASSED, LINKED = 0.6, 0.3
+
+
+def _score(nodes: list[Node], blocks: list[tuple[Node, str, int]]) -> None:
+    """Points, characters, links and end marks of every element, from the leaves up; elements in doubt that are not prose are left out."""
+    for owner, text, links in blocks:
+        owner.chars += len(text)
+        owner.links += links
+        owner.marks += sum(map(text.count, ".,!?;。，、"))
+        points = 1 + sum(map(text.count, ",，、")) + min(len(text) // 100, 3)
+        # A list item's or heading's points reach its container as a paragraph's do.
+        inner = owner.tag in ENDS_P and owner.tag not in ("article", "section", "div", "main") and owner.parent
+        (owner.parent if inner else owner).score += points
+    for node in reversed(nodes):
+        if node.doubt and (node.density() >= LINKED or node.marks == 0):
+            node.skip = True
+        if node.parent and not node.skip:
+            node.parent.chars += node.chars
+            node.parent.links += node.links
+            node.parent.marks += node.marks
+            node.parent.score += PASSED * node.score
+
+
+def _belongs(sibling: Node, best: Node) -> bool:
+    """Whether an element beside the best container is part of the article."""
+    density = sibling.density()
+    if sibling.tag in HEADINGS:
+        return density < LINKED
+    if sibling.tag in ("p", "blockquote", "pre"):
+        return density < 0.25 and (sibling.chars > 80 or (sibling.links == 0 and sibling.marks > 0))
+    return sibling.points() >= 0.2 * best.points() and density < LINKED
 
 
 def extract(page: str | None) -> str:
     """The article of a page, blocks joined by line ends."""
     if not page:
         return ""
-    root = parse(page)
+    nodes = parse(page)
     blocks: list[tuple[Node, str, int]] = []
-    _blocks(root, blocks)
+    _blocks(nodes[0], blocks)
     if not blocks:
         return ""
-    scored: dict[int, Node] = {}
-    for owner, text, links in blocks:
-        up: Node | None = owner
-        while up:
-            up.chars += len(text)
-            up.links += links
-            up = up.parent
-        points = 1 + text.count(",") + min(len(text) // 100, 3)
-        # A list item's or heading's points reach its container as a paragraph's do.
-        holder = owner.parent if owner.tag in ENDS_P and owner.tag not in ("article", "section", "div") and owner.parent else owner
-        for level in (1.0, 0.5):
-            if holder is None:
-                break
-            holder.score += points * level
-            scored[id(holder)] = holder
-            holder = holder.parent
-    semantic = [x for x in scored.values() if x.tag in ("article", "main")]
-    pool = semantic or list(scored.values())
-    best = max(pool, key=lambda x: x.score * (1 - _density(x)))
-    final = best.score * (1 - _density(best))
-    keep = {id(best)}
+    _score(nodes, blocks)
+    for node in nodes:
+        node.skip |= node.parent is not None and node.parent.skip
+    best = max((x for x in nodes if not x.skip), key=Node.points)
+    up = best
+    while up := up.parent:
+        if up.tag in ("article", "main") and 2 * best.chars >= up.chars:
+            best = up
+    best.kept = True
     if best.parent:
         for sibling in best.parent.items:
-            if isinstance(sibling, str) or sibling.skip or sibling is best or not sibling.chars:
-                continue
-            density = _density(sibling)
-            good = sibling.score * (1 - density) >= max(10.0, 0.2 * final)
-            prose = sibling.tag == "p" and sibling.chars > 80 and density < 0.25
-            if (good or prose) and (best.tag not in ("article", "main") or sibling.tag == best.tag):
-                keep.add(id(sibling))
-    kept = []
-    for owner, text, _ in blocks:
-        up = owner
-        while up and id(up) not in keep:
-            up = up.parent
-        if up:
-            kept.append(text)
-    return "\n".join(kept)
+            if isinstance(sibling, Node) and sibling is not best and not sibling.skip and sibling.chars and _belongs(sibling, best):
+                sibling.kept = True
+    for node in nodes:
+        node.kept |= node.parent is not None and node.parent.kept
+    return "\n".join(text for owner, text, _ in blocks if owner.kept and not owner.skip)
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,4 +296,4 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text and its length in code points, for every row of ``pages``."""
-    return pages.select("page_id", "url", "html").mapInArrow(_run, "page_id long, url string, text string, n_chars long")
+    return arrow(pages.select("page_id", "url", "html"), _run, "page_id long, url string, text string, n_chars long")
