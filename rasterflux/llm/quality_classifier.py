@@ -3,7 +3,7 @@
 Heuristic labellers vote junk, good or nothing on every document. The votes' joint counts over all documents (one row per vote pattern, pre-aggregated
 in the tasks) are enough for expectation-maximisation, which estimates each labeller's accuracies on both classes and the share of junk without any
 true label. The posterior of a document's pattern is its soft label; a hashed linear scorer learns the soft labels of a bounded sample of documents
-(``MAX_SAMPLE`` documents of at most ``SAMPLE_CHARS`` characters) and then scores every whole text.
+(the ``MAX_SAMPLE`` distinct ones, by id and text, that come first in the order of a hash; whole texts, measured in the tasks) and then scores every whole text.
 
 Defined cases: on a null or empty text no labeller votes, and the scorer sees only its empty-text feature; the score is then the share of good documents
 as the scorer knows it. Repeated rows get equal scores; an empty table gives no rows; extra columns are ignored.
@@ -22,7 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_SAMPLE, SAMPLE_CHARS = 6000, 20_000
+from rasterflux.llm.common import arrow
+
+MAX_SAMPLE = 6000
 #: Hash buckets of the scorer.
 DIMS = 1 << 13
 KEEP_FROM = 0.5
@@ -171,7 +173,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def label_model(docs: DataFrame) -> LabelModel:
     """Fitted to the votes on all documents; at most 3^9 patterns come to the driver."""
-    rows = docs.select("text").mapInArrow(_count, "pattern long, n long").groupBy("pattern").agg(F.sum("n")).collect()
+    rows = arrow(docs.select("text"), _count, "pattern long, n long").groupBy("pattern").agg(F.sum("n")).collect()
     codes = np.array(sorted((r[0], r[1]) for r in rows), np.int64).reshape(-1, 2)
     return expectation_maximisation(unpattern(codes[:, 0]), codes[:, 1].astype(float))
 
@@ -211,20 +213,18 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(self.weights[i] @ x + self.bias, -30, 30))))
 
 
-def train(texts: list[str | None], labels: LabelModel, epochs: int = 12, rate: float = 0.5, l2: float = 1e-5) -> Scorer:
-    """Logistic regression on posterior labels by adaptive gradient steps in a fixed order."""
-    seen = [facts(t) for t in texts]
-    rows = [vector(f) for f in seen]
+def train(rows: list[tuple[np.ndarray, np.ndarray, int]], labels: LabelModel, epochs: int = 12, rate: float = 0.5, l2: float = 1e-5) -> Scorer:
+    """Logistic regression on posterior labels by adaptive gradient steps in a fixed order, from buckets, values and vote pattern of each document."""
     if not rows:
         return Scorer()
-    y = labels.posterior(np.array([votes(f) for f in seen]))
+    y = labels.posterior(unpattern(np.array([code for _, _, code in rows], np.int64)))
     # Both classes weigh the same, so the rarer is learnt as well.
     share = float(np.clip(y.mean(), 0.02, 0.98))
     w, b, past, past_b = np.zeros(DIMS), 0.0, np.full(DIMS, 1e-6), 1e-6
     order = np.random.default_rng(3)
     for _ in range(epochs):
         for k in order.permutation(len(rows)):
-            i, x = rows[k]
+            i, x, _ = rows[k]
             p = 1 / (1 + np.exp(-np.clip(w[i] @ x + b, -30, 30)))
             weight = y[k] * 0.5 / share + (1 - y[k]) * 0.5 / (1 - share)
             err = (p - y[k]) * weight
@@ -236,13 +236,27 @@ def train(texts: list[str | None], labels: LabelModel, epochs: int = 12, rate: f
     return Scorer(w.astype(np.float32), float(b))
 
 
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        seen = [facts(t.as_py()) for t in batch.column(1)]
+        rows = [vector(f) for f in seen]
+        arrays = [batch.column(0), pa.array([i for i, _ in rows], pa.list_(pa.int64())), pa.array([x for _, x in rows], pa.list_(pa.float64())), pa.array([pattern(votes(f)) for f in seen], pa.int64())]
+        yield pa.RecordBatch.from_arrays(arrays, ["place", "buckets", "values", "pattern"])
+
+
+def sample(docs: DataFrame) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """What the scorer learns from, in a fixed order. Only hashes are ranked and only measurements come to the driver."""
+    placed = docs.where("text is not null").select(F.xxhash64("doc_id", "text").alias("place"), "text")
+    last = placed.select("place").distinct().orderBy("place").limit(MAX_SAMPLE).agg(F.max("place")).first()[0]
+    if last is None:
+        return []
+    found = arrow(placed.where(F.col("place") <= last), _measured, "place long, buckets array<bigint>, values array<double>, pattern long")
+    rows = found.dropDuplicates(["place"]).collect()
+    return [(np.array(r.buckets, np.int64), np.array(r["values"]), r.pattern) for r in sorted(rows, key=lambda r: r.place)]
+
+
 def fit(docs: DataFrame) -> Scorer:
-    model = label_model(docs)
-    ids = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_SAMPLE)
-    sample = docs.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).join(F.broadcast(ids), "doc_id")
-    # Sorted, so the fit does not depend on the order of arrival; a repeated id stays within the bound.
-    texts = sorted(r[0] for r in sample.where("text is not null").select("text").limit(2 * MAX_SAMPLE).collect())
-    return train(texts, model)
+    return train(sample(docs), label_model(docs))
 
 
 def _scorer(scorer: Scorer, columns: int):
@@ -257,7 +271,7 @@ def _scorer(scorer: Scorer, columns: int):
 def score_documents(docs: DataFrame, scorer: Scorer) -> DataFrame:
     """doc_id, score (P(good)) and kept of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = docs.select("doc_id", "text").mapInArrow(_scorer(scorer, 1), f"doc_id {kind}, score double")
+    scored = arrow(docs.select("doc_id", "text"), _scorer(scorer, 1), f"doc_id {kind}, score double")
     return scored.withColumn("kept", F.col("score") >= KEEP_FROM)
 
 
@@ -269,5 +283,5 @@ def filter_documents(docs: DataFrame) -> DataFrame:
     """The documents that the classifier keeps, with their own columns."""
     row = docs.select(F.struct(*docs.columns).alias("c0"), "text")
     kind = row.schema["c0"].dataType.simpleString()
-    scored = row.mapInArrow(_scorer(fit(docs), 1), f"c0 {kind}, score double")
+    scored = arrow(row, _scorer(fit(docs), 1), f"c0 {kind}, score double")
     return scored.where(F.col("score") >= KEEP_FROM).select("c0.*")
