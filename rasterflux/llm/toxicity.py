@@ -1,15 +1,20 @@
 """Toxicity by compression distance.
 
-Two Zstandard dictionaries are trained on labelled text: one on windows of ordinary documents, one on the passages of toxic documents whose byte
+Two Zstandard dictionaries are trained on labelled text: one on windows of ordinary documents, one on toxic text, which is the passages of toxic documents whose byte
 grams are far more frequent there than in ordinary ones. A window of a text is compressed once with the ordinary dictionary and once with
 the ordinary dictionary followed by the toxic one; the bytes that the second saves are the window's distance. A text's largest and mean savings and
 the shares of windows beyond two thresholds are calibrated to a probability by a logistic fit on labelled documents that trained none of the dictionaries they are measured with.
+The thresholds are the savings that ``BEYOND`` of such documents' ordinary windows do not reach.
 
-The fit uses a bounded, documented sample of labelled rows (``MAX_TOXIC``, ``MAX_ORDINARY`` documents, of each at most ``SAMPLE_CHARS``
-characters); scoring reads every whole text. Rows of the held-out fold, crc32 of the id as text modulo 3 equal to 1, are never learnt from.
+A toxic document is mostly ordinary prose, so a dictionary trained on all of it and compared by itself tells little (the README has figures): hence the
+passages, and hence the ordinary dictionary before the toxic one, both as plain content, which leaves nothing but toxic text to save by.
+
+The fit uses a bounded sample of labelled rows: at most ``MAX_TOXIC`` and ``MAX_ORDINARY`` whole documents, in the order of a hash, of ``MAX_CHARS`` characters a class together;
+the dictionaries are trained on at most ``TRAINED`` ordinary windows and ``REPEATS`` repeats of a passage. Scoring reads every whole text. Rows of the held-out
+fold, crc32 of the id as text modulo 3 equal to 1, are never learnt from.
 
 Defined cases: a null or empty text is one empty window with distance 0; where labels hold no documents of one class,
-every score is 0; several labels of a document count as toxic if one does; repeated rows get equal scores; extra columns are ignored.
+every score is 0; several labels of a document count as toxic if one does; repeated rows get equal scores and are learnt from once; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +29,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_TOXIC, MAX_ORDINARY, SAMPLE_CHARS = 3000, 6000, 20_000
+from rasterflux.llm.common import arrow
+
+MAX_TOXIC, MAX_ORDINARY, MAX_CHARS = 3000, 6000, 40_000_000
+#: Most ordinary windows and repeats of a toxic passage that the dictionaries are trained on.
+TRAINED, REPEATS = 100_000, 50
 #: Bytes of a window and between the starts of two.
 WINDOW, STEP = 48, 36
 GRAMS, GRAM_BITS = (5, 9), 22
@@ -34,8 +43,8 @@ MARK_BITS, COPY_FROM = 7, 0.5
 LEAST_Z, LEAST_RATIO = 4.5, 30.0
 ORDINARY_BYTES, TOXIC_BYTES = 32 * 1024, 2048
 LEVEL = 3
-#: Savings in bytes beyond which a window counts.
-THRESHOLDS = (2, 4)
+#: Shares of ordinary windows that save less than the two thresholds.
+BEYOND = (0.99, 0.999)
 PREDICTED_FROM = 0.7
 
 
@@ -134,6 +143,7 @@ def _dictionary(samples: list[bytes], size: int) -> bytes:
 class Model:
     ordinary: bytes = b""
     toxic: bytes = b""
+    thresholds: tuple[float, ...] = (1.0, 1.0)
     mean: np.ndarray = field(default_factory=lambda: np.zeros(0))
     scale: np.ndarray = field(default_factory=lambda: np.zeros(0))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
@@ -155,22 +165,25 @@ class Model:
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
 
-    def measure(self, data: bytes) -> np.ndarray:
-        """Largest, mean of the three and eight largest, mean saving; shares beyond the thresholds; log of the number of windows."""
+    def savings(self, data: bytes) -> np.ndarray:
+        """Bytes that each window saves by the toxic dictionary."""
         plain, toxic = self._with_ordinary, self._with_toxic
         ws = windows(data)
-        saved = np.fromiter((len(plain(w)) - len(toxic(w)) for w in ws), np.float64, len(ws))
+        return np.fromiter((len(plain(w)) - len(toxic(w)) for w in ws), np.float64, len(ws))
+
+    def measure(self, saved: np.ndarray) -> np.ndarray:
+        """Largest, mean of the three and eight largest, mean saving; shares beyond the thresholds; log of the number of windows."""
         top = np.sort(saved)[::-1]
-        share = [(saved >= t).mean() for t in THRESHOLDS]
-        many = (saved >= THRESHOLDS[-1]).sum()
+        share = [(saved >= t).mean() for t in self.thresholds]
+        many = (saved >= self.thresholds[-1]).sum()
         return np.array(
-            [top[0], top[:3].mean(), top[:8].mean(), saved.mean(), *share, np.sqrt(share[-1]), np.log1p(many), np.log(len(ws))]
+            [top[0], top[:3].mean(), top[:8].mean(), saved.mean(), *share, np.sqrt(share[-1]), np.log1p(many), np.log(len(saved))]
         )
 
     def score(self, text: str) -> float:
         if not len(self.weights):
             return 0.0
-        x = (self.measure(text.lower().encode("utf-8", "surrogatepass")) - self.mean) / self.scale
+        x = (self.measure(self.savings(text.lower().encode("utf-8", "surrogatepass"))) - self.mean) / self.scale
         return float(1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30))))
 
 
@@ -182,12 +195,12 @@ def _dictionaries(docs: list[tuple[bytes, int]], rng: random.Random) -> Model:
         return model
     marked = marked_grams(toxic, ordinary)
     found = Counter(p for t in toxic for p in passages(t, marked))
-    repeated = [p for p, n in sorted(found.items()) for _ in range(min(n, 50))]
+    repeated = [p for p, n in sorted(found.items()) for _ in range(min(n, REPEATS))]
     rng.shuffle(repeated)
     model.toxic = _dictionary([b"\0".join(repeated[i : i + 8]) for i in range(0, len(repeated), 8)], TOXIC_BYTES)
     prose = [w for t in ordinary for w in windows(t)]
     rng.shuffle(prose)
-    model.ordinary = _dictionary(prose[:100_000], ORDINARY_BYTES)
+    model.ordinary = _dictionary(prose[:TRAINED], ORDINARY_BYTES)
     model.prepare()
     return model
 
@@ -200,14 +213,17 @@ def fit(rows: list[tuple[str, int, int]], seed: int = 5) -> Model:
     model = _dictionaries([(t, x) for t, x, _ in docs], rng)
     if not model.ordinary:
         return model
-    x, y = [], []
+    saved, y = [], []
     for half in (0, 1):
         other = _dictionaries([(t, v) for t, v, c in docs if c != half], rng)
         other = other if other.ordinary else model
         held = [(t, v) for t, v, c in docs if c == half]
-        x += [other.measure(t) for t, _ in held]
+        saved += [other.savings(t) for t, _ in held]
         y += [v for _, v in held]
-    x, y = np.array(x), np.array(y, float)
+    plain = np.concatenate([s for s, v in zip(saved, y, strict=True) if not v])
+    # A byte more than those windows save.
+    model.thresholds = tuple(max(1.0, float(np.quantile(plain, q, method="higher")) + 1) for q in BEYOND)
+    x, y = np.array([model.measure(s) for s in saved]), np.array(y, float)
     model.mean, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     z = np.c_[(x - model.mean) / model.scale, np.ones(len(x))]
     w = np.zeros(z.shape[1])
@@ -221,7 +237,7 @@ def fit(rows: list[tuple[str, int, int]], seed: int = 5) -> Model:
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int, int]]:
-    """The bounded sample of labelled rows outside the held-out fold. At most MAX_TOXIC + MAX_ORDINARY ids are broadcast."""
+    """The bounded sample of labelled rows outside the held-out fold. At most MAX_TOXIC + MAX_ORDINARY ids are broadcast, and as many sizes and texts collected."""
     known = (
         labels.where("toxic is not null and doc_id is not null")
         .groupBy("doc_id")
@@ -232,10 +248,20 @@ def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int, int]]:
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = known.where("toxic = 1").orderBy(*order).limit(MAX_TOXIC)
     chosen = chosen.union(known.where("toxic = 0").orderBy(*order).limit(MAX_ORDINARY))
-    texts = docs.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).where("text is not null")
-    # A repeated id may bring several rows; the sample stays within its bound.
-    found = texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic", "half").limit(MAX_TOXIC + MAX_ORDINARY)
-    return [(r[0], int(r[1]), int(r[2])) for r in found.collect()]
+    texts = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("place")).where("text is not null")
+    found = texts.join(F.broadcast(chosen), "doc_id")
+    rows = 2 * (MAX_TOXIC + MAX_ORDINARY)
+    sizes = found.groupBy("place").agg(F.max("toxic").alias("toxic"), F.max(F.length("text")).alias("n")).orderBy("place").limit(rows).collect()
+    left, places = {0: MAX_CHARS, 1: MAX_CHARS}, []
+    for r in sizes:
+        if r.n <= left[r.toxic]:
+            left[r.toxic] -= r.n
+            places.append((r.place,))
+    if not places:
+        return []
+    picked = docs.sparkSession.createDataFrame(places, "place long")
+    got = found.join(F.broadcast(picked), "place").select("place", "text", "toxic", "half").dropDuplicates(["place"]).collect()
+    return [(r.text, int(r.toxic), int(r.half)) for r in sorted(got, key=lambda r: r.place)]
 
 
 def _scorer(model: Model):
@@ -254,7 +280,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", (F.coalesce(fold(F.col("doc_id")), F.lit(0)) == 1).alias("held_out"), "text")
-    scored = rows.mapInArrow(_scorer(model), f"doc_id {kind}, held_out boolean, score double")
+    scored = arrow(rows, _scorer(model), f"doc_id {kind}, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= PREDICTED_FROM).cast("int"))
 
 
