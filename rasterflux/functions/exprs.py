@@ -5,10 +5,10 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Fixed values of the change rules.
+# Fixed values of the change rules and of the request language: classes, thresholds, tiers, words, labels and prompt.
 VALID_SCL = (2, 4, 5, 6, 7)
 OPTICAL_THRESHOLD, SAR_THRESHOLD_DB = 0.20, 3.0
 VEG, WATER, BUILT = 0.15, 0.15, 0.05
@@ -39,15 +39,26 @@ def _c(x: Col) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def absent(x: Col) -> Column:
+    """NaN and infinities become NULL: an absent measurement. Spark orders NaN above all numbers, so a threshold would pass it."""
+    v = _c(x)
+    return F.when(~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))), v)
+
+
+def _ratio(num: Column, den: Column) -> Column:
+    """0 where the denominator is 0, NULL where a side is absent."""
+    return F.when(den == 0, F.when(num.isNotNull(), 0.0)).otherwise(num / den)
+
+
 def norm_diff(a: Col, b: Col) -> Column:
-    """(a - b) / (a + b), 0 where the sum is 0."""
-    a, b = _c(a), _c(b)
-    return F.coalesce(F.try_divide(a - b, a + b), F.lit(0.0))
+    """(a - b) / (a + b), 0 where the sum is 0, NULL where a band is absent."""
+    a, b = absent(a), absent(b)
+    return _ratio(a - b, a + b)
 
 
 def vari(green: Col, red: Col, blue: Col) -> Column:
-    g, r, b = _c(green), _c(red), _c(blue)
-    return F.coalesce(F.try_divide(g - r, g + r - b), F.lit(0.0))
+    g, r, b = absent(green), absent(red), absent(blue)
+    return _ratio(g - r, g + r - b)
 
 
 INDICES = {"ndvi": ("nir", "red"), "ndwi": ("green", "nir"), "ndbi": ("swir16", "nir")}
@@ -59,11 +70,6 @@ def named_index(name: str) -> Column:
     return norm_diff(*INDICES[name])
 
 
-def absent_if_nan(x: Col) -> Column:
-    """NaN becomes NULL; Spark orders NaN above all numbers, so a threshold would pass it."""
-    return F.when(~F.isnan(_c(x)), _c(x))
-
-
 def to_db(gamma0: Col) -> Column:
     """10 log10, NULL (absent) for non-positive or non-finite values."""
     g = _c(gamma0).cast("double")
@@ -75,13 +81,13 @@ def scl_valid(scl: Col) -> Column:
 
 
 def crossing(diff: Col, valid: Col, threshold: float) -> Column:
-    return F.coalesce(_c(valid), F.lit(False)) & (F.abs(F.coalesce(_c(diff), F.lit(0.0))) >= threshold)
+    return F.coalesce(_c(valid), F.lit(False)) & (F.abs(F.coalesce(absent(diff), F.lit(0.0))) >= threshold)
 
 
 def direction(diff: Col, valid: Col, threshold: float) -> Column:
     if threshold <= 0:
         raise ValueError(f"threshold must be positive, got {threshold}")
-    d = F.when(_c(valid), F.coalesce(_c(diff), F.lit(0.0)))
+    d = F.when(_c(valid), F.coalesce(absent(diff), F.lit(0.0)))
     return F.when(d <= -threshold, "loss").when(d >= threshold, "gain")
 
 
@@ -134,12 +140,35 @@ def label(change_type: Col) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv]), _c(change_type))
 
 
-def evidence(ndvi: Col, ndwi: Col, ndbi: Col, db: Col, reason: Col) -> Column:
-    """Formatted readings and the reason; absent readings are left out."""
-    reading = lambda name, x, f: F.when(_c(x).isNotNull(), F.format_string(f"{name} {f}", _c(x).cast("double")))
-    return F.concat_ws(
-        "; ", reading("NDVI", ndvi, "%+.2f"), reading("NDWI", ndwi, "%+.2f"), reading("NDBI", ndbi, "%+.2f"), reading("SAR dB", db, "%+.1f"), _c(reason)
-    )
+REASONS = {
+    "flooding|0.9": "water index up, backscatter collapsed: open water",
+    "flooding|0.6": "water index up, not confirmed by radar",
+    "flooding|0.7": "backscatter collapsed without an optical view: water under cloud",
+    "water_recession|0.7": "water index down",
+    "vegetation_loss|0.5": "vegetation down; without radar, clearing and building look alike",
+    "vegetation_loss|0.55": "vegetation down, radar ambiguous",
+    "construction|0.85": "vegetation down, built-up index and backscatter up",
+    "construction|0.65": "vegetation down, backscatter up",
+    "clearance|0.85": "vegetation and backscatter down",
+    "vegetation_growth|0.75": "vegetation up",
+    "road_development|0.6": "long and narrow",
+    "surface_change|0.55": "built-up index up, vegetation kept",
+    "structural_change|0.6": "backscatter changed without a spectral change",
+    "other|0.3": "no rule matched",
+}
+
+
+def reason(change_type: Col, confidence: Col) -> Column:
+    """Why a rule gave this type with this confidence, which names the rule."""
+    names = F.create_map(*[F.lit(x) for kv in REASONS.items() for x in kv])
+    return F.element_at(names, F.concat(_c(change_type), F.lit("|"), _c(confidence).cast("string")))
+
+
+def evidence(ndvi: Col, ndwi: Col, ndbi: Col, db: Col, has_optical: Col, has_sar: Col, why: Col) -> Column:
+    """The readings of the sensors that saw the region, and the reason."""
+    optical = F.format_string("NDVI %+.2f, NDWI %+.2f, NDBI %+.2f", *[_c(x).cast("double") for x in (ndvi, ndwi, ndbi)])
+    radar = F.format_string("SAR %+.1f dB", _c(db).cast("double"))
+    return F.concat_ws("; ", F.when(_c(has_optical), optical), F.when(_c(has_sar), radar), _c(why))
 
 
 def split_request(text: Col) -> tuple[Column, Column]:
@@ -171,19 +200,30 @@ def aoi(lat: Col, lon: Col, west: Col, south: Col, east: Col, north: Col, span:
 
 
 def build_prompt(query: Col, template: str = "a satellite image of {}") -> Column:
+    """The query as a caption; an empty one raises when read."""
     q = F.btrim(_c(query))
     before, after = template.split("{}")
-    return F.when(F.lower(q).rlike(r"^(a|an|the) "), q).otherwise(F.concat(F.lit(before), q, F.lit(after)))
+    formed = F.when(F.lower(q).rlike(r"^(a|an|the) "), q).otherwise(F.concat(F.lit(before), q, F.lit(after)))
+    return F.when(q == "", F.raise_error(F.lit("the query is empty")).cast("string")).otherwise(formed)
 
 
-def public_error(message: Col) -> Column:
-    """URL query strings are taken out; at most 400 characters."""
-    return F.left(F.regexp_replace(_c(message), r"(https?://[^\s?'\"]+)\?[^\s'\"]+", "$1?[redacted]"), F.lit(400))
+def public_error(message: Col, limit: int = 400) -> Column:
+    """URL query strings are taken out, as they carry tokens; at most ``limit`` characters, the last a mark of what is cut."""
+    m = F.regexp_replace(_c(message), r"\?[^\s'\"<>]*", "?…")
+    return F.when(F.length(m) > limit, F.concat(F.left(m, F.lit(limit - 1)), F.lit("…"))).otherwise(m)
 
 
 def format_hectares(ha: Col) -> Column:
+    """From 100 whole hectares with thousands marks, else one place."""
     h = _c(ha)
-    return F.when(h >= 100, F.format_string("%.0f", h)).otherwise(F.format_string("%.1f", h))
+    return F.when(h >= 100, F.format_number(F.floor(h + 0.5), 0)).otherwise(F.format_string("%.1f", h))
+
+
+def escape_html(text: Col) -> Column:
+    out = _c(text)
+    for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        out = F.replace(out, F.lit(mark), F.lit(name))
+    return out
 
 
 def place_label(name: Col) -> Column:
@@ -191,8 +231,17 @@ def place_label(name: Col) -> Column:
 
 
 def cache_key(scene: Col, bbox: list[Col], layer: Col) -> Column:
-    parts = [F.format_string("%.6f", _c(b).cast("double")) for b in bbox]
-    return F.left(F.sha1(F.to_json(F.struct(_c(scene).alias("scene"), F.array(*parts).alias("bbox"), _c(layer).alias("layer")))), F.lit(20))
+    """20 digits that name a layer of a scene over a box; the box counts to six places."""
+    box = F.concat_ws(", ", *[F.round(_c(b).cast("double"), 6).cast("string") for b in bbox])
+    text = F.concat(F.lit('{"bbox": ['), box, F.lit('], "layer": "'), _c(layer), F.lit('", "scene": "'), _c(scene), F.lit('"}'))
+    return F.left(F.sha1(text), F.lit(20))
+
+
+def tree_fingerprint(files: DataFrame) -> DataFrame:
+    """One row: SHA-256 over a tree's files (path, content), by path, line ends alike. A tree of sources is small: its files meet in one row."""
+    entry = F.struct("path", F.regexp_replace("content", "\r\n", "\n").alias("content"))
+    whole = F.aggregate(F.sort_array(F.collect_list(entry)), F.lit(""), lambda acc, x: F.concat(acc, x["path"], F.lit("\0"), x["content"], F.lit("\0")))
+    return files.agg(F.sha2(whole, 256).alias("fingerprint"))
 
 
 def utm_epsg(lon: Col, lat: Col) -> Column:

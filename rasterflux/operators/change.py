@@ -9,29 +9,44 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rasterflux.functions import exprs as E
+from rasterflux.operators.graph import numbered
+from rasterflux.shipping import ship
+from rasterflux.storage import materialize
 
 PIXEL = ("r", "c")
 
 
-def baseline_diff(px: DataFrame, value: str, valid: str, step: str = "step") -> DataFrame:
-    """r, c, step, diff, valid against the pixel's baseline (step 0), by one window instead of a self-join."""
-    w = W.partitionBy(*PIXEL)
-    base = F.max(F.when(F.col(step) == 0, F.struct(F.col(value).alias("v"), F.col(valid).alias("ok")))).over(w)
-    return (
-        px.withColumn("_b", base)
-        .where((F.col(step) > 0) & F.col("_b").isNotNull())
-        .select(*PIXEL, step, (F.col(value) - F.col("_b.v")).alias("diff"), (F.col(valid) & F.col("_b.ok")).alias("valid"))
-    )
+def ordinals(px: DataFrame, step: str = "step") -> DataFrame:
+    """step, ordinal (from 0) of the dates that a sensor has: a window without a usable scene has no rows and no ordinal. At most ``steps`` rows."""
+    return px.select(step).distinct().withColumn("ordinal", F.row_number().over(W.orderBy(step)) - 1)
+
+
+def baseline_diff(px: DataFrame, values: str | dict[str, str], valid: str, step: str = "step") -> DataFrame:
+    """r, c, step, t, differences and valid of each later date against the sensor's first usable date, by one window instead of a self-join.
+
+    ``t`` counts the sensor's later dates from 0, whatever windows between have no scene.
+    """
+    values = {"diff": values} if isinstance(values, str) else values
+    px = px.join(F.broadcast(ordinals(px, step)), step)
+    first = F.struct(*[E.absent(v).alias(k) for k, v in values.items()], F.col(valid).alias("ok"))
+    df = px.withColumn("_b", F.max(F.when(F.col("ordinal") == 0, first)).over(W.partitionBy(*PIXEL)))
+    diffs = [(E.absent(v) - F.col(f"_b.{k}")).alias(k) for k, v in values.items()]
+    kept = df.where((F.col("ordinal") > 0) & F.col("_b").isNotNull())
+    return kept.select(*PIXEL, step, (F.col("ordinal") - 1).alias("t"), *diffs, (F.col(valid) & F.col("_b.ok")).alias("valid"))
+
 
+def pair_diff(px: DataFrame, values: dict[str, Column], valid: Column, before: int, after: int, never: Column | None = None) -> DataFrame:
+    """One row per pixel seen on both dates: differences of several values and the joint validity, in one aggregation.
 
-def pair_diff(px: DataFrame, values: dict[str, Column], valid: Column, before: int, after: int) -> DataFrame:
-    """One row per pixel seen on both dates: differences of several values and the joint validity, in one aggregation."""
+    ``never``: where either date did not image the pixel at all.
+    """
     at = lambda x, s: F.max(F.when(F.col("step") == s, x))
     ok = at(valid.cast("int"), before) * at(valid.cast("int"), after)
+    extra = [] if never is None else [F.bool_or(never).alias("never")]
     return (
         px.where(F.col("step").isin(before, after))
         .groupBy(*PIXEL)
-        .agg(*[(at(v, after) - at(v, before)).alias(k) for k, v in values.items()], ok.alias("_ok"))
+        .agg(*[(at(E.absent(v), after) - at(E.absent(v), before)).alias(k) for k, v in values.items()], ok.alias("_ok"), *extra)
         .where("_ok is not null")
         .withColumn("valid", F.col("_ok") == 1)
         .drop("_ok")
@@ -97,7 +112,7 @@ def persistence(diffs: DataFrame, threshold: float, min_persist: int = 1, order:
 
     A crossing is confirmed by all later valid dates agreeing in sign; two windows over the pixel's own dates replace a self-join.
     """
-    d, ok = F.coalesce("diff", F.lit(0.0)), F.coalesce("valid", F.lit(False))
+    d, ok = F.coalesce(E.absent("diff"), F.lit(0.0)), F.coalesce("valid", F.lit(False))
     crossed = E.crossing("diff", "valid", threshold)
     later = W.partitionBy(*PIXEL).orderBy(order).rowsBetween(1, W.unboundedFollowing)
     count = lambda cond: F.coalesce(F.sum(cond.cast("int")).over(later), F.lit(0))
@@ -107,8 +122,10 @@ def persistence(diffs: DataFrame, threshold: float, min_persist: int = 1, order:
     df = df.withColumn("_late", F.col("_x") & (F.col("_nv") == 0)).withColumn("_agree", agree)
     first = F.min(F.when(F.col("_conf") | F.col("_late"), F.struct(F.col(order).alias("t"), d.alias("d"), F.col("_agree").alias("n"), F.col("_conf").alias("conf"), F.col("_late").alias("late"))))
     out = df.groupBy(*PIXEL).agg(first.alias("f"), F.bool_or("_x").alias("ever"), F.bool_or(ok).alias("observed"))
+    # Changed is persistent or latest; transient pixels, and only they, crossed without it.
     return out.select(
         *PIXEL,
+        F.col("f").isNotNull().alias("changed"),
         F.coalesce("f.conf", F.lit(False)).alias("persistent"),
         F.coalesce("f.late", F.lit(False)).alias("latest"),
         (F.col("ever") & F.col("f").isNull()).alias("transient"),
@@ -151,13 +168,40 @@ def boxcar(dense: DataFrame, value: str, size: int, height: int, width: int) ->
     return df.withColumn(value, F.when(F.col("_n") > 0, F.col("_s") / F.col("_n"))).drop("_s", "_n")
 
 
+def percentiles(values: DataFrame, value: str, shares: list[float]) -> DataFrame:
+    """One row: the values at the shares, interpolated linearly as exact percentiles are. Distinct values are counted and numbered by ranges, so no task holds them all."""
+    per = values.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    ranked = materialize(numbered(per, [F.col("v")], {"upto": "n"}), "percentiles")
+    whole = F.max("upto") - 1
+    near = ranked.crossJoin(F.broadcast(ranked.agg(whole.cast("double").alias("last"))))
+
+    def at(share: float) -> Column:
+        place = F.col("last") * share
+        value_at = lambda k: F.min(F.when(F.col("upto") > k, F.col("v")))
+        low, high, part = value_at(F.floor(place)), value_at(F.ceil(place)), F.max(place - F.floor(place))
+        return low + (high - low) * part
+
+    return near.agg(*[at(q).alias(f"q{k}") for k, q in enumerate(shares)])
+
+
 def stretch(band: DataFrame, value: str, low: float = 0.02, high: float = 0.98) -> DataFrame:
-    """0..255 between two percentiles of the positive values; one row of limits is broadcast."""
-    limits = band.agg(F.percentile(F.when(F.col(value) > 0, F.col(value)), F.array(F.lit(low), F.lit(high))).alias("q"))
-    lo, hi = F.col("q")[0], F.col("q")[1]
+    """0..255 between two percentiles of the finite positive values, 0 where absent; one row of limits is broadcast."""
+    v = E.absent(value)
+    limits = percentiles(band.select(F.when(v > 0, v).alias("v")), "v", [low, high])
+    lo, hi = F.col("q0"), F.col("q1")
     hi = F.when(hi <= lo, lo + 1).otherwise(hi)
-    scaled = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(value) - lo) / (hi - lo))) * 255).cast("int")
-    return band.crossJoin(F.broadcast(limits)).withColumn("level", F.coalesce(scaled, F.lit(0))).drop("q")
+    scaled = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (v - lo) / (hi - lo))) * 255).cast("int")
+    return band.crossJoin(F.broadcast(limits)).withColumn("level", F.coalesce(scaled, F.lit(0))).drop("q0", "q1")
+
+
+def true_colour(scene: DataFrame) -> DataFrame:
+    """r, c, red, green, blue levels: the scene's 8-bit rendering (visual_r, visual_g, visual_b) where it has one, else its stretched bands."""
+    if all(f"visual_{k}" in scene.columns for k in "rgb"):
+        return scene.select(*PIXEL, *[F.col(f"visual_{k[0]}").cast("int").alias(k) for k in ("red", "green", "blue")])
+    out = scene
+    for k in ("red", "green", "blue"):
+        out = stretch(out, k).withColumn(f"_{k}", F.col("level")).drop("level")
+    return out.select(*PIXEL, *[F.col(f"_{k}").alias(k) for k in ("red", "green", "blue")])
 
 
 def chip_db(db: Column, low: float = -25.0, high: float = 0.0) -> Column:
@@ -189,7 +233,8 @@ def phase_correlation(before: DataFrame, after: DataFrame, value: str, height: i
 
     The Fourier transforms run over rows, then over columns, and back, so a task holds single rows or columns. NULL, NaN and absent pixels count as the plane's mean.
     """
-    v = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
+    ship(before.sparkSession)
+    v = E.absent(F.col(value).cast("double"))
     px = [df.select(F.lit(k).alias("plane"), "r", "c", v.alias("v")) for k, df in enumerate((before, after))]
     px = px[0].union(px[1])
     mean = F.broadcast(px.groupBy("plane").agg(F.avg("v").alias("m")))

@@ -1,45 +1,58 @@
-"""Region operators: components, sieve, cap, zonal statistics, dating, provenance, rings.
+"""Region operators: components, sieve, cap, zonal statistics, dating, features, provenance, rings.
 
 Components are labelled tile by tile (``applyInPandas``, at most TILE x TILE pixels a group), then labels that touch across tile borders are
-merged by star contraction, so no task ever holds a whole mask. A component's label is its smallest pixel number r * width + c.
+merged by star contraction, so no task ever holds a whole mask. A component's label is its smallest pixel number r * width + c. A component may be as
+large as the image: its pixels are counted and averaged with partial aggregation, and joins on labels are split by adaptive skew joins.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rasterflux.operators.graph import connected
+from rasterflux.functions import exprs as E
+from rasterflux.operators.graph import connected, numbered
 from rasterflux.shipping import ship
-from rasterflux.storage import materialize
+from rasterflux.storage import discard, materialize
 
 TILE = 256
 MAX_REGIONS = 2000
 
 
 def _tile_labels(width: int, eight: bool):
-    steps = [(0, 1), (0, -1), (1, 0), (-1, 0)] + ([(1, 1), (1, -1), (-1, 1), (-1, -1)] if eight else [])
+    """Labels the pixels of a tile by their runs: runs of neighbouring rows that touch are merged to their first one by rounds of minima."""
+    pad = 1 if eight else 0
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = set(zip(pdf["r"], pdf["c"], strict=True))
-        found = {}
-        for start in sorted(left):
-            if start in found:
-                continue
-            label, stack = start[0] * width + start[1], [start]
-            found[start] = label
-            while stack:
-                r, c = stack.pop()
-                for dr, dc in steps:
-                    p = (r + dr, c + dc)
-                    if p in left and p not in found:
-                        found[p] = label
-                        stack.append(p)
-        return pdf.assign(label=[found[p] for p in zip(pdf["r"], pdf["c"], strict=True)]).drop(columns=["tr", "tc"])
+        pdf = pdf.sort_values(["r", "c"], ignore_index=True)
+        r, c = pdf["r"].to_numpy(np.int64), pdf["c"].to_numpy(np.int64)
+        new = np.append(True, (r[1:] != r[:-1]) | (c[1:] != c[:-1] + 1))
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(r)) - 1
+        row, far = r[first], np.int64(width + 4)
+        # Runs of the next row that reach from this run's start to its end.
+        low = np.searchsorted(row * far + c[last] + 1, (row + 1) * far + c[first] + 1 - pad, "left")
+        high = np.searchsorted(row * far + c[first] + 1, (row + 1) * far + c[last] + 1 + pad, "right")
+        n = np.maximum(high - low, 0)
+        a = np.repeat(np.arange(len(first)), n)
+        b = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        root = np.arange(len(first))
+        while True:
+            before = root.copy()
+            least = np.minimum(root[a], root[b])
+            for side in (a, b):
+                np.minimum.at(root, before[side], least)
+                np.minimum.at(root, side, least)
+            root = root[root]
+            if (root == before).all():
+                break
+        label = (row * width + c[first])[root]
+        return pdf.assign(label=label[np.cumsum(new) - 1]).drop(columns=["tr", "tc"])
 
     return run
 
@@ -47,6 +60,7 @@ def _tile_labels(width: int, eight: bool):
 def components(mask: DataFrame, width: int, height: int, eight: bool = True, keys: list[str] | None = None, tile: int = TILE) -> DataFrame:
     """keys, r, c, label of the true pixels of one mask per key."""
     keys = keys or []
+    ship(mask.sparkSession)
     tiled = mask.select(*keys, "r", "c", F.expr(f"r div {tile}").alias("tr"), F.expr(f"c div {tile}").alias("tc"))
     fields = [f"{k} {mask.schema[k].dataType.simpleString()}" for k in keys]
     schema = ", ".join([*fields, "r int", "c int", "label long"])
@@ -78,19 +92,26 @@ def sizes(labelled: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return labelled.groupBy(*(keys or []), "label").agg(F.count(F.lit(1)).alias("pixels"))
 
 
-def sieve_drop(mask: DataFrame, size: int, width: int, height: int, keys: list[str] | None = None) -> DataFrame:
-    """True pixels in 4-connected patches of at least ``size``."""
-    if size <= 1:
-        return mask
+def sieved(mask: DataFrame, size: int, width: int, height: int, keys: list[str] | None = None) -> DataFrame:
+    """keys, r, c, label of the true pixels in 4-connected patches of at least ``size``."""
     keys = keys or []
     lab = components(mask, width, height, eight=False, keys=keys)
-    whole = F.count(F.lit(1)).over(W.partitionBy(*keys, "label"))
-    return lab.withColumn("_n", whole).where(F.col("_n") >= size).select(*keys, "r", "c")
+    if size <= 1:
+        return lab
+    lab = materialize(lab, "patches")
+    big = sizes(lab, keys).where(F.col("pixels") >= size).select(*keys, "label")
+    return lab.join(big, [*keys, "label"], "left_semi").select(*keys, "r", "c", "label")
+
+
+def sieve_drop(mask: DataFrame, size: int, width: int, height: int, keys: list[str] | None = None) -> DataFrame:
+    """True pixels in 4-connected patches of at least ``size``."""
+    return mask if size <= 1 else sieved(mask, size, width, height, keys).drop("label")
 
 
 def sieve_merge(dense: DataFrame, size: int, width: int, height: int) -> DataFrame:
     """Two-valued sieve of a dense grid (r, c, on): every small patch of either value takes the value of its largest neighbour, small ones
     following theirs to a large one; without one they stay."""
+    # The background is a hot label: it is only counted and joined with few rows, never grouped whole.
     lab = materialize(components(dense.select("on", "r", "c"), width, height, eight=False, keys=["on"]), "sieve")
     n = lab.groupBy("on", "label").agg(F.count(F.lit(1)).alias("n"))
     step = F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in ((0, 1), (1, 0), (0, -1), (-1, 0))])
@@ -109,7 +130,9 @@ def sieve_merge(dense: DataFrame, size: int, width: int, height: int) -> DataFra
         more = found.where("new is not null").select("on", "label", "new")
         if more.isEmpty():
             break
-        big, rest = materialize(big.union(more), "chain"), found.where("new is null").drop("new")
+        older, big = big, materialize(big.union(more), "chain")
+        discard(older)
+        rest = found.where("new is null").drop("new")
     return lab.join(big, ["on", "label"], "left").select("r", "c", F.coalesce("new", "on").alias("on"))
 
 
@@ -137,52 +160,141 @@ def region_stats(labelled: DataFrame, values: list[str], keys: list[str]) -> Dat
 
 
 def region_dating(labelled: DataFrame, change: DataFrame, keys: list[str]) -> DataFrame:
-    """Modal change index (ties: smallest; none: -1) and the half-even mean of confirmations over all pixels of a region."""
+    """Modal change index (ties: smallest; none: -1) and the half-even mean of confirmations over all pixels of a region. Persistence only where dated."""
     px = labelled.join(change, ["r", "c"], "left")
     ci = F.mode(F.when(F.col("change_index") >= 0, F.col("change_index")), True)
     mean = F.rint(F.avg(F.coalesce("confirmations", F.lit(0)))).cast("int")
     out = px.groupBy(*keys, "label").agg(F.coalesce(ci, F.lit(-1)).cast("int").alias("change_index"), mean.alias("confirmed_by"))
-    return out.withColumn("persistence", F.when(F.col("confirmed_by") > 0, "confirmed").otherwise("unconfirmed (latest observation)"))
+    known = F.when(F.col("confirmed_by") > 0, "confirmed").otherwise("unconfirmed (latest observation)")
+    return out.withColumn("persistence", F.when(F.col("change_index") >= 0, known))
 
 
-def provenance(regions: DataFrame, used: DataFrame) -> DataFrame:
-    """Adds before and after scene ids per sensor: before is the sensor's first scene; after the scene of the change date if there is one, else the last.
+def dated(regions: DataFrame, labelled: DataFrame, optical: DataFrame | None, radar: DataFrame | None, used: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds change_date, dated_by, confirmed_by and persistence: by the optical dates where these saw the change, else by the radar dates, else none.
 
-    ``used`` is the run's short list of scenes (at most steps x sensors rows).
+    ``optical`` and ``radar`` are (r, c, change_index, confirmations) over each sensor's later dates; ``used`` the run's scenes with their ordinals.
     """
-    ends = used.groupBy("sensor").agg(F.min_by("id", F.struct("date", "id")).alias("first"), F.max_by("id", F.struct("date", "id")).alias("last"))
-    dated = used.groupBy("sensor", F.col("date").alias("change_date")).agg(F.min("id").alias("dated"))
-    return (
-        regions.join(F.broadcast(ends), "sensor", "left")
-        .join(F.broadcast(dated), ["sensor", "change_date"], "left")
-        .select(*regions.columns, F.col("first").alias("before_scene"), F.coalesce("dated", "last").alias("after_scene"))
-    )
+    out = regions
+    for sensor, change in (("S2", optical), ("S1", radar)):
+        if change is None:
+            out = out.withColumns({f"_date_{sensor}": F.lit(None).cast("date"), f"_by_{sensor}": F.lit(None).cast("int")})
+            continue
+        found = region_dating(labelled, change, keys).select(*keys, "label", (F.col("change_index") + 1).alias("_at"), F.col("confirmed_by").alias(f"_by_{sensor}"))
+        # At most the dates of a run; ordinal 0 is the baseline, which dates nothing.
+        days = F.broadcast(used.where((F.col("sensor") == sensor) & (F.col("ordinal") > 0)).select(F.col("ordinal").alias("_at"), F.col("date").alias(f"_date_{sensor}")))
+        out = out.join(found.join(days, "_at", "left").drop("_at"), [*keys, "label"], "left")
+    by_optical, by_radar = F.col("_date_S2").isNotNull(), F.col("_date_S1").isNotNull()
+    confirmed = F.when(by_optical, F.col("_by_S2")).when(by_radar, F.col("_by_S1"))
+    return out.withColumns(
+        {
+            "change_date": F.coalesce("_date_S2", "_date_S1"),
+            "dated_by": F.when(by_optical, "optical").when(by_radar, "radar"),
+            "confirmed_by": confirmed,
+            "persistence": F.when(confirmed > 0, "confirmed").when(confirmed.isNotNull(), "unconfirmed (latest observation)"),
+        }
+    ).drop("_date_S2", "_date_S1", "_by_S2", "_by_S1")
 
 
-def _rings(pdf: pd.DataFrame) -> Iterator[list[tuple[int, int]]]:
-    """Closed rings of corner points around the pixels, the inside on the right."""
-    inside = set(zip(pdf["r"].tolist(), pdf["c"].tolist(), strict=True))
+def provenance(regions: DataFrame, used: DataFrame) -> DataFrame:
+    """Adds the scenes behind each region, per sensor: before is the sensor's first; after the one of the change date if that sensor dated the region, else its last; and the first radar scene's orbit.
+
+    ``used`` is the run's short list of scenes (sensor, date, id, relative_orbit; at most steps x sensors rows). A sensor without scenes adds NULLs.
+    """
+    names = {"S2": ("optical", "scene", "date"), "S1": ("radar", "sar_scene", "sar_date")}
+    order = F.struct("date", "id")
+    out = regions
+    for sensor, (by, scene, day) in names.items():
+        mine = used.where(F.col("sensor") == sensor)
+        ends = mine.agg(F.min_by(F.struct("id", "date", "relative_orbit"), order).alias("_first"), F.max_by(F.struct("id", "date"), order).alias("_last"))
+        at = mine.groupBy(F.col("date").alias("_day")).agg(F.min("id").alias("_at"))
+        dates = F.when(F.col("dated_by") == by, F.col("change_date"))
+        out = out.crossJoin(F.broadcast(ends)).withColumn("_when", dates).join(F.broadcast(at), F.col("_when") == F.col("_day"), "left")
+        after = F.when(F.col("_at").isNotNull(), F.struct(F.col("_at").alias("id"), F.col("_when").alias("date"))).otherwise(F.col("_last"))
+        out = out.withColumns({f"{scene}_before": F.col("_first.id"), f"{day}_before": F.col("_first.date"), f"{scene}_after": after["id"], f"{day}_after": after["date"]})
+        if sensor == "S1":
+            out = out.withColumn("relative_orbit", F.col("_first.relative_orbit"))
+        out = out.drop("_first", "_last", "_when", "_day", "_at")
+    return out
+
+
+def trim(features: DataFrame, limit: int = MAX_REGIONS) -> DataFrame:
+    """The ``limit`` largest features (ties in the order of emission, ``id``), each with ``trimmed``, how many are left out: one label may have several pieces."""
+    ranked = numbered(features, [F.desc("area_ha"), F.col("id")])
+    whole = ranked.agg(F.greatest(F.count(F.lit(1)) - limit, F.lit(0)).alias("trimmed"))
+    return ranked.where(F.col("number") <= limit).drop("number").crossJoin(F.broadcast(whole))
+
+
+def features(
+    pieces: DataFrame, fused: DataFrame, width: int, height: int, pixel_area_m2: float = 100.0, limit: int = MAX_REGIONS
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Classified features, the labelled pixels of their regions, and one row with ``dropped``.
+
+    ``pieces`` are the sieved 4-connected patches (tier, direction, r, c, label). A region is 8-connected and has the statistics; each of its pieces is a feature, whose
+    area is its own. ``fused`` has d1 and the planes ndvi, ndwi and ndbi, which are averaged over all pixels of a region, absent ones as 0. Properties of a sensor that could
+    not see the region are absent, not 0.
+    """
+    keys = ["tier", "direction"]
+    lab = components(pieces.select(*keys, "r", "c"), width, height, True, keys)
+    planes = ["ndvi", "ndwi", "ndbi"]
+    values = fused.select("r", "c", *planes, F.col("d1").alias("sar_db"))
+    stats = region_stats(lab.join(values, ["r", "c"]), [*planes, "sar_db"], keys)
+    # Nine places, so that the order in which tasks add up does not decide a rule.
+    stats = stats.withColumns({k: F.round(k, 9) for k in [*planes, "sar_db"]})
+    capped = region_cap(stats, limit)
+    dropped = capped.agg(F.coalesce(F.max("dropped"), F.lit(0)).alias("dropped"))
+    seen = capped.withColumns({"has_optical": F.col("tier").isin("confirmed", "optical", "sar_only"), "has_sar": F.col("tier").isin("confirmed", "sar_only", "sar_gap")})
+    seen = seen.withColumn("k", E.classify()).withColumnRenamed("pixels", "region_pixels")
+    both = pieces.withColumnRenamed("label", "piece").join(lab, [*keys, "r", "c"])
+    per_piece = both.groupBy(*keys, "label", "piece").agg(F.count(F.lit(1)).alias("pixels"))
+    out = per_piece.join(seen, [*keys, "label"])
+    delta = lambda c, flag, n: F.when(F.col(flag), F.round(c, n)).alias(f"{c}_delta")
+    why = E.reason("k.change_type", "k.confidence")
+    out = out.select(
+        *keys, "label", "piece", "pixels", "region_pixels", F.round(E.hectares("pixels", pixel_area_m2), 4).alias("area_ha"), "elongation", "k.change_type", "k.confidence",
+        E.label("k.change_type").alias("change_label"), E.evidence(*planes, "sar_db", "has_optical", "has_sar", why).alias("evidence"),
+        *[delta(c, "has_optical", 3) for c in planes], delta("sar_db", "has_sar", 2),
+    )
+    return out, lab, dropped
+
+
+def emitted(features_: DataFrame) -> DataFrame:
+    """Adds ``id``, the feature's position: by tier, loss before gain, region and piece."""
+    tier = F.array_position(F.array(*[F.lit(t) for t in E.TIERS]), F.col("tier"))
+    return numbered(features_, [tier, F.desc("direction"), F.col("label"), F.col("piece")]).withColumn("id", F.col("number") - 1).drop("number")
+
+
+def boundary(labelled: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, label and the directed edges (r1, c1) to (r2, c2) between its pixels and others, the inside on the right; a large region's inner pixels stay where they are."""
+    side = lambda dr, dc, a, b: F.struct(
+        (F.col("r") + dr).alias("nr"), (F.col("c") + dc).alias("nc"),
+        (F.col("r") + a[0]).alias("r1"), (F.col("c") + a[1]).alias("c1"), (F.col("r") + b[0]).alias("r2"), (F.col("c") + b[1]).alias("c2"),
+    )
+    sides = F.array(side(-1, 0, (0, 0), (0, 1)), side(0, 1, (0, 1), (1, 1)), side(1, 0, (1, 1), (1, 0)), side(0, -1, (1, 0), (0, 0)))
+    edges = labelled.select(*keys, "label", F.inline(sides))
+    inside = labelled.select(*keys, "label", F.col("r").alias("nr"), F.col("c").alias("nc"))
+    return edges.join(inside, [*keys, "label", "nr", "nc"], "left_anti").drop("nr", "nc")
+
+
+def _rings(edges: Iterator[tuple[int, int, int, int]]) -> Iterator[list[tuple[int, int]]]:
+    """Closed rings of corner points from directed boundary edges."""
     follow: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for r, c in sorted(inside):
-        for away, a, b in (((r - 1, c), (r, c), (r, c + 1)), ((r, c + 1), (r, c + 1), (r + 1, c + 1)), ((r + 1, c), (r + 1, c + 1), (r + 1, c)), ((r, c - 1), (r + 1, c), (r, c))):
-            if away not in inside:
-                follow.setdefault(a, []).append(b)
-    while follow:
-        start = min(follow)
-        ring, at, came = [start], start, None
-        while True:
-            options = follow[at]
-            # Where two pixels of a piece meet at a corner, the turn away from the inside keeps holes apart.
-            if came and len(options) > 1:
-                options.sort(key=lambda p: came[1] * (p[0] - at[0]) - came[0] * (p[1] - at[1]))
-            to = options.pop(0)
-            if not options:
-                del follow[at]
-            came, at = (to[0] - at[0], to[1] - at[1]), to
-            ring.append(at)
-            if at == start:
-                break
-        yield [p for k, p in enumerate(ring) if k in (0, len(ring) - 1) or not _straight(ring[k - 1], p, ring[k + 1])]
+    for r1, c1, r2, c2 in sorted(edges):
+        follow.setdefault((r1, c1), []).append((r2, c2))
+    # Corners in ascending order; each ring starts at the least that is left.
+    for start in sorted(follow):
+        while follow.get(start):
+            ring, at, came = [start], start, None
+            while True:
+                options = follow[at]
+                # Where two pixels of a piece meet at a corner, the turn away from the inside keeps holes apart.
+                if came and len(options) > 1:
+                    options.sort(key=lambda p: came[1] * (p[0] - at[0]) - came[0] * (p[1] - at[1]))
+                to = options.pop(0)
+                came, at = (to[0] - at[0], to[1] - at[1]), to
+                ring.append(at)
+                if at == start:
+                    break
+            yield [p for k, p in enumerate(ring) if k in (0, len(ring) - 1) or not _straight(ring[k - 1], p, ring[k + 1])]
 
 
 def _straight(a: tuple[int, int], b: tuple[int, int], c: tuple[int, int]) -> bool:
@@ -190,15 +302,28 @@ def _straight(a: tuple[int, int], b: tuple[int, int], c: tuple[int, int]) -> boo
 
 
 def rings(labelled: DataFrame, keys: list[str]) -> DataFrame:
-    """Per 4-connected label: its rings as arrays of [column, row] corners, the outer first. A region is capped upstream."""
-    fields = ", ".join([f"{k} {labelled.schema[k].dataType.simpleString()}" for k in keys] + ["label long, rings array<array<array<int>>>, pixels long"])
+    """Per 4-connected label: its rings as arrays of [column, row] corners, the outer first. A task's group is a region's boundary, not its pixels."""
+    ship(labelled.sparkSession)
+    labelled = materialize(labelled, "rings")
+    fields = ", ".join([f"{k} {labelled.schema[k].dataType.simpleString()}" for k in keys] + ["label long, rings array<array<array<int>>>"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = [[[c, r] for r, c in ring] for ring in _rings(pdf)]
-        row = {k: pdf[k].iloc[0] for k in keys} | {"label": pdf["label"].iloc[0], "rings": found, "pixels": len(pdf)}
-        return pd.DataFrame([row])
-
-    return labelled.groupBy(*keys, "label").applyInPandas(run, fields)
+        edges = zip(*(pdf[x].tolist() for x in ("r1", "c1", "r2", "c2")), strict=True)
+        found = [[[c, r] for r, c in ring] for ring in _rings(edges)]
+        return pd.DataFrame([{k: pdf[k].iloc[0] for k in keys} | {"label": pdf["label"].iloc[0], "rings": found}])
+
+    out = boundary(labelled, keys).groupBy(*keys, "label").applyInPandas(run, fields)
+    return out.join(sizes(labelled, keys), [*keys, "label"])
+
+
+def in_degrees(ringed: DataFrame, keys: list[str], left: float, top: float, res: float, epsg: int) -> DataFrame:
+    """Adds ``coordinates``, the rings in WGS84 to six places, from a projected grid's origin and resolution."""
+    points = ringed.select(*keys, F.posexplode("rings").alias("k", "ring")).select(*keys, "k", F.posexplode("ring").alias("i", "p"))
+    lon, lat = E.utm_inverse(left + F.col("p")[0] * res, top - F.col("p")[1] * res, F.lit(epsg))
+    points = points.select(*keys, "k", F.struct("i", F.array(F.round(lon, 6), F.round(lat, 6)).alias("xy")).alias("v"))
+    ring = points.groupBy(*keys, "k").agg(F.transform(F.sort_array(F.collect_list("v")), lambda v: v["xy"]).alias("ring"))
+    whole = ring.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "ring"))), lambda v: v["ring"]).alias("coordinates"))
+    return ringed.join(whole, keys)
 
 
 def to_feature(columns: list[str], geometry: Column) -> Column:

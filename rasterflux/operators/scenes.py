@@ -2,16 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rasterflux.functions import exprs as E
+from rasterflux.operators.graph import numbered
+from rasterflux.shipping import ship
+
+
+Box = tuple[float, float, float, float]
+#: What a scene id may look like; anything else is refused before it is looked up.
+SCENE_ID = r"^[A-Za-z0-9][A-Za-z0-9_.-]*$"
+
 
+def meets(box: Box | None) -> Column:
+    """Whether a scene (west, south, east, north) meets a box; touching counts."""
+    if box is None:
+        return F.lit(True)
+    w, s, e, n = box
+    return (F.col("west") <= e) & (F.col("east") >= w) & (F.col("south") <= n) & (F.col("north") >= s)
 
-def search(scenes: DataFrame, sensor: str, start: str, end: str, max_cloud: float | None = None, orbit: str | None = None, limit: int = 50) -> DataFrame:
-    """Optical: cloud below the maximum, clearest first. Radar: newest first; a cloud filter would drop its NULLs."""
-    found = scenes.where((F.col("sensor") == sensor) & F.col("date").between(start, end))
+
+def search(
+    scenes: DataFrame, sensor: str, start: str, end: str, max_cloud: float | None = None, orbit: str | None = None, limit: int = 50, box: Box | None = None
+) -> DataFrame:
+    """Scenes that meet the box within the dates, both inclusive. Optical: cloud below the maximum, clearest first. Radar: newest first; a cloud filter would drop its NULLs."""
+    found = scenes.where((F.col("sensor") == sensor) & F.col("date").between(start, end) & meets(box))
     if sensor == "S2":
         return found.where(F.col("cloud_cover") < (80.0 if max_cloud is None else max_cloud)).orderBy("cloud_cover", "id").limit(limit)
     if orbit:
@@ -19,6 +41,54 @@ def search(scenes: DataFrame, sensor: str, start: str, end: str, max_cloud: floa
     return found.orderBy(F.desc("date"), F.desc("id")).limit(limit)
 
 
+def listing(scenes: DataFrame | None, radar: DataFrame | None, start: str, end: str, box: Box | None = None, max_cloud: float = 80.0) -> tuple[DataFrame | None, list[str]]:
+    """What each sensor has, one after the other; a sensor that cannot be searched becomes a note."""
+    out, notes = None, []
+    for sensor, df in (("S2", scenes), ("S1", radar)):
+        if df is None:
+            notes.append(f"{sensor} search failed")
+            continue
+        part = search(df, sensor, start, end, max_cloud, box=box)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out, notes
+
+
+def scene_by_id(scenes: DataFrame, scene_id: str) -> DataFrame:
+    """The scene with an id, text compared with text."""
+    if not re.fullmatch(SCENE_ID, scene_id or ""):
+        raise ValueError(f"not a scene id: {scene_id!r}")
+    return scenes.where(F.col("id").cast("string") == scene_id)
+
+
+def usable_dates(used: DataFrame) -> DataFrame:
+    """Per sensor its dates, and whether they are enough to compare (two)."""
+    return used.groupBy("sensor").agg(F.count(F.lit(1)).alias("dates"), (F.count(F.lit(1)) >= 2).alias("usable"))
+
+
+def timeline(used: DataFrame) -> DataFrame:
+    """Scenes with an id and a step, in the order of date and sensor."""
+    return used.where(F.col("id").isNotNull() & F.col("step").isNotNull()).orderBy("date", "sensor")
+
+
+def steps_of(used: DataFrame) -> DataFrame:
+    return used.where("step is not null").select("step").distinct().orderBy("step")
+
+
+def compare_stops(timeline_: DataFrame, scenes: DataFrame) -> DataFrame:
+    """Stops to compare: those of the timeline, or the scenes of a run without one. A run has at most steps x sensors of either."""
+    has = timeline_.agg((F.count(F.lit(1)) > 0).alias("_has"))
+    both = timeline_.withColumn("_of", F.lit(True)).unionByName(scenes.withColumn("_of", F.lit(False)), allowMissingColumns=True)
+    return both.crossJoin(F.broadcast(has)).where((F.col("_of") == F.col("_has")) & F.col("id").isNotNull()).drop("_of", "_has")
+
+
+def compare_defaults(stops: DataFrame) -> DataFrame:
+    """One row: the first and last stop of the optical scenes, or of all where fewer than two are optical."""
+    key = F.struct("date", "sensor", "id")
+    optical = F.col("sensor") == "S2"
+    pick = lambda f: F.when(F.count_if(optical) >= 2, f(F.when(optical, key))).otherwise(f(key))["id"]
+    return stops.agg(pick(F.min).alias("before"), pick(F.max).alias("after"))
+
+
 def best_per_window(scenes: DataFrame, windows: DataFrame) -> DataFrame:
     """One scene per sensor and window: the clearest optical, the newest descending radar."""
     usable = scenes.where((F.col("sensor") == "S2") | (F.col("orbit_state") == "descending"))
@@ -31,10 +101,12 @@ def best_per_window(scenes: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def orbit_pair(before: DataFrame, after: DataFrame) -> DataFrame:
-    """The newest ``before`` scene whose orbit occurs in ``after``, with the newest ``after`` scene of that orbit."""
+    """The newest ``before`` scene whose orbit occurs in ``after``, with the newest ``after`` scene of that orbit. Without a shared orbit it raises when read."""
     newest = lambda df, p: df.groupBy("relative_orbit").agg(F.max(F.struct("date", "id")).alias(p))
     both = newest(before, "a").join(newest(after, "b").withColumnRenamed("relative_orbit", "o"), F.col("relative_orbit").eqNullSafe(F.col("o")))
-    return both.orderBy(F.desc("a")).limit(1).select(F.col("a.id").alias("before_id"), F.col("b.id").alias("after_id"), "relative_orbit")
+    best = both.groupBy().agg(F.max(F.struct("a", "b", "relative_orbit")).alias("m"))
+    checked = F.when(F.col("m").isNull(), F.raise_error(F.lit("no shared relative orbit: across orbits the viewing geometry would be compared")).cast("long"))
+    return best.select(F.coalesce(checked, F.col("m.a.id")).alias("before_id"), F.col("m.b.id").alias("after_id"), "m.relative_orbit")
 
 
 def timeline_pivot(best: DataFrame, steps: int) -> DataFrame:
@@ -42,9 +114,10 @@ def timeline_pivot(best: DataFrame, steps: int) -> DataFrame:
 
 
 def geocode(requests: DataFrame, gazetteer: DataFrame, limit: int = 5) -> DataFrame:
-    """Candidates of each place, by importance."""
+    """Candidates of each place, by importance; those with malformed boxes are left out."""
     key = lambda c: F.lower(F.btrim(c))
-    met = requests.join(gazetteer, key(F.col("where")) == key(F.col("name")))
+    sound = gazetteer.where((F.col("west") < F.col("east")) & (F.col("south") < F.col("north")) & F.col("west").between(-360, 360) & F.col("south").between(-90, 90))
+    met = requests.join(sound, key(F.col("where")) == key(F.col("name")))
     w = W.partitionBy("request_id").orderBy(F.desc("importance"), "place_id")
     return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
@@ -62,12 +135,30 @@ def resolve(requests: DataFrame, gazetteer: DataFrame, span: float = 0.10) -> Da
 
 
 def rank_by_vector(vectors: DataFrame, query: list[float], top_k: int = 20) -> DataFrame:
-    """Exact cosine rank of unit vectors against one query; a top-k report."""
+    """Exact cosine rank of unit vectors against one query, by the whole score; it is shown with four digits. A top-k report."""
     q = F.array(*[F.lit(float(x)) for x in query])
     score = F.aggregate(F.zip_with("embedding", q, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda acc, x: acc + x)
-    top = vectors.select(F.col("vec_id").alias("feature_index"), F.round(score, 4).alias("score"))
-    top = top.orderBy(F.desc("score"), "feature_index").limit(max(1, top_k))
-    return top.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "feature_index")))
+    top = vectors.select(F.col("vec_id").alias("feature_index"), score.alias("_score"))
+    top = top.orderBy(F.desc("_score"), "feature_index").limit(max(1, top_k))
+    rank = F.row_number().over(W.orderBy(F.desc("_score"), "feature_index"))
+    return top.withColumns({"score": F.round("_score", 4), "rank": rank}).drop("_score")
+
+
+def match_properties(matches: DataFrame, features: DataFrame) -> DataFrame:
+    """Matches (at most top-k rows) with the properties and geometry of their features."""
+    return features.join(F.broadcast(matches), "feature_index")
+
+
+def embed(crops: DataFrame, encoder: Callable[[pd.Series], pd.Series], column: str = "crop") -> DataFrame:
+    """Adds ``embedding``, of unit length, by an encoder of batches: any callable from a pandas series of crops to one of float lists."""
+    ship(crops.sparkSession)
+
+    @F.pandas_udf("array<float>")
+    def run(batch: pd.Series) -> pd.Series:
+        unit = lambda x: (v := np.asarray(x, np.float32)) / max(float(np.linalg.norm(v)), 1e-12)
+        return encoder(batch).map(unit)
+
+    return crops.withColumn("embedding", run(column))
 
 
 def mark_matches(regions: DataFrame, matches: DataFrame) -> DataFrame:
@@ -83,9 +174,31 @@ def retained(runs: DataFrame, keep: int = 100) -> DataFrame:
 
 
 def evict(entries: DataFrame, limit_bytes: int) -> DataFrame:
-    """Cache entries (key, size, used) to delete: the least recently used beyond the limit."""
-    w = W.orderBy(F.desc("used"), "key").rowsBetween(W.unboundedPreceding, 0)
-    return entries.withColumn("_total", F.sum("size").over(w)).where(F.col("_total") > limit_bytes).drop("_total")
+    """Cache entries (key, size, used) to delete: the least recently used beyond the limit. Sizes are added up range by range, so no task sees all entries."""
+    total = numbered(entries, [F.desc("used"), F.col("key")], {"_total": "size"})
+    return total.where(F.col("_total") > limit_bytes).drop("_total", "number")
+
+
+def run_list(runs: DataFrame) -> DataFrame:
+    """Runs, newest first."""
+    return runs.orderBy(F.desc("created"), F.desc("id"))
+
+
+def run_status(runs: DataFrame) -> DataFrame:
+    """Status without the payload: the error only where there is one, count and statistics only of runs that are done."""
+    done = F.col("status") == "done"
+    kept = [c for c in ("created", "finished", "params") if c in runs.columns]
+    only = [F.when(done, F.col(c)).alias(c) for c in ("feature_count", "stats") if c in runs.columns]
+    error = [F.when(F.col("error") != "", F.col("error")).alias("error")] if "error" in runs.columns else []
+    return runs.select(F.col("id").alias("job_id"), "status", *kept, *error, *only)
+
+
+def submit(runs: DataFrame, run_id: str, created: str, waiting: int = 8, keep: int = 100) -> DataFrame:
+    """The run table with one more pending run and the oldest finished ones beyond ``keep`` left out; raises where too many wait."""
+    if runs.where("status = 'pending'").limit(waiting).count() >= waiting:
+        raise RuntimeError(f"{waiting} runs are already waiting")
+    new = runs.sparkSession.createDataFrame([(run_id, created, "pending")], "id string, created string, status string")
+    return retained(runs.unionByName(new, allowMissingColumns=True), keep)
 
 
 def summarize(regions: DataFrame) -> DataFrame:
@@ -95,7 +208,7 @@ def summarize(regions: DataFrame) -> DataFrame:
 
 
 def persistence_strip(dates: DataFrame) -> DataFrame:
-    """Per region (dates array, change_index k >= 1, confirmed_by): each date and whether the change held on it."""
-    return dates.where("change_index >= 1").select("*", F.posexplode("dates").alias("i", "date")).withColumn(
-        "held", F.col("i").between(F.col("change_index"), F.col("change_index") + F.col("confirmed_by"))
-    )
+    """Per region (dates of the sensor that dated it, change_date, confirmed_by): each date and whether the change held on it."""
+    at = dates.withColumn("k", F.array_position("dates", F.col("change_date")) - 1)
+    cells = at.where((F.col("k") >= 1) & F.col("confirmed_by").isNotNull()).select("*", F.posexplode("dates").alias("i", "date"))
+    return cells.withColumn("held", F.col("i").between(F.col("k"), F.col("k") + F.col("confirmed_by"))).drop("k")

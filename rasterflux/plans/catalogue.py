@@ -55,7 +55,7 @@ _LOSS = f"m AS (SELECT 0 AS k, r, c FROM f0 WHERE v2 AND d2<=-0.2)"
 _TIERS = "m AS (SELECT tier||':'||direction AS k, r, c FROM fused WHERE tier IS NOT NULL)"
 _REGIONS = f"""{_BASE}, {_TIERS}, {_reach("lab", "m", True)},
 reg AS (SELECT fused.tier, fused.direction, lab.label, CAST(count(*) AS BIGINT) AS pixels,
- avg(CASE WHEN v2 THEN coalesce(d2,0) ELSE 0 END) AS ndvi, avg(CASE WHEN v2 THEN coalesce(dw,0) ELSE 0 END) AS ndwi, avg(CASE WHEN v2 THEN coalesce(dn,0) ELSE 0 END) AS ndbi, avg(coalesce(d1,0)) AS sar_db,
+ avg(coalesce(d2,0)) AS ndvi, avg(coalesce(dw,0)) AS ndwi, avg(coalesce(dn,0)) AS ndbi, avg(coalesce(d1,0)) AS sar_db,
  CAST(greatest(max(lab.r)-min(lab.r)+1, max(lab.c)-min(lab.c)+1) AS DOUBLE)/least(max(lab.r)-min(lab.r)+1, max(lab.c)-min(lab.c)+1) AS elongation
  FROM lab JOIN fused ON lab.r=fused.r AND lab.c=fused.c GROUP BY 1,2,3)"""
 _CLASSED = f"""{_REGIONS}, sg AS (SELECT tier, direction, label, pixels, round(ndvi,6) AS ndvi, round(ndwi,6) AS ndwi, round(ndbi,6) AS ndbi, round(sar_db,6) AS sar_db, elongation,
@@ -73,7 +73,8 @@ x2 AS (SELECT *, x AND nv>=1 AND na=nv AS conf, x AND nv=0 AS late FROM x1),
 x3 AS (SELECT r,c,min(t) FILTER (WHERE conf OR late) AS ft, bool_or(x) AS ever FROM x2 GROUP BY 1,2),
 ser AS (SELECT x3.r,x3.c,coalesce(x2.conf,false) AS persistent,coalesce(x2.late,false) AS latest,(ever AND ft IS NULL) AS transient,CAST(coalesce(ft,-1) AS INT) AS change_index,CAST(coalesce(x2.na,0) AS INT) AS confirmations,coalesce(x2.d,0.0) AS signed FROM x3 LEFT JOIN x2 ON x3.r=x2.r AND x3.c=x2.c AND x3.ft=x2.t)"""
 _SCENES = """sc AS (SELECT event_id AS id, CASE WHEN event_id%2=0 THEN 'S2' ELSE 'S1' END AS sensor, CAST(ts AS DATE) AS date,
- CASE WHEN event_id%2=0 THEN round(value % 100,2) END AS cloud_cover, CAST(user_id%12 AS INT) AS relative_orbit, CASE WHEN event_type IN ('view','click') THEN 'descending' ELSE 'ascending' END AS orbit_state FROM events)"""
+ CASE WHEN event_id%2=0 THEN round(value % 100,2) END AS cloud_cover, CAST(user_id%12 AS INT) AS relative_orbit, CASE WHEN event_type IN ('view','click') THEN 'descending' ELSE 'ascending' END AS orbit_state,
+ CAST(event_id%360-180 AS DOUBLE) AS west, CAST((event_id*7)%170-85 AS DOUBLE) AS south, CAST(event_id%360-179 AS DOUBLE) AS east, CAST((event_id*7)%170-84 AS DOUBLE) AS north FROM events)"""
 _WIN = f"""w AS (SELECT CAST(i AS INT) AS "window", DATE '{START}'+CAST(round_even(30*i/4.0,0) AS INT) AS window_start, DATE '{START}'+CAST(round_even(30*(i+1)/4.0,0) AS INT)-1 AS window_end FROM range(4) t(i))"""
 _BEST = f"""WITH {_SCENES}, {_WIN}, pl AS (SELECT *, row_number() OVER (PARTITION BY sensor,"window" ORDER BY CASE WHEN sensor='S2' THEN cloud_cover ELSE -date_diff('day',DATE '1970-01-01',date) END, CASE WHEN sensor='S2' THEN id ELSE -id END) AS k
  FROM sc JOIN w ON date BETWEEN window_start AND window_end WHERE sensor='S2' OR orbit_state='descending'),
@@ -112,8 +113,7 @@ def _loss(spark: SparkSession, d: str) -> DataFrame:
 
 def _regions(spark: SparkSession, d: str) -> DataFrame:
     f = _fused(spark, d).where("tier is not null")
-    seen = lambda c: F.when(F.col("v2"), F.col(c))
-    values = f.select("r", "c", seen("d2").alias("ndvi"), seen("dw").alias("ndwi"), seen("dn").alias("ndbi"), F.col("d1").alias("sar_db"))
+    values = f.select("r", "c", F.col("d2").alias("ndvi"), F.col("dw").alias("ndwi"), F.col("dn").alias("ndbi"), F.col("d1").alias("sar_db"))
     lab = R.components(f.select("tier", "direction", "r", "c"), N, N, keys=["tier", "direction"])
     return R.region_stats(lab.join(values, ["r", "c"]), ["ndvi", "ndwi", "ndbi", "sar_db"], ["tier", "direction"])
 
@@ -127,8 +127,7 @@ def _classified(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _stack(spark: SparkSession, d: str) -> DataFrame:
-    diffs = C.baseline_diff(_optical(spark, d), "ndvi", "ok")
-    return diffs.withColumn("t", F.col("step") - 1)
+    return C.baseline_diff(_optical(spark, d), "ndvi", "ok")
 
 
 def _series(spark: SparkSession, d: str) -> DataFrame:
@@ -200,12 +199,6 @@ def fusion_tiers(spark, d):
     return _fused(spark, d).select("r", "c", "tier", "direction")
 
 
-@query(f"""{_BASE} SELECT round(avg(v2::INT)*100,1) AS s2_usable, round(avg(v1::INT)*100,1) AS s1_usable, round(avg((NOT v2 AND v1)::INT)*100,1) AS optical_gap,
-round(avg((NOT v2 AND v1 AND d2 IS NULL)::INT)*100,1) AS never_imaged, round(avg((NOT v2 AND v1 AND d2 IS NOT NULL)::INT)*100,1) AS cloud_gap, round(avg((NOT v2 AND NOT v1)::INT)*100,1) AS not_observed FROM fused""")
-def coverage_stats(spark, d):
-    return C.coverage(_fused(spark, d), F.col("d2").isNull())
-
-
 @query(f"{_BASE} SELECT t.tier, count(f.r) AS pixels, round(count(f.r)*CAST(0.01 AS DOUBLE),2) AS hectares FROM (VALUES ('confirmed'),('optical'),('sar_only'),('sar_gap')) t(tier) LEFT JOIN fused f ON f.tier=t.tier GROUP BY 1")
 def tier_hectares(spark, d):
     return C.tier_hectares(_fused(spark, d))
@@ -229,7 +222,7 @@ def series_counts(spark, d):
 
 @query(f"{_SERIES}, nb AS (SELECT b.r,b.c,b.step-1 AS t,b.ndbi-a.ndbi AS dn FROM s2 a JOIN s2 b ON a.r=b.r AND a.c=b.c WHERE a.step=0 AND b.step>0) SELECT ser.r,ser.c,change_index,round(CASE WHEN change_index>=0 THEN coalesce(dn,0) ELSE 0 END,6) AS ndbi FROM ser LEFT JOIN nb ON ser.r=nb.r AND ser.c=nb.c AND nb.t=ser.change_index")
 def plane_at_change(spark, d):
-    stack = C.baseline_diff(_optical(spark, d), "ndbi", "ok").select("r", "c", (F.col("step") - 1).alias("t"), F.col("diff").alias("ndbi"))
+    stack = C.baseline_diff(_optical(spark, d), "ndbi", "ok").select("r", "c", "t", F.col("diff").alias("ndbi"))
     return C.plane_at(stack, _series(spark, d), "ndbi", LAST - 1).select("r", "c", "change_index", F.round("ndbi", 6).alias("ndbi"))
 
 
@@ -273,7 +266,7 @@ def _dated(spark, d):
     return R.region_dating(lab, _series(spark, d).select("r", "c", "change_index", "confirmations"), [])
 
 
-@query(f"{_DATED} SELECT label,change_index,confirmed_by,CASE WHEN confirmed_by>0 THEN 'confirmed' ELSE 'unconfirmed (latest observation)' END AS persistence FROM dated")
+@query(f"{_DATED} SELECT label,change_index,confirmed_by,CASE WHEN change_index<0 THEN NULL WHEN confirmed_by>0 THEN 'confirmed' ELSE 'unconfirmed (latest observation)' END AS persistence FROM dated")
 def region_dating(spark, d):
     return _dated(spark, d)
 
@@ -318,14 +311,6 @@ def timeline_cumulative(spark, d):
     return out.select("step", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("n"), F.round(F.coalesce(F.sum("p").over(w), F.lit(0)) * 0.01, 2).alias("area_ha"))
 
 
-@query(f"""{_BEST}, e AS (SELECT sensor, min_by(id,(date,id)) AS f, max_by(id,(date,id)) AS l FROM best GROUP BY 1), r AS (SELECT step AS region, sensor, CASE WHEN step%2=0 THEN date ELSE date+40 END AS change_date FROM best)
-SELECT r.region, r.sensor, CAST(r.change_date AS VARCHAR) AS change_date, e.f AS before_scene, coalesce(d.id, e.l) AS after_scene FROM r JOIN e ON e.sensor=r.sensor LEFT JOIN (SELECT sensor,date,min(id) AS id FROM best GROUP BY 1,2) d ON d.sensor=r.sensor AND d.date=r.change_date""")
-def provenance(spark, d):
-    best = _best(spark, d)
-    regions = best.select(F.col("step").alias("region"), "sensor", F.when(F.col("step") % 2 == 0, F.col("date")).otherwise(F.date_add("date", 40)).alias("change_date"))
-    return _texts(R.provenance(regions, best))
-
-
 @query(f"{_BEST} SELECT sensor,step,id,CAST(date AS VARCHAR) AS date,cloud_cover,relative_orbit FROM best")
 def scene_best(spark, d):
     return _texts(_best(spark, d))
@@ -391,8 +376,8 @@ def request_resolve(spark, d):
     return out.select("request_id", "what", "place", F.col("aoi.west").alias("west"), "index")
 
 
-@query("""WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id=0), s AS (SELECT vec_id AS feature_index, round(list_sum(list_transform(list_zip(embedding, q.e), lambda x: CAST(x[1] AS DOUBLE)*CAST(x[2] AS DOUBLE))),4) AS score FROM embeddings, q)
-SELECT feature_index, score, CAST(row_number() OVER (ORDER BY score DESC, feature_index) AS INT) AS rank FROM s ORDER BY rank LIMIT 20""")
+@query("""WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id=0), s AS (SELECT vec_id AS feature_index, list_sum(list_transform(list_zip(embedding, q.e), lambda x: CAST(x[1] AS DOUBLE)*CAST(x[2] AS DOUBLE))) AS score FROM embeddings, q)
+SELECT feature_index, round(score,4) AS score, CAST(row_number() OVER (ORDER BY score DESC, feature_index) AS INT) AS rank FROM s ORDER BY rank LIMIT 20""")
 def semantic_rank(spark, d):
     vectors = T.table(spark, d, "embeddings")
     query_vector = vectors.where("vec_id = 0").select("embedding").first()[0]
@@ -441,46 +426,6 @@ def utm_zones(spark, d):
     return T.gazetteer(spark, d).select("place_id", E.utm_epsg("lon", "lat").alias("epsg"))
 
 
-@query()
-def utm_grids(spark, d):
-    """Analysis grids of the places: projected bounds snapped outward to 10 m, and the size."""
-    g = T.gazetteer(spark, d).select("place_id", E.aoi("lat", "lon", "west", "south", "east", "north").alias("a"), E.utm_epsg("lon", "lat").alias("epsg"))
-    corners = F.array(*[F.struct(F.col(f"a.{x}").alias("lon"), F.col(f"a.{y}").alias("lat")) for x in ("west", "east") for y in ("south", "north")])
-    p = g.select("place_id", "epsg", F.inline(corners))
-    east, north = E.utm_forward("lon", "lat", "epsg")
-    p = p.select("place_id", "epsg", east.alias("e"), north.alias("n"))
-    low, high = lambda c: (F.floor(F.min(c) / 10) * 10), lambda c: (F.ceil(F.max(c) / 10) * 10)
-    out = p.groupBy("place_id", "epsg").agg(low("e").alias("left"), low("n").alias("bottom"), high("e").alias("right"), high("n").alias("top"))
-    return out.withColumns({"width": F.expr("(right - left) div 10"), "height": F.expr("(top - bottom) div 10")})
-
-
-@query()
-def sieve_merge(spark, d):
-    dense = T.grid(spark).join(_loss(spark, d).withColumn("on", F.lit(1)), ["r", "c"], "left").select("r", "c", F.coalesce("on", F.lit(0)).alias("on"))
-    return R.sieve_merge(dense, SIEVE, N, N)
-
-
-@query()
-def rings(spark, d):
-    return R.rings(R.components(_loss(spark, d), N, N, eight=False), [])
-
-
-@query()
-def geojson_export(spark, d):
-    """Features of the largest loss pieces with rings in WGS84 to six places."""
-    r = R.rings(R.components(_loss(spark, d), N, N, eight=False), [])
-    epsg = F.lit(32643)
-    lon, lat = E.utm_inverse(F.col("x"), F.col("y"), epsg)
-    point = r.select("label", "pixels", F.posexplode("rings").alias("k", "ring")).select("label", "pixels", "k", F.posexplode("ring").alias("i", "p"))
-    point = point.select("label", "pixels", "k", "i", (500_000 + F.col("p")[0] * 10).alias("x"), (1_000_000 - F.col("p")[1] * 10).alias("y"))
-    point = point.select("label", "pixels", "k", F.struct("i", F.array(F.round(lon, 6), F.round(lat, 6)).alias("xy")).alias("v"))
-    ring = point.groupBy("label", "pixels", "k").agg(F.transform(F.array_sort(F.collect_list("v")), lambda v: v["xy"]).alias("ring"))
-    whole = ring.groupBy("label", "pixels").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "ring"))), lambda v: v["ring"]).alias("coordinates"))
-    whole = whole.withColumn("area_ha", E.hectares("pixels"))
-    geometry = F.struct(F.lit("Polygon").alias("type"), F.col("coordinates"))
-    return whole.select("label", R.to_feature(["label", "pixels", "area_ha"], geometry).alias("feature"))
-
-
 @query()
 def shift_estimate(spark, d):
     px = T.pixels(spark, d).where("sensor = 'S2'").select("r", "c", "step", "nir")

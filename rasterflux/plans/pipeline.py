@@ -1,4 +1,4 @@
-"""Entry points: pair, series, single-index detection, drone comparison. Each returns lazy tables of regions and run statistics."""
+"""Entry points: pair, series, single-index detection, drone comparison. Each returns tables of features and run statistics."""
 
 from __future__ import annotations
 
@@ -13,156 +13,208 @@ from rasterflux.operators import change as C
 from rasterflux.operators import regions as R
 from rasterflux.operators import scenes as S
 from rasterflux.plans.params import Params, check_grid
+from rasterflux.storage import materialize
 
 NO_OPTICAL = "no usable optical scenes: the result is radar only"
 NO_RADAR = "no usable radar scenes: the result is optical only"
 PLANES = ("ndvi", "ndwi", "ndbi")
+USED = "sensor string, step int, ordinal int, date date, id long, relative_orbit int"
 
 
 @dataclass
 class Run:
+    """Fused pixels, features (``regions``), one row of statistics with warnings, and notes on sensors that are missing."""
+
     pixels: DataFrame
     regions: DataFrame
     stats: DataFrame
     notes: list[str] = field(default_factory=list)
+    pieces: DataFrame | None = None
 
 
 def load_optical(px: DataFrame) -> DataFrame:
-    """All three indices and validity from one scan of four bands and the class band."""
-    return px.select("r", "c", "step", *[E.named_index(k).alias(k) for k in PLANES], E.scl_valid("scl").alias("ok"), (F.col("scl") == 0).alias("never"))
-
-
-def load_radar(px: DataFrame, grid: DataFrame, height: int, width: int, step: int, speckle: int = 5) -> DataFrame:
-    """One date in dB after the speckle filter; valid is what the filter could fill."""
-    db = px.where(F.col("step") == step).select("r", "c", E.to_db("gamma0").alias("db"))
+    """All three indices, validity and whether the pixel was never imaged, from one scan of four bands and the class band; a missing band raises."""
+    if missing := [b for b in ("red", "nir", "green", "swir16", "scl") if b not in px.columns]:
+        raise ValueError(f"the scene is missing {', '.join(missing)}")
+    return px.select("r", "c", "step", *[E.named_index(k).alias(k) for k in PLANES], E.scl_valid("scl").alias("ok"), F.coalesce(F.col("scl") == 0, F.lit(False)).alias("never"))
+
+
+def load_radar(px: DataFrame, grid: DataFrame, height: int, width: int, step: int, speckle: int = 5, pol: str = "vv") -> DataFrame:
+    """One date in dB after the speckle filter, of the polarization's band (``gamma0_vv``, ``gamma0_vh``; ``gamma0`` where there is one only); valid is what the filter could fill."""
+    band = f"gamma0_{pol}" if f"gamma0_{pol}" in px.columns else "gamma0"
+    if pol not in ("vv", "vh") or band not in px.columns:
+        raise ValueError(f"no polarization {pol!r}")
+    db = px.where(F.col("step") == step).select("r", "c", E.to_db(band).alias("db"))
     dense = grid.join(db, ["r", "c"], "left").select("r", "c", "db")
     out = C.boxcar(dense, "db", speckle, height, width)
     return out.select("r", "c", F.lit(step).alias("step"), "db", F.col("db").isNotNull().alias("ok"))
 
 
-def _sieved(fused: DataFrame, p: Params, height: int, width: int) -> DataFrame:
-    mask = fused.where("tier is not null").select("tier", "direction", "r", "c")
-    return R.sieve_drop(mask, p.sieve, width, height, ["tier", "direction"])
+def used_scenes(scenes: DataFrame, windows: DataFrame, p: Params, box: S.Box | None = None) -> DataFrame:
+    """One scene per sensor and window, numbered per sensor in the order of the windows: the clearest optical one under the cloud limit, the newest descending radar one."""
+    sound = scenes.where((F.col("sensor") == "S1") | (F.col("cloud_cover") < p.max_cloud)).where(S.meets(box))
+    best = S.best_per_window(sound, windows)
+    order = F.row_number().over(C.W.partitionBy("sensor").orderBy("step")) - 1
+    return best.select("sensor", "step", order.alias("ordinal"), "date", "id", "relative_orbit", "cloud_cover")
 
 
-def regions_of(fused: DataFrame, p: Params, height: int, width: int, change: DataFrame | None = None, limit: int = R.MAX_REGIONS) -> DataFrame:
-    """Classified regions of a fused grid with columns d2, dw, dn (optical planes) and d1; dated if ``change`` is given.
-
-    Properties of a sensor that could not see the region are absent, not 0.
-    """
-    keys = ["tier", "direction"]
-    lab = R.components(_sieved(fused, p, height, width), width, height, True, keys)
-    seen = lambda c: F.when(F.col("v2"), F.col(c))
-    values = fused.select("r", "c", seen("d2").alias("ndvi"), seen("dw").alias("ndwi"), seen("dn").alias("ndbi"), F.col("d1").alias("sar_db"))
-    stats = R.region_stats(lab.join(values, ["r", "c"]), ["ndvi", "ndwi", "ndbi", "sar_db"], keys)
-    stats = R.region_cap(stats, limit)
-    stats = stats.withColumn("has_optical", F.col("tier").isin("confirmed", "optical", "sar_only"))
-    stats = stats.withColumn("has_sar", F.col("tier").isin("confirmed", "sar_only", "sar_gap"))
-    out = stats.withColumn("k", E.classify()).withColumn("area_ha", E.hectares("pixels", p.pixel_area_m2))
-    if change is not None:
-        dated = R.region_dating(lab, change.select("r", "c", "change_index", "confirmations"), keys)
-        out = out.join(dated, [*keys, "label"], "left")
-    delta = lambda c, flag, n: F.when(F.col(flag), F.round(c, n)).alias(f"{c}_delta")
-    return out.select(
-        *keys, "label", "pixels", "area_ha", "elongation", "k.change_type", "k.confidence", E.label("k.change_type").alias("change_label"),
-        *[delta(c, "has_optical", 3) for c in PLANES], delta("sar_db", "has_sar", 2), *(["change_index", "confirmed_by", "persistence"] if change is not None else []),
-    )
-
-
-def _stats(fused: DataFrame, sieved: DataFrame, p: Params) -> DataFrame:
-    """Coverage and hectares per tier, from the sieved masks, in one row."""
-    cover = C.coverage_warnings(C.coverage(fused, F.coalesce(F.col("never"), F.lit(False)) if "never" in fused.columns else None))
-    ha = C.tier_hectares(sieved.select("tier"), p.pixel_area_m2).agg(F.map_from_entries(F.collect_list(F.struct("tier", "hectares"))).alias("hectares"))
-    return cover.crossJoin(F.broadcast(ha))
+def _stats(fused: DataFrame, pieces: DataFrame, dropped: DataFrame, trimmed: DataFrame, p: Params) -> DataFrame:
+    """Coverage, hectares per tier from the sieved masks, what the caps left out, and warnings, in one row."""
+    cover = C.coverage_warnings(C.coverage(fused, F.col("never")))
+    ha = C.tier_hectares(pieces.select("tier"), p.pixel_area_m2).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("tier", "hectares")))).alias("hectares"))
+    out = cover.crossJoin(F.broadcast(ha)).crossJoin(F.broadcast(dropped)).crossJoin(F.broadcast(trimmed))
+    out = out.withColumn("dropped", F.col("dropped") + F.col("trimmed")).drop("trimmed")
+    note = F.when(F.col("dropped") > 0, F.format_string("%d smaller regions are counted in the hectares but not listed", "dropped"))
+    return out.withColumn("warnings", F.concat("warnings", F.array_compact(F.array(note))))
 
 
 def _fuse(grid: DataFrame, optical: DataFrame | None, radar: DataFrame | None, p: Params) -> tuple[DataFrame, list[str]]:
+    """The fused grid, written once, as regions and statistics both read it."""
     if optical is None and radar is None:
         raise ValueError("no usable scenes from either sensor")
     spark, notes = grid.sparkSession, []
     if optical is None:
-        optical = spark.createDataFrame([], "r int, c int, diff double, valid boolean, dw double, dn double")
+        optical = spark.createDataFrame([], "r int, c int, diff double, valid boolean, never boolean, ndvi double, ndwi double, ndbi double")
         notes.append(NO_OPTICAL)
     if radar is None:
         radar = spark.createDataFrame([], "r int, c int, diff double, valid boolean")
         notes.append(NO_RADAR)
-    fused = C.fuse(grid, optical, radar)
+    fused = C.fuse(grid, optical, radar).withColumn("never", F.coalesce("never", F.lit(False)))
     fused = fused.withColumn("tier", E.tier("d2", "v2", "d1", "v1", p.optical_threshold, p.sar_threshold_db))
-    return fused.withColumn("direction", E.tier_direction("tier", "d2", "d1")), notes
+    return materialize(fused.withColumn("direction", E.tier_direction("tier", "d2", "d1")), "fused"), notes
 
 
-def run_pair(grid: DataFrame, optical: DataFrame | None, radar: DataFrame | None, height: int, width: int, p: Params) -> Run:
-    """Two dates, steps 0 and 1: optical (r, c, step, ndvi, ndwi, ndbi, ok), radar (r, c, step, db, ok)."""
+def _finish(
+    fused: DataFrame, notes: list[str], height: int, width: int, p: Params, used: DataFrame | None, optical: DataFrame | None, radar: DataFrame | None, limit: int
+) -> Run:
+    keys = ["tier", "direction"]
+    pieces = materialize(R.sieved(fused.where("tier is not null").select(*keys, "r", "c"), p.sieve, width, height, keys), "pieces")
+    found, lab, dropped = R.features(pieces, fused, width, height, p.pixel_area_m2, limit)
+    if used is None:
+        used = fused.sparkSession.createDataFrame([], USED)
+    found = R.dated(found, lab, optical, radar, used, keys)
+    found = materialize(R.emitted(R.provenance(found, used)), "features")
+    kept = R.trim(found, limit)
+    trimmed = found.agg(F.greatest(F.count(F.lit(1)) - limit, F.lit(0)).alias("trimmed"))
+    return Run(fused, kept.drop("trimmed"), _stats(fused, pieces, dropped, trimmed, p), notes, pieces)
+
+
+def run_pair(
+    grid: DataFrame, optical: DataFrame | None, radar: DataFrame | None, height: int, width: int, p: Params, used: DataFrame | None = None, limit: int = R.MAX_REGIONS
+) -> Run:
+    """Two dates, steps 0 and 1: optical (r, c, step, ndvi, ndwi, ndbi, ok[, never]), radar (r, c, step, db, ok); ``used`` are their scenes (see USED). Pairs are not dated."""
     check_grid(width, height)
-    o = optical and C.pair_diff(optical, {"diff": F.col(p.index), "dw": F.col("ndwi"), "dn": F.col("ndbi")}, F.col("ok"), 0, 1)
+    never = None if optical is None else F.col("never") if "never" in optical.columns else F.lit(False)
+    planes = {k: F.col(k) for k in PLANES}
+    o = optical and C.pair_diff(optical, {"diff": F.col(p.index), **planes}, F.col("ok"), 0, 1, never)
     s = radar and C.pair_diff(radar, {"diff": F.col("db")}, F.col("ok"), 0, 1)
     fused, notes = _fuse(grid, o, s, p)
-    return Run(fused, regions_of(fused, p, height, width), _stats(fused, _sieved(fused, p, height, width), p), notes)
+    return _finish(fused, notes, height, width, p, used, None, None, limit)
+
+
+def _enough(px: DataFrame | None) -> bool:
+    return px is not None and px.select("step").distinct().count() >= 2
 
 
-def run_series(grid: DataFrame, optical: DataFrame | None, radar: DataFrame | None, height: int, width: int, p: Params) -> Run:
-    """Baseline-anchored series over steps 0..T-1 per sensor.
+def run_series(
+    grid: DataFrame, optical: DataFrame | None, radar: DataFrame | None, height: int, width: int, p: Params, used: DataFrame | None = None, limit: int = R.MAX_REGIONS
+) -> Run:
+    """Baseline-anchored series over the steps that each sensor has; at least two dates of one sensor are needed, and a sensor with fewer is left out with a note.
 
-    Optical change is dated by persistence; where it is, radar is taken at the same ordinal (clipped), else its own signed value. Transient pixels
-    carry 0, so noise does not reach the fusion.
+    The baseline is the sensor's first usable date. Optical change is dated by persistence; where it is, radar is taken at the same ordinal of its own later
+    dates (clipped to the last), else its own signed value. Transient pixels carry 0, so noise does not reach the fusion.
     """
     check_grid(width, height)
-    o = s = change = None
+    notes, o, s, oc, rc = [], None, None, None, None
+    if optical is not None and not _enough(optical):
+        optical = None
+        notes.append("fewer than two usable optical dates")
+    if radar is not None and not _enough(radar):
+        radar = None
+        notes.append("fewer than two usable radar dates")
+    if optical is None and radar is None:
+        raise ValueError("at least two usable dates of one sensor are needed")
     if optical is not None:
-        stack = {c: C.baseline_diff(optical, c, "ok").withColumn("t", F.col("step") - 1) for c in PLANES}
-        change = C.persistence(stack[p.index], p.optical_threshold, p.min_persist)
-        o = change.select("r", "c", F.col("signed").alias("diff"), F.col("observed").alias("valid"), "change_index")
-        for c, name in (("ndwi", "dw"), ("ndbi", "dn")):
-            at = C.plane_at(stack[c].select("r", "c", "t", F.col("diff").alias(name)), change, name, p.steps - 2)
-            o = o.join(at.select("r", "c", name), ["r", "c"], "left")
+        stack = materialize(C.baseline_diff(optical, {k: k for k in PLANES}, "ok"), "optical-stack")
+        oc = materialize(C.persistence(stack.withColumn("diff", F.col(p.index)), p.optical_threshold, p.min_persist), "optical-change")
+        at = stack.select("r", "c", F.col("t").alias("change_index"), *PLANES)
+        never = F.lit(False) if "never" not in optical.columns else F.col("never")
+        seen = optical.groupBy("r", "c").agg(F.bool_or(never).alias("never"))
+        o = oc.join(at, ["r", "c", "change_index"], "left").join(seen, ["r", "c"], "left")
+        o = o.select("r", "c", F.col("signed").alias("diff"), F.col("observed").alias("valid"), "never", *[F.coalesce(k, F.lit(0.0)).alias(k) for k in PLANES])
     if radar is not None:
-        rs = C.baseline_diff(radar, "db", "ok").withColumn("t", F.col("step") - 1)
-        rc = C.persistence(rs, p.sar_threshold_db, p.min_persist)
+        rs = materialize(C.baseline_diff(radar, {"diff": "db"}, "ok"), "radar-stack")
+        rc = materialize(C.persistence(rs, p.sar_threshold_db, p.min_persist), "radar-change")
         s = rc.select("r", "c", F.col("signed").alias("diff"), F.col("observed").alias("valid"))
-        if change is not None:
-            at = C.plane_at(rs.select("r", "c", "t", F.col("diff").alias("db")), change, "db", p.steps - 2)
+        if oc is not None:
+            last = rs.agg(F.max("t")).first()[0] or 0
+            at = C.plane_at(rs.select("r", "c", "t", F.col("diff").alias("db")), oc, "db", last)
             s = s.join(at, ["r", "c"], "left").select(
                 "r", "c", F.when(F.col("change_index") >= 0, F.col("db")).otherwise(F.col("diff")).alias("diff"), "valid"
             )
-        change = change if change is not None else rc
-    fused, notes = _fuse(grid, o and o.drop("change_index"), s, p)
+    fused, more = _fuse(grid, o, s, p)
+    slim = lambda x: x if x is None else x.select("r", "c", "change_index", "confirmations")
+    run = _finish(fused, notes + more, height, width, p, used, slim(oc), slim(rc), limit)
     count = lambda c: F.count_if(F.col(c)).alias(c)
-    series = change.agg(count("persistent"), count("latest"), count("transient"))
-    stats = _stats(fused, _sieved(fused, p, height, width), p).crossJoin(F.broadcast(series))
-    stats = stats.withColumn("transient_ha", F.round(E.hectares("transient", p.pixel_area_m2), 2))
-    return Run(fused, regions_of(fused, p, height, width, change), stats, notes)
+    series = (oc if oc is not None else rc).agg(count("changed"), count("persistent"), count("latest"), count("transient"))
+    stats = run.stats.crossJoin(F.broadcast(series))
+    run.stats = stats.withColumn("transient_ha", F.round(E.hectares("transient", p.pixel_area_m2), 2))
+    return run
 
 
-def detect(diff: DataFrame, height: int, width: int, threshold: float, sieve: int = 50, pixel_area_m2: float = 100.0, least_clear: float = 0.5) -> Run:
+def detect(
+    diff: DataFrame, height: int, width: int, threshold: float, sieve: int = 50, pixel_area_m2: float = 100.0, least_clear: float = 0.5, limit: int = R.MAX_REGIONS
+) -> Run:
     """Loss and gain regions of one difference plane (r, c, diff, valid), with the statistics that tell noise from change."""
-    d = diff.withColumn("direction", E.direction("diff", "valid", threshold))
-    kept = R.sieve_drop(d.where("direction is not null").select("direction", "r", "c"), sieve, width, height, ["direction"])
-    lab = R.components(kept, width, height, False, ["direction"])
-    regions = R.region_cap(R.sizes(lab, ["direction"])).withColumn("area_ha", E.hectares("pixels", pixel_area_m2))
+    d = materialize(diff.withColumn("direction", E.direction("diff", "valid", threshold)), "detect")
+    kept = materialize(R.sieved(d.where("direction is not null").select("direction", "r", "c"), sieve, width, height, ["direction"]), "pieces")
+    whole = R.components(kept.select("direction", "r", "c"), width, height, True, ["direction"])
+    capped = R.region_cap(R.sizes(whole, ["direction"]), limit)
+    dropped = capped.agg(F.coalesce(F.max("dropped"), F.lit(0)).alias("dropped"))
+    both = kept.withColumnRenamed("label", "piece").join(whole, ["direction", "r", "c"]).groupBy("direction", "label", "piece").agg(F.count(F.lit(1)).alias("pixels"))
+    found = both.join(capped.select("direction", "label"), ["direction", "label"], "left_semi").withColumn("area_ha", E.hectares("pixels", pixel_area_m2))
+    found = R.numbered(found, [F.desc("direction"), F.col("label"), F.col("piece")]).withColumn("id", F.col("number") - 1).drop("number")
+    found = materialize(found, "features")
+    trimmed = found.agg(F.greatest(F.count(F.lit(1)) - limit, F.lit(0)).alias("trimmed"))
     clear = d.agg(F.coalesce(F.avg(F.coalesce(F.col("valid"), F.lit(False)).cast("double")), F.lit(0.0)).alias("clear_fraction"))
     ha = lambda k: E.hectares(F.count_if(F.col("direction") == k), pixel_area_m2).alias(f"{k}_ha")
-    stats = clear.crossJoin(F.broadcast(kept.agg(ha("loss"), ha("gain"))))
+    stats = clear.crossJoin(F.broadcast(kept.agg(ha("loss"), ha("gain")))).crossJoin(F.broadcast(dropped)).crossJoin(F.broadcast(trimmed))
+    stats = stats.withColumn("dropped", F.col("dropped") + F.col("trimmed")).drop("trimmed")
     total, less = F.col("loss_ha") + F.col("gain_ha"), F.least("loss_ha", "gain_ha")
     warn = F.array_compact(
         F.array(
+            F.when(F.col("dropped") > 0, F.format_string("%d smaller regions are counted in the hectares but not listed", "dropped")),
             F.when(F.col("clear_fraction") < least_clear, F.format_string("only %.0f%% of the area was clear", F.col("clear_fraction") * 100)),
             F.when(F.coalesce(F.try_divide(less, total), F.lit(0.0)) > 0.4, F.lit("loss and gain are near-symmetric, as noise is")),
         )
     )
-    return Run(d, regions, stats.withColumns({"total_ha": total, "warnings": warn}))
+    return Run(d, R.trim(found, limit).drop("trimmed"), stats.withColumns({"total_ha": total, "warnings": warn}), [], kept)
+
 
+def compare_flights(
+    before: DataFrame, after: DataFrame, nir: bool, height: int, width: int, threshold: float, sieve: int, res: float, shift: tuple[int, int] | None = None
+) -> Run:
+    """Two drone flights (r, c, b1..b4) on one grid: NDVI with a near-infrared band, else VARI.
 
-def compare_flights(before: DataFrame, after: DataFrame, nir: bool, height: int, width: int, threshold: float, sieve: int, res: float, shift: tuple[int, int] = (0, 0)) -> Run:
-    """Two drone flights (r, c, b1..b4) on one grid: NDVI with a near-infrared band, else VARI; the second is shifted back first."""
+    The second is shifted back by ``shift``, or by the estimated shift where none is given; one beyond tolerance is not applied, and noted.
+    """
     index = E.norm_diff("b4", "b1") if nir else E.vari("b2", "b1", "b3")
+    notes = []
     a = before.select("r", "c", index.alias("a"))
+    if shift is None:
+        best = C.estimate_shift(a.withColumnRenamed("a", "v"), after.select("r", "c", index.alias("v")), "v", height, width).first()
+        shift = (-best.dy, -best.dx) if best.within_tolerance else (0, 0)
+        if not best.within_tolerance:
+            notes.append(f"the flights lie {best.dy}, {best.dx} pixels apart, beyond tolerance: no shift is applied")
     b = G.roll(after, *shift, height, width).select("r", "c", index.alias("b"))
-    diff = a.join(b, ["r", "c"]).select("r", "c", (F.col("b") - F.col("a")).alias("diff"), F.lit(True).alias("valid"))
-    return detect(diff, height, width, threshold, sieve, res * res)
+    diff = a.join(b, ["r", "c"]).select("r", "c", (F.col("b") - F.col("a")).alias("diff"))
+    run = detect(diff.withColumn("valid", F.col("diff").isNotNull()), height, width, threshold, sieve, res * res)
+    run.notes += notes
+    return run
 
 
 def timeline(used: DataFrame) -> DataFrame:
-    return used.select("step", "date", "sensor", "id").orderBy("date", "sensor")
+    return S.timeline(used).select("step", "date", "sensor", "id")
 
 
 def until(regions: DataFrame, day: Column) -> DataFrame:
@@ -175,6 +227,28 @@ def smart(requests: DataFrame, gazetteer: DataFrame, span: float = 0.10) -> Data
     return S.resolve(requests, gazetteer, span).withColumn("prompt", E.build_prompt("what"))
 
 
+def with_geometry(run: Run, left: float, top: float, res: float, epsg: int) -> DataFrame:
+    """The run's features with their rings in WGS84."""
+    keys = ["tier", "direction", "label"]
+    ringed = R.in_degrees(R.rings(run.pieces, ["tier", "direction"]).drop("pixels"), keys, left, top, res, epsg).drop("rings")
+    return run.regions.join(ringed.withColumnRenamed("label", "piece"), ["tier", "direction", "piece"])
+
+
 def feature_collection(regions: DataFrame, columns: list[str]) -> DataFrame:
     """One GeoJSON feature per row as text lines; a sink writes them with ``write.text``."""
     return regions.select(R.to_feature(columns, F.col("geometry")).alias("value"))
+
+
+def save_run(run: Run, path: str, columns: list[str], run_id: str, created: str) -> None:
+    """Writes the features, then the status that points at them: a run is never done without its result."""
+    run.regions.select(F.to_json(F.struct(*columns)).alias("value")).write.mode("overwrite").text(f"{path}/{run_id}.result")
+    n = run.regions.count()
+    meta = run.regions.sparkSession.createDataFrame([(run_id, created, "done", n)], "id string, created string, status string, feature_count long")
+    meta.coalesce(1).write.mode("append").json(f"{path}/runs")
+
+
+def load_result(runs: DataFrame, path: str, run_id: str) -> DataFrame:
+    """A finished run's features; only ids of known runs that are done are looked up."""
+    if runs.where((F.col("id") == run_id) & (F.col("status") == "done")).isEmpty():
+        raise ValueError(f"no finished run {run_id!r}")
+    return runs.sparkSession.read.json(f"{path}/{run_id}.result")

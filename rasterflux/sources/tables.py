@@ -57,9 +57,16 @@ def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(optical, F.round(F.col("value") % 100, 2)).alias("cloud_cover"),
         (F.col("user_id") % 12).cast("int").alias("relative_orbit"),
         F.when(F.col("event_type").isin("view", "click"), "descending").otherwise("ascending").alias("orbit_state"),
+        *scene_box(),
     )
 
 
+def scene_box() -> list:
+    """A degree square for each scene."""
+    west, south = (F.col("event_id") % 360 - 180).cast("double"), ((F.col("event_id") * 7) % 170 - 85).cast("double")
+    return [west.alias("west"), south.alias("south"), (west + 1).alias("east"), (south + 1).alias("north")]
+
+
 def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("n_nationkey")
     span = F.element_at(F.array(F.lit(0.001), F.lit(0.08), F.lit(3.0)), (key % 3 + 1).cast("int"))
@@ -134,5 +141,6 @@ def inspect_flights(meta: DataFrame) -> DataFrame:
 
 def load_runs(spark: SparkSession, path: str) -> DataFrame:
     """Saved run metadata; runs that were under way count as failed."""
-    df = spark.read.option("mode", "DROPMALFORMED").option("multiLine", "true").option("pathGlobFilter", "*[!t].json").json(path)
+    df = spark.read.option("mode", "DROPMALFORMED").option("recursiveFileLookup", "true").json(path)
+    df = df.where(~F.input_file_name().endswith(".result.json"))
     return df.withColumn("status", F.when(F.col("status").isin("pending", "running"), "failed").otherwise(F.col("status")))

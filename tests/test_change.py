@@ -136,6 +136,61 @@ def test_rings_enclose_the_pixels(spark):
     assert abs(area) == len(px) and len(rings) == 3
 
 
+def test_sieve_merge_against_the_rule(spark):
+    rng = random.Random(5)
+    size, n = 5, 14
+    on = {(r, c): int(rng.random() < 0.45) for r in range(n) for c in range(n)}
+    labels = {}
+    for value in (0, 1):
+        for piece in flood([p for p, v in on.items() if v == value], False):
+            for p in piece:
+                labels[p] = (value, min(r * n + c for r, c in piece), len(piece))
+    want = {}
+    for p in on:
+        at, seen = labels[p], set()
+        while at[2] < size and at not in seen:
+            seen.add(at)
+            near = {labels[q] for (r, c), x in labels.items() if x == at for q in ((r + 1, c), (r - 1, c), (r, c + 1), (r, c - 1)) if q in labels and labels[q][0] != at[0]}
+            at = max(near, key=lambda x: (x[2], -x[1]))
+        want[p] = at[0] if at[2] >= size else on[p]
+    df = spark.createDataFrame([(r, c, v) for (r, c), v in on.items()], "r int, c int, on int")
+    assert {(x.r, x.c): x.on for x in R.sieve_merge(df, size, n, n).collect()} == want
+
+
+def test_components_of_a_snake(spark):
+    # One component that winds through every tile, and runs that meet late.
+    mask = [(r, c) for r in range(21) for c in range(21) if r % 2 == 0 or c == (20 if r % 4 == 1 else 0)]
+    df = spark.createDataFrame(mask, "r int, c int")
+    for tile in (256, 8):
+        assert {x.label for x in R.components(df, 21, 21, False, tile=tile).collect()} == {0}
+
+
+def test_percentiles_are_exact(spark):
+    rng = np.random.default_rng(2)
+    v = np.round(rng.random(5000), 2)
+    got = C.percentiles(spark.createDataFrame([(float(x),) for x in v], "v double"), "v", [0.0, 0.02, 0.5, 0.98, 1.0]).first()
+    np.testing.assert_allclose(list(got), np.quantile(v, [0.0, 0.02, 0.5, 0.98, 1.0]))
+    assert list(C.percentiles(spark.createDataFrame([], "v double"), "v", [0.5]).first()) == [None]
+
+
+def test_numbers_and_running_sums(spark):
+    from rasterflux.operators.graph import numbered
+
+    df = spark.range(1000).select((F.col("id") * 37 % 1000).alias("k"), F.lit(2).alias("v")).repartition(7)
+    got = {x.k: (x.number, x.total) for x in numbered(df, [F.col("k")], {"total": "v"}).collect()}
+    assert got == {k: (k + 1, 2 * k + 2) for k in range(1000)}
+
+
+@pytest.mark.parametrize("odd", [float("nan"), float("inf"), None])
+def test_absent_measurements_are_no_change(spark, odd):
+    from rasterflux.functions import exprs as E
+
+    df = spark.createDataFrame([(odd, True)], "d double, v boolean")
+    tier = E.tier("d", "v", F.lit(0.0), F.lit(True))
+    row = df.select(tier.alias("t"), E.tier(F.lit(0.5), F.lit(True), "d", "v").alias("u"), E.direction("d", "v", 0.2).alias("w"), E.norm_diff("d", F.lit(1.0)).alias("n"), E.vari("d", F.lit(1.0), F.lit(1.0)).alias("g")).first()
+    assert (row.t, row.u, row.w, row.n, row.g) == (None, "optical", None, None, None)
+
+
 def test_empty_inputs(spark):
     empty = spark.createDataFrame([], "r int, c int")
     assert R.components(empty, 10, 10).count() == 0
