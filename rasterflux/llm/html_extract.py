@@ -266,10 +266,24 @@ def extract(page: str | None) -> str:
     for node in nodes:
         node.skip |= node.parent is not None and node.parent.skip
     best = max((x for x in nodes if not x.skip), key=Node.points)
-    up = best
+    # Around it: boxes that hold nothing more but headings, then the article.
+    while (up := best.parent) and up.tag not in ("body", "html", "#root"):
+        others = [x for x in up.items if isinstance(x, Node) and x is not best and not x.skip and x.chars]
+        if any(x.tag not in HEADINGS or x.density() >= LINKED for x in others):
+            break
+        best = up
+    found, up = best, best
     while up := up.parent:
         if up.tag in ("article", "main") and 2 * best.chars >= up.chars:
             best = up
+    if best is not found:
+        # Articles beside the best container that are mostly links are teasers of other pages.
+        above = {id(found)}
+        up = found
+        while up := up.parent:
+            above.add(id(up))
+        for node in nodes:
+            node.skip |= (node.tag == "article" and id(node) not in above and node.density() >= 0.5) or (node.parent is not None and node.parent.skip)
     best.kept = True
     if best.parent:
         for sibling in best.parent.items:
