@@ -12,7 +12,7 @@ from rasterflux.operators.graph import connected
 from rasterflux.shipping import ship
 from rasterflux.storage import discard, materialize, table
 
-__all__ = ["BLANKS", "arrow", "connected", "discard", "materialize", "ordered_prefix", "table", "unit_hash", "words"]
+__all__ = ["BLANKS", "arrow", "connected", "discard", "fresh", "materialize", "ordered_prefix", "table", "unit_hash", "words"]
 
 #: The six ASCII blanks that separate words.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -23,6 +23,14 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANKS), "")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def arrow(df: DataFrame, task: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` whose workers can import this package."""
     ship(df.sparkSession)

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterflux.llm.common import materialize, ordered_prefix, unit_hash, words
+from rasterflux.llm.common import fresh, materialize, ordered_prefix, unit_hash, words
 from rasterflux.operators.graph import numbered
 
 MAX_COPIES = 3
@@ -143,7 +143,8 @@ def mix_documents(docs: DataFrame) -> DataFrame:
 
     The plan is made over slim rows; texts are written once with a row number and meet it in one join.
     """
-    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-documents")
-    chosen = plan(rows.select("doc_id", "source", "text", "_row"), "_row").where("copies > 0").select("_row", "copies")
-    taken = rows.join(chosen, "_row")
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).drop("_copy")
+    row, copy = fresh(docs, "_row"), fresh(docs, "_copy")
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "mix-documents")
+    chosen = plan(rows.select("doc_id", "source", "text", F.col(row).alias("_row")), "_row").where("copies > 0")
+    chosen = chosen.select(F.col("_row").alias(row), F.sequence(F.lit(1), F.col("copies")).alias(copy))
+    return rows.join(chosen, row).select(*docs.columns, F.explode(copy).alias(row)).drop(row)

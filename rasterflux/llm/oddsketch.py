@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterflux.llm.common import arrow, connected, discard, materialize
+from rasterflux.llm.common import arrow, connected, discard, fresh, materialize
 
 #: Words of a shingle: of the query, and of the pipeline's stage.
 SHINGLE, STAGE_SHINGLE = 4, 5
@@ -349,8 +349,9 @@ def keep_one(docs: DataFrame, shingle: int = STAGE_SHINGLE) -> DataFrame:
 
     Components are found over rows, not ids: a row without an id or with the id of another text is a document of its own, and without an id comes last.
     """
-    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "near-rows")
-    found = components(rows.select(F.col("_row").alias("doc_id"), "text"), shingle).select(F.col("doc_id").alias("_row"), "component_id")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
-    kept = rows.select("_row", "doc_id").join(found, "_row").groupBy("component_id").agg(first.alias("first"))
-    return rows.join(kept.select("first._row"), "_row", "left_semi").select(*docs.columns)
+    row = fresh(docs, "_row")
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "near-rows")
+    found = components(rows.select(F.col(row).alias("doc_id"), "text"), shingle).select(F.col("doc_id").alias(row), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(row).alias("row")))
+    kept = rows.select(row, "doc_id").join(found, row).groupBy("component_id").agg(first.alias("first"))
+    return rows.join(kept.select(F.col("first.row").alias(row)), row, "left_semi").select(*docs.columns)
