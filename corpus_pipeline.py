@@ -2,7 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a table that is written and read again as the next stage's ``docs``. All
 but the last return the columns of ``documents``. SQL cannot express the learnt classifier or the tokenizer, so there is no SQL; the tests
-compare with brute force.
+compare each stage with brute force on its own input.
+
+Defined cases: an empty table passes through every stage as an empty table; a null or empty text fails the rules (too few words) and goes there; rows without an
+id, and rows that share one, are documents of their own; repeated rows are near duplicates, of which one stays; extra columns of ``documents`` are carried
+along to the last stage.
 """
 
 from __future__ import annotations
@@ -12,15 +16,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rasterflux.llm import mixing, oddsketch, packing, quality_classifier, quality_rules
-from rasterflux.llm.common import materialize, table
-from rasterflux.shipping import ship
-
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+from rasterflux.llm.common import discard, materialize, table
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weak-label classifier rejects go."""
-    ship(spark)
     return quality_classifier.filter_documents(docs)
 
 
@@ -31,7 +31,6 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component stays."""
-    ship(spark)
     return oddsketch.keep_one(docs)
 
 
@@ -42,7 +41,6 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the tokenised documents, placed in sequences."""
-    ship(spark)
     return packing.op9(docs)
 
 
@@ -62,5 +60,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     *first, (_, last) = STAGES
     for name, stage in first:
-        docs = materialize(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        older, docs = docs, materialize(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        discard(older)
     return last(spark, docs, sf_dir)
