@@ -6,6 +6,7 @@ import pytest
 
 import corpus_pipeline
 from rasterflux.llm import (
+    html_extract,
     lm_scoring,
     merkle,
     mixing,
@@ -73,12 +74,70 @@ def test_packing_edges(spark):
     assert packing.op9(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+#: Names that the operators use themselves.
+CLASHING = "start long, length long, sequence_id long, band long, bands long, salt long, comp long, u double, w long, class int, p long, key double, copies int, bits long, held_out boolean, shard int, slot long, stratum string, target double, block long, bucket long, _row string, _copy string, n_words long"
+
+
+def clashing(spark, rows):
+    docs = spark.createDataFrame(rows, SCHEMA)
+    from pyspark.sql import functions as F
+
+    return docs.select("*", *[F.lit(7).cast(t).alias(n) for n, t in (c.split() for c in CLASHING.split(", "))])
+
+
 def test_filters_keep_the_columns(spark):
-    docs = spark.createDataFrame(ROWS, SCHEMA)
+    docs = clashing(spark, ROWS)
     for f in (quality_rules.filter_documents, quality_classifier.filter_documents, oddsketch.keep_one, mixing.mix_documents):
         out = f(docs)
         assert out.columns == docs.columns
-        assert {r.doc_id for r in out.collect()} <= {r[0] for r in ROWS}
+        rows = out.collect()
+        assert {r.doc_id for r in rows} <= {r[0] for r in ROWS}
+        assert {(r["_row"], r["_copy"], r["start"]) for r in rows} == {("7", "7", 7)}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_clashing_columns_and_no_ids(spark, name):
+    labels = spark.createDataFrame(LABELS, "doc_id long, quality int, toxic int")
+    rows = [(None, *r[1:]) for r in ROWS[:7]]
+    got = OPERATORS[name](clashing(spark, rows), labels).collect()
+    assert len(got) == len(rows) and {r.doc_id for r in got} == {None}
+
+
+def test_packing_of_clashing_and_repeated_rows(spark):
+    got = packing.op9(clashing(spark, [*ROWS, ROWS[3], (None, "no id", *ROWS[3][2:])])).collect()
+    assert sum(r.start == 0 for r in got if r.doc_id == 4) == 2 and sum(r.start == 0 for r in got) == len(ROWS) + 2
+    assert {r.doc_tokens for r in got if r.doc_id == 4}.__len__() == 1
+
+
+def test_fingerprints_of_many_lines(spark):
+    import time
+
+    lines = [f"line {k} of many" for k in range(100_000)]
+    docs = spark.createDataFrame([(2, "\n".join(lines)), (1, "\n".join([*lines[:50_000], "changed", *lines[50_001:]]))], "doc_id long, text string")
+    began = time.time()
+    rows = {r.doc_id: r for r in merkle.op4(docs).collect()}
+    assert time.time() - began < 60
+    assert rows[2].near_next > 0.98 and len(rows[2].fingerprint) < 0.1 * len("\n".join(lines))
+    pair = spark.createDataFrame([(1, "\n".join(lines), "\n".join([*lines[:50_000], "changed", *lines[50_001:]]))], "k int, a string, b string")
+    found = [r.section for r in merkle.changed_sections(pair, "k", "a", "b").collect()]
+    assert 1 <= len(found) <= 3
+
+
+PAGE = "<html><body><article><p>One, two.</p></article></body></html>"
+
+
+def test_pages(spark):
+    rows = [(1, "u", None, 5, "x"), (2, None, "", 5, "x"), (3, "u", PAGE, 5, "x"), (3, "u", PAGE, 5, "x"), (None, "u", "<div>" * 5000 + "<p>" + "deep, " * 20_000, 5, "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int, text string")
+    got = html_extract.extract_pages(pages).collect()
+    assert [(r.page_id, r.url, r.text, r.n_chars) for r in got[:4]] == [(1, "u", "", 0), (2, None, "", 0), (3, "u", "One, two.", 9), (3, "u", "One, two.", 9)]
+    assert got[4].n_chars == len(("deep, " * 20_000).strip())
+    assert html_extract.extract_pages(pages.limit(0)).count() == 0
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
 def test_stages_are_in_order():
