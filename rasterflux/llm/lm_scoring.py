@@ -8,7 +8,7 @@ the background minus that under the target, in nats: higher means nearer to the
 Every word and bigram of every whole document counts and scores, so the models grow with the corpus. They are never gathered in one place:
 
 1. Words are counted, pre-aggregated in the tasks, and so are the bigrams that are frequent in some task's share.
-2. The head, at most ``VOCABULARY`` words and ``BIGRAMS`` bigrams with the highest counts (about 20 MB), is counted exactly and broadcast. That is only a
+2. The head, at most ``VOCABULARY`` words and ``BIGRAMS`` bigrams with the highest counts (about 12 MB), is counted exactly and broadcast. That is only a
    matter of speed: what is in the head is scored where the text is, and no key outside it has many documents.
 3. All other bigrams meet by key. Tasks read texts in blocks and send each bucket of keys one row a block: the sorted keys, the documents' places in the
    block and their occurrences, as packed bytes. A bucket has every occurrence of its keys (a rare word's bigrams lie in one bucket, so that its own count
@@ -35,15 +35,15 @@ from pyspark.sql import functions as F
 
 from rasterflux.llm.common import arrow, discard, materialize
 
-VOCABULARY, BIGRAMS = 1 << 16, 1 << 19
+VOCABULARY, BIGRAMS = 1 << 16, 1 << 18
 #: Pseudo-counts of the backed-off distribution in a bigram's, and of each word in the unigrams.
 DISCOUNT, SMOOTH = 5.0, 0.5
 #: Words that a task remembers, tokens counted at once, and from which count among these a bigram may belong to the head.
-REMEMBERED, COUNTED, PAIR_FROM = 400_000, 2_000_000, 4
-#: Target ids up to this number are broadcast, about 100 MB; more are joined by shuffling.
-BROADCAST_IDS = 5_000_000
+REMEMBERED, COUNTED, PAIR_FROM = 400_000, 1_000_000, 4
+#: Target ids up to this number are broadcast, about 60 MB; more are joined by shuffling.
+BROADCAST_IDS = 2_000_000
 #: Least and most tokens of a block of texts, and keys of a bucket.
-BLOCK = (2_000_000, 32_000_000)
+BLOCK = (1_000_000, 32_000_000)
 #: Bits of a first word's hash in the key of a bigram whose second word is in the head.
 FIRST_BITS = 47
 #: Stands for the first word where there is none.
