@@ -518,12 +518,10 @@ def hectare_format(spark, d):
     return T.table(spark, d, "part").select("p_partkey", E.format_hectares(F.col("p_size") * 7.25).alias("ha"), E.escape_html(html).alias("html"))
 
 
-@query(f"""WITH {K._GAZ} SELECT place_id, substr(sha1('{{"bbox": ['||west||', '||south||', '||east||', '||north||'], "layer": "ndvi", "scene": "S'||place_id||'"}}'),1,20) AS key FROM aw WHERE abs(west)>=0.001 AND abs(south)>=0.001 AND abs(east)>=0.001 AND abs(north)>=0.001""")
+@query(f"""WITH {K._GAZ} SELECT place_id, substr(sha1('{{"bbox": ['||west||', '||south||', '||east||', '||north||'], "layer": "ndvi", "scene": "S'||place_id||'"}}'),1,20) AS key FROM aw""")
 def cache_keys(spark, d):
-    """Keys of boxes; numbers under a thousandth are written in other ways by SQL engines and left out."""
-    a = _areas(spark, d).where("abs(west) >= 0.001 and abs(south) >= 0.001 and abs(east) >= 0.001 and abs(north) >= 0.001")
     box = [F.col(x) for x in ("west", "south", "east", "north")]
-    return a.select("place_id", E.cache_key(F.concat(F.lit("S"), F.col("place_id").cast("string")), box, F.lit("ndvi")).alias("key"))
+    return _areas(spark, d).select("place_id", E.cache_key(F.concat(F.lit("S"), F.col("place_id").cast("string")), box, F.lit("ndvi")).alias("key"))
 
 
 @query("SELECT sha256(string_agg(n_name||chr(0)||n_nationkey||chr(10)||chr(0),'' ORDER BY n_name)) AS fingerprint FROM nation")
