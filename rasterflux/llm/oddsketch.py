@@ -272,11 +272,10 @@ def _left_over(members: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: i
         x, y = (side.select(key, *[F.col(c).alias(f"{n}_{v}") for c, n in names if c in side.columns]) for v in "ab")
         return x.join(y, key).where(F.col("c_a") < F.col("c_b"))
 
-    # A pair is made in the first band that it shares only.
+    # A pair is made in the first band that it shares only; if that one is large, both classes are among ``many``.
     few = members.where(F.col("n") <= PAIRED).select("band", "node", "comp")
     few = few.join(nodes.select("node", "sketch", "bands"), "node").join(fine.select("node", "fine"), "node")
     few = twice(few, "band").where((_first_shared() == F.col("band")) & near & near_fine).select(F.col("n_a").alias("a"), F.col("n_b").alias("b"))
-    # A pair may lie in a large bucket first and share a small one as well; the large ones' pairs are found by themselves.
     many = members.where(F.col("n") > PAIRED).select("node", "comp").distinct()
     many = many.join(nodes.select("node", "sketch"), "node").join(fine.select("node", "fine_bands"), "node")
     many = twice(many.select("node", "comp", "sketch", F.explode("fine_bands").alias("key")), "key").where(near)
