@@ -21,13 +21,17 @@ def ordinals(px: DataFrame, step: str = "step") -> DataFrame:
     return px.select(step).distinct().withColumn("ordinal", F.row_number().over(W.orderBy(step)) - 1)
 
 
-def baseline_diff(px: DataFrame, values: str | dict[str, str], valid: str, step: str = "step") -> DataFrame:
+def baseline_diff(px: DataFrame, values: str | dict[str, str], valid: str, step: str = "step", dates: list[int] | None = None) -> DataFrame:
     """r, c, step, t, differences and valid of each later date against the sensor's first usable date, by one window instead of a self-join.
 
-    ``t`` counts the sensor's later dates from 0, whatever windows between have no scene.
+    ``t`` counts the sensor's later dates from 0, whatever windows between have no scene. ``dates`` are the steps that it has, in order, where they are known; else
+    they are read from the pixels first.
     """
     values = {"diff": values} if isinstance(values, str) else values
-    px = px.join(F.broadcast(ordinals(px, step)), step)
+    if dates is None:
+        px = px.join(F.broadcast(ordinals(px, step)), step)
+    else:
+        px = px.withColumn("ordinal", F.array_position(F.lit(dates), F.col(step)).cast("int") - 1)
     first = F.struct(*[E.absent(v).alias(k) for k, v in values.items()], F.col(valid).alias("ok"))
     df = px.withColumn("_b", F.max(F.when(F.col("ordinal") == 0, first)).over(W.partitionBy(*PIXEL)))
     diffs = [(E.absent(v) - F.col(f"_b.{k}")).alias(k) for k, v in values.items()]

@@ -127,7 +127,7 @@ def _classified(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _stack(spark: SparkSession, d: str) -> DataFrame:
-    return C.baseline_diff(_optical(spark, d), "ndvi", "ok")
+    return C.baseline_diff(_optical(spark, d), "ndvi", "ok", dates=list(range(T.STEPS)))
 
 
 def _series(spark: SparkSession, d: str) -> DataFrame:
@@ -222,7 +222,7 @@ def series_counts(spark, d):
 
 @query(f"{_SERIES}, nb AS (SELECT b.r,b.c,b.step-1 AS t,b.ndbi-a.ndbi AS dn FROM s2 a JOIN s2 b ON a.r=b.r AND a.c=b.c WHERE a.step=0 AND b.step>0) SELECT ser.r,ser.c,change_index,round(CASE WHEN change_index>=0 THEN coalesce(dn,0) ELSE 0 END,6) AS ndbi FROM ser LEFT JOIN nb ON ser.r=nb.r AND ser.c=nb.c AND nb.t=ser.change_index")
 def plane_at_change(spark, d):
-    stack = C.baseline_diff(_optical(spark, d), "ndbi", "ok").select("r", "c", "t", F.col("diff").alias("ndbi"))
+    stack = C.baseline_diff(_optical(spark, d), "ndbi", "ok", dates=list(range(T.STEPS))).select("r", "c", "t", F.col("diff").alias("ndbi"))
     return C.plane_at(stack, _series(spark, d), "ndbi", LAST - 1).select("r", "c", "change_index", F.round("ndbi", 6).alias("ndbi"))
 
 

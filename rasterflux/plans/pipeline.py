@@ -112,8 +112,9 @@ def run_pair(
     return _finish(fused, notes, height, width, p, used, None, None, limit)
 
 
-def _enough(px: DataFrame | None) -> bool:
-    return px is not None and px.select("step").distinct().count() >= 2
+def _dates(px: DataFrame | None) -> list[int]:
+    """The steps that a sensor has: at most ``steps`` of them."""
+    return [] if px is None else sorted(r[0] for r in px.select("step").distinct().collect())
 
 
 def run_series(
@@ -126,16 +127,17 @@ def run_series(
     """
     check_grid(width, height)
     notes, o, s, oc, rc = [], None, None, None, None
-    if optical is not None and not _enough(optical):
+    seen_on, echo_on = _dates(optical), _dates(radar)
+    if optical is not None and len(seen_on) < 2:
         optical = None
         notes.append("fewer than two usable optical dates")
-    if radar is not None and not _enough(radar):
+    if radar is not None and len(echo_on) < 2:
         radar = None
         notes.append("fewer than two usable radar dates")
     if optical is None and radar is None:
         raise ValueError("at least two usable dates of one sensor are needed")
     if optical is not None:
-        stack = materialize(C.baseline_diff(optical, {k: k for k in PLANES}, "ok"), "optical-stack")
+        stack = materialize(C.baseline_diff(optical, {k: k for k in PLANES}, "ok", dates=seen_on), "optical-stack")
         oc = materialize(C.persistence(stack.withColumn("diff", F.col(p.index)), p.optical_threshold, p.min_persist), "optical-change")
         at = stack.select("r", "c", F.col("t").alias("change_index"), *PLANES)
         never = F.lit(False) if "never" not in optical.columns else F.col("never")
@@ -143,12 +145,11 @@ def run_series(
         o = oc.join(at, ["r", "c", "change_index"], "left").join(seen, ["r", "c"], "left")
         o = o.select("r", "c", F.col("signed").alias("diff"), F.col("observed").alias("valid"), "never", *[F.coalesce(k, F.lit(0.0)).alias(k) for k in PLANES])
     if radar is not None:
-        rs = materialize(C.baseline_diff(radar, {"diff": "db"}, "ok"), "radar-stack")
+        rs = materialize(C.baseline_diff(radar, {"diff": "db"}, "ok", dates=echo_on), "radar-stack")
         rc = materialize(C.persistence(rs, p.sar_threshold_db, p.min_persist), "radar-change")
         s = rc.select("r", "c", F.col("signed").alias("diff"), F.col("observed").alias("valid"))
         if oc is not None:
-            last = rs.agg(F.max("t")).first()[0] or 0
-            at = C.plane_at(rs.select("r", "c", "t", F.col("diff").alias("db")), oc, "db", last)
+            at = C.plane_at(rs.select("r", "c", "t", F.col("diff").alias("db")), oc, "db", len(echo_on) - 2)
             s = s.join(at, ["r", "c"], "left").select(
                 "r", "c", F.when(F.col("change_index") >= 0, F.col("db")).otherwise(F.col("diff")).alias("diff"), "valid"
             )
