@@ -226,10 +226,15 @@ def _differing(name: str, longs: int) -> Column:
     return sum(bits[1:], bits[0])
 
 
+def _differing_long(name: str) -> Column:
+    """The same of sketches too long to write out: code that large is not compiled, and few pairs come this far."""
+    ones = F.zip_with(f"{name}_a", f"{name}_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return F.aggregate(ones, F.lit(0), lambda n, x: n + x)
+
+
 def _first_shared() -> Column:
     """The first band key that two classes share."""
-    same = [F.when(F.col("bands_a")[k] == F.col("bands_b")[k], F.col("bands_a")[k]) for k in range(BANDS)]
-    return F.coalesce(*same)
+    return F.get(F.filter(F.zip_with("bands_a", "bands_b", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()), F.lit(0))
 
 
 def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
@@ -265,7 +270,7 @@ def _left_over(members: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: i
     texts = _texts(members.select("node").distinct(), nodes, docs)
     fine = arrow(texts, partial(_fine, shingle=shingle), "node long, fine array<bigint>, fine_bands array<bigint>")
     fine = materialize(fine.dropDuplicates(["node"]), "near-fine")
-    near, near_fine = _differing("s", SKETCH_LONGS) <= MOST_DIFFERING, _differing("f", FINE_LONGS) <= FINE_MOST
+    near, near_fine = _differing("s", SKETCH_LONGS) <= MOST_DIFFERING, _differing_long("f") <= FINE_MOST
     names = (("node", "n"), ("comp", "c"), ("sketch", "s"), ("fine", "f"), ("bands", "bands"))
 
     def twice(side: DataFrame, key: str) -> DataFrame:
@@ -275,7 +280,7 @@ def _left_over(members: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: i
     # A pair is made in the first band that it shares only; if that one is large, both classes are among ``many``.
     few = members.where(F.col("n") <= PAIRED).select("band", "node", "comp")
     few = few.join(nodes.select("node", "sketch", "bands"), "node").join(fine.select("node", "fine"), "node")
-    few = twice(few, "band").where((_first_shared() == F.col("band")) & near & near_fine).select(F.col("n_a").alias("a"), F.col("n_b").alias("b"))
+    few = twice(few, "band").where(near & (_first_shared() == F.col("band")) & near_fine).select(F.col("n_a").alias("a"), F.col("n_b").alias("b"))
     many = members.where(F.col("n") > PAIRED).select("node", "comp").distinct()
     many = many.join(nodes.select("node", "sketch"), "node").join(fine.select("node", "fine_bands"), "node")
     many = twice(many.select("node", "comp", "sketch", F.explode("fine_bands").alias("key")), "key").where(near)
