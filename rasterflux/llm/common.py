@@ -49,19 +49,20 @@ def ordered_prefix(
     key: str,
     ties: list[str],
     sums: dict[str, str] | None = None,
-    rows_per_slice: int = 20_000,
+    rows_per_slice: int = 1000,
+    most_slices: int = 1 << 16,
 ) -> DataFrame:
     """Ranks rows by (key, ties) inside each group without bringing a group to one task.
 
     ``key`` is a double in [0, 1], spread evenly within a group. A group's rows fall into equal slices of the key, as many as its rows ask
-    for, so a slice, never a group, is the unit of sorting; totals of the slices (pre-aggregated) give each slice its offset, by a window
-    over a group's slices. Adds ``rank`` (from 1), ``group_rows`` and, for each entry of ``sums`` (new name -> long column), the sum of that
+    for up to ``most_slices``, so a slice, never a group, is the unit of sorting; totals of the slices (pre-aggregated) give each slice its offset, by a
+    window over a group's slices. Adds ``rank`` (from 1), ``group_rows`` and, for each entry of ``sums`` (new name -> long column), the sum of that
     column over the rows before. Rows equal in key and all ties must be interchangeable.
     """
     sums = sums or {}
     counted = df.groupBy(*group).agg(F.count(F.lit(1)).alias("group_rows"))
     df = df.join(counted, group) if group else df.crossJoin(F.broadcast(counted))
-    many = 1 + F.floor(F.col("group_rows") / rows_per_slice)
+    many = F.least(F.lit(most_slices), 1 + F.floor(F.col("group_rows") / rows_per_slice))
     df = df.withColumn("_b", F.least(many - 1, F.floor(F.col(key) * many)))
     parts = df.groupBy(*group, "_b").agg(
         F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_s_{k}") for k, c in sums.items()]
