@@ -31,9 +31,17 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Rows of a batch that is handed to Python: whole texts may be long, and a batch is held several times over.
+BATCH_ROWS = 1000
+
+
 def arrow(df: DataFrame, task: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` whose workers can import this package."""
-    ship(df.sparkSession)
+    """``mapInArrow`` whose workers can import this package, in batches of at most ``BATCH_ROWS`` rows."""
+    spark = df.sparkSession
+    ship(spark)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
     return df.mapInArrow(task, schema)
 
 
