@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rasterflux.operators.graph import connected
+from rasterflux.operators.graph import connected, numbered
 from rasterflux.shipping import ship
 from rasterflux.storage import discard, materialize, table
 
-__all__ = ["BLANKS", "arrow", "connected", "discard", "fresh", "materialize", "ordered_prefix", "table", "unit_hash", "words"]
+__all__ = ["BLANKS", "arrow", "connected", "discard", "fresh", "materialize", "numbered", "ordered_prefix", "table", "unit_hash", "words"]
 
 #: The six ASCII blanks that separate words.
 BLANKS = r"[\x20\x09-\x0D]+"

@@ -13,6 +13,7 @@ from rasterflux.llm import (
     mixing,
     oddsketch,
     packing,
+    prefix_trie,
     quality_classifier,
     quality_rules,
     sharding,
@@ -64,6 +65,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.op13(table(spark, sf_dir, "conversations"))
+
+
 def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each rule of the default policy rejects, alone and with others, from the stored ledger."""
     return quality_rules.ablations(quality_rules.stored(table(spark, sf_dir, "documents")))
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_classifier,
         op9_packing,
         op10_html_extraction,
+        op13_prefix_trie,
         rule_ablations,
     )
 }
@@ -146,4 +152,21 @@ SELECT doc_id, n_chars, edited_sha256, {_print("1")} AS fingerprint, {_print("2"
 _ABLATIONS = f"""WITH b AS ({_OP1}), r AS (SELECT unnest({list(quality_rules.DEFAULT_POLICY.rules)}) AS rule, unnest({[quality_rules.BIT[r] for r in quality_rules.DEFAULT_POLICY.rules]}) AS bit)
 SELECT rule, count(*) FILTER (WHERE fail_bits & bit <> 0) AS n_failed, count(*) FILTER (WHERE fail_bits = bit) AS n_only, count(*) FILTER (WHERE fail_bits <> 0) AS n_rejected, CAST(bit_or(fail_bits) AS BIGINT) AS bits_seen FROM b, r GROUP BY 1"""
 
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": _OP1, "op3_mixing": _OP3, "op4_merkle_fingerprints": _OP4, "rule_ablations": _ABLATIONS}
+_CRC_TABLE = "SELECT list(list_reduce([i,0,0,0,0,0,0,0,0], lambda x, y: xor(x>>1, CASE WHEN x&1=1 THEN 3988292384 ELSE 0 END)) ORDER BY i) AS tab FROM (SELECT unnest(range(256)) AS i)"
+_CRC = "xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(conv_id AS VARCHAR),''), lambda ch: CAST(ascii(ch) AS BIGINT))), lambda a, b: xor(a>>8, tab[(xor(a,b)&255)+1])), 4294967295)"
+_OP13 = rf"""WITH t AS (SELECT conv_id, turn, sha256(strlen(coalesce(role,''))||':'||coalesce(role,'')||coalesce(text,'')) AS k, CAST(len({_WORDS}) AS BIGINT) AS w FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k) AS d FROM t), tab AS ({_CRC_TABLE}),
+c AS (SELECT conv_id, conv_id-conv_id%20 AS base, n, {_CRC}%4 AS h FROM (SELECT conv_id, count(*) AS n FROM o GROUP BY 1), tab),
+x AS (SELECT c.conv_id, c.h, least(c.h, coalesce(b.n,0)) AS lent, c.base FROM c LEFT JOIN c b ON b.conv_id=c.base),
+r AS (SELECT x.conv_id, o.d, o.k, o.w FROM x JOIN o ON o.conv_id=x.base AND o.d<=x.h UNION ALL SELECT x.conv_id, o.d-x.h+x.lent, o.k, o.w FROM x JOIN o ON o.conv_id=x.conv_id AND o.d>x.h),
+l AS (SELECT conv_id, list(k ORDER BY d) AS ks, list(w ORDER BY d) AS ws FROM r GROUP BY 1),
+e AS (SELECT x.conv_id, coalesce(ks,[]) AS ks, coalesce(ws,[]) AS ws FROM x LEFT JOIN l ON l.conv_id=x.conv_id),
+p AS (SELECT conv_id, d, md5(array_to_string(ks[1:d],' ')) AS node, CASE WHEN d>0 THEN md5(array_to_string(ks[1:d-1],' ')) END AS parent, CASE WHEN d>0 THEN ws[d] ELSE 0 END AS w, d=len(ks) AS ends FROM (SELECT *, unnest(range(len(ks)+1)) AS d FROM e)),
+n AS (SELECT d, node, min(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, min(w) AS w, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256 FROM p GROUP BY d, node),
+k AS (SELECT d-1 AS d, parent AS node, count(*) AS n_children FROM n WHERE d>0 GROUP BY 1, 2),
+m AS (SELECT n.*, coalesce(n_children,0) AS n_children FROM n LEFT JOIN k ON k.d=n.d AND k.node=n.node),
+a AS (SELECT p.d, p.node, sum((m.n_convs-1)*m.w) AS saved, sum((m.n_children=0)::INT) AS leaves FROM m JOIN p ON p.conv_id=m.conv_id AND p.d<=m.d GROUP BY 1, 2)
+SELECT m.conv_id, CAST(m.d AS BIGINT) AS depth, q.conv_id AS parent_conv_id, CAST(m.n_convs AS BIGINT) AS n_convs, CAST(m.n_children AS BIGINT) AS n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, m.ends_sha256
+FROM m JOIN a ON a.d=m.d AND a.node=m.node LEFT JOIN m q ON q.d=m.d-1 AND q.node=m.parent"""
+
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": _OP1, "op3_mixing": _OP3, "op4_merkle_fingerprints": _OP4, "op13_prefix_trie": _OP13, "rule_ablations": _ABLATIONS}
