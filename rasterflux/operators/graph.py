@@ -46,4 +46,7 @@ def numbered(df: DataFrame, order: list[Column], sums: dict[str, str] | None = N
     out = dealt.join(F.broadcast(offsets), "_range").withColumns(
         {"number": F.col("_first") + F.row_number().over(inside)} | {k: F.col(f"_o_{k}") + F.coalesce(F.sum(c).over(upto), F.lit(0)) for k, c in sums.items()}
     )
-    return out.drop("_range", "_first", *[f"_o_{k}" for k in sums])
+    out = out.drop("_range", "_first", *[f"_o_{k}" for k in sums])
+    # What it reads can be discarded through it.
+    out._scratch = dealt._scratch
+    return out
