@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rasterflux.llm import (
+    hard_negatives,
     html_extract,
     lm_scoring,
     merkle,
@@ -65,6 +66,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.op12(table(spark, sf_dir, "embeddings"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.op13(table(spark, sf_dir, "conversations"))
 
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_classifier,
         op9_packing,
         op10_html_extraction,
+        op12_hard_negatives,
         op13_prefix_trie,
         rule_ablations,
     )
@@ -169,4 +175,12 @@ a AS (SELECT p.d, p.node, sum((m.n_convs-1)*m.w) AS saved, sum((m.n_children=0):
 SELECT m.conv_id, CAST(m.d AS BIGINT) AS depth, q.conv_id AS parent_conv_id, CAST(m.n_convs AS BIGINT) AS n_convs, CAST(m.n_children AS BIGINT) AS n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, m.ends_sha256
 FROM m JOIN a ON a.d=m.d AND a.node=m.node LEFT JOIN m q ON q.d=m.d-1 AND q.node=m.parent"""
 
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": _OP1, "op3_mixing": _OP3, "op4_merkle_fingerprints": _OP4, "op13_prefix_trie": _OP13, "rule_ablations": _ABLATIONS}
+_OP12 = """WITH e AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id%7=0 THEN (label+1)%10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256*CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+ WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x)))=0),
+s AS (SELECT a.r, a.vec_id AS anchor_id, c.r AS cr, c.vec_id AS id, a.label=c.label AS same, CAST(list_sum(list_transform(list_zip(a.v, c.v), lambda z: z[1]*z[2])) AS BIGINT) AS score FROM e a JOIN e c ON a.vec_id%100=0 AND a.r<>c.r),
+p AS (SELECT r, anchor_id, id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY r ORDER BY score DESC, id) AS k FROM s WHERE same QUALIFY k<=5),
+n AS (SELECT p.r, p.k, p.anchor_id, positive_id, positive_score, s.id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.r, p.k ORDER BY s.score DESC, s.id) AS rank
+ FROM p JOIN s ON s.r=p.r AND NOT s.same AND 80*positive_score<=100*s.score AND 100*s.score<=100*positive_score QUALIFY rank<=5)
+SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM n"""
+
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": _OP1, "op3_mixing": _OP3, "op4_merkle_fingerprints": _OP4, "op12_hard_negatives": _OP12, "op13_prefix_trie": _OP13, "rule_ablations": _ABLATIONS}
