@@ -17,6 +17,7 @@ from rasterflux.llm import (
     prefix_trie,
     quality_classifier,
     quality_rules,
+    sanitise,
     sharding,
     toxicity,
 )
@@ -66,6 +67,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitise.op11(table(spark, sf_dir, "documents"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.op12(table(spark, sf_dir, "embeddings"))
 
@@ -92,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_classifier,
         op9_packing,
         op10_html_extraction,
+        op11_sanitisation,
         op12_hard_negatives,
         op13_prefix_trie,
         rule_ablations,

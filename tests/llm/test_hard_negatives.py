@@ -84,6 +84,6 @@ def test_edges(spark):
 
 def test_long_components(spark):
     """Scores beyond 2^53 are exact; components beyond 32 bits keep the largest such value."""
-    rows = [(0, [2.0**21, 1.0], 1), (1, [2.0**21, 3.0], 1), (2, [2.0**21, 2.0], 2), (3, [2.0**21, 2.5], 2), (4, [-1e38, 1e38], 3)]
+    rows = [(100, [2.0**21, 1.0], 1), (1, [2.0**21, 3.0], 1), (2, [2.0**21, 2.0], 2), (3, [2.0**21, 2.5], 2), (4, [-1e38, 1e38], 3)]
     score = lambda y: 2**58 + 65536 * y
-    assert found(spark, rows) == [(0, 1, 1, 3, int(score(3)), int(score(2.5))), (0, 1, 2, 2, int(score(3)), int(score(2)))]
+    assert found(spark, rows) == [(100, 1, 1, 3, int(score(3)), int(score(2.5))), (100, 1, 2, 2, int(score(3)), int(score(2)))]
