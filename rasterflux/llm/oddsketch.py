@@ -5,17 +5,19 @@ MinHash samples; four samples make a band key, and classes that share a band key
 also folded into an odd sketch, a bitmap of parities: the number of ones in the XOR of two sketches estimates how many samples differ, with
 little error for high similarities, so most candidates are settled without reading a text. The rest are confirmed on their full sets.
 
-A band bucket may hold a third of all classes, so its members are never paired with each other at first: in each round every
+A band bucket may hold a third of all classes, so its members are never paired with each other: in each round every
 member meets one pivot of its bucket, confirmed links are contracted to components, and buckets whose members are one component are done. Buckets
-are salted by their size, so that a hot one is dealt to many tasks. After ``ROUNDS`` rounds with other pivots, the members of different components that
-still share a bucket are paired and checked, so no link between components is lost to the pivots. Members of buckets with more than ``PAIRED`` rows meet by finer
-bands instead (``FINE_BANDS`` of ``FINE_ROWS`` samples), which those that only share a common passage seldom do; a link at 0.8 is missed there with probability 2e-8.
+are salted by their size, so that a hot one is dealt to many tasks. After ``ROUNDS`` rounds with other pivots, the members of buckets that still hold different components
+meet by a prefix of their sets, in an order that puts rare shingles first. Sets of similarity 0.8 share a shingle within the first fifth of both, and the smaller one has it within its
+first ninth, so documents that only share a common passage, whose shingles come last, do not meet at all; nothing is lost to the prefixes. How frequent a shingle is comes from ``CELLS`` counters,
+a number that does not grow with the data; any order would give the same links. Of a prefix shingle's members, those of its largest component are not paired with each other.
 
 Defined cases: a null text or one without words has an empty set, no links, and is its own component; repeated rows have equal sets and so
-share a component; an empty table gives no rows; extra columns are ignored; very long texts are hashed whole, in blocks.
+share a component; rows without an id are linked like others, their component has the smallest id of the rows with one, and none if there is none (``kept`` holds for a row without an id if its component has no id either);
+an empty table gives no rows; extra columns are ignored; very long texts are hashed whole, in blocks.
 
 With 24 bands of 4 samples two sets of similarity 0.8 share no band with probability 3e-6; the sketch limit is 5
-standard deviations from the expectation at 0.8 (3e-7), that of the finer sketch 4.5 (3e-6).
+standard deviations from the expectation at 0.8 (3e-7).
 """
 
 from __future__ import annotations
@@ -39,10 +41,8 @@ SAMPLES = 512
 SKETCH_LONGS = 16
 #: Most ones in the XOR of two sketches for a pair that goes on to the exact check.
 MOST_DIFFERING = 239
-#: A finer sketch, for the classes whose bucket the pivots have not settled, and its limit.
-FINE_SAMPLES, FINE_LONGS, FINE_MOST = 2048, 64, 801
-#: Most rows of a bucket whose members are paired directly; bands of larger ones, and samples in each.
-PAIRED, FINE_BANDS, FINE_ROWS = 4096, 96, 8
+#: Counters of how frequent shingles are among the classes whose buckets the pivots have not settled.
+CELLS = 1 << 16
 #: Hot buckets have more than this share of all band rows, so there are at most as many of them, and are salted into parts of that share.
 HOT_SHARE, LEAST_HOT = 10_000, 1000
 #: A link: LINK_NUM * union <= LINK_DEN * intersection.
@@ -74,8 +74,6 @@ class _Hasher:
         self.row = rng.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) | _U(1)
         self.band = rng.integers(0, 1 << 63, BANDS, dtype=np.uint64)
         self.sample = rng.integers(0, 1 << 63, samples, dtype=np.uint64)
-        self.fine_row = rng.integers(0, 1 << 63, (FINE_BANDS, FINE_ROWS), dtype=np.uint64) | _U(1)
-        self.fine_band = rng.integers(0, 1 << 63, FINE_BANDS, dtype=np.uint64)
 
     def _powers(self, n: int) -> None:
         if len(self.power) < n:
@@ -113,12 +111,9 @@ class _Hasher:
     def bands(self, low: np.ndarray) -> np.ndarray:
         return _mix((low[: BANDS * ROWS].astype(np.uint64).reshape(BANDS, ROWS) * self.row).sum(axis=1) + self.band)
 
-    def fine_bands(self, low: np.ndarray) -> np.ndarray:
-        return _mix((low[: FINE_BANDS * FINE_ROWS].astype(np.uint64).reshape(FINE_BANDS, FINE_ROWS) * self.fine_row).sum(axis=1) + self.fine_band)
-
-    def sketch(self, low: np.ndarray, longs: int = SKETCH_LONGS) -> np.ndarray:
-        bit = _mix(low.astype(np.uint64) * _MULT + self.sample) % _U(64 * longs)
-        odd = (np.bincount(bit.astype(np.int64), minlength=64 * longs) & 1).astype(np.uint8)
+    def sketch(self, low: np.ndarray) -> np.ndarray:
+        bit = _mix(low.astype(np.uint64) * _MULT + self.sample) % _U(64 * SKETCH_LONGS)
+        odd = (np.bincount(bit.astype(np.int64), minlength=64 * SKETCH_LONGS) & 1).astype(np.uint8)
         return np.packbits(odd).view(">i8").astype(np.int64)
 
 
@@ -154,35 +149,73 @@ def _features(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Re
             bands.append(hs.bands(low).view(np.int64))
             sketch.append(hs.sketch(low))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bands, lists), pa.array(sketch, lists)],
-            ["doc_id", "n_shingles", "node", "bands", "sketch"],
+            [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bands, lists), pa.array(sketch, lists)],
+            ["doc_id", "key", "n_shingles", "node", "bands", "sketch"],
         )
 
 
 def features(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, node (name of the set), band keys and odd sketch."""
+    """doc_id, key (hash of the text), n_shingles, node (name of the set), band keys and odd sketch."""
     return arrow(
-        docs.select(F.col("doc_id").cast("long"), "text"), partial(_features, shingle=shingle), "doc_id long, n_shingles long, node long, bands array<bigint>, sketch array<bigint>"
+        docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("key")),
+        partial(_features, shingle=shingle),
+        "doc_id long, key long, n_shingles long, node long, bands array<bigint>, sketch array<bigint>",
     )
 
 
-def _fine(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    hs = hasher(FINE_SAMPLES, shingle)
+def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Name and set of each row (node, text)."""
+    hs = hasher(shingle=shingle)
     for batch in batches:
-        node, fine, bands = [], [], []
-        for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             h = hs.shingles(text.as_py())
-            if len(h) and node_of(h) == name:
-                low = hs.samples(h)
-                node.append(name), fine.append(hs.sketch(low, FINE_LONGS)), bands.append(hs.fine_bands(low).view(np.int64))
-        lists = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(fine, lists), pa.array(bands, lists)], ["node", "fine", "fine_bands"])
+            if len(h) and node_of(h) == node:
+                yield node, h
+
+
+def _cell(h: np.ndarray) -> np.ndarray:
+    return (h % _U(CELLS)).astype(np.int64)
+
+
+def _cell_counts(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(CELLS, np.int64)
+    for _, h in _sets(batches, shingle):
+        total += np.bincount(_cell(h), minlength=CELLS)
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["cell", "n"])
+
+
+def _prefix_rows(batches: Iterator[pa.RecordBatch], shingle: int, counts: bytes) -> Iterator[pa.RecordBatch]:
+    """node, size, shingle, left (shingles of the set from this one on in the order) of each set's prefix."""
+    order = np.frombuffer(counts, np.uint8)
+    schema = pa.schema([(c, pa.int64()) for c in ("node", "size", "shingle", "left")])
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def batch() -> pa.RecordBatch:
+        cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in cols], schema=schema)
+
+    for node, h in _sets(batches, shingle):
+        n = len(h)
+        rank = order[_cell(h)]
+        h = h[np.lexsort((h, rank))]
+        # Another set has at least LINK_NUM / LINK_DEN times as many shingles.
+        first = n - -(-LINK_NUM * n // LINK_DEN) + 1
+        at = np.flatnonzero(order[_cell(h[:first])] > 0)
+        held.append((np.full(len(at), node), np.full(len(at), n), h[at], n - at))
+        if sum(len(x[0]) for x in held) > 10_000:
+            yield batch()
+    if held:
+        yield batch()
 
 
 def _texts(used: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """node, text of the classes in ``used``."""
-    text = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
-    return nodes.select("node", "rep").join(used, "node").join(text, "rep").select("node", "text")
+    """node, text of the classes in ``used``. Rows of one id, or without an id, that have equal texts are merged in the tasks."""
+    text = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("key"), "text")
+    rep = nodes.select("node", "rep.*").join(used, "node")
+    found = rep.join(text, rep["id"].eqNullSafe(text["id"]) & (rep["key"] == text["key"]))
+    return found.groupBy("node").agg(F.first("text").alias("text"))
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
@@ -217,26 +250,15 @@ def _estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs whose sketches differ in few enough bits."""
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("sketch").alias(f"s_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.where(_differing("s", SKETCH_LONGS) <= MOST_DIFFERING).select("a", "b")
+    return both.where(_differing() <= MOST_DIFFERING).select("a", "b")
 
 
-def _differing(name: str, longs: int) -> Column:
-    """Ones in the XOR of the sketches ``name``_a and ``name``_b."""
-    bits = [F.bit_count(F.col(f"{name}_a")[k].bitwiseXOR(F.col(f"{name}_b")[k])) for k in range(longs)]
+def _differing() -> Column:
+    """Ones in the XOR of the sketches ``s_a`` and ``s_b``."""
+    bits = [F.bit_count(F.col("s_a")[k].bitwiseXOR(F.col("s_b")[k])) for k in range(SKETCH_LONGS)]
     return sum(bits[1:], bits[0])
 
 
-def _differing_long(name: str) -> Column:
-    """The same of sketches too long to write out: code that large is not compiled, and few pairs come this far."""
-    ones = F.zip_with(f"{name}_a", f"{name}_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    return F.aggregate(ones, F.lit(0), lambda n, x: n + x)
-
-
-def _first_shared() -> Column:
-    """The first band key that two classes share."""
-    return F.get(F.filter(F.zip_with("bands_a", "bands_b", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()), F.lit(0))
-
-
 def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     """Pairs that are links on their full sets. Only the texts of classes in a pair are read."""
     texts = _texts(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), nodes, docs)
@@ -265,29 +287,38 @@ def _salted(per_band: DataFrame) -> DataFrame:
     return per_band.select(*[c for c in per_band.columns if c != "salt"], F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts"))).alias("salt"))
 
 
+def _prefixes(members: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """node, comp, size, shingle, left of the prefixes of all ``members``, without shingles that no other set can have."""
+    texts = materialize(_texts(members.select("node"), nodes, docs), "near-texts")
+    counts = arrow(texts, partial(_cell_counts, shingle=shingle), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    # At most CELLS rows. Only the order of magnitude counts; a cell of one shingle is of no other set.
+    magnitude = bytearray(CELLS)
+    for r in counts.collect():
+        magnitude[r["cell"]] = (r["n"] - 1).bit_length()
+    rows = arrow(texts, partial(_prefix_rows, shingle=shingle, counts=bytes(magnitude)), "node long, size long, shingle long, left long")
+    rows = materialize(rows.join(members, "node"), "near-prefixes")
+    discard(texts)
+    return rows
+
+
 def _left_over(members: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
-    """Pairs of classes that still share a bucket but no component, and whose sketches, coarse and fine, are near."""
-    texts = _texts(members.select("node").distinct(), nodes, docs)
-    fine = arrow(texts, partial(_fine, shingle=shingle), "node long, fine array<bigint>, fine_bands array<bigint>")
-    fine = materialize(fine.dropDuplicates(["node"]), "near-fine")
-    near, near_fine = _differing("s", SKETCH_LONGS) <= MOST_DIFFERING, _differing_long("f") <= FINE_MOST
-    names = (("node", "n"), ("comp", "c"), ("sketch", "s"), ("fine", "f"), ("bands", "bands"))
-
-    def twice(side: DataFrame, key: str) -> DataFrame:
-        x, y = (side.select(key, *[F.col(c).alias(f"{n}_{v}") for c, n in names if c in side.columns]) for v in "ab")
-        return x.join(y, key).where(F.col("c_a") < F.col("c_b"))
-
-    # A pair is made in the first band that it shares only; if that one is large, both classes are among ``many``.
-    few = members.where(F.col("n") <= PAIRED).select("band", "node", "comp")
-    few = few.join(nodes.select("node", "sketch", "bands"), "node").join(fine.select("node", "fine"), "node")
-    few = twice(few, "band").where(near & (_first_shared() == F.col("band")) & near_fine).select(F.col("n_a").alias("a"), F.col("n_b").alias("b"))
-    many = members.where(F.col("n") > PAIRED).select("node", "comp").distinct()
-    many = many.join(nodes.select("node", "sketch"), "node").join(fine.select("node", "fine_bands"), "node")
-    many = twice(many.select("node", "comp", "sketch", F.explode("fine_bands").alias("key")), "key").where(near)
-    many = many.select(F.col("n_a").alias("a"), F.col("n_b").alias("b")).distinct()
-    for c in "ab":
-        many = many.join(fine.select(F.col("node").alias(c), F.col("fine").alias(f"f_{c}")), c)
-    return few.union(many.where(near_fine).select("a", "b")).distinct()
+    """Pairs of classes of different components that can be similar by their prefixes, and whose sketches are near."""
+    rows = _prefixes(members.select("node", "comp").distinct(), nodes, docs, shingle)
+    # The smaller set of a pair has the first common shingle so early that even an equal set could be similar.
+    early = F.expr(f"{LINK_NUM + LINK_DEN} * left >= {LINK_NUM} * 2 * size")
+    per = rows.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("n"), F.max(early).alias("early"))
+    per = per.groupBy("shingle").agg(F.max_by("comp", F.struct("n", "comp")).alias("major"), F.count(F.lit(1)).alias("comps"), F.max("early").alias("early"))
+    open_ = materialize(rows.join(per.where("comps > 1 and early").select("shingle", "major"), "shingle"), "near-open")
+    side = lambda c: open_.select("shingle", *[F.col(x).alias(f"{x}_{c}") for x in ("node", "comp", "size", "left")], (F.col("comp") == F.col("major")).alias(f"major_{c}"))
+    small = side("a").where(f"{LINK_NUM + LINK_DEN} * left_a >= {LINK_NUM} * 2 * size_a")
+    large = side("b")
+    fits = " and ".join(f"{LINK_NUM + LINK_DEN} * left_{c} >= {LINK_NUM} * (size_a + size_b)" for c in "ab")
+    # Pairs within the largest component are never made.
+    both = small.where("not major_a").join(large, "shingle").unionByName(small.where("major_a").join(large.where("not major_b"), "shingle"))
+    both = both.where("comp_a != comp_b").where(fits).select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")).distinct()
+    both = materialize(both, "near-candidates")
+    discard(rows, open_)
+    return _estimated(both, nodes.select("node", "sketch"))
 
 
 def components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -295,7 +326,7 @@ def components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     feats = materialize(features(docs, shingle), "near-features")
     # Equal rows of a class bring equal features; any is the class's. They are merged in the tasks, so a large class costs its tasks one row each.
     nodes = feats.where("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
+        F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").alias("id"), "key")).alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
     )
     nodes = materialize(nodes, "near-classes")
     members = _buckets(nodes)
@@ -307,8 +338,10 @@ def components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             F.max("comp").alias("hi"),
             F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("order"), "node", "comp")).alias("p"),
             F.first("parts").alias("parts"),
+            F.first("n").alias("n"),
         )
-        open_ = _salted(open_.where("lo != hi").select("band", "p", "parts"))
+        # A pair has been compared once its first pivot was.
+        open_ = _salted(open_.where("lo != hi").where(F.lit(k == 0) | (F.col("n") > 2)).select("band", "p", "parts"))
         older, members = members, materialize(members.join(open_.drop("parts"), ["band", "salt"]), "near-buckets")
         discard(older)
         if members.isEmpty():
@@ -332,8 +365,8 @@ def components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         discard(older, pairs, links)
         older, members = members, materialize(members.drop("p", "comp").join(labels, "node"), "near-buckets")
         discard(older)
-    least = _labelled(nodes, labels).join(nodes.select("node", "rep"), "node")
-    firsts = least.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    least = _labelled(nodes, labels).join(nodes.select("node", "least"), "node")
+    firsts = least.groupBy("comp").agg(F.min("least").alias("component_id"))
     of_node = least.select("node", "comp").join(firsts, "comp").select("node", "component_id")
     return feats.select("doc_id", "n_shingles", "node").join(of_node, "node", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
@@ -345,7 +378,7 @@ def _labelled(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def op5(docs: DataFrame) -> DataFrame:
-    return components(docs).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return components(docs).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame, shingle: int = STAGE_SHINGLE) -> DataFrame:
