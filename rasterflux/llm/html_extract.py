@@ -2,12 +2,13 @@
 
 A page is read into a tree of elements. Every paragraph passes points to its container: one, one per comma, and up to three for its length; a
 container passes on six tenths of its points to its own, and so on to the root, so that the common container of several good ones wins over each.
-A container's points are discounted by its link density. The best container is kept (the whole ``article`` or ``main`` around it, if most of that is
-in it), with those of its siblings that score a fifth of it, read like prose or are headings, and its blocks are joined in page order.
+A container's points are discounted by its link density. The best container is kept (the ``article`` around it, and outer ones or ``main`` if most of that is
+in it), with those of its siblings that are paragraphs, headings or read like prose, however few points they have, and its blocks are joined in page order.
 
 Elements that are never article text (menus, headers and footers of the page, sidebars, notices, adverts, forms, scripts, styles, reader comments) are left
 out before scoring. A class or id that only has such words marks one; where they stand beside others (``related-work``), the element goes
-only if it does not read like prose.
+only if it does not read like prose, and inside an article only if it is mostly links. A ``notice`` inside an article goes by how it reads as well. A header counts
+as the page's while points are given; one that stands in the chosen container and has a heading is the article's title after all.
 
 Defined cases: a null, empty or text-free page gives an empty text; a page cut off anywhere is read as if its open elements
 ended there; character references without an end mark are decoded as browsers do; repeated rows give repeated results; extra
@@ -29,13 +30,13 @@ from rasterflux.llm.common import arrow
 #: Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not page text.
-RAW = frozenset("script style noscript template textarea title svg math iframe object canvas select option button".split())
+RAW = frozenset("script style template textarea title svg iframe object canvas select option button annotation annotation-xml".split())
 #: Elements that are never part of the article.
 OUTSIDE = frozenset("nav footer aside form dialog menu head".split())
 #: Elements that flow inside a block.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup"
-    " time tt u var wbr".split()
+    " time tt u var wbr math semantics mi mn mo ms mtext mspace mrow mfrac msqrt mroot msup msub msubsup mover munder munderover mstyle mfenced".split()
 )
 #: A start tag of these ends an open paragraph.
 ENDS_P = frozenset(
@@ -52,6 +53,8 @@ NEUTRAL = frozenset(
     "area articles bar bottom box button buttons block container content form global group header inner item items left link links list main media module outer page panel posts primary"
     " right row secondary section site sticky stories text title top wrap wrapper".split()
 )
+#: Of the former, those that content also has inside an article.
+AMBIGUOUS = frozenset("notice notices".split())
 UNLIKELY_ROLE = frozenset(
     "navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form".split()
 )
@@ -60,15 +63,15 @@ ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "score", "chars", "links", "marks", "skip", "doubt", "kept")
+    __slots__ = ("tag", "parent", "items", "score", "chars", "links", "marks", "skip", "doubt", "mild", "apart", "kept")
 
     def __init__(self, tag: str, parent: Node | None) -> None:
         self.tag, self.parent = tag, parent
         self.items: list[Node | str] = []
         self.score = 0.0
         self.chars = self.links = self.marks = 0
-        #: Left out; left out unless it reads like prose; part of the result.
-        self.skip = self.doubt = self.kept = False
+        #: Left out; left out unless it reads like prose, or if it is mostly links; a header or in one; part of the result.
+        self.skip = self.doubt = self.mild = self.apart = self.kept = False
 
     def density(self) -> float:
         return self.links / self.chars if self.chars else 0.0
@@ -80,10 +83,12 @@ class Node:
 def _judge(node: Node, attrs: str, inside: bool) -> None:
     """Sets skip and doubt; ``inside`` an article or main."""
     tag = node.tag
-    # A header inside the article holds its title.
-    if tag in OUTSIDE or (tag == "header" and not inside):
+    # What stands in for scripts inside an article is its text.
+    if tag in OUTSIDE or (tag == "noscript" and not inside):
         node.skip = True
         return
+    # A header inside the article holds its title.
+    node.apart = tag == "header" and not inside
     if not attrs or "=" not in attrs:
         node.skip = bool(attrs and re.search(r"\bhidden\b", attrs))
         return
@@ -97,8 +102,11 @@ def _judge(node: Node, attrs: str, inside: bool) -> None:
                 words = [w for w in re.split(r"[-_]+", token) if w]
                 bad = [w in UNLIKELY for w in words]
                 if any(bad):
-                    node.doubt = True
-                    node.skip |= all(b or w in NEUTRAL or w.isdigit() for b, w in zip(bad, words, strict=True))
+                    alone = all(b or w in NEUTRAL or w.isdigit() for b, w in zip(bad, words, strict=True))
+                    weak = inside and all(w in AMBIGUOUS for b, w in zip(bad, words, strict=True) if b)
+                    node.skip |= alone and not weak
+                    node.mild |= inside and not alone
+                    node.doubt |= not inside or weak
         elif (
             (name == "role" and text in UNLIKELY_ROLE)
             or (name == "aria-hidden" and text == "true")
@@ -234,23 +242,30 @@ def _score(nodes: list[Node], blocks: list[tuple[Node, str, int]]) -> None:
         inner = owner.tag in ENDS_P and owner.tag not in ("article", "section", "div", "main") and owner.parent
         (owner.parent if inner else owner).score += points
     for node in reversed(nodes):
-        if node.doubt and (node.density() >= LINKED or node.marks == 0):
+        if (node.doubt and (node.density() >= LINKED or node.marks == 0)) or (node.mild and node.density() >= LINKED):
             node.skip = True
-        if node.parent and not node.skip:
+        if node.parent and not node.skip and not node.apart:
             node.parent.chars += node.chars
             node.parent.links += node.links
             node.parent.marks += node.marks
             node.parent.score += PASSED * node.score
 
 
-def _belongs(sibling: Node, best: Node) -> bool:
+#: How lines begin that stand below an article, not in it.
+RIGHTS = re.compile(r"\s*(?:©|\(c\)|copyright\b|all rights reserved)", re.I)
+
+
+def _belongs(sibling: Node, text: str) -> bool:
     """Whether an element beside the best container is part of the article."""
-    density = sibling.density()
-    if sibling.tag in HEADINGS:
-        return density < LINKED
-    if sibling.tag in ("p", "blockquote", "pre"):
-        return density < 0.25 and (sibling.chars > 80 or (sibling.links == 0 and sibling.marks > 0))
-    return sibling.points() >= 0.2 * best.points() and density < LINKED
+    if RIGHTS.match(text):
+        return False
+    if sibling.tag in HEADINGS or sibling.tag in ("p", "blockquote", "pre", "figure"):
+        return sibling.density() < LINKED
+    return sibling.density() < LINKED and sibling.marks > 0
+
+
+def _has_heading(node: Node) -> bool:
+    return any(isinstance(x, Node) and not x.skip and (x.tag in HEADINGS or _has_heading(x)) for x in node.items)
 
 
 def extract(page: str | None) -> str:
@@ -264,17 +279,19 @@ def extract(page: str | None) -> str:
         return ""
     _score(nodes, blocks)
     for node in nodes:
-        node.skip |= node.parent is not None and node.parent.skip
-    best = max((x for x in nodes if not x.skip), key=Node.points)
+        if node.parent is not None:
+            node.skip |= node.parent.skip
+            node.apart |= node.parent.apart
+    best = max((x for x in nodes if not x.skip and not x.apart), key=Node.points)
     # Around it: boxes that hold nothing more but headings, then the article.
     while (up := best.parent) and up.tag not in ("body", "html", "#root"):
-        others = [x for x in up.items if isinstance(x, Node) and x is not best and not x.skip and x.chars]
+        others = [x for x in up.items if isinstance(x, Node) and x is not best and not x.skip and not x.apart and x.chars]
         if any(x.tag not in HEADINGS or x.density() >= LINKED for x in others):
             break
         best = up
     found, up = best, best
     while up := up.parent:
-        if up.tag in ("article", "main") and 2 * best.chars >= up.chars:
+        if (up.tag == "article" and best is found) or (up.tag in ("article", "main") and 2 * best.chars >= up.chars):
             best = up
     if best is not found:
         # Articles beside the best container that are mostly links are teasers of other pages.
@@ -285,12 +302,27 @@ def extract(page: str | None) -> str:
         for node in nodes:
             node.skip |= (node.tag == "article" and id(node) not in above and node.density() >= 0.5) or (node.parent is not None and node.parent.skip)
     best.kept = True
-    if best.parent:
+    if best.parent and best.tag not in ("article", "main"):
+        begins: dict[int, str] = {}
+        for owner, text, _ in blocks:
+            # The first text of every element beside the best.
+            up = owner
+            while up and up.parent is not best.parent:
+                up = up.parent
+            if up:
+                begins.setdefault(id(up), text)
         for sibling in best.parent.items:
-            if isinstance(sibling, Node) and sibling is not best and not sibling.skip and sibling.chars and _belongs(sibling, best):
-                sibling.kept = True
+            if isinstance(sibling, Node) and sibling is not best and not sibling.skip and not sibling.apart and sibling.chars:
+                sibling.kept |= _belongs(sibling, begins.get(id(sibling), ""))
     for node in nodes:
-        node.kept |= node.parent is not None and node.parent.kept
+        if node.parent is None:
+            continue
+        if node.tag == "header" and node.apart and not node.parent.apart:
+            # In the chosen container, or beside it in its box, a header with a heading is the title; the body's own is the page's.
+            own_box = node.parent.tag not in ("body", "html", "#root")
+            node.kept = own_box and (node.parent.kept or node.parent is best.parent) and node.density() < LINKED and _has_heading(node)
+        else:
+            node.kept |= node.parent.kept
     return "\n".join(text for owner, text, _ in blocks if owner.kept and not owner.skip)
 
 
