@@ -15,6 +15,8 @@ are documents of their own in the counts; documents without an id are kept; an e
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,9 +109,8 @@ def _with_general(terms: Column) -> Column:
 
 
 def document_terms() -> Column:
-    """Distinct terms of the column ``text``, outside of what looks like personal data, and their general forms."""
-    clean = F.when(F.col("touched"), F.regexp_replace("text", LOOKS_PERSONAL, " ")).otherwise(F.col("text"))
-    return _with_general(_terms_of(clean))
+    """Terms of the column ``text``, outside of what looks like personal data."""
+    return _terms_of(F.when(F.col("touched"), F.regexp_replace("text", LOOKS_PERSONAL, " ")).otherwise(F.col("text")))
 
 
 def entity(match: Column) -> Column:
@@ -140,15 +141,15 @@ def surroundings(rows: DataFrame) -> DataFrame:
     return each.groupBy("row", "entity").agg(F.array_sort(_with_general(F.array_distinct(F.flatten(F.collect_list("terms"))))).alias("terms"))
 
 
-def _bitmap(terms: DataFrame) -> Column:
-    """A condition on a term, true for all of ``terms`` and few others. The bitmap has ``BITS`` bits and travels in the plan."""
-    place = F.pmod(F.xxhash64("term"), F.lit(BITS)).alias("place")
-    longs = terms.select(place).groupBy(F.expr("cast(place div 64 as int)").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 as int))")).alias("bits"))
+def _bitmap(terms: DataFrame) -> Callable[[Column], Column]:
+    """A condition on a term, true for all of ``terms`` and few others. The bitmap has ``BITS`` bits, of which a term sets two, and travels in the plan."""
+    places = lambda t: [F.pmod(F.shiftrightunsigned(F.xxhash64(t), k), F.lit(BITS)) for k in (0, 32)]
+    longs = terms.select(F.explode(F.array(*places("term"))).alias("place")).groupBy(F.expr("cast(place div 64 as int)").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 as int))")).alias("bits"))
     # At most BITS / 64 rows.
     bits = {r["at"]: r["bits"] for r in longs.collect()}
     literal = F.split(F.lit(",".join(str(bits.get(k, 0)) for k in range(BITS // 64))), ",").cast("array<bigint>")
-    here = lambda t: F.pmod(F.xxhash64(t), F.lit(BITS))
-    return lambda t: F.getbit(F.get(literal, F.floor(here(t) / 64).cast("int")), (here(t) % 64).cast("int")) == 1
+    is_set = lambda at: F.getbit(F.get(literal, F.shiftright(at, 6).cast("int")), (at % 64).cast("int")) == 1
+    return lambda t: is_set(places(t)[0]) & is_set(places(t)[1])
 
 
 def disclosing_terms(rows: DataFrame) -> DataFrame:
@@ -162,7 +163,7 @@ def disclosing_terms(rows: DataFrame) -> DataFrame:
     pairs = pairs.groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") >= CONTEXTS)
     pairs = materialize(pairs.join(holders, "entity"), "disclosure-pairs")
     maybe = _bitmap(pairs)
-    terms = rows.select(F.explode(F.filter(document_terms(), maybe)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    terms = rows.select(F.explode(F.filter(_with_general(document_terms()), maybe)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     given = F.log(F.lit(float(n)) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
     whole = F.log(F.lit(float(n)) / F.col("n_e"))
     found = pairs.join(terms, "term").where((whole > 0) & (given >= DISCLOSURE * whole - 1e-9)).select("term").distinct()
