@@ -34,7 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(where, True)
+    # With the session's own settings, which an object store needs.
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def _delete_at_exit(spark: SparkSession, path: str) -> None:
@@ -44,17 +45,22 @@ def _delete_at_exit(spark: SparkSession, path: str) -> None:
         return
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder. What an application has written there is deleted when its driver ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _folders:
+        _folders[app] = f"{shared_dir(spark)}/rasterflux/{app}-{uuid.uuid4().hex[:8]}"
+        atexit.register(_delete_at_exit, spark, _folders[app])
+    return f"{_folders[app]}/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back: cuts lineage and survives lost executors.
 
-    What an application has written is deleted when its driver ends; ``discard`` deletes a table that nothing reads any more before that.
+    ``discard`` deletes a table that nothing reads any more before the driver ends.
     """
     spark = df.sparkSession
-    app = spark.sparkContext.applicationId
-    if app not in _folders:
-        _folders[app] = f"{shared_dir(spark)}/rasterflux/{app}-{uuid.uuid4().hex[:8]}"
-        atexit.register(_delete_at_exit, spark, _folders[app])
-    path = f"{_folders[app]}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
