@@ -122,20 +122,30 @@ def sieve_merge(dense: DataFrame, size: int, width: int, height: int) -> DataFra
     best = near.join(other, ["r", "c"]).where("o2 != on").groupBy("on", "label").agg(F.max(F.struct("n2", (-F.col("l2")).alias("k"), "o2", "l2")).alias("b"))
     small = n.where(F.col("n") < size).join(best, ["on", "label"], "left")
     chain = small.select("on", "label", F.col("b.o2").alias("to_on"), F.col("b.l2").alias("to"), F.col("b.n2").alias("to_n"))
-    big = chain.where(F.col("to_n") >= size).select("on", "label", F.col("to_on").alias("new"))
-    rest = chain.where(F.col("to_n") < size)
-    while True:
-        found = rest.join(big.select(F.col("on").alias("to_on"), F.col("label").alias("to"), "new"), ["to_on", "to"], "left")
-        found = materialize(found, "chain")
-        more = found.where("new is not null").select("on", "label", "new")
-        if more.isEmpty():
-            break
-        older, big = big, materialize(big.union(more), "chain")
-        discard(older)
-        rest = found.where("new is null").drop("new")
+    big = resolved(chain, size)
     return lab.join(big, ["on", "label"], "left").select("r", "c", F.coalesce("new", "on").alias("on"))
 
 
+def resolved(chain: DataFrame, size: int) -> DataFrame:
+    """on, label, new: the value at the end of each patch's chain of neighbours, where that end is large.
+
+    Pointers are doubled: what a patch points to is replaced by what that points to, so a chain of 2^k patches takes k rounds. Patches of a circle of small ones never arrive.
+    """
+    state = materialize(chain.where("to is not null").select("on", "label", "to_on", "to", F.when(F.col("to_n") >= size, F.col("to_on")).alias("new")), "chain")
+    open_ = state.where("new is null").count()
+    while open_:
+        ahead = state.select(F.col("on").alias("to_on"), F.col("label").alias("to"), F.col("to_on").alias("far_on"), F.col("to").alias("far"), F.col("new").alias("far_new"))
+        moved = state.where("new is null").join(ahead, ["to_on", "to"]).select("on", "label", F.col("far_on").alias("to_on"), F.col("far").alias("to"), F.col("far_new").alias("new"))
+        older, state = state, materialize(state.where("new is not null").unionByName(moved), "chain")
+        discard(older)
+        # A chain has patches at every distance, so a round that resolves none is the last.
+        still = state.where("new is null").count()
+        if still == open_:
+            break
+        open_ = still
+    return state.where("new is not null").select("on", "label", "new")
+
+
 def region_cap(region_sizes: DataFrame, limit: int = MAX_REGIONS) -> DataFrame:
     """Regions at least as large as the limit-th largest, ties kept, and how many were dropped.
 
