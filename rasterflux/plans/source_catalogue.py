@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterflux.operators import spatial
+from rasterflux.functions import grids as G
+from rasterflux.operators import crops as CR
+from rasterflux.operators import regions as R
+from rasterflux.operators import ring_links, spatial
 from rasterflux.operators import warp as WP
 from rasterflux.plans import catalogue as K
 from rasterflux.plans.catalogue import N, query
@@ -118,3 +121,54 @@ def warp_classes(spark, d):
     """Classes on the grid in degrees: the nearest pixel's."""
     place = WP.degrees_to_utm((WEST, NORTH), STEP, (500_000.0, 4_000_000.0), 10.0, 32643)
     return WP.warp(_source(spark, d), T.grid(spark, SIDE), "scl", place, nearest=True)
+
+
+_SIDES = "(VALUES (-1,0),(0,1),(1,0),(0,-1)) d(dr,dc)"
+_LOSS_LAB = f"{K._BASE}, {K._LOSS}, {K._reach('lab', 'm', False)}"
+
+
+@query(f"""{_LOSS_LAB}, ed AS (SELECT a.label, count(*) AS edges FROM lab a CROSS JOIN {_SIDES} WHERE NOT EXISTS (SELECT 1 FROM lab b WHERE b.label=a.label AND b.r=a.r+dr AND b.c=a.c+dc) GROUP BY 1),
+qq AS (SELECT label, r+i AS r, c+j AS c, count(*) AS n, max(i*2+j) AS hi, min(i*2+j) AS lo FROM lab CROSS JOIN range(2) x(i) CROSS JOIN range(2) y(j) GROUP BY 1,2,3),
+kk AS (SELECT label, sum(CASE WHEN n IN (1,3) THEN 1 WHEN n=2 AND hi+lo=3 THEN 2 ELSE 0 END) AS corners FROM qq GROUP BY 1), ss AS (SELECT label, count(*) AS pixels FROM lab GROUP BY 1)
+SELECT ss.label, CAST(ed.edges AS BIGINT) AS edges, CAST(kk.corners AS BIGINT) AS corners, CAST(pixels AS DOUBLE) AS area, 1::BIGINT AS outer_rings FROM ss JOIN ed USING (label) JOIN kk USING (label)""")
+def linked_rings(spark, d):
+    """Rings of the loss patches by list ranking: their edges, corners, the area that they enclose (holes taken off), and outer rings."""
+    lab = R.components(K._loss(spark, d), N, N, eight=False)
+    corners = ring_links.ring_corners(lab, [], N)
+    nxt = corners.select("ring", F.col("position").alias("p"), F.col("r").alias("r2"), F.col("c").alias("c2"))
+    order = F.row_number().over(K.W.partitionBy("ring").orderBy("p")) - 1
+    # Corners are few per ring here; each is joined with the one that follows.
+    a = corners.withColumn("i", F.row_number().over(K.W.partitionBy("ring").orderBy("position")) - 1).withColumn("n", F.count(F.lit(1)).over(K.W.partitionBy("ring")))
+    both = a.withColumn("j", (F.col("i") + 1) % F.col("n")).join(nxt.withColumn("j", order), ["ring", "j"])
+    length = F.sum(F.abs(F.col("r2") - F.col("r")) + F.abs(F.col("c2") - F.col("c"))).cast("long").alias("edges")
+    area = (F.sum(F.col("c") * F.col("r2") - F.col("c2") * F.col("r")) / 2.0).alias("area")
+    return both.groupBy("label").agg(length, F.count(F.lit(1)).alias("corners"), area, F.count_distinct(F.when(F.col("outer"), F.col("ring"))).alias("outer_rings"))
+
+
+_LEVEL = "CAST(coalesce(floor(least(1,{0}*{1})*255),0) AS INT)"
+
+
+@query(f"""{_LOSS_LAB}, bb AS (SELECT label, min(r) AS r0, max(r)+1 AS r1, min(c) AS c0, max(c)+1 AS c1, count(*) AS n FROM lab GROUP BY 1 HAVING n>=3),
+hh AS (SELECT label, (r0+r1)/2.0::DOUBLE AS cy, (c0+c1)/2.0::DOUBLE AS cx, greatest(2*(c1-c0),2*(r1-r0),16)/2.0::DOUBLE AS half FROM bb),
+w0 AS (SELECT *, CAST(floor(greatest(0,least(cx-half,{N - 1}))) AS INT) AS x0, CAST(floor(greatest(0,least(cy-half,{N - 1}))) AS INT) AS y0 FROM hh),
+ww AS (SELECT label, x0, y0, CAST(floor(least({N},greatest(x0+1,cx+half))) AS INT) AS x1, CAST(floor(least({N},greatest(y0+1,cy+half))) AS INT) AS y1 FROM w0),
+ll AS (SELECT r,c,{_LEVEL.format("red", 10)} AS red,{_LEVEL.format("nir", 10)} AS nir,{_LEVEL.format("green", 10)} AS green FROM px WHERE sensor='S2' AND step=0)
+SELECT ww.label AS feature_index, CAST(y1-y0 AS INT) AS height, CAST(x1-x0 AS INT) AS width, CAST(coalesce(sum(red+nir+green),0) AS BIGINT) AS total, CAST(coalesce(sum(red*((r-y0)*(x1-x0)+c-x0+1)),0) AS BIGINT) AS weighted
+FROM ww LEFT JOIN ll ON ll.r>=y0 AND ll.r<y1 AND ll.c>=x0 AND ll.c<x1 GROUP BY ww.label,y0,y1,x0,x1""")
+def region_crops(spark, d):
+    """Context crops of the loss patches of at least three pixels from a rendering of the first date: size, sum of all levels, and the sum of the first band's by place."""
+    lab = R.components(K._loss(spark, d), N, N, eight=False)
+    box = lab.groupBy("label").agg(F.count(F.lit(1)).alias("n"), *[f(k).cast("double").alias(f"{k}_{f.__name__}") for k in "rc" for f in (F.min, F.max)]).where("n >= 3")
+    bounds = F.struct(F.col("c_min").alias("west"), (F.col("c_max") + 1).alias("east"), (-F.col("r_min")).alias("north"), (-F.col("r_max") - 1).alias("south"))
+    frame = F.struct(F.lit(0.0).alias("west"), F.lit(float(N)).alias("east"), F.lit(0.0).alias("north"), F.lit(-float(N)).alias("south"))
+    windows = box.select(F.col("label").alias("feature_index"), G.context_crop(bounds, frame, N, N, 16).alias("w")).select("feature_index", "w.*")
+    level = lambda k: F.coalesce(F.floor(F.least(F.lit(1.0), F.col(k) * 10) * 255), F.lit(0)).alias(k)
+    bands = ["red", "nir", "green"]
+    chip = T.pixels(spark, d).where("sensor = 'S2' and step = 0").select("r", "c", *[level(k) for k in bands])
+    found = CR.crops(windows, chip, bands, tile=16)
+    # Every third byte is of the first band.
+    levels = F.transform(F.sequence(F.lit(1), F.length("crop")), lambda i: F.conv(F.hex(F.substring("crop", i, F.lit(1))), 16, 10).cast("long"))
+    found = found.withColumn("v", levels)
+    total = F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x)
+    weighted = F.aggregate(F.transform("v", lambda x, i: F.when(i % 3 == 0, x * (F.floor(i / 3) + 1)).otherwise(0)), F.lit(0).cast("long"), lambda s, x: s + x)
+    return found.select("feature_index", "height", "width", total.alias("total"), weighted.alias("weighted"))
