@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -9,9 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rasterflux.functions import exprs as E
-from rasterflux.operators.graph import numbered
 from rasterflux.shipping import ship
-from rasterflux.storage import materialize
 
 PIXEL = ("r", "c")
 
@@ -172,40 +172,80 @@ def boxcar(dense: DataFrame, value: str, size: int, height: int, width: int) ->
     return df.withColumn(value, F.when(F.col("_n") > 0, F.col("_s") / F.col("_n"))).drop("_s", "_n")
 
 
+#: Buckets of a column's interval in one pass.
+DIGITS = 4096
+
+
+def exact_percentiles(df: DataFrame, columns: dict[str, Column], shares: list[float]) -> dict[str, list[float | None]]:
+    """The exact values of several columns at the shares, interpolated linearly; absent values do not count, and a column without values gives None.
+
+    The first pass counts and bounds all columns. Each further one divides the interval of every rank that is not settled yet into ``DIGITS`` buckets, all in one scan that adds up counts and
+    bounds per bucket in the tasks; the rank's bucket is its next interval, until it holds one value. What reaches the driver are buckets, at most ``DIGITS`` a rank, never values.
+    """
+    v = df.select(*[E.absent(c.cast("double")).alias(f"v{k}") for k, c in enumerate(columns.values())])
+    whole = v.agg(*[f(f"v{k}").alias(f"{f.__name__}{k}") for k in range(len(columns)) for f in (F.count, F.min, F.max)]).first()
+    places = {k: [(whole[f"count{k}"] - 1) * s for s in shares] for k in range(len(columns)) if whole[f"count{k}"]}
+    # (column, rank) -> (low, high, values below low)
+    found = {(k, rank): (whole[f"min{k}"], whole[f"max{k}"], 0) for k, ps in places.items() for p in ps for rank in {math.floor(p), math.ceil(p)}}
+    while spans := sorted({(k, low, high) for (k, _), (low, high, _) in found.items() if low < high}):
+        rows = []
+        for i, (k, low, high) in enumerate(spans):
+            x = F.col(f"v{k}")
+            # Halves do not overflow; two neighbouring numbers have none between them.
+            width = high / 2 - low / 2
+            share = (x / 2 - low / 2) / width if width else F.when(x > low, 1.0).otherwise(0.0)
+            digit = F.greatest(F.lit(0), F.least(F.lit(DIGITS - 1), F.floor(share * DIGITS))).cast("int")
+            rows.append(F.when(x.between(low, high), F.struct(F.lit(i).alias("span"), digit.alias("digit"), x.alias("v"))))
+        buckets = v.select(F.explode(F.array(*rows)).alias("x")).where("x is not null").groupBy("x.span", "x.digit")
+        per: dict[int, list] = {}
+        for r in buckets.agg(F.count("x.v").alias("n"), F.min("x.v").alias("low"), F.max("x.v").alias("high")).collect():
+            per.setdefault(r["span"], []).append((r["digit"], r["n"], r["low"], r["high"]))
+        for (k, rank), (low, high, below) in list(found.items()):
+            if low < high:
+                for _, n, a, b in sorted(per[spans.index((k, low, high))]):
+                    if rank < below + n:
+                        found[k, rank] = (a, b, below)
+                        break
+                    below += n
+    value = lambda k, rank: found[k, rank][0]
+    between = lambda k, p: (a := value(k, math.floor(p))) + (value(k, math.ceil(p)) - a) * (p - math.floor(p))
+    return {name: [between(k, p) for p in places[k]] if k in places else [None] * len(shares) for k, name in enumerate(columns)}
+
+
 def percentiles(values: DataFrame, value: str, shares: list[float]) -> DataFrame:
-    """One row: the values at the shares, interpolated linearly as exact percentiles are. Distinct values are counted and numbered by ranges, so no task holds them all."""
-    per = values.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    ranked = materialize(numbered(per, [F.col("v")], {"upto": "n"}), "percentiles")
-    whole = F.max("upto") - 1
-    near = ranked.crossJoin(F.broadcast(ranked.agg(whole.cast("double").alias("last"))))
+    """One row: a column's values at the shares as q0, q1, ..."""
+    found = exact_percentiles(values, {value: F.col(value)}, shares)[value]
+    return values.sparkSession.range(1).select(*[F.lit(x).cast("double").alias(f"q{k}") for k, x in enumerate(found)])
+
 
-    def at(share: float) -> Column:
-        place = F.col("last") * share
-        value_at = lambda k: F.min(F.when(F.col("upto") > k, F.col("v")))
-        low, high, part = value_at(F.floor(place)), value_at(F.ceil(place)), F.max(place - F.floor(place))
-        return low + (high - low) * part
+def _levels(value: str, limits: list[float | None]) -> Column:
+    """0..255 between two limits, 0 where absent."""
+    v, (lo, hi) = E.absent(value), limits
+    if lo is None or hi is None:
+        return F.lit(0)
+    hi = lo + 1 if hi <= lo else hi
+    scaled = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (v - lo) / (hi - lo))) * 255).cast("int")
+    return F.coalesce(scaled, F.lit(0))
 
-    return near.agg(*[at(q).alias(f"q{k}") for k, q in enumerate(shares)])
+
+def stretched(scene: DataFrame, bands: list[str], low: float = 0.02, high: float = 0.98) -> dict[str, Column]:
+    """For each band its levels between two percentiles of the finite positive values, which are found for all bands at once."""
+    positive = lambda k: (x := E.absent(k), F.when(x > 0, x))[1]
+    limits = exact_percentiles(scene, {k: positive(k) for k in bands}, [low, high])
+    return {k: _levels(k, limits[k]) for k in bands}
 
 
 def stretch(band: DataFrame, value: str, low: float = 0.02, high: float = 0.98) -> DataFrame:
-    """0..255 between two percentiles of the finite positive values, 0 where absent; one row of limits is broadcast."""
-    v = E.absent(value)
-    limits = percentiles(band.select(F.when(v > 0, v).alias("v")), "v", [low, high])
-    lo, hi = F.col("q0"), F.col("q1")
-    hi = F.when(hi <= lo, lo + 1).otherwise(hi)
-    scaled = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (v - lo) / (hi - lo))) * 255).cast("int")
-    return band.crossJoin(F.broadcast(limits)).withColumn("level", F.coalesce(scaled, F.lit(0))).drop("q0", "q1")
+    """Adds ``level``: 0..255 between two percentiles of the finite positive values, 0 where absent."""
+    return band.withColumn("level", stretched(band, [value], low, high)[value])
 
 
 def true_colour(scene: DataFrame) -> DataFrame:
     """r, c, red, green, blue levels: the scene's 8-bit rendering (visual_r, visual_g, visual_b) where it has one, else its stretched bands."""
+    names = ["red", "green", "blue"]
     if all(f"visual_{k}" in scene.columns for k in "rgb"):
-        return scene.select(*PIXEL, *[F.col(f"visual_{k[0]}").cast("int").alias(k) for k in ("red", "green", "blue")])
-    out = scene
-    for k in ("red", "green", "blue"):
-        out = stretch(out, k).withColumn(f"_{k}", F.col("level")).drop("level")
-    return out.select(*PIXEL, *[F.col(f"_{k}").alias(k) for k in ("red", "green", "blue")])
+        return scene.select(*PIXEL, *[F.col(f"visual_{k[0]}").cast("int").alias(k) for k in names])
+    return scene.select(*PIXEL, *[v.alias(k) for k, v in stretched(scene, names).items()])
 
 
 def chip_db(db: Column, low: float = -25.0, high: float = 0.0) -> Column:

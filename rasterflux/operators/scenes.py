@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -144,6 +145,53 @@ def rank_by_vector(vectors: DataFrame, query: list[float], top_k: int = 20) -> D
     return top.withColumns({"score": F.round("_score", 4), "rank": rank}).drop("_score")
 
 
+#: Vectors and prompts of a cell.
+CELL_VECTORS, CELL_PROMPTS = 1 << 15, 256
+
+
+def _best_of_cell(vectors: pa.Table, prompts: pa.Table, k: int) -> pa.Table:
+    """The first k vectors of the cell for each of its prompts."""
+    out: list[list] = [[], [], []]
+    if vectors.num_rows and prompts.num_rows:
+        matrix = lambda t: np.stack(t.column("v").to_numpy(zero_copy_only=False)).astype(np.float64)
+        ids, asked = vectors.column("id").to_numpy(), prompts.column("prompt").to_numpy(zero_copy_only=False)
+        scores = matrix(prompts) @ matrix(vectors).T
+        least = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(asked), -np.inf)
+        for p, row in enumerate(scores):
+            at = np.flatnonzero(row >= least[p])
+            at = at[np.lexsort((ids[at], -row[at]))][:k]
+            out[0] += [asked[p]] * len(at)
+            out[1] += ids[at].tolist()
+            out[2] += row[at].tolist()
+    return pa.table({"prompt": pa.array(out[0], prompts.schema.field("prompt").type), "feature_index": pa.array(out[1], pa.int64()), "_score": pa.array(out[2], pa.float64())})
+
+
+def rank_by_prompts(vectors: DataFrame, prompts: DataFrame, top_k: int = 20) -> DataFrame:
+    """prompt, feature_index, score, rank: for every prompt (prompt, embedding) its best vectors (vec_id, embedding), as ``rank_by_vector`` gives them for one.
+
+    Blocks of vectors meet blocks of prompts in cells of bounded size; a cell keeps the first ``top_k`` of each prompt, and the cells' short lists are merged by rank. Rows without an embedding take no part.
+    """
+    ship(vectors.sparkSession)
+    k = max(1, top_k)
+    v = vectors.where("embedding is not null").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    p = prompts.where("embedding is not null").select("prompt", F.col("embedding").cast("array<double>").alias("v"))
+    parts = lambda df, size: max(1, -(-df.count() // size))
+    n, m = parts(v, CELL_VECTORS), parts(p, CELL_PROMPTS)
+    dealt = lambda key, count: F.pmod(F.xxhash64(key), F.lit(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    left = v.select("id", "v", dealt("id", n).alias("a"), every(m).alias("b"))
+    right = p.select("prompt", "v", every(n).alias("a"), dealt("prompt", m).alias("b"))
+
+    def cell(x: pa.Table, y: pa.Table) -> pa.Table:
+        return _best_of_cell(x, y, k)
+
+    kind = prompts.schema["prompt"].dataType.simpleString()
+    short = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(cell, f"prompt {kind}, feature_index long, _score double")
+    best = W.partitionBy("prompt").orderBy(F.desc("_score"), "feature_index")
+    out = short.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return out.select("prompt", "feature_index", F.round("_score", 4).alias("score"), "rank")
+
+
 def match_properties(matches: DataFrame, features: DataFrame) -> DataFrame:
     """Matches (at most top-k rows) with the properties and geometry of their features."""
     return features.join(F.broadcast(matches), "feature_index")

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterflux.functions import grids as G
+from rasterflux.operators import change as CH
 from rasterflux.operators import crops as CR
 from rasterflux.operators import regions as R
 from rasterflux.operators import ring_links, spatial
+from rasterflux.operators import scenes as S
 from rasterflux.operators import warp as WP
 from rasterflux.plans import catalogue as K
 from rasterflux.plans.catalogue import N, query
@@ -172,3 +174,23 @@ def region_crops(spark, d):
     total = F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x)
     weighted = F.aggregate(F.transform("v", lambda x, i: F.when(i % 3 == 0, x * (F.floor(i / 3) + 1)).otherwise(0)), F.lit(0).cast("long"), lambda s, x: s + x)
     return found.select("feature_index", "height", "width", total.alias("total"), weighted.alias("weighted"))
+
+
+@query("""WITH q AS (SELECT vec_id AS prompt, embedding AS e FROM embeddings WHERE vec_id%50=0), s AS (SELECT prompt, vec_id AS feature_index, list_sum(list_transform(list_zip(embedding, q.e), lambda x: CAST(x[1] AS DOUBLE)*CAST(x[2] AS DOUBLE))) AS score FROM embeddings, q)
+SELECT prompt, feature_index, round(score,4) AS score, CAST(row_number() OVER (PARTITION BY prompt ORDER BY score DESC, feature_index) AS INT) AS rank FROM s QUALIFY rank<=20""")
+def prompt_ranks(spark, d):
+    """Every fiftieth vector as a prompt, ranked against all."""
+    vectors = T.table(spark, d, "embeddings")
+    return S.rank_by_prompts(vectors, vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("prompt"), "embedding"), 20)
+
+
+def _limits(k: str) -> str:
+    return f"(SELECT quantile_cont({k},0.02) FROM b WHERE {k}>0) AS lo_{k}, (SELECT quantile_cont({k},0.98) FROM b WHERE {k}>0) AS hi_{k}"
+
+
+@query(f"""WITH {K._PX}, b AS (SELECT * FROM px WHERE sensor='S2'), q AS (SELECT {", ".join(map(_limits, ("red", "nir", "green", "swir16")))})
+SELECT r,c,step,{", ".join(f"CAST(floor(greatest(0,least(1,({k}-lo_{k})/(CASE WHEN hi_{k}<=lo_{k} THEN 1 ELSE hi_{k}-lo_{k} END)))*255) AS INT) AS {k}" for k in ("red", "nir", "green", "swir16"))} FROM b, q""")
+def stretched_bands(spark, d):
+    """Four bands of all dates stretched between their exact percentiles, which are refined together."""
+    px = T.pixels(spark, d).where("sensor = 'S2'")
+    return px.select("r", "c", "step", *[v.alias(k) for k, v in CH.stretched(px, ["red", "nir", "green", "swir16"]).items()])
