@@ -7,10 +7,11 @@ little error for high similarities, so most candidates are settled without readi
 
 A band bucket may hold a third of all classes, so its members are never paired with each other: in each round every
 member meets one pivot of its bucket, confirmed links are contracted to components, and buckets whose members are one component are done. Buckets
-are salted by their size, so that a hot one is dealt to many tasks. After ``ROUNDS`` rounds with other pivots, the members of buckets that still hold different components
+are salted by their size, so that a hot one is dealt to many tasks. After ``ROUNDS`` such rounds, the members of buckets that still hold different components
 meet by a prefix of their sets, in an order that puts rare shingles first. Sets of similarity 0.8 share a shingle within the first fifth of both, and the smaller one has it within its
 first ninth, so documents that only share a common passage, whose shingles come last, do not meet at all; nothing is lost to the prefixes. How frequent a shingle is comes from ``CELLS`` counters,
-a number that does not grow with the data; any order would give the same links. Of a prefix shingle's members, those of its largest component are not paired with each other.
+a number that does not grow with the data; any order would give the same links. The members of a prefix shingle first meet its centres, the members with the fewest rare shingles, from which
+edited copies differ least; what is still in several components after ``CENTRE_ROUNDS`` rounds is paired, but for the members of the largest component with each other.
 
 Defined cases: a null text or one without words has an empty set, no links, and is its own component; repeated rows have equal sets and so
 share a component; rows without an id are linked like others, their component has the smallest id of the rows with one, and none if there is none (``kept`` holds for a row without an id if its component has no id either);
@@ -47,7 +48,8 @@ CELLS = 1 << 16
 HOT_SHARE, LEAST_HOT = 10_000, 1000
 #: A link: LINK_NUM * union <= LINK_DEN * intersection.
 LINK_NUM, LINK_DEN = 80, 100
-ROUNDS = 3
+#: Rounds of pivots in the buckets, and of centres among the members of a prefix shingle.
+ROUNDS, CENTRE_ROUNDS = 1, 3
 
 _U = np.uint64
 _MULT = _U(0x9E3779B97F4A7C15)
@@ -288,37 +290,58 @@ def _salted(per_band: DataFrame) -> DataFrame:
 
 
 def _prefixes(members: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
-    """node, comp, size, shingle, left of the prefixes of all ``members``, without shingles that no other set can have."""
-    texts = materialize(_texts(members.select("node"), nodes, docs), "near-texts")
+    """node, size, shingle, left of the prefixes of all ``members``, without shingles that no other set can have."""
+    texts = materialize(_texts(members, nodes, docs), "near-texts")
     counts = arrow(texts, partial(_cell_counts, shingle=shingle), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     # At most CELLS rows. Only the order of magnitude counts; a cell of one shingle is of no other set.
     magnitude = bytearray(CELLS)
     for r in counts.collect():
         magnitude[r["cell"]] = (r["n"] - 1).bit_length()
     rows = arrow(texts, partial(_prefix_rows, shingle=shingle, counts=bytes(magnitude)), "node long, size long, shingle long, left long")
-    rows = materialize(rows.join(members, "node"), "near-prefixes")
+    rows = materialize(rows, "near-prefixes")
     discard(texts)
     return rows
 
 
-def _left_over(members: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
-    """Pairs of classes of different components that can be similar by their prefixes, and whose sketches are near."""
-    rows = _prefixes(members.select("node", "comp").distinct(), nodes, docs, shingle)
-    # The smaller set of a pair has the first common shingle so early that even an equal set could be similar.
-    early = F.expr(f"{LINK_NUM + LINK_DEN} * left >= {LINK_NUM} * 2 * size")
-    per = rows.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("n"), F.max(early).alias("early"))
+#: The smaller set of a pair has its first common shingle so early that even an equal set could be similar.
+_EARLY = f"{LINK_NUM + LINK_DEN} * left >= {LINK_NUM} * 2 * size"
+#: What is left of both sets from a common shingle on is enough for a link.
+_FITS = " and ".join(f"{LINK_NUM + LINK_DEN} * left_{c} >= {LINK_NUM} * (size_a + size_b)" for c in "ab")
+
+
+def _open_prefixes(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of shingles that classes of several components share and one of them early, with comp and the shingle's largest component (major)."""
+    rows = rows.join(labels, "node")
+    per = rows.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("n"), F.max(F.expr(_EARLY)).alias("early"))
     per = per.groupBy("shingle").agg(F.max_by("comp", F.struct("n", "comp")).alias("major"), F.count(F.lit(1)).alias("comps"), F.max("early").alias("early"))
-    open_ = materialize(rows.join(per.where("comps > 1 and early").select("shingle", "major"), "shingle"), "near-open")
-    side = lambda c: open_.select("shingle", *[F.col(x).alias(f"{x}_{c}") for x in ("node", "comp", "size", "left")], (F.col("comp") == F.col("major")).alias(f"major_{c}"))
-    small = side("a").where(f"{LINK_NUM + LINK_DEN} * left_a >= {LINK_NUM} * 2 * size_a")
-    large = side("b")
-    fits = " and ".join(f"{LINK_NUM + LINK_DEN} * left_{c} >= {LINK_NUM} * (size_a + size_b)" for c in "ab")
-    # Pairs within the largest component are never made.
-    both = small.where("not major_a").join(large, "shingle").unionByName(small.where("major_a").join(large.where("not major_b"), "shingle"))
-    both = both.where("comp_a != comp_b").where(fits).select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")).distinct()
-    both = materialize(both, "near-candidates")
-    discard(rows, open_)
-    return _estimated(both, nodes.select("node", "sketch"))
+    return materialize(rows.join(per.where("comps > 1 and early").select("shingle", "major"), "shingle"), "near-open")
+
+
+def _side(rows: DataFrame, c: str) -> DataFrame:
+    return rows.select("shingle", *[F.col(x).alias(f"{x}_{c}") for x in ("node", "comp", "size", "left")], (F.col("comp") == F.col("major")).alias(f"major_{c}"))
+
+
+def _pairs_of(both: DataFrame) -> DataFrame:
+    return both.where("comp_a != comp_b").where(_FITS).select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")).distinct()
+
+
+def _with_centres(open_: DataFrame) -> DataFrame:
+    """Pairs of every member of a shingle with two centres: of the largest component and of the others, the member whose own rare shingles are fewest.
+
+    That is the text from which most of a group of edited copies differ least.
+    """
+    share, who = F.col("left") / F.col("size"), F.struct("node", "comp", "size", "left")
+    centre = lambda of: F.max_by(F.when(of, who), F.when(of, F.struct(share, "node")))
+    major = F.col("comp") == F.col("major")
+    centres = open_.groupBy("shingle").agg(F.array(centre(major), centre(~major)).alias("centres")).select("shingle", F.explode("centres").alias("x"))
+    centres = centres.select("shingle", *[F.col(f"x.{k}").alias(f"{k}_b") for k in ("node", "comp", "size", "left")])
+    return _pairs_of(_side(open_, "a").join(centres, "shingle"))
+
+
+def _across(open_: DataFrame) -> DataFrame:
+    """All pairs of a shingle's members, but for those within its largest component."""
+    small, large = _side(open_.where(_EARLY), "a"), _side(open_, "b")
+    return _pairs_of(small.where("not major_a").join(large, "shingle").unionByName(small.where("major_a").join(large.where("not major_b"), "shingle")))
 
 
 def components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -329,9 +352,24 @@ def components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").alias("id"), "key")).alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
     )
     nodes = materialize(nodes, "near-classes")
-    members = _buckets(nodes)
-    labels = None
+    labels = materialize(nodes.select("node", F.col("node").alias("comp")), "near-labels")
     sketches = nodes.select("node", "sketch")
+
+    def contract(pairs: DataFrame, labels: DataFrame, name: str) -> tuple[DataFrame, bool]:
+        """The labels once the links among the pairs are contracted, and whether there were any."""
+        pairs = materialize(pairs, name)
+        near = materialize(_estimated(pairs, sketches), "near-pairs")
+        links = materialize(_links(near, nodes, docs, shingle), "near-links")
+        if links.isEmpty():
+            discard(pairs, near, links)
+            return labels, False
+        comp = lambda c: labels.select(F.col("node").alias(c), F.col("comp").alias(f"c_{c}"))
+        merged = connected(links.join(comp("a"), "a").join(comp("b"), "b"), "c_a", "c_b").select(F.col("node").alias("comp"), "root")
+        out = materialize(labels.join(merged, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")), "near-labels")
+        discard(labels, pairs, near, links)
+        return out, True
+
+    members = _buckets(nodes)
     for k in range(ROUNDS + 1):
         open_ = members.groupBy("band").agg(
             F.min("comp").alias("lo"),
@@ -344,28 +382,24 @@ def components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         open_ = _salted(open_.where("lo != hi").where(F.lit(k == 0) | (F.col("n") > 2)).select("band", "p", "parts"))
         older, members = members, materialize(members.join(open_.drop("parts"), ["band", "salt"]), "near-buckets")
         discard(older)
-        if members.isEmpty():
+        if k == ROUNDS or members.isEmpty():
             break
-        if k < ROUNDS:
-            pairs = members.where("comp != p.comp").select(
-                F.greatest("node", "p.node").alias("a"), F.least("node", "p.node").alias("b")
-            )
-            pairs = _estimated(pairs.distinct(), sketches)
-        else:
-            pairs = _left_over(members, nodes, docs, shingle)
-        pairs = materialize(pairs, "near-pairs")
-        links = materialize(_links(pairs, nodes, docs, shingle), "near-links")
-        comp = lambda c: _labelled(nodes, labels).select(F.col("node").alias(c), F.col("comp").alias(f"c_{c}"))
-        merged = connected(links.join(comp("a"), "a").join(comp("b"), "b"), "c_a", "c_b")
-        merged = merged.select(F.col("node").alias("comp"), "root")
-        older, labels = labels, materialize(
-            _labelled(nodes, labels).join(merged, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")),
-            "near-labels",
-        )
-        discard(older, pairs, links)
+        labels, _ = contract(members.where("comp != p.comp").select(F.greatest("node", "p.node").alias("a"), F.least("node", "p.node").alias("b")).distinct(), labels, "near-pivots")
         older, members = members, materialize(members.drop("p", "comp").join(labels, "node"), "near-buckets")
         discard(older)
-    least = _labelled(nodes, labels).join(nodes.select("node", "least"), "node")
+    rows = None if members.isEmpty() else _prefixes(members.select("node").distinct(), nodes, docs, shingle)
+    centres_left, more = CENTRE_ROUNDS, rows is not None
+    while more:
+        open_ = _open_prefixes(rows, labels)
+        if open_.isEmpty():
+            break
+        # Centres that brought no link would bring none again.
+        more = centres_left > 0
+        labels, linked = contract(_with_centres(open_) if more else _across(open_), labels, "near-candidates")
+        centres_left = centres_left - 1 if linked else 0
+        discard(open_)
+    discard(rows, members)
+    least = labels.join(nodes.select("node", "least"), "node")
     firsts = least.groupBy("comp").agg(F.min("least").alias("component_id"))
     of_node = least.select("node", "comp").join(firsts, "comp").select("node", "component_id")
     return feats.select("doc_id", "n_shingles", "node").join(of_node, "node", "left").select(
@@ -373,10 +407,6 @@ def components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     )
 
 
-def _labelled(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
-    return labels if labels is not None else nodes.select("node", F.col("node").alias("comp"))
-
-
 def op5(docs: DataFrame) -> DataFrame:
     return components(docs).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 

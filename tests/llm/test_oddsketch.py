@@ -49,4 +49,4 @@ def test_pairs_made_stay_few(spark, monkeypatch, n):
     got = {r.doc_id: r.component_id for r in oddsketch.op5(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
     assert {d: c for d, c in got.items() if c != d} == {n + k: k * 7 for k in range(20)}
     # In a round every member of a bucket meets one pivot; the prefixes bring no more than the twins.
-    assert made["near-candidates"] < 2 * n and made["near-pairs"] < 30 * n and made["near-prefixes"] < 40 * n
+    assert made["near-candidates"] < 2 * n and made["near-pivots"] < 30 * n and made["near-prefixes"] < 40 * n
