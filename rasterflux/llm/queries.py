@@ -181,6 +181,58 @@ a AS (SELECT p.d, p.node, sum((m.n_convs-1)*m.w) AS saved, sum((m.n_children=0):
 SELECT m.conv_id, CAST(m.d AS BIGINT) AS depth, q.conv_id AS parent_conv_id, CAST(m.n_convs AS BIGINT) AS n_convs, CAST(m.n_children AS BIGINT) AS n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, m.ends_sha256
 FROM m JOIN a ON a.d=m.d AND a.node=m.node LEFT JOIN m q ON q.d=m.d-1 AND q.node=m.parent"""
 
+#: The patterns of personal data as the contract states them.
+_KINDS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+    "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+_ANY = "|".join((_KINDS["email"], _KINDS["ip"], _KINDS["phone"], r"[0-9](?:[\x20-]?[0-9]){15,}"))
+_LETTERS = r"\p{L}\p{M}\p{N}"
+
+
+def _valid(kind: str, m: str) -> str:
+    digits = f"regexp_replace({m},'[^0-9]','','g')"
+    digit = f"CAST(substr({digits}, length({digits})-i+1, 1) AS INT)"
+    luhn = f"list_sum(list_transform(range(1, length({digits})+1), lambda i: CASE WHEN i%2=1 THEN {digit} ELSE 2*{digit}-CASE WHEN {digit}>4 THEN 9 ELSE 0 END END))%10=0"
+    return {
+        "email": "true",
+        "ip": rf"regexp_matches({m},'^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9][0-9]?)(?:\.|$)){{4}}$')",
+        "card": f"length({digits}) BETWEEN 16 AND 19 AND {luhn}",
+        "phone": f"length({digits}) BETWEEN 8 AND 15",
+    }[kind]
+
+
+def _found(kind: str) -> str:
+    start = f"CAST(coalesce(list_sum(list_transform({kind}_g[1:k], lambda x: length(x))),0)+coalesce(list_sum(list_transform({kind}_m[1:k-1], lambda x: length(x))),0) AS BIGINT)"
+    at = f"list_transform(range(1, len({kind}_m)+1), lambda k: '{kind}:'||{start}||':'||({start}+length({kind}_m[k])))"
+    ok = f"list_transform({kind}_m, lambda m: {_valid(kind, 'm')})"
+    return f"list_transform(list_filter(list_zip({at}, {ok}), lambda z: z[2]), lambda z: z[1]) AS {kind}"
+
+
+_SPLIT = ", ".join(f"regexp_extract_all(t,'{p}') AS {k}_m, string_split_regex(t,'{p}') AS {k}_g" for k, p in _KINDS.items())
+_TERMS = lambda x: f"list_filter(string_split_regex(lower({x}),'[^{_LETTERS}]+'), lambda w: length(w)>=3)"
+_WITH_STEMS = lambda x: f"list_distinct(list_concat({x}, list_transform({x}, lambda w: substr(w,1,3)||'*')))"
+_DIGITS = "regexp_replace(h,'[^0-9]','','g')"
+_ENTITY = f"""CASE WHEN contains(h,'@') THEN 'email:'||lower(h) WHEN regexp_full_match(h,'{_KINDS["ip"]}') THEN CASE WHEN {_valid("ip", "h")} THEN 'ip:'||h END
+ WHEN h[1]='+' THEN CASE WHEN {_valid("phone", "h")} THEN 'phone:'||{_DIGITS} END WHEN {_valid("card", "h")} THEN 'card:'||{_DIGITS} END"""
+_OP11 = f"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text,'') AS t FROM documents), m AS (SELECT *, {_SPLIT} FROM d),
+b AS (SELECT row, doc_id, t, {", ".join(map(_found, _KINDS))} FROM m), c AS (SELECT *, list_concat(list_concat(email, ip), list_concat(card, phone)) AS base FROM b),
+n AS (SELECT row, regexp_extract_all(t,'{_ANY}') AS hits, string_split_regex(t,'{_ANY}') AS gaps FROM c WHERE len(base)>0),
+g AS (SELECT row, hits, list_transform(gaps, lambda x: {_TERMS("x")}) AS ts FROM n), u AS (SELECT row, hits, ts, unnest(range(1, len(hits)+1)) AS i FROM g),
+e AS (SELECT row, hits[i] AS h, list_concat(list_reverse(list_reverse(ts[i])[1:10]), ts[i+1][1:10]) AS near FROM u), f AS (SELECT row, {_ENTITY} AS entity, near FROM e),
+s AS (SELECT row, entity, list_sort({_WITH_STEMS("list_distinct(flatten(list(near)))")}) AS terms FROM f WHERE entity IS NOT NULL GROUP BY row, entity),
+ne AS (SELECT entity, count(*) AS n_e FROM s GROUP BY 1), pt AS (SELECT entity, terms, unnest(terms) AS term FROM s),
+pr AS (SELECT entity, term, count(*) AS n_et FROM pt GROUP BY 1, 2 HAVING count(DISTINCT terms)>=3),
+dt AS (SELECT row, unnest({_WITH_STEMS(_TERMS(f"regexp_replace(t,'{_ANY}',' ','g')"))}) AS term FROM d), nt AS (SELECT term, count(*) AS n_t FROM dt GROUP BY 1), z AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM d),
+told AS (SELECT DISTINCT term FROM pr JOIN ne USING (entity) JOIN nt USING (term), z WHERE n>n_e AND ln(n*n_et/(n_e*n_t))>=0.8::DOUBLE*ln(n/n_e)-0.000000001::DOUBLE),
+w AS (SELECT row, regexp_extract_all(t,'{_ANY}|[{_LETTERS}]+') AS ws, string_split_regex(t,'{_ANY}|[{_LETTERS}]+') AS gs FROM d),
+x AS (SELECT row, unnest(range(1, len(ws)+1)) AS i, unnest(ws) AS word, unnest(gs[1:len(ws)]) AS gap FROM w),
+y AS (SELECT row, i, lower(word) AS term, CAST(sum(length(gap)+length(word)) OVER (PARTITION BY row ORDER BY i) AS BIGINT) AS en, length(word) AS l FROM x),
+k AS (SELECT row, list('term:'||(en-l)||':'||en ORDER BY i) AS terms FROM y WHERE term IN (SELECT term FROM told) GROUP BY row)
+SELECT doc_id, CAST(len(email) AS BIGINT) AS n_email, CAST(len(ip) AS BIGINT) AS n_ip, CAST(len(card) AS BIGINT) AS n_card, CAST(len(phone) AS BIGINT) AS n_phone,
+ sha256(array_to_string(base, ',')) AS base_sha256, array_to_string(list_concat(base, coalesce(terms, [])), ',') AS spans, CAST(len(coalesce(terms, [])) AS BIGINT) AS n_terms FROM c LEFT JOIN k USING (row)"""
 _OP12 = """WITH e AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id%7=0 THEN (label+1)%10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256*CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x)))=0),
 s AS (SELECT a.r, a.vec_id AS anchor_id, c.r AS cr, c.vec_id AS id, a.label=c.label AS same, CAST(list_sum(list_transform(list_zip(a.v, c.v), lambda z: z[1]*z[2])) AS BIGINT) AS score FROM e a JOIN e c ON a.vec_id%100=0 AND a.r<>c.r),
@@ -189,4 +241,4 @@ n AS (SELECT p.r, p.k, p.anchor_id, positive_id, positive_score, s.id AS negativ
  FROM p JOIN s ON s.r=p.r AND NOT s.same AND 80*positive_score<=100*s.score AND 100*s.score<=100*positive_score QUALIFY rank<=5)
 SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM n"""
 
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": _OP1, "op3_mixing": _OP3, "op4_merkle_fingerprints": _OP4, "op12_hard_negatives": _OP12, "op13_prefix_trie": _OP13, "rule_ablations": _ABLATIONS}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": _OP1, "op3_mixing": _OP3, "op4_merkle_fingerprints": _OP4, "op11_sanitisation": _OP11, "op12_hard_negatives": _OP12, "op13_prefix_trie": _OP13, "rule_ablations": _ABLATIONS}
