@@ -111,8 +111,8 @@ def windows(span: DataFrame, start: str, end: str, steps: str) -> DataFrame:
     )
 
 
-def persistence(diffs: DataFrame, threshold: float, min_persist: int = 1, order: str = "t") -> DataFrame:
-    """One row per pixel from (r, c, t, diff, valid): persistent, latest, transient, change_index, confirmations, signed.
+def persistence(diffs: DataFrame, threshold: float, min_persist: int = 1, order: str = "t", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per pixel from (r, c, t, diff, valid): persistent, latest, transient, change_index, confirmations, signed, and the columns ``carry`` as they are at the change (null where there is none).
 
     A crossing is confirmed by all later valid dates agreeing in sign; two windows over the pixel's own dates replace a self-join.
     """
@@ -124,7 +124,7 @@ def persistence(diffs: DataFrame, threshold: float, min_persist: int = 1, order:
     agree = F.when(d > 0, F.col("_np")).otherwise(F.col("_nn"))
     df = df.withColumn("_conf", F.col("_x") & (F.col("_nv") >= min_persist) & (agree == F.col("_nv")))
     df = df.withColumn("_late", F.col("_x") & (F.col("_nv") == 0)).withColumn("_agree", agree)
-    first = F.min(F.when(F.col("_conf") | F.col("_late"), F.struct(F.col(order).alias("t"), d.alias("d"), F.col("_agree").alias("n"), F.col("_conf").alias("conf"), F.col("_late").alias("late"))))
+    first = F.min(F.when(F.col("_conf") | F.col("_late"), F.struct(F.col(order).alias("t"), d.alias("d"), F.col("_agree").alias("n"), F.col("_conf").alias("conf"), F.col("_late").alias("late"), *[F.col(k).alias(f"_{k}") for k in carry])))
     out = df.groupBy(*PIXEL).agg(first.alias("f"), F.bool_or("_x").alias("ever"), F.bool_or(ok).alias("observed"))
     # Changed is persistent or latest; transient pixels, and only they, crossed without it.
     return out.select(
@@ -137,6 +137,7 @@ def persistence(diffs: DataFrame, threshold: float, min_persist: int = 1, order:
         F.coalesce("f.n", F.lit(0)).cast("int").alias("confirmations"),
         F.coalesce("f.d", F.lit(0.0)).alias("signed"),
         "observed",
+        *[F.col(f"f._{k}").alias(k) for k in carry],
     )
 
 

@@ -244,12 +244,13 @@ def features(
     not see the region are absent, not 0.
     """
     keys = ["tier", "direction"]
-    lab = components(pieces.select(*keys, "r", "c"), width, height, True, keys)
+    # Labels and statistics are read several times: by the cap, the pieces, the dates.
+    lab = materialize(components(pieces.select(*keys, "r", "c"), width, height, True, keys), "regions")
     planes = ["ndvi", "ndwi", "ndbi"]
     values = fused.select("r", "c", *planes, F.col("d1").alias("sar_db"))
     stats = region_stats(lab.join(values, ["r", "c"]), [*planes, "sar_db"], keys)
     # Nine places, so that the order in which tasks add up does not decide a rule.
-    stats = stats.withColumns({k: F.round(k, 9) for k in [*planes, "sar_db"]})
+    stats = materialize(stats.withColumns({k: F.round(k, 9) for k in [*planes, "sar_db"]}), "region-stats")
     capped = region_cap(stats, limit)
     dropped = capped.agg(F.coalesce(F.max("dropped"), F.lit(0)).alias("dropped"))
     seen = capped.withColumns({"has_optical": F.col("tier").isin("confirmed", "optical", "sar_only"), "has_sar": F.col("tier").isin("confirmed", "sar_only", "sar_gap")})

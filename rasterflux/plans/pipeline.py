@@ -137,12 +137,12 @@ def run_series(
     if optical is None and radar is None:
         raise ValueError("at least two usable dates of one sensor are needed")
     if optical is not None:
-        stack = materialize(C.baseline_diff(optical, {k: k for k in PLANES}, "ok", dates=seen_on), "optical-stack")
-        oc = materialize(C.persistence(stack.withColumn("diff", F.col(p.index)), p.optical_threshold, p.min_persist), "optical-change")
-        at = stack.select("r", "c", F.col("t").alias("change_index"), *PLANES)
+        # The planes come with the change that dates them.
+        stack = C.baseline_diff(optical, {k: k for k in PLANES}, "ok", dates=seen_on).withColumn("diff", F.col(p.index))
+        oc = materialize(C.persistence(stack, p.optical_threshold, p.min_persist, carry=PLANES), "optical-change")
         never = F.lit(False) if "never" not in optical.columns else F.col("never")
         seen = optical.groupBy("r", "c").agg(F.bool_or(never).alias("never"))
-        o = oc.join(at, ["r", "c", "change_index"], "left").join(seen, ["r", "c"], "left")
+        o = oc.join(seen, ["r", "c"], "left")
         o = o.select("r", "c", F.col("signed").alias("diff"), F.col("observed").alias("valid"), "never", *[F.coalesce(k, F.lit(0.0)).alias(k) for k in PLANES])
     if radar is not None:
         rs = materialize(C.baseline_diff(radar, {"diff": "db"}, "ok", dates=echo_on), "radar-stack")
