@@ -58,6 +58,29 @@ def used_scenes(scenes: DataFrame, windows: DataFrame, p: Params, box: S.Box | N
     return best.select("sensor", "step", order.alias("ordinal"), "date", "id", "relative_orbit", "cloud_cover")
 
 
+def load_radar_pair(px: DataFrame, grid: DataFrame, height: int, width: int, before: int, after: int, p: Params, speckle: int = 5) -> DataFrame:
+    """Two dates of the parameters' polarization as steps 0 and 1 of a pair run, each in dB after the speckle filter."""
+    one = lambda step, to: load_radar(px, grid, height, width, step, speckle, p.pol).withColumn("step", F.lit(to))
+    return one(before, 0).unionByName(one(after, 1))
+
+
+def pair_scenes(scenes: DataFrame, before: tuple[str, str], after: tuple[str, str], p: Params, box: S.Box | None = None) -> DataFrame:
+    """The scenes of a pair run, one per sensor and side (step 0 and 1), from two spans of dates, both inclusive: the clearest optical ones under the cloud limit and the newest descending radar
+    ones. With ``match_orbit`` the radar scenes share a relative orbit, the newest before scene that has a partner; without one this raises when read.
+    """
+    sound = scenes.where((F.col("sensor") == "S1") | (F.col("cloud_cover") < p.max_cloud)).where(S.meets(box))
+    spans = scenes.sparkSession.createDataFrame([(0, *before), (1, *after)], "window int, s string, e string")
+    spans = spans.select("window", F.to_date("s").alias("window_start"), F.to_date("e").alias("window_end"))
+    best = S.best_per_window(sound, spans)
+    if p.match_orbit:
+        radar = sound.where((F.col("sensor") == "S1") & (F.col("orbit_state") == "descending"))
+        of = lambda span: radar.where(F.col("date").between(*span)).select("id", "date", "relative_orbit")
+        pair = S.orbit_pair(of(before), of(after)).select(F.explode(F.array(F.struct(F.lit(0).alias("step"), F.col("before_id").alias("id")), F.struct(F.lit(1).alias("step"), F.col("after_id").alias("id")))).alias("x"))
+        matched = radar.join(F.broadcast(pair.select("x.step", "x.id")), "id").select("sensor", "step", "id", "date", F.lit(None).cast("double").alias("cloud_cover"), "relative_orbit")
+        best = best.where("sensor = 'S2'").unionByName(matched)
+    return best.select("sensor", "step", F.col("step").alias("ordinal"), "date", "id", "relative_orbit", "cloud_cover")
+
+
 def _stats(fused: DataFrame, pieces: DataFrame, dropped: DataFrame, trimmed: DataFrame, p: Params) -> DataFrame:
     """Coverage, hectares per tier from the sieved masks, what the caps left out, and warnings, in one row."""
     cover = C.coverage_warnings(C.coverage(fused, F.col("never")))

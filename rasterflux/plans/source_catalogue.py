@@ -15,6 +15,8 @@ from rasterflux.operators import warp as WP
 from rasterflux.plans import catalogue as K
 from rasterflux.plans.catalogue import N, query
 from rasterflux.plans.pipeline import load_radar
+from rasterflux.plans import pipeline as P
+from rasterflux.plans import run_catalogue as RC
 from rasterflux.plans.run_catalogue import _sql_utm
 from rasterflux.sources import items, tiff
 from rasterflux.sources import tables as T
@@ -194,3 +196,30 @@ def stretched_bands(spark, d):
     """Four bands of all dates stretched between their exact percentiles, which are refined together."""
     px = T.pixels(spark, d).where("sensor = 'S2'")
     return px.select("r", "c", "step", *[v.alias(k) for k, v in CH.stretched(px, ["red", "nir", "green", "swir16"]).items()])
+
+
+_FILTERED = f"""sraw AS (SELECT r,c,step,CASE WHEN gamma0>0 THEN 10*log10(gamma0) END AS db FROM px WHERE sensor='S1' AND step IN (0,{K.LAST})),
+sgrid AS (SELECT CAST(i // {N} AS INT) AS r, CAST(i % {N} AS INT) AS c, st AS step FROM range({N * N}) t(i), (VALUES (0),({K.LAST})) z(st)), soff AS (SELECT a AS dr, b AS dc FROM range(-2,3) x(a), range(-2,3) y(b)),
+s1 AS (SELECT sgrid.r,sgrid.c,sgrid.step,round(avg(db),6) AS db FROM sgrid CROSS JOIN soff LEFT JOIN sraw ON sraw.step=sgrid.step AND sraw.r=least(greatest(sgrid.r+dr,0),{N - 1}) AND sraw.c=least(greatest(sgrid.c+dc,0),{N - 1}) GROUP BY 1,2,3)"""
+
+
+@query(f"{RC._PAIR_ALL} SELECT {RC._FIELDS} FROM top".replace(K._S1, _FILTERED))
+def run_pair_loaded(spark, d):
+    """A pair run whose radar dates pass through the loader: one polarization, dB, speckle filter, validity after it."""
+    px = T.pixels(spark, d).where("sensor = 'S1'").withColumnRenamed("gamma0", "gamma0_vv")
+    radar = P.load_radar_pair(px, T.grid(spark), N, N, 0, K.LAST, RC.RUN).withColumn("db", F.round("db", 6))
+    return RC._shown(P.run_pair(T.grid(spark), RC._ends(RC._seen(spark, d)), radar, N, N, RC.RUN, limit=RC.CAP).regions)
+
+
+_PAIR_SPANS = ("DATE '2024-01-01' AND DATE '2024-01-15'", "DATE '2024-01-16' AND DATE '2024-01-31'")
+
+
+@query(f"""WITH {K._SCENES}, o AS (SELECT 'S2' AS sensor, k AS step, id, date, relative_orbit, row_number() OVER (PARTITION BY k ORDER BY cloud_cover, id) AS n FROM sc JOIN (VALUES (0),(1)) z(k) ON (k=0 AND date BETWEEN {_PAIR_SPANS[0]}) OR (k=1 AND date BETWEEN {_PAIR_SPANS[1]}) WHERE sensor='S2' AND cloud_cover<80),
+b AS (SELECT *, row_number() OVER (PARTITION BY relative_orbit ORDER BY date DESC, id DESC) AS n FROM sc WHERE sensor='S1' AND orbit_state='descending' AND date BETWEEN {_PAIR_SPANS[0]}), a AS (SELECT *, row_number() OVER (PARTITION BY relative_orbit ORDER BY date DESC, id DESC) AS n FROM sc WHERE sensor='S1' AND orbit_state='descending' AND date BETWEEN {_PAIR_SPANS[1]}),
+p AS (SELECT b.id AS b, a.id AS a, b.date AS bd, a.date AS ad, b.relative_orbit AS ro FROM b JOIN a ON a.relative_orbit=b.relative_orbit WHERE b.n=1 AND a.n=1 ORDER BY b.date DESC, b.id DESC LIMIT 1)
+SELECT sensor, CAST(step AS INT) AS step, id, CAST(date AS VARCHAR) AS date, relative_orbit FROM o WHERE n=1 UNION ALL SELECT 'S1', 0, b, CAST(bd AS VARCHAR), ro FROM p UNION ALL SELECT 'S1', 1, a, CAST(ad AS VARCHAR), ro FROM p""")
+def pair_run_scenes(spark, d):
+    """The scenes of a pair run whose radar scenes share an orbit."""
+    p = P.Params(match_orbit=True)
+    found = P.pair_scenes(T.scenes(spark, d), ("2024-01-01", "2024-01-15"), ("2024-01-16", "2024-01-31"), p)
+    return found.select("sensor", "step", "id", F.col("date").cast("string").alias("date"), "relative_orbit")
