@@ -261,9 +261,8 @@ def _differing() -> Column:
     return sum(bits[1:], bits[0])
 
 
-def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
-    """Pairs that are links on their full sets. Only the texts of classes in a pair are read."""
-    texts = _texts(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), nodes, docs)
+def _links(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """Pairs that are links on their full sets, from the texts of their classes."""
     side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"t_{c}"))
     rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "t_a", "t_b")
     return arrow(rows, partial(_confirm, shingle=shingle), "a long, b long").distinct()
@@ -289,18 +288,15 @@ def _salted(per_band: DataFrame) -> DataFrame:
     return per_band.select(*[c for c in per_band.columns if c != "salt"], F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts"))).alias("salt"))
 
 
-def _prefixes(members: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
-    """node, size, shingle, left of the prefixes of all ``members``, without shingles that no other set can have."""
-    texts = materialize(_texts(members, nodes, docs), "near-texts")
+def _prefixes(texts: DataFrame, shingle: int) -> DataFrame:
+    """node, size, shingle, left of the prefixes of all classes in ``texts``, without shingles that no other set can have."""
     counts = arrow(texts, partial(_cell_counts, shingle=shingle), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     # At most CELLS rows. Only the order of magnitude counts; a cell of one shingle is of no other set.
     magnitude = bytearray(CELLS)
     for r in counts.collect():
         magnitude[r["cell"]] = (r["n"] - 1).bit_length()
     rows = arrow(texts, partial(_prefix_rows, shingle=shingle, counts=bytes(magnitude)), "node long, size long, shingle long, left long")
-    rows = materialize(rows, "near-prefixes")
-    discard(texts)
-    return rows
+    return materialize(rows, "near-prefixes")
 
 
 #: The smaller set of a pair has its first common shingle so early that even an equal set could be similar.
@@ -355,11 +351,12 @@ def components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     labels = materialize(nodes.select("node", F.col("node").alias("comp")), "near-labels")
     sketches = nodes.select("node", "sketch")
 
-    def contract(pairs: DataFrame, labels: DataFrame, name: str) -> tuple[DataFrame, bool]:
-        """The labels once the links among the pairs are contracted, and whether there were any."""
+    def contract(pairs: DataFrame, labels: DataFrame, name: str, texts: DataFrame | None = None) -> tuple[DataFrame, bool]:
+        """The labels once the links among the pairs are contracted, and whether there were any. Without ``texts`` those of the pairs are looked up."""
         pairs = materialize(pairs, name)
         near = materialize(_estimated(pairs, sketches), "near-pairs")
-        links = materialize(_links(near, nodes, docs, shingle), "near-links")
+        used = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        links = materialize(_links(near, _texts(used, nodes, docs) if texts is None else texts, shingle), "near-links")
         if links.isEmpty():
             discard(pairs, near, links)
             return labels, False
@@ -387,7 +384,9 @@ def components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         labels, _ = contract(members.where("comp != p.comp").select(F.greatest("node", "p.node").alias("a"), F.least("node", "p.node").alias("b")).distinct(), labels, "near-pivots")
         older, members = members, materialize(members.drop("p", "comp").join(labels, "node"), "near-buckets")
         discard(older)
-    rows = None if members.isEmpty() else _prefixes(members.select("node").distinct(), nodes, docs, shingle)
+    # The texts of what is left are looked up once.
+    texts = None if members.isEmpty() else materialize(_texts(members.select("node").distinct(), nodes, docs), "near-texts")
+    rows = None if texts is None else _prefixes(texts, shingle)
     centres_left, more = CENTRE_ROUNDS, rows is not None
     while more:
         open_ = _open_prefixes(rows, labels)
@@ -395,10 +394,10 @@ def components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             break
         # Centres that brought no link would bring none again.
         more = centres_left > 0
-        labels, linked = contract(_with_centres(open_) if more else _across(open_), labels, "near-candidates")
+        labels, linked = contract(_with_centres(open_) if more else _across(open_), labels, "near-candidates", texts)
         centres_left = centres_left - 1 if linked else 0
         discard(open_)
-    discard(rows, members)
+    discard(rows, texts, members)
     least = labels.join(nodes.select("node", "least"), "node")
     firsts = least.groupBy("comp").agg(F.min("least").alias("component_id"))
     of_node = least.select("node", "comp").join(firsts, "comp").select("node", "component_id")
