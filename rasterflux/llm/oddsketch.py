@@ -387,6 +387,8 @@ def components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     # The texts of what is left are looked up once.
     texts = None if members.isEmpty() else materialize(_texts(members.select("node").distinct(), nodes, docs), "near-texts")
     rows = None if texts is None else _prefixes(texts, shingle)
+    # Only the unsettled classes are labelled anew in each round; the others follow their components at the end.
+    before, labels = labels, labels if texts is None else materialize(labels.join(texts.select("node"), "node", "left_semi"), "near-labels")
     centres_left, more = CENTRE_ROUNDS, rows is not None
     while more:
         open_ = _open_prefixes(rows, labels)
@@ -397,6 +399,9 @@ def components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         labels, linked = contract(_with_centres(open_) if more else _across(open_), labels, "near-candidates", texts)
         centres_left = centres_left - 1 if linked else 0
         discard(open_)
+    if texts is not None:
+        moved = before.join(labels.select("node", F.col("comp").alias("root")), "node").where("comp != root").select("comp", "root").distinct()
+        labels = materialize(before.join(moved, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")), "near-labels")
     discard(rows, texts, members)
     least = labels.join(nodes.select("node", "least"), "node")
     firsts = least.groupBy("comp").agg(F.min("least").alias("component_id"))
