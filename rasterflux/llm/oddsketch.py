@@ -30,6 +30,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rasterflux.llm.common import arrow, connected, discard, fresh, materialize
@@ -50,6 +51,8 @@ HOT_SHARE, LEAST_HOT = 10_000, 1000
 LINK_NUM, LINK_DEN = 80, 100
 #: Rounds of pivots in the buckets, and of centres among the members of a prefix shingle.
 ROUNDS, CENTRE_ROUNDS = 1, 3
+#: Earlier shingles of a prefix that a row carries along, so that a pair is made at the first of several shared shingles only.
+BEFORE = 8
 
 _U = np.uint64
 _MULT = _U(0x9E3779B97F4A7C15)
@@ -313,12 +316,8 @@ def _open_prefixes(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return materialize(rows.join(per.where("comps > 1 and early").select("shingle", "major"), "shingle"), "near-open")
 
 
-def _side(rows: DataFrame, c: str) -> DataFrame:
-    return rows.select("shingle", *[F.col(x).alias(f"{x}_{c}") for x in ("node", "comp", "size", "left")], (F.col("comp") == F.col("major")).alias(f"major_{c}"))
-
-
-def _pairs_of(both: DataFrame) -> DataFrame:
-    return both.where("comp_a != comp_b").where(_FITS).select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")).distinct()
+def _pairs_of(both: DataFrame, also: str = "true") -> DataFrame:
+    return both.where("comp_a != comp_b").where(_FITS).where(also).select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")).distinct()
 
 
 def _with_centres(open_: DataFrame) -> DataFrame:
@@ -331,13 +330,25 @@ def _with_centres(open_: DataFrame) -> DataFrame:
     major = F.col("comp") == F.col("major")
     centres = open_.groupBy("shingle").agg(F.array(centre(major), centre(~major)).alias("centres")).select("shingle", F.explode("centres").alias("x"))
     centres = centres.select("shingle", *[F.col(f"x.{k}").alias(f"{k}_b") for k in ("node", "comp", "size", "left")])
-    return _pairs_of(_side(open_, "a").join(centres, "shingle"))
+    members = open_.select("shingle", *[F.col(k).alias(f"{k}_a") for k in ("node", "comp", "size", "left")])
+    return _pairs_of(members.join(centres, "shingle"))
 
 
 def _across(open_: DataFrame) -> DataFrame:
-    """All pairs of a shingle's members, but for those within its largest component."""
-    small, large = _side(open_.where(_EARLY), "a"), _side(open_, "b")
-    return _pairs_of(small.where("not major_a").join(large, "shingle").unionByName(small.where("major_a").join(large.where("not major_b"), "shingle")))
+    """All pairs of a shingle's members, but for those within its largest component.
+
+    All prefixes have one order, and what holds for a pair at a shared shingle holds at an earlier one too. So a pair that shares one of the ``BEFORE`` shingles before is not made again:
+    at the first of all that it shares, nothing before is shared. Where both members are early, the one with the smaller name pairs.
+    """
+    upto = W.partitionBy("node").orderBy(F.desc("left")).rowsBetween(-BEFORE, -1)
+    rows = open_.withColumns({"before": F.collect_list("shingle").over(upto), "early": F.expr(_EARLY)})
+    side = lambda c: rows.select(
+        "shingle", *[F.col(x).alias(f"{x}_{c}") for x in ("node", "comp", "size", "left", "before", "early")], (F.col("comp") == F.col("major")).alias(f"major_{c}")
+    )
+    small, large = side("a").where("early_a"), side("b")
+    others = small.where("not major_a").join(large, "shingle").where("major_b or not early_b or node_a < node_b")
+    rest = small.where("major_a").join(large.where("not major_b and not early_b"), "shingle")
+    return _pairs_of(others.unionByName(rest), "not arrays_overlap(before_a, before_b)")
 
 
 def components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:

@@ -50,3 +50,26 @@ def test_pairs_made_stay_few(spark, monkeypatch, n):
     assert {d: c for d, c in got.items() if c != d} == {n + k: k * 7 for k in range(20)}
     # In a round every member of a bucket meets one pivot; the prefixes bring no more than the twins.
     assert made["near-candidates"] < 2 * n and made["near-pivots"] < 30 * n and made["near-prefixes"] < 40 * n
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_pairs_are_made_once_and_none_is_lost(spark, seed):
+    """Members of prefix shingles against all pairs: each that a shared shingle allows is there, and few are made at more than one shingle."""
+    rng = random.Random(seed)
+    sets = {}
+    for node in range(60):
+        size = rng.randrange(60, 90)
+        # Prefixes in one order, with gaps that differ, as in edited copies.
+        prefix = sorted(rng.sample(range(40), rng.randrange(3, 18)))
+        sets[node] = (node % 7 if node % 3 else 0, size, {s: size - at for at, s in enumerate(prefix)})
+    rows = [(node, comp, size, s, left, 0) for node, (comp, size, prefix) in sets.items() for s, left in prefix.items()]
+    open_ = spark.createDataFrame(rows, "node long, comp long, size long, shingle long, left long, major long")
+
+    def allowed(a, b):
+        (ca, na, pa), (cb, nb, pb) = sets[a], sets[b]
+        early = lambda left, n: 180 * left >= 160 * n
+        return ca != cb and any(180 * min(pa[s], pb[s]) >= 80 * (na + nb) and (early(pa[s], na) or early(pb[s], nb)) for s in pa.keys() & pb.keys())
+
+    want = {(a, b) for a in sets for b in range(a) if allowed(a, b)}
+    got = [(r.a, r.b) for r in oddsketch._across(open_).collect()]
+    assert want and len(got) == len(set(got)) and set(got) == want
