@@ -161,12 +161,15 @@ def disclosing_terms(rows: DataFrame) -> DataFrame:
     pairs = near.select("entity", F.xxhash64(F.array_join("terms", " ")).alias("context"), F.explode("terms").alias("term"))
     pairs = pairs.groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("n"))
     pairs = pairs.groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") >= CONTEXTS)
-    pairs = materialize(pairs.join(holders, "entity"), "disclosure-pairs")
+    given = lambda held: F.log(F.lit(float(n)) * F.col("n_et") / (F.col("n_e") * F.col(held)))
+    whole = F.log(F.lit(float(n)) / F.col("n_e"))
+    discloses = lambda held: (whole > 0) & (given(held) >= DISCLOSURE * whole - 1e-9)
+    # At least the documents that hold a term near any entity hold it. Most common words cannot disclose by this alone, and are not looked for in all documents.
+    least = near.select("row", F.explode("terms").alias("term")).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_least"))
+    pairs = materialize(pairs.join(holders, "entity").join(least, "term").where(discloses("n_least")), "disclosure-pairs")
     maybe = _bitmap(pairs)
     terms = rows.select(F.explode(F.filter(_with_general(document_terms()), maybe)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    given = F.log(F.lit(float(n)) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
-    whole = F.log(F.lit(float(n)) / F.col("n_e"))
-    found = pairs.join(terms, "term").where((whole > 0) & (given >= DISCLOSURE * whole - 1e-9)).select("term").distinct()
+    found = pairs.join(terms, "term").where(discloses("n_t")).select("term").distinct()
     found = materialize(found, "disclosing-terms")
     discard(near, pairs)
     stems = found.where(F.col("term").endswith("*")).select(F.col("term").alias("stem"), F.lit(True).alias("bad"))

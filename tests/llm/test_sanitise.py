@@ -153,3 +153,17 @@ def test_very_long_texts(spark):
     got = found(spark, texts)
     assert [r[1:5] for r in got] == [(0, 0, 0, 0), (1, 0, 0, 0), (0, 10_000, 0, 0), (0, 0, 0, 0), (0, 0, 0, 0), (10_000, 0, 0, 0), (0, 0, 0, 0)]
     assert got[1][6] == "email:0:200003" and got[5][6].endswith(",email:69993:69999")
+
+
+def test_common_words_near_entities_are_not_looked_for_in_all_documents(spark, monkeypatch):
+    """A word near many entities cannot disclose one; only terms that may are looked for, and the result is the same."""
+    other = ["alpha", "beta", "gamma", "delta"]
+    rows = [(k, f"common {other[k]} codename x@secret.org") for k in range(4)]
+    rows += [(k, f"common word{k} y{k}@open.org") for k in range(4, 34)]
+    asked = []
+    bitmap = sanitise._bitmap
+    monkeypatch.setattr(sanitise, "_bitmap", lambda terms: asked.append({r["term"] for r in terms.collect()}) or bitmap(terms))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    terms = {r["term"] for r in sanitise.disclosing_terms(sanitise.personal_data(docs)).collect()}
+    assert terms == {"codename"}
+    assert asked == [{"codename", "cod*"}]
