@@ -125,9 +125,13 @@ def entity(match: Column) -> Column:
     )
 
 
+#: Whether a row holds any personal data.
+_HAS_PERSONAL = "touched and size(email) + size(ip) + size(card) + size(phone) > 0"
+
+
 def surroundings(rows: DataFrame) -> DataFrame:
     """row, entity, terms within reach of the entity in the document (up to the next personal data on either side), sorted."""
-    near = rows.where(F.col("touched") & (F.size("email") + F.size("ip") + F.size("card") + F.size("phone") > 0)).select("row", "text")
+    near = rows.where(_HAS_PERSONAL).select("row", "text")
     near = near.withColumns({"hits": F.regexp_extract_all("text", F.lit(LOOKS_PERSONAL), F.lit(0)), "gaps": F.transform(F.split("text", LOOKS_PERSONAL, -1), _terms_of)})
     # Of each gap only the two ends matter.
     near = near.select(
@@ -152,6 +156,12 @@ def _bitmap(terms: DataFrame) -> Callable[[Column], Column]:
     return lambda t: is_set(places(t)[0]) & is_set(places(t)[1])
 
 
+def _held(rows: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+    """term, and the number of rows that hold it, of the terms in ``pairs`` and few others."""
+    held = rows.select(F.explode(F.filter(_with_general(document_terms()), _bitmap(pairs))).alias("term"))
+    return held.groupBy("term").agg(F.count(F.lit(1)).alias(name))
+
+
 def disclosing_terms(rows: DataFrame) -> DataFrame:
     """term, general (whether the general form takes its place): the terms that disclose an entity, general forms among them."""
     near = materialize(surroundings(rows), "surroundings")
@@ -164,14 +174,16 @@ def disclosing_terms(rows: DataFrame) -> DataFrame:
     given = lambda held: F.log(F.lit(float(n)) * F.col("n_et") / (F.col("n_e") * F.col(held)))
     whole = F.log(F.lit(float(n)) / F.col("n_e"))
     discloses = lambda held: (whole > 0) & (given(held) >= DISCLOSURE * whole - 1e-9)
-    # At least the documents that hold a term near any entity hold it. Most common words cannot disclose by this alone, and are not looked for in all documents.
+    # At least the documents that hold a term near any entity hold it, then at least those with personal data in which it stands anywhere. Most common words cannot disclose by
+    # these counts alone, and are not looked for in all documents.
     least = near.select("row", F.explode("terms").alias("term")).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_least"))
-    pairs = materialize(pairs.join(holders, "entity").join(least, "term").where(discloses("n_least")), "disclosure-pairs")
-    maybe = _bitmap(pairs)
-    terms = rows.select(F.explode(F.filter(_with_general(document_terms()), maybe)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    pairs = materialize(pairs.join(holders, "entity").join(least, "term").where(discloses("n_least")).drop("n_least"), "disclosure-pairs")
+    first = _held(rows.where(_HAS_PERSONAL), pairs, "n_least")
+    older, pairs = pairs, materialize(pairs.join(first, "term").where(discloses("n_least")), "disclosure-pairs")
+    terms = _held(rows, pairs, "n_t")
     found = pairs.join(terms, "term").where(discloses("n_t")).select("term").distinct()
     found = materialize(found, "disclosing-terms")
-    discard(near, pairs)
+    discard(near, older, pairs)
     stems = found.where(F.col("term").endswith("*")).select(F.col("term").alias("stem"), F.lit(True).alias("bad"))
     out = found.where(~F.col("term").endswith("*")).withColumn("stem", general_form(F.col("term"))).join(stems, "stem", "left")
     return out.select("term", ((F.length("term") > STEM) & F.col("bad").isNull()).alias("general"))
