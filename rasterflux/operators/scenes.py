@@ -145,24 +145,34 @@ def rank_by_vector(vectors: DataFrame, query: list[float], top_k: int = 20) -> D
     return top.withColumns({"score": F.round("_score", 4), "rank": rank}).drop("_score")
 
 
-#: Vectors and prompts of a cell.
-CELL_VECTORS, CELL_PROMPTS = 1 << 15, 256
+#: Vectors and prompts of a cell, and the prompts of it that are scored at once.
+CELL_VECTORS, CELL_PROMPTS, PROMPTS_AT_ONCE = 1 << 15, 256, 16
+
+
+def _matrix(table: pa.Table) -> np.ndarray:
+    """The vectors of a table as rows, without an object for each."""
+    lists = table.column("v").combine_chunks()
+    return lists.cast(pa.list_(pa.float64(), len(lists[0]))).flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
 
 
 def _best_of_cell(vectors: pa.Table, prompts: pa.Table, k: int) -> pa.Table:
     """The first k vectors of the cell for each of its prompts."""
     out: list[list] = [[], [], []]
     if vectors.num_rows and prompts.num_rows:
-        matrix = lambda t: np.stack(t.column("v").to_numpy(zero_copy_only=False)).astype(np.float64)
         ids, asked = vectors.column("id").to_numpy(), prompts.column("prompt").to_numpy(zero_copy_only=False)
-        scores = matrix(prompts) @ matrix(vectors).T
-        least = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(asked), -np.inf)
-        for p, row in enumerate(scores):
-            at = np.flatnonzero(row >= least[p])
-            at = at[np.lexsort((ids[at], -row[at]))][:k]
-            out[0] += [asked[p]] * len(at)
-            out[1] += ids[at].tolist()
-            out[2] += row[at].tolist()
+        of, by = _matrix(vectors).T, _matrix(prompts)
+        # Products of matrices add in any order. They only choose who may be among the first; those are scored component by component, as SQL does, so that equal vectors tie.
+        lengths = np.linalg.norm(of, axis=0)
+        slack = 4 * len(of) * np.finfo(float).eps * np.linalg.norm(by, axis=1) * lengths[np.isfinite(lengths)].max(initial=0.0)
+        for first in range(0, len(by), PROMPTS_AT_ONCE):
+            for p, row in enumerate(by[first : first + PROMPTS_AT_ONCE] @ of, first):
+                least = np.partition(row, len(row) - k)[-k] if len(row) > k else -np.inf
+                at = np.flatnonzero(row >= least - slack[p])
+                exact = np.cumsum(of[:, at] * by[p][:, None], axis=0)[-1]
+                best = np.lexsort((ids[at], -exact))[:k]
+                out[0] += [asked[p]] * len(best)
+                out[1] += ids[at][best].tolist()
+                out[2] += exact[best].tolist()
     return pa.table({"prompt": pa.array(out[0], prompts.schema.field("prompt").type), "feature_index": pa.array(out[1], pa.int64()), "_score": pa.array(out[2], pa.float64())})
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from rasterflux.operators import change as C
@@ -56,3 +59,30 @@ def test_ranks_for_many_prompts(spark, monkeypatch):
         one = [(r.feature_index, r.score, r.rank) for r in S.rank_by_vector(df.where("embedding is not null"), x, 6).collect()]
         assert got[p] == sorted(one, key=lambda r: r[2])
     assert S.rank_by_prompts(df, spark.createDataFrame([], "prompt string, embedding array<double>"), 6).count() == 0
+
+
+def test_a_cell_of_prompts_holds_few_scores_at_once():
+    """The scores of a whole cell are never in memory together, and those of every prompt are right."""
+    rng = np.random.default_rng(5)
+    v, q = rng.normal(size=(20_000, 8)), rng.normal(size=(S.CELL_PROMPTS, 8))
+    vectors = pa.table({"id": pa.array(range(len(v))), "v": pa.array(v.tolist())})
+    prompts = pa.table({"prompt": pa.array(range(len(q))), "v": pa.array(q.tolist())})
+    tracemalloc.start()
+    got = S._best_of_cell(vectors, prompts, 5)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < len(v) * len(q) * 8 / 4
+    want = [(p, i) for p, row in enumerate(q @ v.T) for i in np.lexsort((np.arange(len(v)), -row))[:5]]
+    assert list(zip(got["prompt"].to_pylist(), got["feature_index"].to_pylist(), strict=True)) == want
+
+
+def test_equal_vectors_tie_for_every_prompt():
+    """Copies of a vector have one score wherever they stand in the matrix, so ids order them."""
+    rng = np.random.default_rng(6)
+    few, q = rng.normal(size=(77, 64)), rng.normal(size=(67, 64))
+    v = np.concatenate([few] * 13)
+    vectors = pa.table({"id": pa.array(range(len(v))), "v": pa.array(v.tolist())})
+    got = S._best_of_cell(vectors, pa.table({"prompt": pa.array(range(len(q))), "v": pa.array(q.tolist())}), 20)
+    scores = np.cumsum(q[:, None, :] * v[None, :, :], axis=2)[:, :, -1]
+    want = [(p, i) for p, row in enumerate(scores) for i in np.lexsort((np.arange(len(v)), -row))[:20]]
+    assert list(zip(got["prompt"].to_pylist(), got["feature_index"].to_pylist(), strict=True)) == want
