@@ -1,7 +1,7 @@
 """A scene catalogue on files: items as lines of STAC JSON, with the ranges of each file beside them, and a data source that prunes by them.
 
-``write`` deals items by sensor and date into files of at most ``ITEMS`` lines; a task writes its files one after the other and returns each file's ranges, which go to one index. ``read`` plans one partition for each file
-whose ranges can meet the conditions on the scenes (dates, cloud, box, id, sensor), and applies the same conditions to the lines before they become rows. Conditions are given to ``read``; with
+``write`` deals items by sensor and date into files of at most ``ITEMS`` lines; a task writes its files one after the other and returns each file's ranges, which go to one index. ``read`` plans partitions of at most ``ITEMS`` items from the files
+whose ranges can meet the conditions on the scenes (dates, cloud, box, id, sensor), so that small files share a task, and applies the same conditions to the lines before they become rows. Conditions are given to ``read``; with
 ``spark.sql.python.filterPushdown.enabled`` those of the plan are pushed down as well, and what the source does not know is left to Spark.
 """
 
@@ -35,6 +35,7 @@ from pyspark.sql.datasource import (
 
 from rasterflux.shipping import ship
 
+#: Items of a file at most, and of a partition that reads several files.
 ITEMS = 10_000
 SCHEMA = "id string, sensor string, date date, cloud_cover double, relative_orbit int, orbit_state string, west double, south double, east double, north double"
 _TYPES = dict(zip([x.split()[0] for x in SCHEMA.split(", ")], [pa.string(), pa.string(), pa.date32(), pa.float64(), pa.int32(), pa.string(), *[pa.float64()] * 4], strict=True))
@@ -105,8 +106,8 @@ def write(scenes: DataFrame, folder: str, items: int = ITEMS) -> int:
 
 
 @dataclass
-class ItemFile(InputPartition):
-    path: str
+class ItemFiles(InputPartition):
+    paths: tuple[str, ...]
 
 
 class ItemReader(DataSourceReader):
@@ -145,12 +146,20 @@ class ItemReader(DataSourceReader):
                     return False
         return True
 
-    def partitions(self) -> list[ItemFile]:
+    def partitions(self) -> list[ItemFiles]:
         system, at = _system(self.folder)
         with system.open_input_stream(f"{at}/{INDEX}") as f:
             entries = [json.loads(x) for x in f.read().decode().splitlines()]
-        found = [ItemFile(f"{self.folder}/{e['path']}") for e in entries if self._may_hold(e["ranges"])]
-        return found or [ItemFile("")]
+        parts: list[list[str]] = [[]]
+        held = 0
+        for e in entries:
+            if self._may_hold(e["ranges"]):
+                if parts[-1] and held + e["items"] > ITEMS:
+                    parts.append([])
+                    held = 0
+                parts[-1].append(f"{self.folder}/{e['path']}")
+                held += e["items"]
+        return [ItemFiles(tuple(p)) for p in parts]
 
     def _passes(self, row: dict) -> bool:
         tests = {k.__name__: f for k, f in _TEST.items()}
@@ -160,14 +169,13 @@ class ItemReader(DataSourceReader):
                 return False
         return True
 
-    def read(self, part: ItemFile) -> Iterator[pa.RecordBatch]:
-        if not part.path:
-            return
-        system, at = _system(part.path)
-        with system.open_input_stream(at) as f:
-            # A file has at most ITEMS lines.
-            rows = [row for line in f.read().splitlines() if self._passes(row := to_row(json.loads(line)))]
-        yield pa.RecordBatch.from_pylist(rows, pa.schema(list(_TYPES.items())))
+    def read(self, part: ItemFiles) -> Iterator[pa.RecordBatch]:
+        for path in part.paths:
+            system, at = _system(path)
+            with system.open_input_stream(at) as f:
+                # A file has at most ITEMS lines.
+                rows = [row for line in f.read().splitlines() if self._passes(row := to_row(json.loads(line)))]
+            yield pa.RecordBatch.from_pylist(rows, pa.schema(list(_TYPES.items())))
 
 
 class PushingReader(ItemReader):

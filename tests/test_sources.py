@@ -171,6 +171,18 @@ def test_catalogue_prunes_files_and_items(spark, tmp_path):
         items.read(spark, folder, [("colour", "=", "red")])
 
 
+def test_small_catalogue_files_share_partitions(spark, tmp_path, monkeypatch):
+    df = scenes(spark)
+    folder = str(tmp_path / "catalogue")
+    files = items.write(df, folder, 10)
+    monkeypatch.setattr(items, "ITEMS", 100)
+    reader = items.ItemReader({"path": folder})
+    parts = reader.partitions()
+    assert len(parts) < files / 4 and len({p for x in parts for p in x.paths}) == sum(len(x.paths) for x in parts) == files
+    assert sum(b.num_rows for x in parts for b in reader.read(x)) == df.count()
+    assert max(sum(b.num_rows for b in reader.read(x)) for x in parts) <= 100
+
+
 def test_catalogue_takes_the_conditions_of_the_plan(spark, tmp_path):
     df = scenes(spark)
     folder = str(tmp_path / "catalogue")
