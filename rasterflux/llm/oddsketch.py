@@ -11,7 +11,9 @@ are salted by their size, so that a hot one is dealt to many tasks. After ``ROUN
 meet by a prefix of their sets, in an order that puts rare shingles first. Sets of similarity 0.8 share a shingle within the first fifth of both, and the smaller one has it within its
 first ninth, so documents that only share a common passage, whose shingles come last, do not meet at all; nothing is lost to the prefixes. How frequent a shingle is comes from ``CELLS`` counters,
 a number that does not grow with the data; any order would give the same links. The members of a prefix shingle first meet its centres, the members with the fewest rare shingles, from which
-edited copies differ least; what is still in several components after ``CENTRE_ROUNDS`` rounds is paired, but for the members of the largest component with each other.
+edited copies differ least, at the ``MEETINGS`` most frequent shingles of each; what is still in several components after ``CENTRE_ROUNDS`` rounds is paired at all shingles, but for the
+members of the largest component with each other. In a group of edited copies most such pairs differ too much. A parity bitmap of each set tells so while they are paired: the ones in the XOR of two
+are never more than the sets' differing shingles, so it drops no link. No pair is compared twice.
 
 Defined cases: a null text or one without words has an empty set, no links, and is its own component; repeated rows have equal sets and so
 share a component; rows without an id are linked like others, their component has the smallest id of the rows with one, and none if there is none (``kept`` holds for a row without an id if its component has no id either);
@@ -51,6 +53,10 @@ HOT_SHARE, LEAST_HOT = 10_000, 1000
 LINK_NUM, LINK_DEN = 80, 100
 #: Rounds of pivots in the buckets, and of centres among the members of a prefix shingle.
 ROUNDS, CENTRE_ROUNDS = 1, 3
+#: Prefix shingles at which a class meets centres. The pairs that follow the centres are made at all shingles.
+MEETINGS = 8
+#: Longs of the parity bitmap of a set.
+PARITY_LONGS = 16
 #: Earlier shingles of a prefix that a row carries along, so that a pair is made at the first of several shared shingles only.
 BEFORE = 8
 
@@ -64,6 +70,13 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(33))
 
 
+def _parities(h: np.ndarray, longs: int) -> np.ndarray:
+    """Bitmap of the cells that an odd number of hashes falls into."""
+    bit = (h % _U(64 * longs)).astype(np.int64)
+    odd = (np.bincount(bit, minlength=64 * longs) & 1).astype(np.uint8)
+    return np.packbits(odd).view(">i8").astype(np.int64)
+
+
 class _Hasher:
     """Shingle hashes from prefix sums of a polynomial in an odd base modulo 2^64 over a random number per byte value."""
 
@@ -117,9 +130,7 @@ class _Hasher:
         return _mix((low[: BANDS * ROWS].astype(np.uint64).reshape(BANDS, ROWS) * self.row).sum(axis=1) + self.band)
 
     def sketch(self, low: np.ndarray) -> np.ndarray:
-        bit = _mix(low.astype(np.uint64) * _MULT + self.sample) % _U(64 * SKETCH_LONGS)
-        odd = (np.bincount(bit.astype(np.int64), minlength=64 * SKETCH_LONGS) & 1).astype(np.uint8)
-        return np.packbits(odd).view(">i8").astype(np.int64)
+        return _parities(_mix(low.astype(np.uint64) * _MULT + self.sample), SKETCH_LONGS)
 
 
 _hashers: dict[tuple[int, int], _Hasher] = {}
@@ -215,6 +226,16 @@ def _prefix_rows(batches: Iterator[pa.RecordBatch], shingle: int, counts: bytes)
         yield batch()
 
 
+def _parity_rows(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    """node, parity of each set, in batches."""
+    schema = pa.schema([("node", pa.int64()), ("parity", pa.list_(pa.int64()))])
+    for batch in batches:
+        nodes, parity = [], []
+        for node, h in _sets(iter([batch]), shingle):
+            nodes.append(node), parity.append(_parities(_mix(h + _MULT), PARITY_LONGS))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(parity, schema.field(1).type)], schema=schema)
+
+
 def _texts(used: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """node, text of the classes in ``used``. Rows of one id, or without an id, that have equal texts are merged in the tasks."""
     text = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("key"), "text")
@@ -255,12 +276,12 @@ def _estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs whose sketches differ in few enough bits."""
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("sketch").alias(f"s_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.where(_differing() <= MOST_DIFFERING).select("a", "b")
+    return both.where(_differing("s_a", "s_b", SKETCH_LONGS) <= MOST_DIFFERING).select("a", "b")
 
 
-def _differing() -> Column:
-    """Ones in the XOR of the sketches ``s_a`` and ``s_b``."""
-    bits = [F.bit_count(F.col("s_a")[k].bitwiseXOR(F.col("s_b")[k])) for k in range(SKETCH_LONGS)]
+def _differing(a: str, b: str, longs: int) -> Column:
+    """Ones in the XOR of two bitmaps."""
+    bits = [F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(longs)]
     return sum(bits[1:], bits[0])
 
 
@@ -309,19 +330,24 @@ _FITS = " and ".join(f"{LINK_NUM + LINK_DEN} * left_{c} >= {LINK_NUM} * (size_a
 
 
 def _open_prefixes(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of shingles that classes of several components share and one of them early, with comp and the shingle's largest component (major)."""
+    """The rows of shingles that classes of several components share and one of them early, with comp, the shingle's largest component (major) and its rows (members)."""
     rows = rows.join(labels, "node")
     per = rows.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("n"), F.max(F.expr(_EARLY)).alias("early"))
-    per = per.groupBy("shingle").agg(F.max_by("comp", F.struct("n", "comp")).alias("major"), F.count(F.lit(1)).alias("comps"), F.max("early").alias("early"))
-    return materialize(rows.join(per.where("comps > 1 and early").select("shingle", "major"), "shingle"), "near-open")
+    per = per.groupBy("shingle").agg(
+        F.max_by("comp", F.struct("n", "comp")).alias("major"), F.sum("n").alias("members"), F.count(F.lit(1)).alias("comps"), F.max("early").alias("early")
+    )
+    return materialize(rows.join(per.where("comps > 1 and early").select("shingle", "major", "members"), "shingle"), "near-open")
 
 
-def _pairs_of(both: DataFrame, also: str = "true") -> DataFrame:
-    return both.where("comp_a != comp_b").where(_FITS).where(also).select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")).distinct()
+def _pairs_of(both: DataFrame, *also: Column | str) -> DataFrame:
+    both = both.where("comp_a != comp_b").where(_FITS)
+    for condition in also:
+        both = both.where(condition)
+    return both.select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")).distinct()
 
 
-def _with_centres(open_: DataFrame) -> DataFrame:
-    """Pairs of every member of a shingle with two centres: of the largest component and of the others, the member whose own rare shingles are fewest.
+def _centres(open_: DataFrame) -> DataFrame:
+    """Two centres of each shingle: of the largest component and of the others, the member whose own rare shingles are fewest.
 
     That is the text from which most of a group of edited copies differ least.
     """
@@ -329,26 +355,39 @@ def _with_centres(open_: DataFrame) -> DataFrame:
     centre = lambda of: F.max_by(F.when(of, who), F.when(of, F.struct(share, "node")))
     major = F.col("comp") == F.col("major")
     centres = open_.groupBy("shingle").agg(F.array(centre(major), centre(~major)).alias("centres")).select("shingle", F.explode("centres").alias("x"))
-    centres = centres.select("shingle", *[F.col(f"x.{k}").alias(f"{k}_b") for k in ("node", "comp", "size", "left")])
-    members = open_.select("shingle", *[F.col(k).alias(f"{k}_a") for k in ("node", "comp", "size", "left")])
+    return materialize(centres.select("shingle", *[F.col(f"x.{k}").alias(f"{k}_b") for k in ("node", "comp", "size", "left")]), "near-centres")
+
+
+def _with_centres(open_: DataFrame, centres: DataFrame) -> DataFrame:
+    """Pairs of members with centres. A group shares many shingles with the same few centres, so a member meets those of ``MEETINGS`` shingles: of the most frequent ones, the first
+    in its order, where the most pairs fit."""
+    own = W.partitionBy("node").orderBy(F.floor(F.log2("members")).desc(), F.desc("left"))
+    members = open_.withColumn("meeting", F.row_number().over(own)).where(F.col("meeting") <= MEETINGS)
+    members = members.select("shingle", *[F.col(k).alias(f"{k}_a") for k in ("node", "comp", "size", "left")])
     return _pairs_of(members.join(centres, "shingle"))
 
 
-def _across(open_: DataFrame) -> DataFrame:
+def _across(open_: DataFrame, parities: DataFrame | None = None) -> DataFrame:
     """All pairs of a shingle's members, but for those within its largest component.
 
     All prefixes have one order, and what holds for a pair at a shared shingle holds at an earlier one too. So a pair that shares one of the ``BEFORE`` shingles before is not made again:
-    at the first of all that it shares, nothing before is shared. Where both members are early, the one with the smaller name pairs.
+    at the first of all that it shares, nothing before is shared. Where both members are early, the one with the smaller name pairs. With the ``parities`` of all sets,
+    pairs whose parities alone differ too much for a link are not made.
     """
+    kept, also = ["node", "comp", "size", "left"], []
+    if parities is not None:
+        open_ = open_.join(parities, "node")
+        kept.append("parity")
+        also.append((LINK_DEN + LINK_NUM) * _differing("parity_a", "parity_b", PARITY_LONGS) <= (LINK_DEN - LINK_NUM) * (F.col("size_a") + F.col("size_b")))
     upto = W.partitionBy("node").orderBy(F.desc("left")).rowsBetween(-BEFORE, -1)
     rows = open_.withColumns({"before": F.collect_list("shingle").over(upto), "early": F.expr(_EARLY)})
     side = lambda c: rows.select(
-        "shingle", *[F.col(x).alias(f"{x}_{c}") for x in ("node", "comp", "size", "left", "before", "early")], (F.col("comp") == F.col("major")).alias(f"major_{c}")
+        "shingle", *[F.col(x).alias(f"{x}_{c}") for x in (*kept, "before", "early")], (F.col("comp") == F.col("major")).alias(f"major_{c}")
     )
     small, large = side("a").where("early_a"), side("b")
     others = small.where("not major_a").join(large, "shingle").where("major_b or not early_b or node_a < node_b")
     rest = small.where("major_a").join(large.where("not major_b and not early_b"), "shingle")
-    return _pairs_of(others.unionByName(rest), "not arrays_overlap(before_a, before_b)")
+    return _pairs_of(others.unionByName(rest), *also, "not arrays_overlap(before_a, before_b)")
 
 
 def components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -362,19 +401,18 @@ def components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     labels = materialize(nodes.select("node", F.col("node").alias("comp")), "near-labels")
     sketches = nodes.select("node", "sketch")
 
-    def contract(pairs: DataFrame, labels: DataFrame, name: str, texts: DataFrame | None = None) -> tuple[DataFrame, bool]:
+    def contract(pairs: DataFrame, labels: DataFrame, texts: DataFrame | None = None) -> tuple[DataFrame, bool]:
         """The labels once the links among the pairs are contracted, and whether there were any. Without ``texts`` those of the pairs are looked up."""
-        pairs = materialize(pairs, name)
         near = materialize(_estimated(pairs, sketches), "near-pairs")
         used = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         links = materialize(_links(near, _texts(used, nodes, docs) if texts is None else texts, shingle), "near-links")
         if links.isEmpty():
-            discard(pairs, near, links)
+            discard(near, links)
             return labels, False
         comp = lambda c: labels.select(F.col("node").alias(c), F.col("comp").alias(f"c_{c}"))
         merged = connected(links.join(comp("a"), "a").join(comp("b"), "b"), "c_a", "c_b").select(F.col("node").alias("comp"), "root")
         out = materialize(labels.join(merged, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")), "near-labels")
-        discard(labels, pairs, near, links)
+        discard(labels, near, links)
         return out, True
 
     members = _buckets(nodes)
@@ -392,7 +430,9 @@ def components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         discard(older)
         if k == ROUNDS or members.isEmpty():
             break
-        labels, _ = contract(members.where("comp != p.comp").select(F.greatest("node", "p.node").alias("a"), F.least("node", "p.node").alias("b")).distinct(), labels, "near-pivots")
+        pairs = materialize(members.where("comp != p.comp").select(F.greatest("node", "p.node").alias("a"), F.least("node", "p.node").alias("b")).distinct(), "near-pivots")
+        labels, _ = contract(pairs, labels)
+        discard(pairs)
         older, members = members, materialize(members.drop("p", "comp").join(labels, "node"), "near-buckets")
         discard(older)
     # The texts of what is left are looked up once.
@@ -400,20 +440,33 @@ def components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     rows = None if texts is None else _prefixes(texts, shingle)
     # Only the unsettled classes are labelled anew in each round; the others follow their components at the end.
     before, labels = labels, labels if texts is None else materialize(labels.join(texts.select("node"), "node", "left_semi"), "near-labels")
-    centres_left, more = CENTRE_ROUNDS, rows is not None
+    parities = None if texts is None else materialize(arrow(texts, partial(_parity_rows, shingle=shingle), "node long, parity array<bigint>"), "near-parities")
+    centres_left, more, compared, met = CENTRE_ROUNDS, rows is not None, [], []
     while more:
         open_ = _open_prefixes(rows, labels)
         if open_.isEmpty():
             break
         # Centres that brought no link would bring none again.
         more = centres_left > 0
-        labels, linked = contract(_with_centres(open_) if more else _across(open_), labels, "near-candidates", texts)
+        if more:
+            # A shingle's members have met its earlier centres.
+            met.append(_centres(open_))
+            new = met[-1]
+            for older in met[:-1]:
+                new = new.join(older.select("shingle", "node_b"), ["shingle", "node_b"], "left_anti")
+            pairs = _with_centres(open_, new)
+        else:
+            pairs = _across(open_, parities)
+        for older in compared:
+            pairs = pairs.join(older, ["a", "b"], "left_anti")
+        compared.append(materialize(pairs, "near-candidates"))
+        labels, linked = contract(compared[-1], labels, texts)
         centres_left = centres_left - 1 if linked else 0
         discard(open_)
     if texts is not None:
         moved = before.join(labels.select("node", F.col("comp").alias("root")), "node").where("comp != root").select("comp", "root").distinct()
         labels = materialize(before.join(moved, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")), "near-labels")
-    discard(rows, texts, members)
+    discard(rows, texts, parities, members, *compared, *met)
     least = labels.join(nodes.select("node", "least"), "node")
     firsts = least.groupBy("comp").agg(F.min("least").alias("component_id"))
     of_node = least.select("node", "comp").join(firsts, "comp").select("node", "component_id")
